@@ -1,0 +1 @@
+"""Empty on purpose: every input of this engine is a finished recording, so there is no stream operator."""
