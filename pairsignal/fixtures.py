@@ -127,7 +127,7 @@ def crowd(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFrame:
     packed = filled.groupBy(group.cast("string").alias("rec_id"), "t").agg(
         F.sort_array(F.collect_list(F.struct("user_id", "v"))).alias("_p")
     )
-    return packed.select("rec_id", "t", F.transform("_p", lambda s: s["v"]).alias("x"))
+    return packed.select("rec_id", "t", F.col("_p.v").alias("x"))
 
 
 def crowd_channels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def pack(rows: DataFrame, keys: Sequence[str], block: str = "block", order: str
     packed = rows.groupBy(*keys, block).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_p"))
 
     def column(name: str):
-        return F.transform("_p", lambda s: s[name])
+        return F.col(f"_p.{name}")
 
     values = column(value)
     flat = F.flatten(values) if isinstance(rows.schema[value].dataType, T.ArrayType) else values
@@ -137,5 +137,5 @@ def summed(df: DataFrame, keys: Sequence[str], fn: Callable[[dict], Iterator[tup
     partial = df.mapInArrow(run, ddl)
     per_element = partial.select(*names, F.posexplode("v").alias("_i", "_v")).groupBy(*names, "_i").agg(F.sum("_v").alias("_v"))
     return per_element.groupBy(*names).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("v")
+        F.sort_array(F.collect_list(F.struct("_i", "_v"))).getField("_v").alias("v")
     )

@@ -46,7 +46,7 @@ def pick_channels(samples: DataFrame, channels: DataFrame, kind: str = "eeg") ->
 def channel_list(channels: DataFrame) -> DataFrame:
     """One ordered name list per recording."""
     return channels.groupBy("rec_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("ch_idx", "ch"))), lambda s: s["ch"]).alias("names")
+        F.sort_array(F.collect_list(F.struct("ch_idx", "ch"))).getField("ch").alias("names")
     )
 
 

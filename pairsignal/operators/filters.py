@@ -80,8 +80,11 @@ def _convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
 
 
 def filter_blocks(samples: DataFrame, recordings: DataFrame, taps_of: Callable[[float], np.ndarray], half_width,
-                  block: int = CHUNK) -> DataFrame:
-    """Filter every recording with ``taps_of(sfreq)``; ``half_width`` (number or Column) bounds the taps' reach."""
+                  block: int = CHUNK, residual: bool = False) -> DataFrame:
+    """Filter every recording with ``taps_of(sfreq)``; ``half_width`` (number or Column) bounds the taps' reach.
+
+    With ``residual`` the channels are followed by what the filter took away from each.
+    """
     meta = recordings.select("rec_id", F.col("sfreq").alias("_f"), F.col("n_samples").alias("_n"))
     rows = attach(samples, meta, "rec_id")
     spread = with_halo(rows, block, half_width, half_width).filter(F.col("block") * block < F.col("_n"))
@@ -98,20 +101,23 @@ def filter_blocks(samples: DataFrame, recordings: DataFrame, taps_of: Callable[[
         taps = known[row["_f"]]
         h = len(taps) // 2
         start, stop = row["block"] * block, min((row["block"] + 1) * block, row["_n"])
-        out = _convolve(_extended(x, t, start - h, stop + h, row["_n"]), taps)
+        whole = _extended(x, t, start - h, stop + h, row["_n"])
+        out = _convolve(whole, taps)
+        if residual:
+            out = np.hstack([out, whole[h : len(whole) - h] - out])
         return {"rec_id": row["rec_id"], "t": np.arange(start, stop), "x": out}
 
     return map_chunks(chunks, run, "rec_id string, t bigint, x array<double>")
 
 
-def fir(samples: DataFrame, recordings: DataFrame, taps: list[float], block: int = CHUNK) -> DataFrame:
+def fir(samples: DataFrame, recordings: DataFrame, taps: list[float], block: int = CHUNK, residual: bool = False) -> DataFrame:
     """One set of odd-length taps for all recordings."""
     fixed = np.asarray(taps, dtype=float)
-    return filter_blocks(samples, recordings, lambda sfreq: fixed, len(fixed) // 2, block)
+    return filter_blocks(samples, recordings, lambda sfreq: fixed, len(fixed) // 2, block, residual)
 
 
 def band(samples: DataFrame, recordings: DataFrame, l_freq: float | None = HIGHPASS_HZ, h_freq: float | None = None,
-         block: int = CHUNK) -> DataFrame:
+         block: int = CHUNK, residual: bool = False) -> DataFrame:
     """High-, low- or band-pass designed for each recording's own rate."""
     width = F.lit(float("inf"))
     if l_freq is not None:
@@ -119,4 +125,4 @@ def band(samples: DataFrame, recordings: DataFrame, l_freq: float | None = HIGHP
     if h_freq is not None:
         width = F.least(width, F.lit(max(0.25 * h_freq, 2.0)), F.col("_f") / 2 - h_freq)
     reach = (F.ceil(LENGTH_FACTOR / width * F.col("_f")) / 2).cast("bigint") + 1
-    return filter_blocks(samples, recordings, lambda sfreq: design(sfreq, l_freq, h_freq), reach, block)
+    return filter_blocks(samples, recordings, lambda sfreq: design(sfreq, l_freq, h_freq), reach, block, residual)

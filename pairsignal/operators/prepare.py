@@ -17,7 +17,7 @@ MAX_CHANNELS = 256
 def to_wide(long: DataFrame, key: str = "rec_id") -> DataFrame:
     """One row per time with the channels in ``ch_idx`` order."""
     packed = long.groupBy(key, "t").agg(F.sort_array(F.collect_list(F.struct("ch_idx", "x"))).alias("_p"))
-    return packed.select(key, "t", F.transform("_p", lambda s: s["x"]).alias("x"))
+    return packed.select(key, "t", F.col("_p.x").alias("x"))
 
 
 def to_long(wide: DataFrame, index: str = "ch_idx") -> DataFrame:

@@ -18,7 +18,7 @@ def matrix_per_key(weights: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, out_idx, w`` rows as one row per key: ``outs``, flat ``ws``."""
     packed = weights.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("out_idx", "w"))).alias("_p"))
     return packed.select(
-        *keys, F.transform("_p", lambda s: s["out_idx"]).alias("outs"), F.flatten(F.transform("_p", lambda s: s["w"])).alias("ws")
+        *keys, F.col("_p.out_idx").alias("outs"), F.flatten(F.col("_p.w")).alias("ws")
     )
 
 

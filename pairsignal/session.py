@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "pairsignal", shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,3 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     context.setCheckpointDir(folder)
     return folder
+
+
+def settle(small: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the checkpoint folder, so that later steps do not compute it again."""
+    ensure_checkpoint_dir(small.sparkSession)
+    return small.checkpoint()
