@@ -190,3 +190,20 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.lit("all").alias("pairing"), F.col("vec_id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run_id"), "v"
     ).select("pairing", "run_id", "t", F.slice("v", F.col("run_id") * 3 + 1, 3).alias("e"))
+
+
+def active_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of each user's recording if it ended with the last event."""
+    events = table(spark, sf_dir, "events").select("ts", "user_id")
+    return events.groupBy(F.col("user_id").cast("string").alias("rec_id")).agg((F.max(_bin()) + 1).alias("n_samples"))
+
+
+def exclusion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hand-typed component list per user, made of its event counts and some noise."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "error").alias("a"), F.count_if(F.col("event_type") == "view").alias("b")
+    )
+    return counts.select(
+        F.col("user_id").cast("string").alias("rec_id"),
+        F.concat((F.col("a") % 4).cast("string"), F.lit(", "), (F.col("b") % 4).cast("string"), F.lit(",x,-3, 0"), F.col("a").cast("string")).alias("listed"),
+    )

@@ -42,7 +42,7 @@ def base_name(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """File name without its last extension; a leading dot is part of the name."""
-    return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(base_name(path), r"^(.+)\.[^.]*$", "$1")
 
 
 def cleaned_name(path: Column) -> Column:

@@ -209,11 +209,13 @@ def transform(samples: DataFrame, projection: DataFrame, bound: DataFrame, block
 
 
 def embed_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", runs: int = 5, fit_on: str = "train",
-                 fraction: float = 0.8, **options) -> DataFrame:
-    """Fit on the first part of each pairing (or on 'all') and embed every sample.  ``recordings``: ``pairing, n_samples``."""
+                 **options) -> DataFrame:
+    """Fit on the training part of each pairing (or on 'all') and embed every sample.
+
+    ``recordings``: ``pairing, n_samples, n_train``.
+    """
     fitted = samples
     if fit_on == "train":
-        edge = recordings.select("pairing", F.floor(F.lit(float(fraction)) * F.col("n_samples")).alias("_edge"))
-        fitted = attach(samples, edge, "pairing").filter("t < _edge").drop("_edge")
+        fitted = attach(samples, recordings.select("pairing", "n_train"), "pairing").filter("t < n_train").drop("n_train")
     projection = fit_linear(fitted, recordings, mode, runs, **options)
     return transform(samples, projection, recordings)
