@@ -51,7 +51,12 @@ def user_recordings(spark: SparkSession, sf_dir: str, sfreq: float = 1.0 / BIN_S
 
 def user_dyads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users 2k and 2k+1, both present; the even one speaks."""
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return dyads_of(user_recordings(spark, sf_dir))
+
+
+def dyads_of(recordings: DataFrame) -> DataFrame:
+    """Recordings named 2k and 2k+1, both present; the even one speaks."""
+    users = recordings.select(F.col("rec_id").cast("bigint").alias("user_id"))
     pairs = users.groupBy(F.floor(F.col("user_id") / 2).cast("bigint").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     a, b = (F.col("k") * 2).cast("string"), (F.col("k") * 2 + 1).cast("string")
     return pairs.filter("n = 2").select(

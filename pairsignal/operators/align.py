@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.vectors import seconds_to_sample
 from pairsignal.operators.blocks import BLOCK, attach, block_of, running_sums, with_halo
+from pairsignal.session import settle
 
 CUT = "cut"
 
@@ -87,7 +88,7 @@ def pad_lengths(samples: DataFrame, dyads: DataFrame, recordings: DataFrame, blo
     tail = pieces.withColumn("t", F.explode(F.sequence(first, last))).select(
         "dyad_id", "side", "rec_id", "t", F.array_repeat(F.lit(0.0), F.col("n_channels")).alias("x")
     )
-    present = attach(samples, sides(dyads).drop("role"), "rec_id").select("dyad_id", "side", "rec_id", "t", "x")
+    present = attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2).select("dyad_id", "side", "rec_id", "t", "x")
     return present.unionByName(tail)
 
 
@@ -103,7 +104,7 @@ def blank_mask(samples: DataFrame, dyads: DataFrame, edges: DataFrame | None = N
         flags = flags.unionByName(
             edges.select("rec_id", "t", F.lit(0).alias("present"), F.lit(0).alias("zero"), "delta")
         )
-    flags = attach(flags, sides(dyads).drop("role"), "rec_id")
+    flags = attach(flags, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2)
     columns = []
     for side in "ab":
         own = F.col("side") == side
@@ -112,7 +113,8 @@ def blank_mask(samples: DataFrame, dyads: DataFrame, edges: DataFrame | None = N
             F.max(F.when(own, F.col("zero")).otherwise(0)).alias(f"zero_{side}"),
             F.sum(F.when(own, F.col("delta")).otherwise(0)).alias(f"delta_{side}"),
         ]
-    by_time = flags.withColumn("block", block_of("t", block)).groupBy("dyad_id", "block", "t").agg(*columns)
+    # One scan of the samples; everything after reads these few flags.
+    by_time = settle(flags.withColumn("block", block_of("t", block)).groupBy("dyad_id", "block", "t").agg(*columns))
     blank = F.lit(False)
     if edges is not None:
         by_time = running_sums(by_time, ["dyad_id"], {f"open_{s}": F.col(f"delta_{s}") for s in "ab"})
@@ -140,7 +142,7 @@ def time_map(mask: DataFrame) -> DataFrame:
     )
 
 
-def segments(mapped: DataFrame, rates: DataFrame) -> DataFrame:
+def segments(mapped: DataFrame, rates: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Cut and keep segments.  Within one cut run ``t - removed`` is constant, within one kept run ``removed`` is."""
     island = F.when(F.col("cut"), F.col("t") - F.col("removed")).otherwise(F.col("removed"))
     spans = mapped.groupBy("dyad_id", "cut", island.alias("island")).agg(
@@ -148,7 +150,7 @@ def segments(mapped: DataFrame, rates: DataFrame) -> DataFrame:
     )
     before = F.when(F.col("cut"), F.col("_removed") - 1).otherwise(F.col("_removed"))
     sfreq = F.col("sfreq")
-    return attach(spans, rates.select("dyad_id", "sfreq"), "dyad_id", spread="start_t").select(
+    return attach(spans, rates.select("dyad_id", "sfreq"), "dyad_id", bound=rates if bound is None else bound, spread="start_t").select(
         "dyad_id",
         F.when(F.col("cut"), F.lit("cut")).otherwise(F.lit("keep")).alias("kind"),
         "start_t",
@@ -162,7 +164,7 @@ def segments(mapped: DataFrame, rates: DataFrame) -> DataFrame:
 def keep_samples(samples: DataFrame, mapped: DataFrame, dyads: DataFrame) -> DataFrame:
     """Samples of both sides outside the cuts, with time closed up."""
     kept = mapped.filter(~F.col("cut")).select("dyad_id", "t", "removed")
-    both = attach(samples, sides(dyads).drop("role"), "rec_id")
+    both = attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2)
     return both.join(kept, ["dyad_id", "t"]).select(
         "dyad_id", "rec_id", "side", (F.col("t") - F.col("removed")).alias("t"), "x"
     )
@@ -171,7 +173,7 @@ def keep_samples(samples: DataFrame, mapped: DataFrame, dyads: DataFrame) -> Dat
 def shared_annotations(found: DataFrame, dyads: DataFrame) -> DataFrame:
     """The cut list of a dyad on both of its recordings."""
     cuts = found.filter(F.col("kind") == "cut").drop("kind")
-    return attach(cuts, sides(dyads).drop("role"), "dyad_id", spread="start_t").select(
+    return attach(cuts, sides(dyads).drop("role"), "dyad_id", bound=dyads, per=2, spread="start_t").select(
         "rec_id", "dyad_id", F.col("onset_src").alias("onset_s"), "onset_dst", "duration_s", F.lit(CUT).alias("description")
     )
 
@@ -190,5 +192,5 @@ def mutually_align(
     rates = require_equal_sfreq(dyads, recordings)
     edges = None if annotations is None else annotation_edges(annotations, recordings, description)
     mapped = time_map(blank_mask(samples, dyads, edges, block))
-    found = segments(mapped, rates)
+    found = segments(mapped, rates, dyads)
     return Aligned(keep_samples(samples, mapped, dyads), found, shared_annotations(found, dyads))

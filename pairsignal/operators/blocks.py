@@ -8,6 +8,7 @@ per block.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,9 +62,23 @@ def with_halo(df: DataFrame, size: int, left: int, right: int, t: str = "t") ->
     return spread.withColumn("core", F.col("block") == block_of(t, size))
 
 
-def is_small(bound: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether a metadata table has at most ``max_rows`` rows (reads at most one row more)."""
-    return bound.limit(max_rows + 1).count() <= max_rows
+_counted: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+_largest: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+
+def row_count(table: DataFrame) -> int:
+    """Rows of a metadata table, counted once per table object."""
+    if table not in _counted:
+        _counted[table] = table.count()
+    return _counted[table]
+
+
+def largest(table: DataFrame, column: str) -> int | None:
+    """Largest value of a metadata column, looked up once per table object."""
+    known = _largest.setdefault(table, {})
+    if column not in known:
+        known[column] = table.agg(F.max(column)).first()[0]
+    return known[column]
 
 
 def attach(
@@ -72,16 +87,16 @@ def attach(
     keys: Sequence[str] | str,
     how: str = "inner",
     bound: DataFrame | None = None,
-    max_rows: int = SMALL_ROWS,
+    per: int = 1,
     spread: str = "t",
 ) -> DataFrame:
-    """Join metadata with one row per key onto sample rows.
+    """Join metadata with few rows per key onto sample rows.
 
-    ``bound`` is a cheap table with at least as many rows as ``meta``; it proves the size before a broadcast.
-    Beyond the bound the key is salted, so a hot recording is still split over many tasks.
+    ``bound`` is a cheap table and ``per`` the most rows of ``meta`` per row of it; they prove the size before a
+    broadcast.  Beyond the limit the key is salted, so a hot recording is still split over many tasks.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if is_small(meta if bound is None else bound, max_rows):
+    if row_count(meta if bound is None else bound) * per <= SMALL_ROWS:
         return rows.join(F.broadcast(meta), keys, how)
     salted = meta.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(

@@ -31,14 +31,14 @@ def require_unique_channels(channels: DataFrame) -> DataFrame:
     return guarded.select("rec_id", "ch", F.inline("_rows")).select(*channels.columns)
 
 
-def pick_channels(samples: DataFrame, channels: DataFrame, kind: str = "eeg") -> DataFrame:
+def pick_channels(samples: DataFrame, channels: DataFrame, recordings: DataFrame, kind: str = "eeg") -> DataFrame:
     """Keep only the channels of one type in wide rows, in ``ch_idx`` order."""
     picked = (
         channels.filter(F.col("type") == kind)
         .groupBy("rec_id")
         .agg(F.sort_array(F.collect_list("ch_idx")).alias("_pick"))
     )
-    return attach(samples, picked, "rec_id").withColumn(
+    return attach(samples, picked, "rec_id", bound=recordings).withColumn(
         "x", F.transform("_pick", lambda i: F.get("x", i))
     ).drop("_pick")
 

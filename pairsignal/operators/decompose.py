@@ -1,7 +1,7 @@
 """Independent components of many recordings at once.
 
 Every step over samples is one aggregation keyed by recording; only matrices of channel size are solved, one
-per recording, inside tasks.  The state table is checkpointed each round, so its lineage stays short and a
+per recording, inside tasks.  The state table is written each round, so its lineage stays short and a
 lost executor costs one round at most.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, summed
 from pairsignal.operators.blocks import attach
 from pairsignal.operators.remix import matrix_per_key, pack_blocks
-from pairsignal.session import ensure_checkpoint_dir
+from pairsignal.session import settle
 
 # Fixed values of the fit.
 SEED = 97
@@ -56,7 +56,6 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
     Result per recording: ``mean`` (C), ``k`` (whitening, n x C), ``w`` (rotation, n x n), ``done``.
     A recording of lower rank gets as many components as its rank.
     """
-    ensure_checkpoint_dir(samples.sparkSession)
     chunks = pack_blocks(samples, ["rec_id"], block).persist(StorageLevel.MEMORY_AND_DISK)
 
     def start(row: dict) -> dict | None:
@@ -70,7 +69,7 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
         w = _orthonormal(np.random.default_rng(seed).standard_normal((len(order), len(order))))
         return {"rec_id": [row["rec_id"]], "mean": mean[None], "k": k.reshape(1, -1), "w": w.reshape(1, -1), "done": False}
 
-    state = map_chunks(moments(chunks), start, STATE).checkpoint()
+    state = settle(map_chunks(moments(chunks), start, STATE))
 
     def contrast(row: dict):
         n = int(round(np.sqrt(len(row["w"]))))
@@ -94,7 +93,7 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
             break
         sums = summed(attach(chunks, open_state.drop("done"), "rec_id", bound=recordings, spread="block"), ["rec_id"], contrast, "rec_id string")
         stepped = map_chunks(open_state.join(sums, "rec_id"), step, STATE)
-        state = state.filter("done").unionByName(stepped).repartition("rec_id").checkpoint()
+        state = settle(state.filter("done").unionByName(stepped))
     chunks.unpersist()
     return state
 
@@ -130,11 +129,12 @@ def remove_components(samples: DataFrame, state: DataFrame, excluded: DataFrame,
     rows = cleaning_matrix(state, excluded.filter(F.size("comps") > 0))
     bias = rows.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("out_idx", "b"))).getField("b").alias("bs"))
     per_key = matrix_per_key(rows, ["rec_id"]).join(bias, "rec_id")
-    untouched = samples.join(rows.select("rec_id").distinct(), "rec_id", "left_anti").select("rec_id", "t", "x")
-    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", bound=recordings, spread="block")
+    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, spread="block")
 
     def run(row: dict) -> dict:
-        m = row["ws"].reshape(len(row["outs"]), -1)
-        return {"rec_id": row["rec_id"], "t": row["ts"], "x": matrix(row) @ m.T + row["bs"]}
+        x = matrix(row)
+        if row["outs"] is not None and len(row["outs"]):
+            x = x @ row["ws"].reshape(len(row["outs"]), -1).T + row["bs"]
+        return {"rec_id": row["rec_id"], "t": row["ts"], "x": x}
 
-    return map_chunks(chunks, run, "rec_id string, t bigint, x array<double>").unionByName(untouched)
+    return map_chunks(chunks, run, "rec_id string, t bigint, x array<double>")

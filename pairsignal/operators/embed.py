@@ -48,10 +48,10 @@ def positive_pairs(embedded: DataFrame, keys: Sequence[str] = ("pairing", "run_i
     return led.filter(F.col("core") & (F.col("t_pos") == F.col("t") + offset)).select(*embedded.columns, "t_pos", "e_pos")
 
 
-def nearest_label_pairs(labels: DataFrame, key: str = "pairing", offset: int = OFFSET, block: int = BLOCK) -> DataFrame:
+def nearest_label_pairs(labels: DataFrame, ends: DataFrame, key: str = "pairing", offset: int = OFFSET, block: int = BLOCK) -> DataFrame:
     """Positive pairs by label difference: ``key, t, target, t_pos, y_pos``.
 
-    ``labels`` is ``key, t, y``.  Each sample draws, by hash, a later time step's change ``y[s+offset] - y[s]`` and
+    ``labels`` is ``key, t, y``, ``ends`` has a row per key.  Each sample draws, by hash, a later time step's change ``y[s+offset] - y[s]`` and
     is paired with the sample whose ``y`` is nearest to ``y + change`` (ties: smaller y, then smaller t).
     """
     order = Window.partitionBy(key, "block").orderBy("t")
@@ -61,12 +61,12 @@ def nearest_label_pairs(labels: DataFrame, key: str = "pairing", offset: int = O
     )
     changes = steps.select(key, F.col("t").alias("_s"), (F.col("_y2") - F.col("y")).alias("_change"))
     count = labels.groupBy(key).agg((F.max("t") + 1 - offset).alias("_m"))
-    drawn = attach(labels, count, key).filter("_m > 0").withColumn("_s", F.pmod(F.xxhash64("t"), F.col("_m")))
+    drawn = attach(labels, count, key, bound=ends).filter("_m > 0").withColumn("_s", F.pmod(F.xxhash64("t"), F.col("_m")))
     wanted = drawn.join(changes, [key, "_s"]).select(key, "t", (F.col("y") + F.col("_change")).alias("target"))
-    return nearest(wanted, labels, key)
+    return nearest(wanted, labels, ends, key)
 
 
-def nearest(wanted: DataFrame, labels: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
+def nearest(wanted: DataFrame, labels: DataFrame, keys_table: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
     """For each ``target`` the row of ``labels`` with the nearest ``y``, by sorting both within value ranges.
 
     Equal labels are collapsed first, so a constant label is one row.  Each value range is one window; what a
@@ -78,7 +78,7 @@ def nearest(wanted: DataFrame, labels: DataFrame, key: str, pieces: int = 1024)
     )
 
     def piece(df: DataFrame, value: str) -> DataFrame:
-        cut = attach(df, ends, key, spread=value)
+        cut = attach(df, ends, key, bound=keys_table, spread=value)
         return cut.withColumn("piece", _pieces_below(F.col("_cuts"), F.col(value))).drop("_cuts")
 
     known = piece(distinct, "y").select(key, "piece", F.col("y").alias("v"), F.lit(0).alias("kind"), F.struct(F.col("y"), F.col("_t").alias("t")).alias("hit"), F.lit(None).cast("bigint").alias("t"))
@@ -216,6 +216,6 @@ def embed_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time",
     """
     fitted = samples
     if fit_on == "train":
-        fitted = attach(samples, recordings.select("pairing", "n_train"), "pairing").filter("t < n_train").drop("n_train")
+        fitted = attach(samples, recordings.select("pairing", "n_train"), "pairing", bound=recordings).filter("t < n_train").drop("n_train")
     projection = fit_linear(fitted, recordings, mode, runs, **options)
     return transform(samples, projection, recordings)

@@ -86,10 +86,10 @@ def filter_blocks(samples: DataFrame, recordings: DataFrame, taps_of: Callable[[
     With ``residual`` the channels are followed by what the filter took away from each.
     """
     meta = recordings.select("rec_id", F.col("sfreq").alias("_f"), F.col("n_samples").alias("_n"))
-    rows = attach(samples, meta, "rec_id")
+    rows = attach(samples, meta, "rec_id", bound=recordings)
     spread = with_halo(rows, block, half_width, half_width).filter(F.col("block") * block < F.col("_n"))
     chunks = attach(
-        pack(spread.select("rec_id", "block", "t", "x"), ["rec_id"]), meta, "rec_id", spread="block"
+        pack(spread.select("rec_id", "block", "t", "x"), ["rec_id"]), meta, "rec_id", bound=recordings, spread="block"
     )
 
     known: dict[float, np.ndarray] = {}

@@ -35,7 +35,7 @@ def interpolation_weights(channels: DataFrame, montage: DataFrame) -> DataFrame:
     return map_chunks(per_rec, run, "rec_id string, out_idx int, w array<double>")
 
 
-def interpolate_bads(samples: DataFrame, channels: DataFrame, montage: DataFrame, block: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def interpolate_bads(samples: DataFrame, channels: DataFrame, montage: DataFrame, recordings: DataFrame, block: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Samples with the bad channels estimated from the good ones, and channels with all flags cleared."""
-    repaired = replace_channels(samples, interpolation_weights(channels, montage), block)
+    repaired = replace_channels(samples, interpolation_weights(channels, montage), recordings, block)
     return repaired, channels.withColumn("bad", F.lit(False))

@@ -35,20 +35,21 @@ def _distinct(rows: DataFrame) -> DataFrame:
 
 def _choose_pivots(train: DataFrame, pivots: int) -> DataFrame:
     """A hash sample of training vectors per space, as one flat array."""
-    size = train.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = size.select(*SPACE, F.least(F.lit(pivots), F.ceil(F.col("_n") / PER_PIVOT)).cast("int").alias("_want"))
-    order = Window.partitionBy(*SPACE).orderBy(F.xxhash64("vid"), "vid")
+    size = train.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n_train"))
+    order = Window.partitionBy(*SPACE).orderBy(F.xxhash64("t"), "t")
     first = train.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots)
-    kept = first.join(wanted, SPACE).filter(F.col("_r") <= F.col("_want"))
-    return kept.groupBy(*SPACE).agg(F.flatten(F.sort_array(F.collect_list(F.struct("_r", "e"))).getField("e")).alias("ps"))
+    kept = first.join(size, SPACE).filter(F.col("_r") <= F.ceil(F.col("n_train") / PER_PIVOT))
+    # Copies of one vector make one pivot.
+    distinct = kept.groupBy(*SPACE).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("_r", "e"))).getField("e")).alias("_e"))
+    return distinct.select(*SPACE, F.size("_e").alias("n_pivots"), F.flatten("_e").alias("ps"))
 
 
 def _to_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
     """``vid, e`` with the nearest pivot ``cell`` and the distance ``dist`` to it."""
     hashed = vectors.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(1 << 40)))
     sizes = vectors.groupBy(*SPACE).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
-    parts = attach(hashed, settle(sizes), SPACE, spread="vid").withColumn("block", F.pmod("block", "_parts")).drop("_parts")
-    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots, SPACE, spread="block")
+    parts = attach(hashed, sizes, SPACE, bound=pivots, spread="vid").withColumn("block", F.pmod("block", "_parts")).drop("_parts")
+    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.drop("n_pivots"), SPACE, bound=pivots, spread="block")
 
     def run(row: dict) -> dict:
         e = matrix(row)
@@ -103,30 +104,27 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
     return map_chunks(known, run, "pairing string, run_id int, cell int, qcell int, least double")
 
 
-def _pieces(rows: DataFrame, cell: str) -> DataFrame:
-    """Chunks of at most about ``PIECE`` vectors per (space, cell), numbered 0 .. ``_parts``-1."""
-    sizes = rows.groupBy(*SPACE, cell).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
-    cut = rows.join(settle(sizes), [*SPACE, cell]).withColumn("piece", F.pmod(F.xxhash64("vid"), F.col("_parts")))
-    return pack(cut, [*SPACE, cell], "piece", order="vid", value="e")
+def _pieces(rows: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
+    """Chunks of about ``PIECE`` vectors per (space, cell)."""
+    sizes = rows.groupBy(*SPACE, "cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
+    sized = attach(rows, sizes, [*SPACE, "cell"], bound=spaces, per=pivots, spread="vid")
+    cut = sized.withColumn("piece", F.pmod(F.xxhash64("vid"), F.col("_parts")))
+    return pack(cut, [*SPACE, "cell"], "piece", order="vid", value="e")
 
 
-def nearest_vectors(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
     """The k best distinct training vectors of every distinct query vector: ``pairing, run_id, qid, vid, sim``.
 
-    Both sides are ``pairing, run_id, vid, e`` with distinct unit vectors.
+    Both sides come out of ``_to_pivots``.
     """
-    chosen = settle(_choose_pivots(train, pivots))
-    width = train.groupBy(*SPACE).agg(F.max(F.size("e")).alias("_d"))
-    counted = chosen.join(width, SPACE).withColumn("n_pivots", (F.size("ps") / F.col("_d")).cast("int")).drop("_d")
-    placed, asking = settle(_to_pivots(train, chosen)), settle(_to_pivots(queries, chosen))
-    routes = settle(_routes(placed, asking, counted, k))
+    routes = _routes(placed, asking, chosen, k)
     sent = (
-        attach(placed, routes, [*SPACE, "cell"], spread="vid")
+        attach(placed, routes, [*SPACE, "cell"], bound=chosen, per=pivots * pivots, spread="vid")
         .filter(F.col("dist") >= F.col("least"))
         .select(*SPACE, F.col("qcell").alias("cell"), "vid", "e")
     )
-    right = _pieces(sent, "cell").select(*SPACE, "cell", F.col("ts").alias("tid"), F.col("xs").alias("tx"))
-    left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), "cell").select(*SPACE, "cell", "ts", "xs")
+    right = _pieces(sent, chosen, pivots).select(*SPACE, "cell", F.col("ts").alias("tid"), F.col("xs").alias("tx"))
+    left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), chosen, pivots).select(*SPACE, "cell", "ts", "xs")
 
     def run(row: dict) -> dict:
         q, t = matrix(row), matrix(row, values="tx", order="tid")
@@ -157,13 +155,14 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
     """
     units = train.select(*SPACE, "t", "label", unit(F.col("e")).alias("e"))
     asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
-    known, wanted = settle(_distinct(units)), settle(_distinct(asked))
-    found = nearest_vectors(known, wanted, k, pivots)
+    chosen = settle(_choose_pivots(units, pivots))
+    known, wanted = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
+    found = nearest_vectors(known, wanted, chosen, k, pivots)
     # Only the k smallest ids of equal vectors can be among the k best.
     copies = (
         units.withColumn("_c", F.row_number().over(Window.partitionBy(*SPACE, "e").orderBy("t")))
         .filter(F.col("_c") <= k)
-        .join(known, [*SPACE, "e"])
+        .join(known.select(*SPACE, "e", "vid"), [*SPACE, "e"])
         .select(*SPACE, "vid", F.col("t").alias("nid"), "label")
     )
     rank = Window.partitionBy(*SPACE, "qvid").orderBy(F.desc("sim"), "nid")
@@ -174,7 +173,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
         .filter(F.col("rank") <= k)
         .drop("vid")
     )
-    asking = asked.join(wanted.withColumnRenamed("vid", "qvid"), [*SPACE, "e"]).select(*SPACE, F.col("t").alias("qid"), "qvid")
+    asking = asked.join(wanted.select(*SPACE, "e", F.col("vid").alias("qvid")), [*SPACE, "e"]).select(*SPACE, F.col("t").alias("qid"), "qvid")
     return asking.join(per_vector, [*SPACE, "qvid"]).select(*SPACE, "qid", "rank", "nid", "label", "sim")
 
 

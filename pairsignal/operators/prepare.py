@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.operators.align import sides
-from pairsignal.operators.blocks import SMALL_ROWS, attach
+from pairsignal.operators.blocks import attach
 
 ROLE_CODES = {"speaker": 1, "listener": 0}
 SCALINGS = ("raw", "normalized")
 TRAIN_FRACTION = 0.8
-MAX_CHANNELS = 256
+CHANNELS = 16  # channels of a dyad for which small per-channel statistics are still broadcast
 
 
 def to_wide(long: DataFrame, key: str = "rec_id") -> DataFrame:
@@ -39,7 +39,7 @@ def middle_trim(samples: DataFrame, recordings: DataFrame, n: Column, key: str =
     start = F.greatest(F.floor((F.col("n_samples") - n) / 2), F.lit(0)).cast("bigint")
     window = recordings.select(key, start.alias("_start"), n.cast("bigint").alias("_n"))
     return (
-        attach(samples, window, key)
+        attach(samples, window, key, bound=recordings)
         .filter("t >= _start and t < _start + _n")
         .withColumn("t", F.col("t") - F.col("_start"))
         .drop("_start", "_n")
@@ -48,20 +48,15 @@ def middle_trim(samples: DataFrame, recordings: DataFrame, n: Column, key: str =
 
 def stack_wide(samples: DataFrame, dyads: DataFrame) -> DataFrame:
     """Channels of B after channels of A at equal time; the longer tail has no partner and falls away."""
-    a = attach(samples, dyads.select("dyad_id", F.col("rec_a").alias("rec_id")), "rec_id").select(
-        "dyad_id", "t", F.col("x").alias("xa")
-    )
-    b = attach(samples, dyads.select("dyad_id", F.col("rec_b").alias("rec_id")), "rec_id").select(
-        "dyad_id", "t", F.col("x").alias("xb")
-    )
-    return a.join(b, ["dyad_id", "t"]).select("dyad_id", "t", F.concat("xa", "xb").alias("x"))
+    return stack_aligned(attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2))
 
 
-def stack_aligned(aligned: DataFrame) -> DataFrame:
-    """As ``stack_wide`` for rows that carry ``dyad_id`` and ``side`` already."""
-    a = aligned.filter("side = 'a'").select("dyad_id", "t", F.col("x").alias("xa"))
-    b = aligned.filter("side = 'b'").select("dyad_id", "t", F.col("x").alias("xb"))
-    return a.join(b, ["dyad_id", "t"]).select("dyad_id", "t", F.concat("xa", "xb").alias("x"))
+def stack_aligned(aligned: DataFrame, keys: tuple[str, ...] = ("dyad_id",)) -> DataFrame:
+    """As ``stack_wide`` for rows that carry their keys and ``side`` already: one scan, one shuffle."""
+    both = aligned.groupBy(*keys, "t").agg(
+        *[F.any_value(F.when(F.col("side") == s, F.col("x")), F.lit(True)).alias(f"x{s}") for s in "ab"]
+    )
+    return both.filter("xa is not null and xb is not null").select(*keys, "t", F.concat("xa", "xb").alias("x"))
 
 
 def common_lengths(dyads: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -78,7 +73,7 @@ def align_lengths(long: DataFrame, dyads: DataFrame, recordings: DataFrame) -> D
     """Long samples of both sides up to the shorter length: ``dyad_id, side, rec_id, ch, ch_idx, t, x``."""
     limits = sides(dyads).drop("role").join(common_lengths(dyads, recordings), "dyad_id")
     return (
-        attach(long, limits, "rec_id", bound=dyads, max_rows=SMALL_ROWS // 2)
+        attach(long, limits, "rec_id", bound=dyads, per=2)
         .filter("t < n_short")
         .select("dyad_id", "side", "rec_id", "ch", "ch_idx", "t", "x")
     )
@@ -106,21 +101,22 @@ def _scaled(x: Column, low: Column, high: Column) -> Column:
 def minmax_long(stacked: DataFrame, dyads: DataFrame, channel: str = "gch_idx") -> DataFrame:
     """Each channel of each dyad scaled to [0, 1]; a constant channel becomes 0."""
     stats = stacked.groupBy("dyad_id", channel).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    # A dyad has at most MAX_CHANNELS channels, so the number of dyads bounds the table.
-    bounded = attach(stacked, stats, ["dyad_id", channel], bound=dyads, max_rows=SMALL_ROWS // MAX_CHANNELS * 8)
+    bounded = attach(stacked, stats, ["dyad_id", channel], bound=dyads, per=CHANNELS)
     return bounded.withColumn("x", _scaled(F.col("x"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def minmax_wide(stacked: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
-    """As ``minmax_long`` on wide rows; ``cells`` holds at least one row per key."""
+def _with_ranges(stacked: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
+    """Add ``_s``, the (lo, hi) of each channel in order."""
     values = stacked.select(*keys, F.posexplode("x").alias("ch_idx", "v"))
     per_channel = values.groupBy(*keys, "ch_idx").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     stats = per_channel.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch_idx", "lo", "hi"))).alias("_s"))
-    return (
-        attach(stacked, stats, keys, bound=cells)
-        .withColumn("x", F.zip_with("x", "_s", lambda v, s: _scaled(v, s["lo"], s["hi"])))
-        .drop("_s")
-    )
+    return attach(stacked, stats, keys, bound=cells)
+
+
+def minmax_wide(stacked: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
+    """As ``minmax_long`` on wide rows; ``cells`` holds at least one row per key."""
+    ranged = _with_ranges(stacked, keys, cells)
+    return ranged.withColumn("x", F.zip_with("x", "_s", lambda v, s: _scaled(v, s["lo"], s["hi"]))).drop("_s")
 
 
 def stack_in_time(
@@ -146,7 +142,7 @@ def stack_in_time(
             )
         ),
     )
-    moved = attach(samples, plan, "rec_id", bound=pairs, max_rows=SMALL_ROWS // 2)
+    moved = attach(samples, plan, "rec_id", bound=pairs, per=2)
     return moved.withColumn("t", F.col("t") + F.col("shift")).drop("shift", "rec_id").withColumnRenamed("out_id", "rec_id")
 
 
@@ -180,10 +176,10 @@ def label_samples(wide: DataFrame, roles: DataFrame, dyads: DataFrame) -> DataFr
     )
 
 
-def repeat_over_channels(embedded: DataFrame, roles: DataFrame, key: str = "dyad_id") -> DataFrame:
+def repeat_over_channels(embedded: DataFrame, roles: DataFrame, cells: DataFrame, key: str = "dyad_id") -> DataFrame:
     """Each embedding row once per channel with that channel's label: the table behind a channel-coloured view."""
     packed = roles.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gch_idx", "role", "y"))).alias("_l"))
-    return attach(embedded, packed, key).select(*embedded.columns, F.inline("_l"))
+    return attach(embedded, packed, key, bound=cells).select(*embedded.columns, F.inline("_l"))
 
 
 def time_split(samples: DataFrame, recordings: DataFrame, key: str = "rec_id", fraction: float = TRAIN_FRACTION) -> DataFrame:
@@ -191,7 +187,7 @@ def time_split(samples: DataFrame, recordings: DataFrame, key: str = "rec_id", f
     edge = F.floor(F.lit(float(fraction)) * F.col("n_samples")).cast("bigint")
     limits = recordings.select(key, edge.alias("_edge"))
     return (
-        attach(samples, limits, key)
+        attach(samples, limits, key, bound=recordings)
         .withColumn("split", F.when(F.col("t") < F.col("_edge"), F.lit("train")).otherwise(F.lit("test")))
         .drop("_edge")
     )
@@ -201,7 +197,7 @@ def sixths(samples: DataFrame, recordings: DataFrame, parts: tuple[int, ...] = (
            fraction: float = TRAIN_FRACTION) -> DataFrame:
     """The chosen sixths of the training samples (counted from 0)."""
     sixth = F.floor(F.floor(F.lit(float(fraction)) * F.col("n_samples")) / 6).cast("bigint")
-    rows = attach(samples, recordings.select(key, sixth.alias("_six")), key).filter("_six > 0")
+    rows = attach(samples, recordings.select(key, sixth.alias("_six")), key, bound=recordings).filter("_six > 0")
     return rows.withColumn("part", F.floor(F.col("t") / F.col("_six")).cast("int")).filter(
         F.col("part").isin(list(parts))
     ).drop("_six")
@@ -223,18 +219,13 @@ def prepare_grid(samples: DataFrame, cells: DataFrame) -> DataFrame:
     ``samples`` has ``clean, rec_id, t, x``; ``cells`` has ``clean, pairing, rec_a, rec_b``.
     Result: ``clean, scaling, pairing, t, x``.
     """
-    parts = []
-    for side in "ab":
-        chosen = cells.select("clean", "pairing", F.col(f"rec_{side}").alias("rec_id"))
-        parts.append(
-            attach(samples, chosen, ["clean", "rec_id"]).select("clean", "pairing", "t", F.col("x").alias(f"x{side}"))
-        )
-    raw = parts[0].join(parts[1], ["clean", "pairing", "t"]).select(
-        "clean", "pairing", "t", F.concat("xa", "xb").alias("x")
-    )
-    scaled = minmax_wide(raw, ["clean", "pairing"], cells)
-    return (
-        raw.withColumn("scaling", F.lit(SCALINGS[0]))
-        .unionByName(scaled.withColumn("scaling", F.lit(SCALINGS[1])))
-        .select("clean", "scaling", "pairing", "t", "x")
-    )
+    members = cells.select(
+        "clean",
+        "pairing",
+        F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"rec_{s}").alias("rec_id")) for s in "ab"])),
+    )
+    raw = stack_aligned(attach(samples, members, ["clean", "rec_id"], bound=cells, per=2), ("clean", "pairing"))
+    ranged = _with_ranges(raw, ["clean", "pairing"], cells)
+    scaled = F.zip_with("x", "_s", lambda v, s: _scaled(v, s["lo"], s["hi"]))
+    both = F.array(*[F.struct(F.lit(n).alias("scaling"), v.alias("x")) for n, v in zip(SCALINGS, (F.col("x"), scaled))])
+    return ranged.select("clean", "pairing", "t", F.inline(both)).select("clean", "scaling", "pairing", "t", "x")

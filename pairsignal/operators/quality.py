@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import map_chunks, matrix, pack
 from pairsignal.functions.spline import spline_weights
-from pairsignal.operators.blocks import attach
+from pairsignal.operators.blocks import attach, largest
 from pairsignal.operators.filters import band, fir
 from pairsignal.session import settle
 
@@ -53,8 +53,7 @@ def channel_quantiles(samples: DataFrame, recordings: DataFrame, qs: Sequence[fl
     Short recordings need one aggregation over bounded groups; if any is longer than ``direct`` samples, all go
     through rank brackets, which never gather a channel in one place.
     """
-    longest = recordings.agg(F.max("n_samples")).first()[0]
-    if longest is not None and longest <= direct:
+    if (largest(recordings, "n_samples") or 0) <= direct:
         values = samples.select("rec_id", F.posexplode("x").alias("ch_idx", "v")).filter(~F.isnan("v"))
         return values.groupBy("rec_id", "ch_idx").agg(
             F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*[F.lit(float(q)) for q in qs])).alias("q")
@@ -115,7 +114,9 @@ def _bracketed_quantiles(samples: DataFrame, recordings: DataFrame, qs: Sequence
 def channel_mad(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     """Median absolute deviation per channel: ``rec_id, ch_idx, mad``; a channel of NaN only has none."""
     middle = channel_quantiles(samples, recordings, [0.5]).select("ch_idx", "rec_id", F.get("q", F.lit(0)).alias("med"))
-    by_channel = settle(middle.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("ch_idx", "med"))).alias("_m")))
+    by_channel = middle.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("ch_idx", "med"))).alias("_m"))
+    if largest(recordings, "n_samples") > DIRECT_SAMPLES:
+        by_channel = settle(by_channel)
     in_order = by_channel.select("rec_id", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda i: F.try_element_at("_m", i)).alias("med"))
     rows = attach(samples, in_order, "rec_id", bound=recordings)
     spread = rows.select(
@@ -126,10 +127,11 @@ def channel_mad(samples: DataFrame, recordings: DataFrame) -> DataFrame:
 
 def robust_z(stats: DataFrame, value: str) -> DataFrame:
     """Add ``z``: distance of each channel's value from the channels' median in robust standard deviations."""
-    across = stats.groupBy("rec_id").agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    # One recording has a bounded number of channels, so this window is small.
+    across = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(Window.partitionBy("rec_id"))
     q = [F.get("_q", F.lit(i)) for i in range(3)]
     z = F.try_divide(F.col(value) - q[1], F.lit(IQR_TO_SD) * (q[2] - q[0]))
-    return stats.join(across, "rec_id").withColumn("z", z).drop("_q")
+    return stats.withColumn("_q", across).withColumn("z", z).drop("_q")
 
 
 def _listed(df: DataFrame, criterion: str) -> DataFrame:
@@ -166,7 +168,7 @@ def deviation(samples: DataFrame, recordings: DataFrame, spread: tuple[float, fl
     """``rec_id, ch_idx, amp, z``: robust amplitude of each channel against the others."""
     q = channel_quantiles(samples, recordings, list(spread))
     amp = q.select("rec_id", "ch_idx", (F.lit(IQR_TO_SD) * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))).alias("amp"))
-    return robust_z(settle(amp), "amp")
+    return robust_z(amp, "amp")
 
 
 def bad_by_deviation(samples: DataFrame, recordings: DataFrame, limit: float = Z_LIMIT) -> DataFrame:
@@ -180,21 +182,21 @@ def hf_noise(samples: DataFrame, recordings: DataFrame, taps: list[float] | None
     else:
         both = fir(samples, recordings, taps, residual=True)
     # Channels 0..C-1 are the smooth part, C..2C-1 what it leaves over.
-    spreads = attach(channel_mad(both, recordings), recordings.select("rec_id", "n_channels"), "rec_id", spread="ch_idx")
+    spreads = attach(channel_mad(both, recordings), recordings.select("rec_id", "n_channels"), "rec_id", bound=recordings, spread="ch_idx")
     ratio = spreads.groupBy("rec_id", (F.col("ch_idx") % F.col("n_channels")).alias("ch_idx")).agg(
         F.try_divide(
             F.max(F.when(F.col("ch_idx") >= F.col("n_channels"), F.col("mad"))),
             F.max(F.when(F.col("ch_idx") < F.col("n_channels"), F.col("mad"))),
         ).alias("noise")
     )
-    return robust_z(settle(ratio), "noise")
+    return robust_z(ratio, "noise")
 
 
 def bad_by_hf_noise(samples: DataFrame, recordings: DataFrame, taps: list[float] | None = None, limit: float = Z_LIMIT,
                     cutoff: float = HF_CUTOFF) -> DataFrame:
     """Channels with much more high-frequency content than the others; rates too low to tell give none."""
     fast = recordings if taps is not None else recordings.filter(F.col("sfreq") > 2 * cutoff)
-    chosen = samples if taps is not None else attach(samples, fast.select("rec_id"), "rec_id")
+    chosen = samples if taps is not None else attach(samples, fast.select("rec_id"), "rec_id", bound=recordings)
     return _listed(hf_noise(chosen, fast, taps, cutoff).filter(F.col("z") > limit), "hf_noise")
 
 
@@ -202,10 +204,10 @@ def _window_chunks(samples: DataFrame, recordings: DataFrame, seconds: float) ->
     """Chunks of whole windows with ``w`` samples each; an incomplete last window is left out."""
     w = F.floor(F.lit(seconds) * F.col("sfreq")).cast("bigint")
     meta = recordings.select("rec_id", w.alias("w"), "n_samples").filter("w >= 2")
-    rows = attach(samples, meta, "rec_id").filter(F.col("t") < F.floor(F.col("n_samples") / F.col("w")) * F.col("w"))
+    rows = attach(samples, meta, "rec_id", bound=recordings).filter(F.col("t") < F.floor(F.col("n_samples") / F.col("w")) * F.col("w"))
     block = F.floor(F.col("t") / (F.col("w") * WINDOWS_PER_CHUNK)).cast("bigint")
     chunks = pack(rows.withColumn("block", block).select("rec_id", "block", "t", "x"), ["rec_id"])
-    return attach(chunks, meta.drop("n_samples"), "rec_id", spread="block")
+    return attach(chunks, meta.drop("n_samples"), "rec_id", bound=recordings, spread="block")
 
 
 def _correlations(x: np.ndarray) -> np.ndarray:
@@ -249,7 +251,7 @@ def bad_by_correlation(samples: DataFrame, recordings: DataFrame, seconds: float
 
 def positions(channels: DataFrame, montage: DataFrame) -> DataFrame:
     """One row per recording: flat electrode positions in channel order; an unknown electrode is an error."""
-    placed = attach(channels.select("rec_id", "ch_idx", "ch"), montage, "ch", how="left", spread="ch_idx")
+    placed = channels.select("rec_id", "ch_idx", "ch").join(montage, "ch", "left")
     known = F.when(F.col("px").isNull(), F.raise_error(F.concat(F.lit("no position for "), "ch")).cast("array<double>")).otherwise(
         F.array("px", "py", "pz")
     )

@@ -28,25 +28,25 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x[:, used] @ w[:, used].T
 
 
-def replace_channels(samples: DataFrame, weights: DataFrame, block: int = CHUNK) -> DataFrame:
+def replace_channels(samples: DataFrame, weights: DataFrame, recordings: DataFrame, block: int = CHUNK) -> DataFrame:
     """Overwrite the listed output channels with their weighted sums; the others stay as they are."""
-    untouched = samples.join(weights.select("rec_id").distinct(), "rec_id", "left_anti")
     per_key = matrix_per_key(weights, ["rec_id"])
-    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", spread="block")
+    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, spread="block")
 
     def run(row: dict) -> dict:
-        x = matrix(row).copy()
-        x[:, row["outs"]] = _apply(x, row["ws"].reshape(len(row["outs"]), -1))
+        x = matrix(row)
+        if row["outs"] is not None and len(row["outs"]):
+            x = x.copy()
+            x[:, row["outs"]] = _apply(x, row["ws"].reshape(len(row["outs"]), -1))
         return {"rec_id": row["rec_id"], "t": row["ts"], "x": x}
 
-    changed = map_chunks(chunks, run, "rec_id string, t bigint, x array<double>")
-    return changed.unionByName(untouched.select("rec_id", "t", "x"))
+    return map_chunks(chunks, run, "rec_id string, t bigint, x array<double>")
 
 
-def project(samples: DataFrame, weights: DataFrame, block: int = CHUNK) -> DataFrame:
+def project(samples: DataFrame, weights: DataFrame, recordings: DataFrame, block: int = CHUNK) -> DataFrame:
     """New channels ``w . x`` per recording, in ``out_idx`` order."""
     chunks = attach(
-        pack_blocks(samples, ["rec_id"], block), matrix_per_key(weights, ["rec_id"]), "rec_id", spread="block"
+        pack_blocks(samples, ["rec_id"], block), matrix_per_key(weights, ["rec_id"]), "rec_id", bound=recordings, spread="block"
     )
 
     def run(row: dict) -> dict:

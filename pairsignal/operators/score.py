@@ -46,7 +46,7 @@ def infonce(embedded: DataFrame, recordings: DataFrame, temperature: float = TEM
     whole = embedded.withColumn("e", unit(F.col("e")))
     pairs = positive_pairs(whole, SPACE, offset, block)
     strides = recordings.select("pairing", F.ceil(F.col("n_samples") / batch).cast("bigint").alias("_n"))
-    batched = attach(pairs, strides, "pairing").withColumn("batch", F.pmod(F.col("t"), F.col("_n")))
+    batched = attach(pairs, strides, "pairing", bound=recordings).withColumn("batch", F.pmod(F.col("t"), F.col("_n")))
     both = batched.select(*SPACE, "batch", "t", F.concat("e", "e_pos").alias("x"))
 
     def loss(row: dict) -> dict | None:
@@ -217,7 +217,7 @@ def l1_regression(rows: DataFrame, alpha: float = 1.0, rounds: int = 1000, toler
 
 
 def predict_linear(rows: DataFrame, model: DataFrame) -> DataFrame:
-    return attach(rows, model, SPACE).withColumn("pred", dot(F.col("e"), F.col("coef")) + F.col("intercept")).drop("coef", "intercept")
+    return rows.join(model, SPACE).withColumn("pred", dot(F.col("e"), F.col("coef")) + F.col("intercept")).drop("coef", "intercept")
 
 
 def decode_continuous(rows: DataFrame, traits: DataFrame | None, alpha: float = 1.0) -> DataFrame:

@@ -44,7 +44,7 @@ def clean(
     # The filtered samples feed every criterion and the repair: written once instead of filtered again each time.
     filtered = settle(filtered)
     bad = settle(quality.find_all_bads(filtered, named, montage, recordings, hf_taps, corr_seconds, ransac_seconds))
-    repaired, reset = interpolate.interpolate_bads(filtered, settle(interpolate.mark_bad(named, bad)), montage)
+    repaired, reset = interpolate.interpolate_bads(filtered, settle(interpolate.mark_bad(named, bad)), montage, recordings)
     repaired = settle(repaired)
     state = decompose.fit_components(repaired, recordings, n_components, max_rounds=max_rounds)
     chosen = recordings.select("rec_id", F.array().cast("array<bigint>").alias("comps")) if excluded is None else excluded

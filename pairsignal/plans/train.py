@@ -23,7 +23,7 @@ class Scores(NamedTuple):
 def inputs(stacked: DataFrame, dyads: DataFrame, recordings: DataFrame,
            fraction: float = prepare.TRAIN_FRACTION) -> tuple[DataFrame, DataFrame]:
     """Stacked samples ``pairing, t, x`` and lengths ``pairing, n_samples, n_train``."""
-    named = prepare.attach(stacked, dyads.select("dyad_id", "pairing"), "dyad_id").select("pairing", "t", "x")
+    named = prepare.attach(stacked, dyads.select("dyad_id", "pairing"), "dyad_id", bound=dyads).select("pairing", "t", "x")
     short = prepare.common_lengths(dyads, recordings).join(dyads.select("dyad_id", "pairing"), "dyad_id")
     n = F.col("n_short")
     return named, settle(short.select("pairing", n.alias("n_samples"), F.floor(F.lit(float(fraction)) * n).cast("bigint").alias("n_train")))
@@ -63,7 +63,7 @@ def embed_and_score(
     status = settle(score.run_status(lengths.select("pairing", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run_id")), embedded))
     good = score.successful_runs(embedded, status)
     edge = lengths.select("pairing", "n_train")
-    rows = prepare.attach(good, edge, "pairing").withColumn(
+    rows = prepare.attach(good, edge, "pairing", bound=lengths).withColumn(
         "split", F.when(F.col("t") < F.col("n_train"), F.lit("train")).otherwise(F.lit("test"))
     ).drop("n_train")
     metrics = status.filter("ok").select(*SPACE).join(score.split_counts(rows, SPACE), SPACE)

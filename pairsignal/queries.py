@@ -42,12 +42,14 @@ def _long(df: DataFrame, *keys: str, index: str = "ch_idx") -> DataFrame:
 
 def _paired(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Dense samples with their recordings and dyads."""
-    return fx.dense(spark, sf), settle(fx.user_recordings(spark, sf)), settle(fx.user_dyads(spark, sf))
+    recordings = settle(fx.user_recordings(spark, sf))
+    return fx.dense(spark, sf), recordings, settle(fx.dyads_of(recordings))
 
 
 def _ragged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     long = fx.ragged(spark, sf)
-    return long, settle(fx.ragged_recordings(long)), settle(fx.user_dyads(spark, sf))
+    recordings = settle(fx.ragged_recordings(long))
+    return long, recordings, settle(fx.dyads_of(recordings))
 
 
 def _aligned(spark: SparkSession, sf: str) -> align.Aligned:
@@ -88,12 +90,12 @@ def pick_channels(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(i).alias("ch_idx"), F.lit(c).alias("ch"), F.lit("misc" if c == "error" else "eeg").alias("type"))
                       for i, c in enumerate(fx.EVENT_CHANNELS)])
     table = recordings.select("rec_id", F.inline(kinds))
-    return _long(channels.pick_channels(samples, table), "rec_id", "t")
+    return _long(channels.pick_channels(samples, table, recordings), "rec_id", "t")
 
 
 @query
 def recording_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    samples, _, _ = _paired(spark, sf)
+    samples = fx.dense(spark, sf)
     return align.lengths(samples).withColumn("seconds", r6(F.col("n_samples") * float(fx.BIN_SECONDS)))
 
 
@@ -138,14 +140,14 @@ def stack_in_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def orient_wide(spark: SparkSession, sf: str) -> DataFrame:
-    samples, _, _ = _paired(spark, sf)
+    samples = fx.dense(spark, sf)
     wide = prepare.to_wide(prepare.to_long(samples))
     return wide.select("rec_id", "t", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(len(fx.EVENT_CHANNELS))])
 
 
 @query
 def flatten_long(spark: SparkSession, sf: str) -> DataFrame:
-    samples, _, _ = _paired(spark, sf)
+    samples = fx.dense(spark, sf)
     return prepare.flatten(samples).select("rec_id", "row", "x")
 
 
@@ -183,9 +185,9 @@ def segment_sixths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pick_times(spark: SparkSession, sf: str) -> DataFrame:
-    samples, _, _ = _paired(spark, sf)
-    ends = align.segments(align.time_map(align.blank_mask(*_paired(spark, sf)[::2])), settle(
-        fx.user_dyads(spark, sf).select("dyad_id", F.lit(1.0).alias("sfreq"))))
+    samples, _, dyads = _paired(spark, sf)
+    rates = dyads.select("dyad_id", F.lit(1.0).alias("sfreq"))
+    ends = align.segments(align.time_map(align.blank_mask(samples, dyads)), rates, dyads)
     times = ends.filter("kind = 'keep'").select((F.col("dyad_id").cast("bigint") * 2).cast("string").alias("rec_id"), F.col("start_t").alias("t"))
     return _long(prepare.pick_times(samples, times), "rec_id", "t")
 
@@ -210,7 +212,7 @@ def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
 def repeat_tile(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, dyads = _paired(spark, sf)
     embedded = prepare.stack_wide(samples, dyads).select("dyad_id", "t", F.get("x", F.lit(0)).alias("e0"))
-    tiled = prepare.repeat_over_channels(embedded, prepare.channel_roles(dyads, recordings))
+    tiled = prepare.repeat_over_channels(embedded, prepare.channel_roles(dyads, recordings), dyads)
     return tiled.withColumn("y", F.col("y").cast("int"))
 
 
@@ -226,7 +228,7 @@ def pad_and_zero_annotations(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, dyads = _paired(spark, sf)
     zeroed = align.zero_annotated(samples, align.annotation_edges(fx.error_annotations(spark, sf), recordings))
     active = settle(fx.active_lengths(spark, sf).join(recordings.drop("n_samples"), "rec_id"))
-    cut = prepare.attach(zeroed, active.select("rec_id", "n_samples"), "rec_id").filter("t < n_samples").drop("n_samples")
+    cut = prepare.attach(zeroed, active.select("rec_id", "n_samples"), "rec_id", bound=recordings).filter("t < n_samples").drop("n_samples")
     return _long(align.pad_lengths(cut, dyads, active), "dyad_id", "side", "t")
 
 
@@ -266,8 +268,9 @@ def mutual_align(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def aligned_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Blank parts cut from both sides, channels stacked, each channel scaled: the flagship."""
-    dyads = settle(fx.user_dyads(spark, sf))
-    stacked = prepare.stack_aligned(_aligned(spark, sf).samples)
+    samples, recordings, dyads = _paired(spark, sf)
+    aligned = align.mutually_align(samples, recordings, dyads, fx.error_annotations(spark, sf))
+    stacked = prepare.stack_aligned(aligned.samples)
     scaled = prepare.minmax_wide(stacked, ["dyad_id"], dyads)
     return _long(scaled, "dyad_id", "t", index="gch_idx").withColumn("x", r6("x"))
 
@@ -395,7 +398,7 @@ def interpolate_bads(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings = _crowd(spark, sf)
     table = settle(fx.crowd_channels(spark, sf))
     bad = quality.bad_by_nan(samples).unionByName(quality.bad_by_flat(samples, recordings))
-    repaired, _ = interpolate.interpolate_bads(samples, settle(interpolate.mark_bad(table, bad)), fx.spiral_montage(table))
+    repaired, _ = interpolate.interpolate_bads(samples, settle(interpolate.mark_bad(table, bad)), fx.spiral_montage(table), recordings)
     return _long(repaired, "rec_id", "t")
 
 
@@ -405,7 +408,7 @@ def remix_matrix(spark: SparkSession, sf: str) -> DataFrame:
     width = len(fx.EVENT_CHANNELS)
     rows = recordings.select("rec_id", F.explode(F.array(*[F.lit(i) for i in range(width)])).alias("out_idx"))
     weights = rows.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.lit(1.0) / (1 + F.abs(j - F.col("out_idx")))))
-    return _long(remix.project(samples, weights), "rec_id", "t").withColumn("x", r6("x"))
+    return _long(remix.project(samples, weights, recordings), "rec_id", "t").withColumn("x", r6("x"))
 
 
 @query
@@ -444,14 +447,14 @@ def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def nearest_label(spark: SparkSession, sf: str) -> DataFrame:
     v = fx.vectors(spark, sf).select("pairing", "t", F.get("e", F.lit(0)).alias("y"), F.get("e", F.lit(1)).alias("target"))
-    found = embed.nearest(v.select("pairing", "t", "target"), v.select("pairing", "t", "y"), "pairing")
+    found = embed.nearest(v.select("pairing", "t", "target"), v.select("pairing", "t", "y"), _vector_lengths(v), "pairing")
     return found.select("t", "t_pos", r6("target").alias("target"), r6("y_pos").alias("y_pos"))
 
 
 @query
 def nearest_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
     v = fx.vectors(spark, sf).select("pairing", "t", F.get("e", F.lit(0)).alias("y"))
-    return embed.nearest_label_pairs(v)
+    return embed.nearest_label_pairs(v, _vector_lengths(v))
 
 
 @query
@@ -539,7 +542,7 @@ def variability(spark: SparkSession, sf: str) -> DataFrame:
 def _side_consistency(spark: SparkSession, sf: str) -> DataFrame:
     """Consistency of the two sides of each dyad on their first three channels."""
     samples, _, dyads = _paired(spark, sf)
-    both = align.attach(samples, align.sides(dyads).join(dyads.select("dyad_id", "pairing"), "dyad_id"), "rec_id", bound=dyads)
+    both = align.attach(samples, align.sides(dyads).join(dyads.select("dyad_id", "pairing"), "dyad_id"), "rec_id", bound=dyads, per=2)
     runs = both.select("pairing", (F.col("side") == "b").cast("int").alias("run_id"), "t", F.slice("x", 1, 3).alias("e"))
     return score.variability(score.run_consistency(runs))
 

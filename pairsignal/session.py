@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(small: DataFrame) -> DataFrame:
-    """Write a small intermediate table to the checkpoint folder, so that later steps do not compute it again."""
-    ensure_checkpoint_dir(small.sparkSession)
-    return small.checkpoint()
+def settle(table: DataFrame) -> DataFrame:
+    """Write an intermediate table to the checkpoint folder and go on from there.
+
+    For results that several later steps read and that are far smaller than the samples they came from: the
+    lineage ends here, nothing is computed twice, and a lost executor costs no more than reading again.
+    """
+    spark = table.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
