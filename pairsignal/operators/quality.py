@@ -115,7 +115,7 @@ def channel_mad(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     """Median absolute deviation per channel: ``rec_id, ch_idx, mad``; a channel of NaN only has none."""
     middle = channel_quantiles(samples, recordings, [0.5]).select("ch_idx", "rec_id", F.get("q", F.lit(0)).alias("med"))
     by_channel = middle.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("ch_idx", "med"))).alias("_m"))
-    if largest(recordings, "n_samples") > DIRECT_SAMPLES:
+    if (largest(recordings, "n_samples") or 0) > DIRECT_SAMPLES:
         by_channel = settle(by_channel)
     in_order = by_channel.select("rec_id", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda i: F.try_element_at("_m", i)).alias("med"))
     rows = attach(samples, in_order, "rec_id", bound=recordings)
