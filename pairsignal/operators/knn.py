@@ -5,7 +5,11 @@ around each pivot give a radius that is sure to hold k neighbours; by the triang
 vectors that can lie within it are sent to the group (Lu, Shen, Chen, Ooi: Efficient Processing of k Nearest
 Neighbor Joins using MapReduce, 2012).  Equal vectors are collapsed before the search, so piles of copies cost
 one comparison.  Groups are cut into bounded chunks; a task compares one query chunk with one training chunk and
-keeps only the best k.
+keeps only the best k.  For a vote among very many neighbours no neighbour is listed at all: labels are counted
+by similarity, the band around the k-th similarity is narrowed, and only that band is looked at one by one.
+
+Order of neighbours everywhere: similarity (rounded to ``SIM_DIGITS``) falling, then the smallest id that has the
+vector, then id.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsignal.functions.chunks import map_chunks, matrix, pack
+from pairsignal.functions.chunks import map_chunks, matrix, pack, summed
 from pairsignal.functions.vectors import unit
 from pairsignal.operators.blocks import attach
 from pairsignal.session import settle
@@ -26,6 +30,10 @@ RINGS = 32            # distance steps in the count around a pivot
 PIECE = 2048          # vectors in one chunk
 SIM_DIGITS = 10       # similarities are ranked after rounding to this many decimals
 SLACK = 1e-9
+LIST_MOST = 1024      # neighbours up to which a vote lists them
+BANDS = 64            # similarity bands counted in one pass, a power of two
+PASSES = 3            # passes that narrow the band of the k-th neighbour
+CLASSES_MOST = 256    # classes a counted vote can tell apart
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -105,24 +113,29 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
 
 
 def _pieces(rows: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
-    """Chunks of about ``PIECE`` vectors per (space, cell)."""
+    """Chunks of about ``PIECE`` vectors per (space, cell); ``e`` may carry further numbers behind the vector."""
     sizes = rows.groupBy(*SPACE, "cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
     sized = attach(rows, sizes, [*SPACE, "cell"], bound=spaces, per=pivots, spread="vid")
     cut = sized.withColumn("piece", F.pmod(F.xxhash64("vid"), F.col("_parts")))
     return pack(cut, [*SPACE, "cell"], "piece", order="vid", value="e")
 
 
-def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
-    """The k best distinct training vectors of every distinct query vector: ``pairing, run_id, qid, vid, sim``.
-
-    Both sides come out of ``_to_pivots``.
-    """
+def _send(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int) -> DataFrame:
+    """Training vectors copied to every query group (``cell``) they may matter to."""
     routes = _routes(placed, asking, chosen, k)
-    sent = (
+    return (
         attach(placed, routes, [*SPACE, "cell"], bound=chosen, per=pivots * pivots, spread="vid")
         .filter(F.col("dist") >= F.col("least"))
         .select(*SPACE, F.col("qcell").alias("cell"), "vid", "e")
     )
+
+
+def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """The k best distinct training vectors of every distinct query vector: ``pairing, run_id, qid, vid, sim``.
+
+    Both sides come out of ``_to_pivots``.
+    """
+    sent = _send(placed, asking, chosen, k, pivots)
     right = _pieces(sent, chosen, pivots).select(*SPACE, "cell", F.col("ts").alias("tid"), F.col("xs").alias("tx"))
     left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), chosen, pivots).select(*SPACE, "cell", "ts", "xs")
 
@@ -151,7 +164,7 @@ def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k:
 def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
     """``pairing, run_id, qid, rank, nid, label, sim``: the k training rows most similar to each query row.
 
-    Ranked by cosine similarity (rounded to ``SIM_DIGITS``), then by id.  ``train``: ``pairing, run_id, t, e, label``.
+    ``train``: ``pairing, run_id, t, e, label``.
     """
     units = train.select(*SPACE, "t", "label", unit(F.col("e")).alias("e"))
     asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
@@ -165,7 +178,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
         .join(known.select(*SPACE, "e", "vid"), [*SPACE, "e"])
         .select(*SPACE, "vid", F.col("t").alias("nid"), "label")
     )
-    rank = Window.partitionBy(*SPACE, "qvid").orderBy(F.desc("sim"), "nid")
+    rank = Window.partitionBy(*SPACE, "qvid").orderBy(F.desc("sim"), "vid", "nid")
     per_vector = (
         found.withColumnRenamed("qid", "qvid")
         .join(copies, [*SPACE, "vid"])
@@ -182,3 +195,120 @@ def vote(neighbours: DataFrame) -> DataFrame:
     counts = neighbours.groupBy(*SPACE, "qid", "label").agg(F.count(F.lit(1)).alias("votes"))
     winner = counts.groupBy(*SPACE, "qid").agg(F.min(F.struct((-F.col("votes")).alias("_n"), F.col("label"))).alias("_w"))
     return winner.select(*SPACE, "qid", F.col("_w.label").alias("pred"), (-F.col("_w._n")).alias("votes"))
+
+
+def decode(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """Majority label among the k nearest training rows: ``pairing, run_id, qid, pred, votes``."""
+    if k <= LIST_MOST:
+        return vote(nearest_neighbours(train, queries, k, pivots))
+    return counted_vote(train, queries, k, pivots)
+
+
+def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+    """As ``vote`` of ``nearest_neighbours`` without listing neighbours, for k in the tens of thousands."""
+    classes = sorted(r["label"] for r in train.select("label").distinct().limit(CLASSES_MOST + 1).collect())
+    if len(classes) > CLASSES_MOST:
+        raise ValueError(f"more than {CLASSES_MOST} classes")
+    width = len(classes)
+    units = train.select(*SPACE, "t", "label", unit(F.col("e")).alias("e"))
+    asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
+    chosen = settle(_choose_pivots(units, pivots))
+    placed, asking = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
+    weights = units.groupBy(*SPACE, "e").agg(
+        F.min("t").alias("vid"), F.array(*[F.count_if(F.col("label") == c).cast("double") for c in classes]).alias("w")
+    ).drop("e")
+    sent = _send(placed, asking, chosen, k, pivots).join(weights, [*SPACE, "vid"]).withColumn("e", F.concat("e", "w"))
+    right = settle(_pieces(sent, chosen, pivots).select(*SPACE, "cell", F.col("ts").alias("tid"), F.col("xs").alias("tx")))
+    # The state of a query vector: the band [lo, hi) that holds its k-th neighbour, and the labels counted above it.
+    start = F.array(F.lit(-1.5), F.lit(1.5), *[F.lit(0.0)] * width)
+    state = _pieces(asking.select(*SPACE, "cell", "vid", F.concat("e", start).alias("e")), chosen, pivots)
+    state = settle(state.select(*SPACE, "cell", "piece", "ts", "xs"))
+
+    def parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        m = matrix(row)
+        d = m.shape[1] - 2 - width
+        return m[:, :d], m[:, d], m[:, d + 1], m[:, d + 2 :]
+
+    def bands(row: dict):
+        e, lo, hi, _ = parts(row)
+        t = matrix(row, values="tx", order="tid")
+        sims = np.round(e @ t[:, : e.shape[1]].T, SIM_DIGITS)
+        band = np.floor((sims - lo[:, None]) / (hi - lo)[:, None] * BANDS)
+        inside = (sims >= lo[:, None]) & (sims < hi[:, None])
+        at, hit = np.nonzero(inside)
+        slot = at * BANDS + np.clip(band[at, hit], 0, BANDS - 1).astype(np.int64)
+        counts = [np.bincount(slot, weights=t[hit, e.shape[1] + c], minlength=len(e) * BANDS) for c in range(width)]
+        yield (row["pairing"], row["run_id"], row["cell"], row["piece"]), np.stack(counts, axis=1).ravel()
+
+    def narrow(row: dict) -> dict:
+        e, lo, hi, above = parts(row)
+        counts = row["v"].reshape(len(e), BANDS, width)[:, ::-1]
+        total = np.cumsum(counts.sum(axis=2), axis=1) + above.sum(axis=1)[:, None]
+        # The first band from the top that reaches k; the lowest one if all training rows are fewer.
+        place = np.where((total >= k).any(axis=1), (total >= k).argmax(axis=1), BANDS - 1)
+        passed = np.where(np.arange(BANDS)[None, :, None] < place[:, None, None], counts, 0).sum(axis=1)
+        step = (hi - lo) / BANDS
+        low = BANDS - 1 - place
+        # With BANDS a power of two all edges are exact, so no similarity changes its band between passes.
+        out = np.hstack([e, (lo + low * step)[:, None], (lo + (low + 1) * step)[:, None], above + passed])
+        return {
+            "pairing": row["pairing"], "run_id": row["run_id"], "cell": row["cell"], "piece": [row["piece"]],
+            "ts": [row["ts"]], "xs": [out.ravel()],
+        }
+
+    key = [*SPACE, "cell", "piece"]
+    ddl = "pairing string, run_id int, cell int, piece bigint, ts array<bigint>, xs array<double>"
+    for _ in range(PASSES):
+        counted = summed(state.join(right, [*SPACE, "cell"]), key, bands, "pairing string, run_id int, cell int, piece bigint")
+        state = settle(map_chunks(state.join(counted, key), narrow, ddl))
+
+    def rest(row: dict) -> dict | None:
+        e, lo, hi, above = parts(row)
+        t = matrix(row, values="tx", order="tid")
+        sims = np.round(e @ t[:, : e.shape[1]].T, SIM_DIGITS)
+        need = k - above.sum(axis=1)
+        inside = (sims >= lo[:, None]) & (sims < hi[:, None])
+        found = []
+        for q in np.flatnonzero(inside.any(axis=1)):
+            hit = np.flatnonzero(inside[q])
+            hit = hit[np.lexsort((row["tid"][hit], -sims[q, hit]))]
+            before = np.cumsum(t[hit, e.shape[1] :].sum(axis=1)) - t[hit, e.shape[1] :].sum(axis=1)
+            found += [(row["ts"][q], row["tid"][h], sims[q, h], t[h, e.shape[1] :]) for h in hit[before < need[q]]]
+        if not found:
+            return None
+        ids, near, sim, w = zip(*found)
+        return {"pairing": row["pairing"], "run_id": row["run_id"], "qvid": list(ids), "vid": list(near), "sim": list(sim), "w": np.array(w)}
+
+    def settled_counts(row: dict) -> dict:
+        _, _, _, above = parts(row)
+        return {"pairing": row["pairing"], "run_id": row["run_id"], "qvid": row["ts"], "above": above}
+
+    candidates = map_chunks(
+        state.join(right, [*SPACE, "cell"]), rest, "pairing string, run_id int, qvid bigint, vid bigint, sim double, w array<double>"
+    )
+    sure = map_chunks(state, settled_counts, "pairing string, run_id int, qvid bigint, above array<double>")
+    size = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
+    along = Window.partitionBy(*SPACE, "qvid").orderBy(F.desc("sim"), "vid").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.lit(float(k)) - F.aggregate("above", F.lit(0.0), lambda a, b: a + b)
+    taken = (
+        candidates.withColumn("size", size).withColumn("last", F.sum("size").over(along)).join(sure, [*SPACE, "qvid"])
+        .withColumn("left", room - (F.col("last") - F.col("size"))).filter("left > 0")
+    )
+    # The vector at which k is reached may count in part only: its first copies by id.
+    copies = units.withColumn("_r", F.row_number().over(Window.partitionBy(*SPACE, "e").orderBy("t"))).filter(F.col("_r") <= k)
+    upto = Window.partitionBy(*SPACE, "e").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = copies.select(
+        *SPACE, "e", F.col("_r").cast("double").alias("left"),
+        F.array(*[F.sum((F.col("label") == c).cast("double")).over(upto) for c in classes]).alias("part"),
+    ).join(placed.select(*SPACE, "e", "vid"), [*SPACE, "e"]).drop("e")
+    whole = taken.filter("size <= left").select(*SPACE, "qvid", "w")
+    partly = taken.filter("size > left").join(prefix, [*SPACE, "vid", "left"]).select(*SPACE, "qvid", F.col("part").alias("w"))
+    every = sure.select(*SPACE, "qvid", F.col("above").alias("w")).unionByName(whole).unionByName(partly)
+    totals = every.groupBy(*SPACE, "qvid").agg(F.array(*[F.sum(F.get("w", F.lit(c))) for c in range(width)]).alias("w"))
+    votes = F.array_max("w")
+    decided = totals.select(
+        *SPACE, "qvid", F.get(F.array(*[F.lit(c) for c in classes]), (F.array_position("w", votes) - 1).cast("int")).alias("pred"),
+        votes.cast("bigint").alias("votes"),
+    )
+    asking_rows = asked.join(asking.select(*SPACE, "e", F.col("vid").alias("qvid")), [*SPACE, "e"]).select(*SPACE, F.col("t").alias("qid"), "qvid")
+    return asking_rows.join(decided, [*SPACE, "qvid"]).select(*SPACE, "qid", "pred", "votes")

@@ -165,16 +165,17 @@ def class_distance(embedded: DataFrame, keys: list[str], label: str = "label") -
     per_element = whole.select(*keys, "_y", F.posexplode("e").alias("_i", "v")).groupBy(*keys, "_y", "_i").agg(
         F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("own"), F.count(F.lit(1)).alias("n")
     )
-    per_class = per_element.groupBy(*keys, "_y").agg(
-        F.sum(F.col("s") * F.col("s")).alias("sq"), F.sum("own").alias("own"), F.max("n").cast("double").alias("n")
+    squared = F.col("s") * F.col("s")
+    over_classes = per_element.groupBy(*keys, "_i").agg(
+        F.sum("s").alias("s"), F.sum(squared).alias("sq"), F.sum("own").alias("own"),
+        F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"),
     )
-    over_all = per_element.groupBy(*keys, "_i").agg(F.sum("s").alias("s")).groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("all_sq"))
-    totals = per_class.groupBy(*keys).agg(
-        F.sum("sq").alias("sq"), F.sum("own").alias("own"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2")
+    totals = over_classes.groupBy(*keys).agg(
+        F.sum(squared).alias("all_sq"), F.sum("sq").alias("sq"), F.sum("own").alias("own"), F.max("n").alias("n"), F.max("n2").alias("n2")
     )
     intra = 1 - F.try_divide(F.col("sq") - F.col("own"), F.col("n2") - F.col("n"))
     inter = 1 - F.try_divide(F.col("all_sq") - F.col("sq"), F.col("n") * F.col("n") - F.col("n2"))
-    return totals.join(over_all, keys).select(*keys, intra.alias("intra"), inter.alias("inter"))
+    return totals.select(*keys, intra.alias("intra"), inter.alias("inter"))
 
 
 def split_counts(rows: DataFrame, keys: list[str]) -> DataFrame:

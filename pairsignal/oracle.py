@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pairsignal import fixtures as fx
 from pairsignal.operators import quality, score
-from pairsignal.queries import NEIGHBOURS, SMOOTH, TAPS, TRIM, WINDOW
+from pairsignal.queries import MANY_NEIGHBOURS, NEIGHBOURS, SMOOTH, TAPS, TRIM, WINDOW
 
 ORACLE: dict[str, str] = {}
 
@@ -391,6 +391,7 @@ SELECT t, t_pos, round(target, 6) AS target, round(y_pos, 6) AS y_pos FROM (
   FROM vectors a CROSS JOIN vectors b) WHERE r = 1""")
 _add("knn_topk", KNN, "SELECT qid, CAST(rank AS INTEGER) AS rank, nid, round(sim, 6) AS sim FROM nearest")
 _add("knn_decode", KNN, "SELECT qid, pred, votes FROM votes")
+_add("knn_counted", {**KNN, "nearest": f"SELECT * FROM ranked WHERE rank <= {MANY_NEIGHBOURS}"}, "SELECT qid, pred, votes FROM votes")
 _add("decoding_accuracy", {**KNN, "decoded": DECODED},
      "SELECT 'all' AS pairing, count(*) AS n, round(avg(CASE WHEN label = pred THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS accuracy FROM decoded")
 _add("decoding_r2", {**KNN, "decoded": DECODED}, """

@@ -74,7 +74,7 @@ def embed_and_score(
     else:
         labelled = settle(rows.join(labels, ["pairing", "t"]))
         train = labelled.filter("split = 'train'")
-        voted = knn.vote(knn.nearest_neighbours(train, labelled, k)).withColumnRenamed("qid", "t")
+        voted = knn.decode(train, labelled, k).withColumnRenamed("qid", "t")
         decoded = settle(labelled.drop("e").join(voted, [*SPACE, "t"]))
         for name, split in (("acc_train", "train"), ("acc_val", "test")):
             scored = score.accuracy(decoded.filter(F.col("split") == split), SPACE)

@@ -23,6 +23,7 @@ SMOOTH = [0.2, 0.2, 0.2, 0.2, 0.2]
 TRIM = 20
 WINDOW = 10.0
 NEIGHBOURS = 3
+MANY_NEIGHBOURS = 100
 DIGITS = 6
 FIT_ROUNDS = 25
 
@@ -488,6 +489,13 @@ def knn_decode(spark: SparkSession, sf: str) -> DataFrame:
     return knn.vote(_neighbours(spark, sf)[1]).select("qid", "pred", "votes")
 
 
+@query
+def knn_counted(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = fx.vectors(spark, sf)
+    found = knn.counted_vote(vectors.filter("split = 'train'"), vectors.filter("split = 'test'"), MANY_NEIGHBOURS)
+    return found.select("qid", "pred", "votes")
+
+
 def _decoded(spark: SparkSession, sf: str) -> DataFrame:
     vectors, found = _neighbours(spark, sf)
     return knn.vote(found).join(vectors.select("pairing", "run_id", F.col("t").alias("qid"), "label"), ["pairing", "run_id", "qid"])

@@ -51,6 +51,22 @@ def test_neighbours_against_brute_force(spark, monkeypatch, k, copies, piece):
     assert {r["run_id"] for r in got if r["pairing"] == "q"} == {1}
 
 
+@pytest.mark.parametrize("k,lattice", [(1, False), (40, False), (90, True), (5000, False)])
+def test_counted_vote_agrees_with_listed_vote(spark, monkeypatch, k, lattice):
+    monkeypatch.setattr(knn, "PIECE", 32)
+    monkeypatch.setattr(knn, "PER_PIVOT", 20)
+    monkeypatch.setattr(knn, "BANDS", 4)
+    rng = np.random.default_rng(6)
+    e = rng.integers(-1, 2, (300, 3)).astype(float) + [0, 0, 3] if lattice else sphere_points(300)
+    e[rng.random(300) < 0.3] = e[0]
+    labels = rng.integers(0, 3, 300) * 2
+    rows = embedded(spark, e, labels)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    listed = knn.vote(knn.nearest_neighbours(train, test, k))
+    counted = knn.counted_vote(train, test, k)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
+
+
 def test_far_groups_are_not_compared(spark, monkeypatch):
     """Routes leave out training groups that cannot hold a neighbour."""
     monkeypatch.setattr(knn, "PER_PIVOT", 20)
