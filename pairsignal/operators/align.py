@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsignal.functions.vectors import seconds_to_sample
-from pairsignal.operators.blocks import BLOCK, attach, block_of, running_sums, with_halo
+from pairsignal.operators.blocks import BLOCK, ROW_NUMBERS, attach, block_of, running_sums, with_halo
 from pairsignal.session import settle
 
 CUT = "cut"
@@ -88,7 +88,7 @@ def pad_lengths(samples: DataFrame, dyads: DataFrame, recordings: DataFrame, blo
     tail = pieces.withColumn("t", F.explode(F.sequence(first, last))).select(
         "dyad_id", "side", "rec_id", "t", F.array_repeat(F.lit(0.0), F.col("n_channels")).alias("x")
     )
-    present = attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2).select("dyad_id", "side", "rec_id", "t", "x")
+    present = attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS).select("dyad_id", "side", "rec_id", "t", "x")
     return present.unionByName(tail)
 
 
@@ -104,7 +104,7 @@ def blank_mask(samples: DataFrame, dyads: DataFrame, edges: DataFrame | None = N
         flags = flags.unionByName(
             edges.select("rec_id", "t", F.lit(0).alias("present"), F.lit(0).alias("zero"), "delta")
         )
-    flags = attach(flags, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2)
+    flags = attach(flags, sides(dyads).drop("role"), "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS)
     columns = []
     for side in "ab":
         own = F.col("side") == side
@@ -164,7 +164,7 @@ def segments(mapped: DataFrame, rates: DataFrame, bound: DataFrame | None = None
 def keep_samples(samples: DataFrame, mapped: DataFrame, dyads: DataFrame) -> DataFrame:
     """Samples of both sides outside the cuts, with time closed up."""
     kept = mapped.filter(~F.col("cut")).select("dyad_id", "t", "removed")
-    both = attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2)
+    both = attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS)
     return both.join(kept, ["dyad_id", "t"]).select(
         "dyad_id", "rec_id", "side", (F.col("t") - F.col("removed")).alias("t"), "x"
     )
@@ -173,7 +173,7 @@ def keep_samples(samples: DataFrame, mapped: DataFrame, dyads: DataFrame) -> Dat
 def shared_annotations(found: DataFrame, dyads: DataFrame) -> DataFrame:
     """The cut list of a dyad on both of its recordings."""
     cuts = found.filter(F.col("kind") == "cut").drop("kind")
-    return attach(cuts, sides(dyads).drop("role"), "dyad_id", bound=dyads, per=2, spread="start_t").select(
+    return attach(cuts, sides(dyads).drop("role"), "dyad_id", bound=dyads, numbers=2 * ROW_NUMBERS, spread="start_t").select(
         "rec_id", "dyad_id", F.col("onset_src").alias("onset_s"), "onset_dst", "duration_s", F.lit(CUT).alias("description")
     )
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 65536          # samples in one time block
-SMALL_ROWS = 20_000    # metadata rows that may be broadcast
+SMALL_NUMBERS = 4_000_000  # numbers (8 bytes each) a broadcast may hold
+ROW_NUMBERS = 16       # numbers in a plain metadata row
+CHANNELS = 256         # channels of a recording where its table does not tell
 SALTS = 32             # ways a hot key is split when metadata is too large to broadcast
 
 
@@ -81,22 +83,27 @@ def largest(table: DataFrame, column: str) -> int | None:
     return known[column]
 
 
+def channel_count(recordings: DataFrame) -> int:
+    """The most channels of any recording, looked up once per table."""
+    return int(largest(recordings, "n_channels") or 1) if "n_channels" in recordings.columns else CHANNELS
+
+
 def attach(
     rows: DataFrame,
     meta: DataFrame,
     keys: Sequence[str] | str,
     how: str = "inner",
     bound: DataFrame | None = None,
-    per: int = 1,
+    numbers: int = ROW_NUMBERS,
     spread: str = "t",
 ) -> DataFrame:
     """Join metadata with few rows per key onto sample rows.
 
-    ``bound`` is a cheap table and ``per`` the most rows of ``meta`` per row of it; they prove the size before a
-    broadcast.  Beyond the limit the key is salted, so a hot recording is still split over many tasks.
+    ``bound`` is a cheap table and ``numbers`` the most numbers ``meta`` holds per row of it; they prove the size
+    before a broadcast.  Beyond the limit the key is salted, so a hot recording is still split over many tasks.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if row_count(meta if bound is None else bound) * per <= SMALL_ROWS:
+    if row_count(meta if bound is None else bound) * numbers <= SMALL_NUMBERS:
         return rows.join(F.broadcast(meta), keys, how)
     salted = meta.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.functions.text import rename_skipped, renamed_channel
-from pairsignal.operators.blocks import attach
+from pairsignal.operators.blocks import CHANNELS, attach
 
 
 def rename_channels(channels: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def pick_channels(samples: DataFrame, channels: DataFrame, recordings: DataFrame
         .groupBy("rec_id")
         .agg(F.sort_array(F.collect_list("ch_idx")).alias("_pick"))
     )
-    return attach(samples, picked, "rec_id", bound=recordings).withColumn(
+    return attach(samples, picked, "rec_id", bound=recordings, numbers=CHANNELS).withColumn(
         "x", F.transform("_pick", lambda i: F.get("x", i))
     ).drop("_pick")
 

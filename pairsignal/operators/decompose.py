@@ -8,12 +8,11 @@ lost executor costs one round at most.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, summed
-from pairsignal.operators.blocks import attach
+from pairsignal.operators.blocks import attach, channel_count
 from pairsignal.operators.remix import matrix_per_key, pack_blocks
 from pairsignal.session import settle
 
@@ -56,7 +55,8 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
     Result per recording: ``mean`` (C), ``k`` (whitening, n x C), ``w`` (rotation, n x n), ``done``.
     A recording of lower rank gets as many components as its rank.
     """
-    chunks = pack_blocks(samples, ["rec_id"], block).persist(StorageLevel.MEMORY_AND_DISK)
+    # Every round reads the chunks, so they are written once.
+    chunks = settle(pack_blocks(samples, ["rec_id"], block))
 
     def start(row: dict) -> dict | None:
         _, mean, cov = split_moments(row["v"])
@@ -87,14 +87,14 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
             "w": new.reshape(1, -1), "done": bool(moved < tolerance),
         }
 
+    numbers = channel_count(recordings) * (2 * n_components + 1)
     for _ in range(max_rounds):
         open_state = state.filter(~F.col("done"))
         if open_state.isEmpty():
             break
-        sums = summed(attach(chunks, open_state.drop("done"), "rec_id", bound=recordings, spread="block"), ["rec_id"], contrast, "rec_id string")
+        sums = summed(attach(chunks, open_state.drop("done"), "rec_id", bound=recordings, numbers=numbers, spread="block"), ["rec_id"], contrast, "rec_id string")
         stepped = map_chunks(open_state.join(sums, "rec_id"), step, STATE)
         state = settle(state.filter("done").unionByName(stepped))
-    chunks.unpersist()
     return state
 
 
@@ -129,7 +129,7 @@ def remove_components(samples: DataFrame, state: DataFrame, excluded: DataFrame,
     rows = cleaning_matrix(state, excluded.filter(F.size("comps") > 0))
     bias = rows.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("out_idx", "b"))).getField("b").alias("bs"))
     per_key = matrix_per_key(rows, ["rec_id"]).join(bias, "rec_id")
-    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, spread="block")
+    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block")
 
     def run(row: dict) -> dict:
         x = matrix(row)

@@ -18,6 +18,7 @@ DIMENSIONS = 3
 FIELD_LEFT, FIELD_RIGHT = 5, 5
 SAMPLE_SHARE = 0.8  # part of the samples each seeded run sees
 RIDGE = 1e-9
+WIDEST = 10_000  # numbers of the projections of one pairing (runs x dimensions x channels)
 
 
 def receptive_field(samples: DataFrame, key: str = "rec_id", left: int = FIELD_LEFT, right: int = FIELD_RIGHT,
@@ -78,7 +79,7 @@ def nearest(wanted: DataFrame, labels: DataFrame, keys_table: DataFrame, key: st
     )
 
     def piece(df: DataFrame, value: str) -> DataFrame:
-        cut = attach(df, ends, key, bound=keys_table, spread=value)
+        cut = attach(df, ends, key, bound=keys_table, numbers=pieces, spread=value)
         return cut.withColumn("piece", _pieces_below(F.col("_cuts"), F.col(value))).drop("_cuts")
 
     known = piece(distinct, "y").select(key, "piece", F.col("y").alias("v"), F.lit(0).alias("kind"), F.struct(F.col("y"), F.col("_t").alias("t")).alias("hit"), F.lit(None).cast("bigint").alias("t"))
@@ -194,7 +195,7 @@ def transform(samples: DataFrame, projection: DataFrame, bound: DataFrame, block
     per_pairing = packed.select(
         "pairing", F.col("_p.run_id").alias("runs"), F.flatten("_p.w").alias("ws"), F.col("_p.b").alias("bs")
     )
-    chunks = attach(pack(samples.withColumn("block", block_of("t", block)), ["pairing"]), per_pairing, "pairing", bound=bound, spread="block")
+    chunks = attach(pack(samples.withColumn("block", block_of("t", block)), ["pairing"]), per_pairing, "pairing", bound=bound, numbers=WIDEST, spread="block")
 
     def run(row: dict) -> dict:
         z = matrix(row) @ row["ws"].reshape(len(row["runs"]), -1).T + row["bs"]

@@ -34,6 +34,7 @@ LIST_MOST = 1024      # neighbours up to which a vote lists them
 BANDS = 64            # similarity bands counted in one pass, a power of two
 PASSES = 3            # passes that narrow the band of the k-th neighbour
 CLASSES_MOST = 256    # classes a counted vote can tell apart
+PIVOT_NUMBERS = 64 * PIVOTS  # numbers in the pivots of one space
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def _to_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
     hashed = vectors.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(1 << 40)))
     sizes = vectors.groupBy(*SPACE).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
     parts = attach(hashed, sizes, SPACE, bound=pivots, spread="vid").withColumn("block", F.pmod("block", "_parts")).drop("_parts")
-    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.drop("n_pivots"), SPACE, bound=pivots, spread="block")
+    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.drop("n_pivots"), SPACE, bound=pivots, numbers=PIVOT_NUMBERS, spread="block")
 
     def run(row: dict) -> dict:
         e = matrix(row)
@@ -115,16 +116,32 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
 def _pieces(rows: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
     """Chunks of about ``PIECE`` vectors per (space, cell); ``e`` may carry further numbers behind the vector."""
     sizes = rows.groupBy(*SPACE, "cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
-    sized = attach(rows, sizes, [*SPACE, "cell"], bound=spaces, per=pivots, spread="vid")
+    sized = attach(rows, sizes, [*SPACE, "cell"], bound=spaces, numbers=4 * pivots, spread="vid")
     cut = sized.withColumn("piece", F.pmod(F.xxhash64("vid"), F.col("_parts")))
     return pack(cut, [*SPACE, "cell"], "piece", order="vid", value="e")
 
 
+def _training_pieces(sent: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
+    pieces = _pieces(sent, spaces, pivots)
+    return pieces.select(*SPACE, "cell", F.col("piece").alias("tpiece"), F.col("ts").alias("tid"), F.col("xs").alias("tx"))
+
+
+def _meet(left: DataFrame, right: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
+    """Every query chunk of a cell with every training chunk of it.
+
+    The training chunk's number is part of the join key, so a hot cell is compared in many tasks.
+    """
+    counts = right.groupBy(*SPACE, "cell").agg((F.max("tpiece") + 1).alias("_n"))
+    numbered = attach(left, counts, [*SPACE, "cell"], bound=spaces, numbers=4 * pivots, spread="piece")
+    each = numbered.withColumn("tpiece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+    return each.join(right, [*SPACE, "cell", "tpiece"])
+
+
 def _send(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int) -> DataFrame:
     """Training vectors copied to every query group (``cell``) they may matter to."""
     routes = _routes(placed, asking, chosen, k)
     return (
-        attach(placed, routes, [*SPACE, "cell"], bound=chosen, per=pivots * pivots, spread="vid")
+        attach(placed, routes, [*SPACE, "cell"], bound=chosen, numbers=5 * pivots * pivots, spread="vid")
         .filter(F.col("dist") >= F.col("least"))
         .select(*SPACE, F.col("qcell").alias("cell"), "vid", "e")
     )
@@ -136,8 +153,8 @@ def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k:
     Both sides come out of ``_to_pivots``.
     """
     sent = _send(placed, asking, chosen, k, pivots)
-    right = _pieces(sent, chosen, pivots).select(*SPACE, "cell", F.col("ts").alias("tid"), F.col("xs").alias("tx"))
-    left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), chosen, pivots).select(*SPACE, "cell", "ts", "xs")
+    right = _training_pieces(sent, chosen, pivots)
+    left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), chosen, pivots)
 
     def run(row: dict) -> dict:
         q, t = matrix(row), matrix(row, values="tx", order="tid")
@@ -156,7 +173,7 @@ def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k:
             "pairing": row["pairing"], "run_id": row["run_id"], "qid": row["ts"][at], "vid": row["tid"][hit], "sim": sims[at, hit],
         }
 
-    partial = map_chunks(left.join(right, [*SPACE, "cell"]), run, "pairing string, run_id int, qid bigint, vid bigint, sim double")
+    partial = map_chunks(_meet(left, right, chosen, pivots), run, "pairing string, run_id int, qid bigint, vid bigint, sim double")
     best = Window.partitionBy(*SPACE, "qid").orderBy(F.desc("sim"), "vid")
     return partial.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
@@ -218,7 +235,7 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
         F.min("t").alias("vid"), F.array(*[F.count_if(F.col("label") == c).cast("double") for c in classes]).alias("w")
     ).drop("e")
     sent = _send(placed, asking, chosen, k, pivots).join(weights, [*SPACE, "vid"]).withColumn("e", F.concat("e", "w"))
-    right = settle(_pieces(sent, chosen, pivots).select(*SPACE, "cell", F.col("ts").alias("tid"), F.col("xs").alias("tx")))
+    right = settle(_training_pieces(sent, chosen, pivots))
     # The state of a query vector: the band [lo, hi) that holds its k-th neighbour, and the labels counted above it.
     start = F.array(F.lit(-1.5), F.lit(1.5), *[F.lit(0.0)] * width)
     state = _pieces(asking.select(*SPACE, "cell", "vid", F.concat("e", start).alias("e")), chosen, pivots)
@@ -259,7 +276,7 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
     key = [*SPACE, "cell", "piece"]
     ddl = "pairing string, run_id int, cell int, piece bigint, ts array<bigint>, xs array<double>"
     for _ in range(PASSES):
-        counted = summed(state.join(right, [*SPACE, "cell"]), key, bands, "pairing string, run_id int, cell int, piece bigint")
+        counted = summed(_meet(state, right, chosen, pivots), key, bands, "pairing string, run_id int, cell int, piece bigint")
         state = settle(map_chunks(state.join(counted, key), narrow, ddl))
 
     def rest(row: dict) -> dict | None:
@@ -284,7 +301,7 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
         return {"pairing": row["pairing"], "run_id": row["run_id"], "qvid": row["ts"], "above": above}
 
     candidates = map_chunks(
-        state.join(right, [*SPACE, "cell"]), rest, "pairing string, run_id int, qvid bigint, vid bigint, sim double, w array<double>"
+        _meet(state, right, chosen, pivots), rest, "pairing string, run_id int, qvid bigint, vid bigint, sim double, w array<double>"
     )
     sure = map_chunks(state, settled_counts, "pairing string, run_id int, qvid bigint, above array<double>")
     size = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)

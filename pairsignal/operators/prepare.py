@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.operators.align import sides
-from pairsignal.operators.blocks import attach
+from pairsignal.operators.blocks import CHANNELS, ROW_NUMBERS, attach
 
 ROLE_CODES = {"speaker": 1, "listener": 0}
 SCALINGS = ("raw", "normalized")
 TRAIN_FRACTION = 0.8
-CHANNELS = 16  # channels of a dyad for which small per-channel statistics are still broadcast
 
 
 def to_wide(long: DataFrame, key: str = "rec_id") -> DataFrame:
@@ -48,7 +47,7 @@ def middle_trim(samples: DataFrame, recordings: DataFrame, n: Column, key: str =
 
 def stack_wide(samples: DataFrame, dyads: DataFrame) -> DataFrame:
     """Channels of B after channels of A at equal time; the longer tail has no partner and falls away."""
-    return stack_aligned(attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, per=2))
+    return stack_aligned(attach(samples, sides(dyads).drop("role"), "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS))
 
 
 def stack_aligned(aligned: DataFrame, keys: tuple[str, ...] = ("dyad_id",)) -> DataFrame:
@@ -73,7 +72,7 @@ def align_lengths(long: DataFrame, dyads: DataFrame, recordings: DataFrame) -> D
     """Long samples of both sides up to the shorter length: ``dyad_id, side, rec_id, ch, ch_idx, t, x``."""
     limits = sides(dyads).drop("role").join(common_lengths(dyads, recordings), "dyad_id")
     return (
-        attach(long, limits, "rec_id", bound=dyads, per=2)
+        attach(long, limits, "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS)
         .filter("t < n_short")
         .select("dyad_id", "side", "rec_id", "ch", "ch_idx", "t", "x")
     )
@@ -100,9 +99,13 @@ def _scaled(x: Column, low: Column, high: Column) -> Column:
 
 def minmax_long(stacked: DataFrame, dyads: DataFrame, channel: str = "gch_idx") -> DataFrame:
     """Each channel of each dyad scaled to [0, 1]; a constant channel becomes 0."""
-    stats = stacked.groupBy("dyad_id", channel).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    bounded = attach(stacked, stats, ["dyad_id", channel], bound=dyads, per=CHANNELS)
-    return bounded.withColumn("x", _scaled(F.col("x"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    per_channel = stacked.groupBy("dyad_id", channel).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    stats = per_channel.groupBy("dyad_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(channel), F.struct("lo", "hi")))).alias("_s")
+    )
+    own = F.element_at("_s", F.col(channel))
+    ranged = attach(stacked, stats, "dyad_id", bound=dyads, numbers=6 * CHANNELS)
+    return ranged.withColumn("x", _scaled(F.col("x"), own["lo"], own["hi"])).drop("_s")
 
 
 def _with_ranges(stacked: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def _with_ranges(stacked: DataFrame, keys: list[str], cells: DataFrame) -> DataF
     values = stacked.select(*keys, F.posexplode("x").alias("ch_idx", "v"))
     per_channel = values.groupBy(*keys, "ch_idx").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     stats = per_channel.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ch_idx", "lo", "hi"))).alias("_s"))
-    return attach(stacked, stats, keys, bound=cells)
+    return attach(stacked, stats, keys, bound=cells, numbers=6 * CHANNELS)
 
 
 def minmax_wide(stacked: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def stack_in_time(
             )
         ),
     )
-    moved = attach(samples, plan, "rec_id", bound=pairs, per=2)
+    moved = attach(samples, plan, "rec_id", bound=pairs, numbers=2 * ROW_NUMBERS)
     return moved.withColumn("t", F.col("t") + F.col("shift")).drop("shift", "rec_id").withColumnRenamed("out_id", "rec_id")
 
 
@@ -170,7 +173,7 @@ def label_samples(wide: DataFrame, roles: DataFrame, dyads: DataFrame) -> DataFr
     packed = roles.groupBy("dyad_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("gch_idx", "role", "y"))), lambda s: F.struct(s["role"], s["y"])).alias("_l")
     )
-    rows = attach(wide, packed, "dyad_id", bound=dyads)
+    rows = attach(wide, packed, "dyad_id", bound=dyads, numbers=6 * CHANNELS)
     return rows.select("dyad_id", "t", F.posexplode(F.arrays_zip("x", "_l")).alias("gch_idx", "_z")).select(
         "dyad_id", "t", "gch_idx", F.col("_z.x").alias("x"), F.col("_z._l.role").alias("role"), F.col("_z._l.y").alias("y")
     )
@@ -179,7 +182,7 @@ def label_samples(wide: DataFrame, roles: DataFrame, dyads: DataFrame) -> DataFr
 def repeat_over_channels(embedded: DataFrame, roles: DataFrame, cells: DataFrame, key: str = "dyad_id") -> DataFrame:
     """Each embedding row once per channel with that channel's label: the table behind a channel-coloured view."""
     packed = roles.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gch_idx", "role", "y"))).alias("_l"))
-    return attach(embedded, packed, key, bound=cells).select(*embedded.columns, F.inline("_l"))
+    return attach(embedded, packed, key, bound=cells, numbers=8 * CHANNELS).select(*embedded.columns, F.inline("_l"))
 
 
 def time_split(samples: DataFrame, recordings: DataFrame, key: str = "rec_id", fraction: float = TRAIN_FRACTION) -> DataFrame:
@@ -224,7 +227,7 @@ def prepare_grid(samples: DataFrame, cells: DataFrame) -> DataFrame:
         "pairing",
         F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"rec_{s}").alias("rec_id")) for s in "ab"])),
     )
-    raw = stack_aligned(attach(samples, members, ["clean", "rec_id"], bound=cells, per=2), ("clean", "pairing"))
+    raw = stack_aligned(attach(samples, members, ["clean", "rec_id"], bound=cells, numbers=2 * ROW_NUMBERS), ("clean", "pairing"))
     ranged = _with_ranges(raw, ["clean", "pairing"], cells)
     scaled = F.zip_with("x", "_s", lambda v, s: _scaled(v, s["lo"], s["hi"]))
     both = F.array(*[F.struct(F.lit(n).alias("scaling"), v.alias("x")) for n, v in zip(SCALINGS, (F.col("x"), scaled))])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import map_chunks, matrix, pack
 from pairsignal.functions.spline import spline_weights
-from pairsignal.operators.blocks import attach, largest
+from pairsignal.operators.blocks import attach, channel_count, largest
 from pairsignal.operators.filters import band, fir
 from pairsignal.session import settle
 
@@ -67,7 +67,7 @@ def _bracketed_quantiles(samples: DataFrame, recordings: DataFrame, qs: Sequence
     values = samples.select("rec_id", F.posexplode("x").alias("ch_idx", "v"))
     usable = F.when(~F.isnan("v"), F.col("v"))
     sketch = values.groupBy("rec_id", "ch_idx").agg(F.percentile_approx(usable, marks, accuracy).alias("m"))
-    rows = attach(samples, settle(per_recording(sketch, "m")), "rec_id", bound=recordings)
+    rows = attach(samples, settle(per_recording(sketch, "m")), "rec_id", bound=recordings, numbers=3 * len(qs) * channel_count(recordings))
     paired = rows.select("rec_id", F.posexplode(F.zip_with("x", "m", lambda v, m: F.struct(v.alias("v"), m.alias("m")))).alias("ch_idx", "_z"))
     v = F.col("_z.v")
 
@@ -118,7 +118,7 @@ def channel_mad(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     if (largest(recordings, "n_samples") or 0) > DIRECT_SAMPLES:
         by_channel = settle(by_channel)
     in_order = by_channel.select("rec_id", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda i: F.try_element_at("_m", i)).alias("med"))
-    rows = attach(samples, in_order, "rec_id", bound=recordings)
+    rows = attach(samples, in_order, "rec_id", bound=recordings, numbers=2 * channel_count(recordings))
     spread = rows.select(
         "rec_id", "t", F.transform("x", lambda v, i: F.abs(v - F.coalesce(F.get("med", i), F.lit(float("nan"))))).alias("x")
     )
@@ -157,7 +157,7 @@ def bad_by_flat(samples: DataFrame, recordings: DataFrame, limit: float = FLAT)
 def mask_channels(samples: DataFrame, bad: DataFrame, recordings: DataFrame) -> DataFrame:
     """Samples whose listed channels are NaN throughout, so that later criteria leave them out."""
     listed = bad.groupBy("rec_id").agg(F.collect_set("ch_idx").alias("_bad"))
-    rows = attach(samples, listed, "rec_id", how="left", bound=recordings)
+    rows = attach(samples, listed, "rec_id", how="left", bound=recordings, numbers=channel_count(recordings))
     hidden = F.transform(
         "x", lambda v, i: F.when(F.array_contains(F.coalesce("_bad", F.array().cast("array<int>")), i), F.lit(float("nan"))).otherwise(v)
     )
@@ -262,7 +262,8 @@ def ransac_correlations(samples: DataFrame, channels: DataFrame, montage: DataFr
                         seconds: float = RANSAC_SECONDS, seed: int = RANSAC_SEED) -> DataFrame:
     """``rec_id, win, ch_idx, corr`` of each channel with its prediction from random subsets of the others."""
     chunks = attach(
-        _window_chunks(samples, recordings, seconds), positions(channels, montage), "rec_id", bound=recordings, spread="block"
+        _window_chunks(samples, recordings, seconds), positions(channels, montage), "rec_id", bound=recordings,
+        numbers=3 * channel_count(recordings), spread="block",
     )
     known: dict[tuple, list] = {}
 

@@ -11,6 +11,7 @@ from pairsignal import fixtures as fx
 from pairsignal.functions import text
 from pairsignal.functions.vectors import cosine, half
 from pairsignal.operators import align, channels, decompose, embed, filters, interpolate, knn, prepare, quality, remix, report, score
+from pairsignal.operators.blocks import ROW_NUMBERS
 from pairsignal.plans import clean as clean_plan
 from pairsignal.plans import train as train_plan
 from pairsignal.session import settle
@@ -550,7 +551,7 @@ def variability(spark: SparkSession, sf: str) -> DataFrame:
 def _side_consistency(spark: SparkSession, sf: str) -> DataFrame:
     """Consistency of the two sides of each dyad on their first three channels."""
     samples, _, dyads = _paired(spark, sf)
-    both = align.attach(samples, align.sides(dyads).join(dyads.select("dyad_id", "pairing"), "dyad_id"), "rec_id", bound=dyads, per=2)
+    both = align.attach(samples, align.sides(dyads).join(dyads.select("dyad_id", "pairing"), "dyad_id"), "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS)
     runs = both.select("pairing", (F.col("side") == "b").cast("int").alias("run_id"), "t", F.slice("x", 1, 3).alias("e"))
     return score.variability(score.run_consistency(runs))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import map_chunks
 from pairsignal.functions.text import stem
+from pairsignal.session import settle
 from pairsignal.sources.files import list_files, open_file
 
 # Fixed values of the format: field widths in the fixed and the per-signal header, units, reserved labels.
@@ -81,9 +82,9 @@ def _describe(path: str, rec_id: str) -> dict:
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file."""
+    """One row per file; the headers are read once."""
     files = list_files(spark, path).withColumn("rec_id", stem(F.col("path"))).select("path", "rec_id")
-    return map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"]), HEADER)
+    return settle(map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"]), HEADER))
 
 
 def recordings(headers: DataFrame) -> DataFrame:

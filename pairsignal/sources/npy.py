@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import map_chunks
 from pairsignal.functions.text import stem
+from pairsignal.session import settle
 from pairsignal.sources.files import list_files, open_file
 
 RANGE_BYTES = 4 << 20
@@ -30,7 +31,7 @@ def _describe(path: str, rec_id: str) -> dict:
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     files = list_files(spark, path).withColumn("rec_id", stem(F.col("path"))).select("path", "rec_id")
-    return map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"]), HEADER)
+    return settle(map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"]), HEADER))
 
 
 def samples(headers: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -110,7 +110,7 @@ def test_metadata_too_large_to_broadcast_joins_the_same(spark, monkeypatch):
     recs = {"a": np.ones((1, 50)), "b": np.zeros((1, 3))}
     rows, shapes = frame(spark, recs), meta(spark, recs)
     small = sorted(map(str, blocks.attach(rows, shapes, "rec_id").collect()))
-    monkeypatch.setattr(blocks, "SMALL_ROWS", 1)
+    monkeypatch.setattr(blocks, "SMALL_NUMBERS", 1)
     salted = blocks.attach(rows, shapes, "rec_id").select(blocks.attach(rows, shapes, "rec_id").columns)
     assert "Broadcast" not in salted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, salted.collect())) == small
