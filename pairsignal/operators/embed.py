@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, pack, summed
 from pairsignal.functions.vectors import unit
-from pairsignal.operators.blocks import BLOCK, attach, block_of, running_sums, with_halo
+from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, with_halo
+from pairsignal.session import settle
 
 # Fixed values of the embedding.
 OFFSET = 10
@@ -18,7 +19,6 @@ DIMENSIONS = 3
 FIELD_LEFT, FIELD_RIGHT = 5, 5
 SAMPLE_SHARE = 0.8  # part of the samples each seeded run sees
 RIDGE = 1e-9
-WIDEST = 10_000  # numbers of the projections of one pairing (runs x dimensions x channels)
 
 
 def receptive_field(samples: DataFrame, key: str = "rec_id", left: int = FIELD_LEFT, right: int = FIELD_RIGHT,
@@ -189,13 +189,14 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
     return map_chunks(base.join(other, ["pairing", "run_id"]), solve, "pairing string, run_id int, out_idx int, w array<double>, b double")
 
 
-def transform(samples: DataFrame, projection: DataFrame, bound: DataFrame, block: int = CHUNK) -> DataFrame:
+def transform(samples: DataFrame, projection: DataFrame, block: int = CHUNK) -> DataFrame:
     """Unit-length embeddings ``pairing, run_id, t, e`` of every sample under every run's projection."""
     packed = projection.groupBy("pairing").agg(F.sort_array(F.collect_list(F.struct("run_id", "out_idx", "w", "b"))).alias("_p"))
-    per_pairing = packed.select(
+    per_pairing = settle(packed.select(
         "pairing", F.col("_p.run_id").alias("runs"), F.flatten("_p.w").alias("ws"), F.col("_p.b").alias("bs")
-    )
-    chunks = attach(pack(samples.withColumn("block", block_of("t", block)), ["pairing"]), per_pairing, "pairing", bound=bound, numbers=WIDEST, spread="block")
+    ).withColumn("width", F.size("ws")))
+    widest = int(largest(per_pairing, "width") or 1)
+    chunks = attach(pack(samples.withColumn("block", block_of("t", block)), ["pairing"]), per_pairing, "pairing", numbers=2 * widest, spread="block")
 
     def run(row: dict) -> dict:
         z = matrix(row) @ row["ws"].reshape(len(row["runs"]), -1).T + row["bs"]
@@ -219,4 +220,4 @@ def embed_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time",
     if fit_on == "train":
         fitted = attach(samples, recordings.select("pairing", "n_train"), "pairing", bound=recordings).filter("t < n_train").drop("n_train")
     projection = fit_linear(fitted, recordings, mode, runs, **options)
-    return transform(samples, projection, recordings)
+    return transform(samples, projection)

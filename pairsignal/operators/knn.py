@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import map_chunks, matrix, pack, summed
 from pairsignal.functions.vectors import unit
-from pairsignal.operators.blocks import attach
+from pairsignal.operators.blocks import attach, largest
 from pairsignal.session import settle
 
 SPACE = ["pairing", "run_id"]
@@ -30,11 +30,11 @@ RINGS = 32            # distance steps in the count around a pivot
 PIECE = 2048          # vectors in one chunk
 SIM_DIGITS = 10       # similarities are ranked after rounding to this many decimals
 SLACK = 1e-9
+DEFAULT_K = 3
 LIST_MOST = 1024      # neighbours up to which a vote lists them
 BANDS = 64            # similarity bands counted in one pass, a power of two
 PASSES = 3            # passes that narrow the band of the k-th neighbour
 CLASSES_MOST = 256    # classes a counted vote can tell apart
-PIVOT_NUMBERS = 64 * PIVOTS  # numbers in the pivots of one space
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def _choose_pivots(train: DataFrame, pivots: int) -> DataFrame:
     kept = first.join(size, SPACE).filter(F.col("_r") <= F.ceil(F.col("n_train") / PER_PIVOT))
     # Copies of one vector make one pivot.
     distinct = kept.groupBy(*SPACE).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("_r", "e"))).getField("e")).alias("_e"))
-    return distinct.select(*SPACE, F.size("_e").alias("n_pivots"), F.flatten("_e").alias("ps"))
+    return distinct.select(*SPACE, F.size("_e").alias("n_pivots"), F.flatten("_e").alias("ps")).withColumn("n_numbers", F.size("ps"))
 
 
 def _to_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def _to_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
     hashed = vectors.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(1 << 40)))
     sizes = vectors.groupBy(*SPACE).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
     parts = attach(hashed, sizes, SPACE, bound=pivots, spread="vid").withColumn("block", F.pmod("block", "_parts")).drop("_parts")
-    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.drop("n_pivots"), SPACE, bound=pivots, numbers=PIVOT_NUMBERS, spread="block")
+    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.select(*SPACE, "ps"), SPACE, bound=pivots, numbers=int(largest(pivots, "n_numbers") or 1), spread="block")
 
     def run(row: dict) -> dict:
         e = matrix(row)
@@ -214,8 +214,15 @@ def vote(neighbours: DataFrame) -> DataFrame:
     return winner.select(*SPACE, "qid", F.col("_w.label").alias("pred"), (-F.col("_w._n")).alias("votes"))
 
 
-def decode(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
-    """Majority label among the k nearest training rows: ``pairing, run_id, qid, pred, votes``."""
+def decode(train: DataFrame, queries: DataFrame, k: int | str = DEFAULT_K, pivots: int = PIVOTS) -> DataFrame:
+    """Majority label among the k nearest training rows: ``pairing, run_id, qid, pred, votes``.
+
+    ``k='sqrt'`` takes the square root of each space's own number of training rows, rounded down.
+    """
+    if k == "sqrt":
+        sizes = settle(train.groupBy(*SPACE).agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("int").alias("_k")))
+        found = nearest_neighbours(train, queries, int(largest(sizes, "_k") or 1), pivots)
+        return vote(attach(found, sizes, SPACE, spread="qid").filter(F.col("rank") <= F.col("_k")).drop("_k"))
     if k <= LIST_MOST:
         return vote(nearest_neighbours(train, queries, k, pivots))
     return counted_vote(train, queries, k, pivots)

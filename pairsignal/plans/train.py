@@ -48,7 +48,7 @@ def embed_and_score(
     labels: DataFrame | None = None,
     traits: DataFrame | None = None,
     runs: int = 5,
-    k: int = 1,
+    k: int | str = knn.DEFAULT_K,
     scaling: str = "raw",
     fit_on: str = "train",
 ) -> Scores:

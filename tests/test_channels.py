@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairsignal import schemas
 from pairsignal.functions import text
 from pairsignal.operators import channels
 
@@ -45,6 +46,15 @@ def test_rates_of_a_dyad_must_agree(spark):
     assert channels.require_equal_sfreq(dyads, recs.withColumn("sfreq", F.lit(250.0))).first()["sfreq"] == 250.0
 
 
+def test_layouts_are_checked(spark):
+    rows = spark.createDataFrame([("r", 1, [1.0], "x")], "rec_id string, t bigint, x array<double>, more string")
+    assert schemas.conform(rows, schemas.SAMPLES_WIDE).columns == ["rec_id", "t", "x"]
+    with pytest.raises(ValueError, match="column t is missing"):
+        schemas.conform(rows.drop("t"), schemas.SAMPLES_WIDE)
+    with pytest.raises(ValueError, match="column t is int, expected bigint"):
+        schemas.conform(rows.withColumn("t", F.col("t").cast("int")), schemas.SAMPLES_WIDE)
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.exclusion_list(F.lit("1, 2,x,-3, 07")).alias("ex"),

@@ -67,6 +67,17 @@ def test_counted_vote_agrees_with_listed_vote(spark, monkeypatch, k, lattice):
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
 
 
+def test_square_root_of_the_training_rows(spark):
+    e, labels = sphere_points(130), np.random.default_rng(2).integers(0, 2, 130)
+    small, small_labels = sphere_points(20, seed=4), np.random.default_rng(3).integers(0, 2, 20)
+    rows = embedded(spark, e, labels).unionByName(embedded(spark, small, small_labels, "q"))
+    got = knn.decode(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "sqrt").collect()
+    for name, k in (("p", 10), ("q", 4)):
+        part = rows.filter(f"pairing = '{name}'")
+        want = knn.vote(knn.nearest_neighbours(part.filter("split = 'train'"), part.filter("split = 'test'"), k)).collect()
+        assert sorted(map(tuple, want)) == sorted(tuple(r) for r in got if r["pairing"] == name)
+
+
 def test_far_groups_are_not_compared(spark, monkeypatch):
     """Routes leave out training groups that cannot hold a neighbour."""
     monkeypatch.setattr(knn, "PER_PIVOT", 20)

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pairsignal.functions.spline import spline_weights
 from pairsignal.operators import decompose, filters, interpolate, quality, remix
