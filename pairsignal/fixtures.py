@@ -82,8 +82,12 @@ def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ragged_recordings(long: DataFrame) -> DataFrame:
-    return long.groupBy("rec_id").agg((F.max("t") + 1).alias("n_samples")).withColumn("n_channels", F.lit(len(EVENT_CHANNELS)))
+def ragged_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the ragged recordings: the events of the most frequent type."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(F.col("user_id").cast("string").alias("rec_id")).agg(F.max("n").alias("n_samples")).withColumn(
+        "n_channels", F.lit(len(EVENT_CHANNELS))
+    )
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length == 0, a).otherwise(F.transform(a, lambda v: v / length))
+    # The length goes through a one-element array, or it would be computed again for every element.
+    return F.get(
+        F.transform(F.array(norm(a)), lambda n: F.when(n == 0, a).otherwise(F.transform(a, lambda v: v / n))), F.lit(0)
+    )
 
 
 def as_array(x: Column, kind: str) -> Column:

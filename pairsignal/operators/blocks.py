@@ -13,10 +13,14 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairsignal.session import settle
+
 BLOCK = 65536          # samples in one time block
 SMALL_NUMBERS = 4_000_000  # numbers (8 bytes each) a broadcast may hold
 ROW_NUMBERS = 16       # numbers in a plain metadata row
+KEY_NUMBERS = 1024     # numbers in a key that holds a vector
 CHANNELS = 256         # channels of a recording where its table does not tell
+HEAVY_ROWS = 1_000_000  # rows of one key above which its join is spread over several tasks
 SALTS = 32             # ways a hot key is split when metadata is too large to broadcast
 
 
@@ -109,3 +113,20 @@ def attach(
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(
         salted, [*keys, "_salt"], how
     ).drop("_salt")
+
+
+def spread_join(rows: DataFrame, meta: DataFrame, keys: Sequence[str], spread: str) -> DataFrame:
+    """Inner join in which a heavy key of ``rows`` is split over tasks and its ``meta`` rows are repeated for them.
+
+    At most one key in ``HEAVY_ROWS`` rows is heavy, so the list of heavy keys is short; it is counted before use.
+    """
+    keys = list(keys)
+    heavy = settle(
+        rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / HEAVY_ROWS).cast("bigint").alias("_parts")).filter("_parts > 1")
+    )
+    if row_count(heavy) == 0:
+        return rows.join(meta, keys)
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    split = attach(rows, heavy, keys, "left", numbers=KEY_NUMBERS, spread=spread).withColumn("_part", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
+    repeated = meta.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+    return split.join(repeated, [*keys, "_part"]).drop("_part")

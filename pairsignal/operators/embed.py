@@ -161,12 +161,11 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
                     yield (row["pairing"], r, int(label)), np.concatenate([[len(part)], part.sum(axis=0)])
 
     sums = summed(chunks, ["pairing", "run_id", "part"], run, "pairing string, run_id int, part int")
-    base = sums.filter("part = -1").select("pairing", "run_id", F.col("v").alias("base"))
-    if mode == "time":
-        other = sums.filter("part = -2").select("pairing", "run_id", F.col("v").alias("other"))
-    else:
-        classes = sums.filter("part >= 0").groupBy("pairing", "run_id")
-        other = classes.agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "v"))).getField("v")).alias("other"))
+    others = F.collect_list(F.when(F.col("part") != -1, F.struct("part", "v")))
+    gathered = sums.groupBy("pairing", "run_id").agg(
+        F.any_value(F.when(F.col("part") == -1, F.col("v")), F.lit(True)).alias("base"),
+        F.flatten(F.sort_array(others).getField("v")).alias("other"),
+    )
 
     def solve(row: dict) -> dict:
         n, c = row["base"][0], int(round((-1 + np.sqrt(1 + 4 * (len(row["base"]) - 1))) / 2))
@@ -186,7 +185,7 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
             "w": w, "b": -(w @ mean),
         }
 
-    return map_chunks(base.join(other, ["pairing", "run_id"]), solve, "pairing string, run_id int, out_idx int, w array<double>, b double")
+    return map_chunks(gathered, solve, "pairing string, run_id int, out_idx int, w array<double>, b double")
 
 
 def transform(samples: DataFrame, projection: DataFrame, block: int = CHUNK) -> DataFrame:

@@ -15,12 +15,12 @@ vector, then id.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import map_chunks, matrix, pack, summed
 from pairsignal.functions.vectors import unit
-from pairsignal.operators.blocks import attach, largest
+from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, running_sums, spread_join
 from pairsignal.session import settle
 
 SPACE = ["pairing", "run_id"]
@@ -31,7 +31,7 @@ PIECE = 2048          # vectors in one chunk
 SIM_DIGITS = 10       # similarities are ranked after rounding to this many decimals
 SLACK = 1e-9
 DEFAULT_K = 3
-LIST_MOST = 1024      # neighbours up to which a vote lists them
+LIST_MOST = 1000      # neighbours up to which a vote lists them
 BANDS = 64            # similarity bands counted in one pass, a power of two
 PASSES = 3            # passes that narrow the band of the k-th neighbour
 CLASSES_MOST = 256    # classes a counted vote can tell apart
@@ -190,8 +190,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
     found = nearest_vectors(known, wanted, chosen, k, pivots)
     # Only the k smallest ids of equal vectors can be among the k best.
     copies = (
-        units.withColumn("_c", F.row_number().over(Window.partitionBy(*SPACE, "e").orderBy("t")))
-        .filter(F.col("_c") <= k)
+        _copies(units, {}, k)
         .join(known.select(*SPACE, "e", "vid"), [*SPACE, "e"])
         .select(*SPACE, "vid", F.col("t").alias("nid"), "label")
     )
@@ -203,8 +202,23 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
         .filter(F.col("rank") <= k)
         .drop("vid")
     )
-    asking = asked.join(wanted.select(*SPACE, "e", F.col("vid").alias("qvid")), [*SPACE, "e"]).select(*SPACE, F.col("t").alias("qid"), "qvid")
-    return asking.join(per_vector, [*SPACE, "qvid"]).select(*SPACE, "qid", "rank", "nid", "label", "sim")
+    return _answer(asked, wanted, per_vector).select(*SPACE, "qid", "rank", "nid", "label", "sim")
+
+
+def _answer(asked: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for each distinct query vector (``qvid``), for every query row that has the vector."""
+    by_vector = found.join(wanted.select(*SPACE, "e", F.col("vid").alias("qvid")), [*SPACE, "qvid"])
+    return spread_join(asked.withColumnRenamed("t", "qid"), by_vector, [*SPACE, "e"], "qid")
+
+
+def _copies(units: DataFrame, sums: dict[str, Column], k: int) -> DataFrame:
+    """The first k rows of every distinct vector by id, with their number ``_r`` and running ``sums``.
+
+    Numbered in blocks of ids: a vector that a third of all rows share is no single window.
+    """
+    blocked = units.withColumn("block", block_of("t", BLOCK))
+    numbered = running_sums(blocked, [*SPACE, "e"], {"_r": F.lit(1).cast("bigint"), **sums})
+    return numbered.filter(F.col("_r") <= k).drop("block")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:
@@ -319,11 +333,9 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
         .withColumn("left", room - (F.col("last") - F.col("size"))).filter("left > 0")
     )
     # The vector at which k is reached may count in part only: its first copies by id.
-    copies = units.withColumn("_r", F.row_number().over(Window.partitionBy(*SPACE, "e").orderBy("t"))).filter(F.col("_r") <= k)
-    upto = Window.partitionBy(*SPACE, "e").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    copies = _copies(units, {f"_n{i}": (F.col("label") == c).cast("double") for i, c in enumerate(classes)}, k)
     prefix = copies.select(
-        *SPACE, "e", F.col("_r").cast("double").alias("left"),
-        F.array(*[F.sum((F.col("label") == c).cast("double")).over(upto) for c in classes]).alias("part"),
+        *SPACE, "e", F.col("_r").cast("double").alias("left"), F.array(*[F.col(f"_n{i}") for i in range(width)]).alias("part")
     ).join(placed.select(*SPACE, "e", "vid"), [*SPACE, "e"]).drop("e")
     whole = taken.filter("size <= left").select(*SPACE, "qvid", "w")
     partly = taken.filter("size > left").join(prefix, [*SPACE, "vid", "left"]).select(*SPACE, "qvid", F.col("part").alias("w"))
@@ -334,5 +346,4 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
         *SPACE, "qvid", F.get(F.array(*[F.lit(c) for c in classes]), (F.array_position("w", votes) - 1).cast("int")).alias("pred"),
         votes.cast("bigint").alias("votes"),
     )
-    asking_rows = asked.join(asking.select(*SPACE, "e", F.col("vid").alias("qvid")), [*SPACE, "e"]).select(*SPACE, F.col("t").alias("qid"), "qvid")
-    return asking_rows.join(decided, [*SPACE, "qvid"]).select(*SPACE, "qid", "pred", "votes")
+    return _answer(asked, asking, decided).select(*SPACE, "qid", "pred", "votes")

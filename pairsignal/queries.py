@@ -50,7 +50,7 @@ def _paired(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
 
 def _ragged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     long = fx.ragged(spark, sf)
-    recordings = settle(fx.ragged_recordings(long))
+    recordings = settle(fx.ragged_recordings(spark, sf))
     return long, recordings, settle(fx.dyads_of(recordings))
 
 

@@ -114,3 +114,12 @@ def test_metadata_too_large_to_broadcast_joins_the_same(spark, monkeypatch):
     salted = blocks.attach(rows, shapes, "rec_id").select(blocks.attach(rows, shapes, "rec_id").columns)
     assert "Broadcast" not in salted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, salted.collect())) == small
+
+
+def test_heavy_keys_are_split(spark, monkeypatch):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)], "k string, i bigint")
+    meta = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("none", 4)], "k string, v bigint")
+    plain = sorted(map(tuple, blocks.spread_join(rows, meta, ["k"], "i").select("k", "i", "v").collect()))
+    monkeypatch.setattr(blocks, "HEAVY_ROWS", 7)
+    split = blocks.spread_join(rows, meta, ["k"], "i")
+    assert sorted(map(tuple, split.select("k", "i", "v").collect())) == plain and len(plain) == 2 * 60 + 1
