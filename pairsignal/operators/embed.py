@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, pack, summed
 from pairsignal.functions.vectors import unit
-from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, with_halo
+from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, spread_join, with_halo
 from pairsignal.session import settle
 
 # Fixed values of the embedding.
@@ -70,20 +70,22 @@ def nearest_label_pairs(labels: DataFrame, ends: DataFrame, key: str = "pairing"
 def nearest(wanted: DataFrame, labels: DataFrame, keys_table: DataFrame, key: str, pieces: int = 1024) -> DataFrame:
     """For each ``target`` the row of ``labels`` with the nearest ``y``, by sorting both within value ranges.
 
-    Equal labels are collapsed first, so a constant label is one row.  Each value range is one window; what a
-    range cannot see (the next value below and above it) comes from a table with one row per range.
+    Equal labels and equal targets are collapsed first, so a constant label is one row.  The ranges follow the
+    quantiles of both.  Each range is one window; what it cannot see (the next value below and above it) comes from
+    a table with one row per range.
     """
     distinct = labels.groupBy(key, "y").agg(F.min("t").alias("_t"))
-    ends = labels.groupBy(key).agg(
-        F.sort_array(F.array_distinct(F.percentile_approx("y", [i / pieces for i in range(pieces + 1)], pieces * 4))).alias("_cuts")
-    )
+    asking = wanted.select(key, "target").distinct()
+    values = distinct.select(key, F.col("y").alias("_v")).unionByName(asking.select(key, F.col("target").alias("_v")))
+    marks = [i / pieces for i in range(pieces + 1)]
+    ends = values.groupBy(key).agg(F.sort_array(F.array_distinct(F.percentile_approx("_v", marks, pieces * 4))).alias("_cuts"))
 
     def piece(df: DataFrame, value: str) -> DataFrame:
         cut = attach(df, ends, key, bound=keys_table, numbers=pieces, spread=value)
         return cut.withColumn("piece", _pieces_below(F.col("_cuts"), F.col(value))).drop("_cuts")
 
-    known = piece(distinct, "y").select(key, "piece", F.col("y").alias("v"), F.lit(0).alias("kind"), F.struct(F.col("y"), F.col("_t").alias("t")).alias("hit"), F.lit(None).cast("bigint").alias("t"))
-    asked = piece(wanted, "target").select(key, "piece", F.col("target").alias("v"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["hit"].dataType).alias("hit"), "t")
+    known = piece(distinct, "y").select(key, "piece", F.col("y").alias("v"), F.lit(0).alias("kind"), F.struct(F.col("y"), F.col("_t").alias("t")).alias("hit"))
+    asked = piece(asking, "target").select(key, "piece", F.col("target").alias("v"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["hit"].dataType).alias("hit"))
     per_piece = known.groupBy(key, "piece").agg(F.min("hit").alias("_lo"), F.max("hit").alias("_hi"))
     every = known.select(key, "piece").unionByName(asked.select(key, "piece")).distinct().join(per_piece, [key, "piece"], "left")
     along = Window.partitionBy(key).orderBy("piece")
@@ -99,9 +101,10 @@ def nearest(wanted: DataFrame, labels: DataFrame, keys_table: DataFrame, key: st
     }).filter("kind = 1").join(outside, [key, "piece"])
     below, above = F.coalesce("below", "_under"), F.coalesce("above", "_over")
     pick = F.when(above.isNull() | (F.col("v") - below["y"] <= above["y"] - F.col("v")), below).otherwise(above)
-    return seen.select(key, "t", F.col("v").alias("target"), pick.alias("_p")).select(
-        key, "t", "target", F.col("_p.t").alias("t_pos"), F.col("_p.y").alias("y_pos")
+    found = seen.select(key, F.col("v").alias("target"), pick.alias("_p")).select(
+        key, "target", F.col("_p.t").alias("t_pos"), F.col("_p.y").alias("y_pos")
     )
+    return spread_join(wanted, found, [key, "target"], "t").select(key, "t", "target", "t_pos", "y_pos")
 
 
 def _pieces_below(cuts: Column, value: Column) -> Column:

@@ -11,6 +11,7 @@ from pairsignal.functions.vectors import dot, unit
 from pairsignal.operators.blocks import BLOCK, attach, block_of
 from pairsignal.operators.decompose import split_moments
 from pairsignal.operators.embed import OFFSET, positive_pairs
+from pairsignal.session import settle
 
 # Temperature and batch size of the contrastive loss.
 TEMPERATURE = 1.12
@@ -93,7 +94,7 @@ def history_summary(history: DataFrame) -> DataFrame:
 
 def successful_runs(embedded: DataFrame, status: DataFrame) -> DataFrame:
     """Only the runs that ended well."""
-    return embedded.join(status.filter("ok").select(*SPACE).distinct(), SPACE, "left_semi")
+    return attach(embedded, status.filter("ok").select(*SPACE).distinct(), SPACE, "left_semi", bound=status)
 
 
 def run_status(expected: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def l1_regression(rows: DataFrame, alpha: float = 1.0, rounds: int = 1000, toler
 
 
 def predict_linear(rows: DataFrame, model: DataFrame) -> DataFrame:
-    return rows.join(model, SPACE).withColumn("pred", dot(F.col("e"), F.col("coef")) + F.col("intercept")).drop("coef", "intercept")
+    return attach(rows, settle(model), SPACE).withColumn("pred", dot(F.col("e"), F.col("coef")) + F.col("intercept")).drop("coef", "intercept")
 
 
 def decode_continuous(rows: DataFrame, traits: DataFrame | None, alpha: float = 1.0) -> DataFrame:
