@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import string
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pairsignal.session import settle
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # letters, digits and everything beyond ASCII
 BROADCAST_ROWS = 200_000  # rows of a table that may be broadcast after it has been counted
+_SPACE = re.compile(r"[\t-\r ]")
 POSITION_BITS = 33  # monotonically_increasing_id puts the place inside a partition into its lower 33 bits
 
 
@@ -34,6 +37,21 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
 
 
+PART_CHARS = 1 << 20
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts of about PART_CHARS, cut before white space, so that lists of its words need little memory."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        cut = _SPACE.search(text, at + PART_CHARS)
+        if cut is None:
+            break
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def row_key(*columns: Column) -> Column:
     """A key from a row's content: the same on every run and after every retry; rows that share it are the same row."""
     marked = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?")) for c in columns]

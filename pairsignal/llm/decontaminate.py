@@ -85,8 +85,9 @@ def occurrences(docs: DataFrame, wins: DataFrame, block_rows: int = BLOCK_ROWS)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
+    """key, doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 
+    key is row_key(doc_id, text).
     A null text has no words. Rows equal in doc_id and text get the same figures. Items without words match nothing;
     items without an id mark words but are neither counted nor listed. An empty benchmark marks nothing. Only doc_id
     and text, item_id and text are read.
@@ -108,7 +109,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     counted = base.select("key", "doc_id", F.size(words_of(text_of())).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     return counted.join(hinted(marked, BROADCAST_ROWS), "key", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        "key", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(SHARE) * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

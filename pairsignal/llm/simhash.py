@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsignal.llm.common import hinted, settle, text_of
+from pairsignal.llm.common import hinted, parts_of, settle, text_of
 
 SEED = 42
 SHINGLE = 3
@@ -35,20 +35,25 @@ def fingerprint(text: str, shingle_words: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half the XXH64 of the shingles; no words: 0."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    k = min(shingle_words, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - k + 1].tolist()
-    stops = ends[k - 1:].tolist()
-    count = np.zeros(64, np.int64)
-    for i in range(0, len(starts), 1 << 16):
-        part = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[i:i + (1 << 16)], stops[i:i + (1 << 16)])]
-        count += np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > len(starts)).tobytes(), "little")
+    count, shingles, carried = np.zeros(64, np.int64), 0, []
+    for part in parts_of(text):
+        words = carried + part.encode().lower().split()
+        if len(words) >= shingle_words:
+            carried = words[len(words) - shingle_words + 1:]
+        else:
+            carried = words
+            continue
+        joined = b" ".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        bounds = zip((ends - sizes)[: len(words) - shingle_words + 1].tolist(), ends[shingle_words - 1:].tolist())
+        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in bounds], "<u8")
+        shingles += len(hashes)
+        for i in range(0, len(hashes), 1 << 14):
+            count += np.unpackbits(hashes[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    if not shingles:
+        return xxh64_intdigest(b" ".join(carried), SEED) if carried else 0
+    return int.from_bytes(np.packbits(2 * count > shingles).tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE) -> DataFrame:
