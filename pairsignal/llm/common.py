@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.session import settle
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # letters, digits and everything beyond ASCII
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words once A-Z are lower-cased; letters, digits and all beyond ASCII make words
 BROADCAST_ROWS = 200_000  # rows of a table that may be broadcast after it has been counted
 _SPACE = re.compile(r"[\t-\r ]")
 POSITION_BITS = 33  # monotonically_increasing_id puts the place inside a partition into its lower 33 bits
@@ -34,7 +34,7 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text whose A-Z are lower-cased, in order."""
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_ascii(text), BETWEEN), "")
 
 
 PART_CHARS = 1 << 20
