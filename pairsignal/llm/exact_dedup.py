@@ -20,7 +20,8 @@ BLOCK_CHARS = 4096
 
 
 def _blocks(text: Column, block_chars: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
+    """The text cut behind every block_chars characters; behind a character outside the basic plane it stays whole."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_remove(F.split(text, f"(?s)(?<=\\G.{{{block_chars}}})"), ""))
 
 
 def _finger(block: Column, seed: int) -> Column:
