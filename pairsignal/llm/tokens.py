@@ -13,13 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-REMEMBERED = 400_000  # pieces a worker keeps, some 80 MB; then it starts anew
+REMEMBERED = 300_000  # pieces a worker keeps, some 60 MB: the first ones, which are the frequent ones
+GROUP_BYTES = 8 << 20  # texts that are split together
 PIECE_CHARS = 1 << 20  # a longer text is split between two words, so that its pieces need little memory
 SAFE = r"[\n\t\r\x20-\x7e¡-¬®-ɏ]*"  # characters whose classes are written out below
 LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r" \n\t\r"
-# Fixed value: the vocabulary's published splitting rule, for these characters.
+# Fixed value: the vocabulary's published splitting rule, for these characters; once more without its rule for several
+# spaces in a row, in the syntax of Arrow's expressions.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+SINGLE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -42,15 +46,24 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.split = re.compile(SPLIT).findall
         self.safe = re.compile(SAFE).fullmatch
+        self.several = re.compile(f"[{SPACE}]{{2}}").search
         self.between = re.compile(f"(?<=[{LETTER}])(?= [{LETTER}])").search
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces, all in one call; each keeps its own ids."""
-        result = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(result.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.array(result.word_ids), np.arange(1, len(pieces) + 1))).tolist()
-        self.known.update(zip(pieces, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; the unknown ones are encoded in one call."""
+        found = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = [pieces[i] for i in missing]
+            result = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(result.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(result.word_ids), np.arange(1, len(new) + 1))).tolist()
+            for i, a, b in zip(missing, [0, *ends[:-1]], ends):
+                found[i] = ids[a:b]
+            room = REMEMBERED - len(self.known)
+            self.known.update((p, found[i]) for p, i in zip(new[:room], missing) if room > 0)
+        return found
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         at = 0
@@ -62,35 +75,49 @@ class Encoder:
             at = cut.start()
         yield self.split(text[at:] if at else text)
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        """Texts of about PIECE_CHARS together; a longer one is alone here and goes through in parts."""
-        if len(texts) == 1 and len(texts[0]) > PIECE_CHARS:
-            return [b"".join(self._known([pieces])[0] for pieces in self._pieces(texts[0]))]
-        return self._known([self.split(t) for t in texts])
-
-    def _known(self, split: list[list[str]]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+    def _single(self, texts: list[str]) -> list[bytes]:
+        """Texts without several spaces in a row: split by Arrow, so that only different pieces become Python strings."""
+        marked = pc.replace_substring_regex(pa.array(texts, pa.large_string()), SINGLE, "\\0\0")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        own = self._ids([p for p in coded.dictionary.to_pylist() if p])
+        blank = pc.index(coded.dictionary, "").as_py()  # behind the last piece of a text
+        if blank >= 0:
+            own.insert(blank, b"")
+        length = np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        first = np.cumsum(length) - length
+        pool, which = np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy()
+        count = length[which]
+        until = np.cumsum(count)
+        ids = pool[np.arange(until[-1] if len(until) else 0) + np.repeat(first[which] - until + count, count)].tobytes()
+        ends = 4 * np.concatenate(([0], until))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _one(self, text: str) -> bytes:
+        if not self.safe(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
+        for pieces in self._pieces(text):
+            different = list(dict.fromkeys(pieces))
+            ids = dict(zip(different, self._ids(different)))
+            out.append(b"".join(map(ids.__getitem__, pieces)))
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         group: list[int] = []
-        chars = 0
+        size = 0
         for i, text in enumerate(texts):
-            if not self.safe(text):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(text) > PIECE_CHARS or self.several(text) or not self.safe(text):
+                out[i] = self._one(text)
                 continue
-            if group and chars + len(text) > PIECE_CHARS:
-                for j, ids in zip(group, self._group([texts[j] for j in group])):
-                    out[j] = ids
-                group, chars = [], 0
             group.append(i)
-            chars += len(text)
-        for j, ids in zip(group, self._group([texts[j] for j in group]) if group else ()):
+            size += len(text)
+            if size > GROUP_BYTES or i == len(texts) - 1:
+                for j, ids in zip(group, self._single([texts[j] for j in group])):
+                    out[j] = ids
+                group, size = [], 0
+        for j, ids in zip(group, self._single([texts[j] for j in group]) if group else ()):
             out[j] = ids
         return out
 
