@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 300_000  # pieces a worker keeps, some 60 MB: the first ones, which are the frequent ones
+REMEMBERED = 500_000  # pieces a worker keeps, some 100 MB: the first ones, which are the frequent ones
 GROUP_BYTES = 8 << 20  # texts that are split together
 PIECE_CHARS = 1 << 20  # a longer text is split between two words, so that its pieces need little memory
 SAFE = r"[\n\t\r\x20-\x7e¡-¬®-ɏ]*"  # characters whose classes are written out below
+OTHER = r"[^\n\t\r\x20-\x7e¡-¬®-ɏ]|[ \n\t\r]{2}"
 LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r" \n\t\r"
 # Fixed value: the vocabulary's published splitting rule, for these characters; once more without its rule for several
 # spaces in a row, in the syntax of Arrow's expressions.
@@ -46,7 +47,6 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.split = re.compile(SPLIT).findall
         self.safe = re.compile(SAFE).fullmatch
-        self.several = re.compile(f"[{SPACE}]{{2}}").search
         self.between = re.compile(f"(?<=[{LETTER}])(?= [{LETTER}])").search
         self.known: dict[str, bytes] = {}
 
@@ -107,13 +107,15 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         group: list[int] = []
         size = 0
+        # A character outside SAFE, or several spaces in a row
+        other = pc.match_substring_regex(pa.array(texts, pa.large_string()), OTHER).to_pylist()
         for i, text in enumerate(texts):
-            if len(text) > PIECE_CHARS or self.several(text) or not self.safe(text):
+            if len(text) > PIECE_CHARS or other[i]:
                 out[i] = self._one(text)
                 continue
             group.append(i)
             size += len(text)
-            if size > GROUP_BYTES or i == len(texts) - 1:
+            if size > GROUP_BYTES:
                 for j, ids in zip(group, self._single([texts[j] for j in group])):
                     out[j] = ids
                 group, size = [], 0
