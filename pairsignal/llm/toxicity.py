@@ -122,7 +122,7 @@ def fit_chain(x: Rows, marks: np.ndarray, folds: np.ndarray) -> tuple[list[np.nd
         models.append(fit_linear(x, seen, y, np.ones(x.n)))
         seen = np.hstack([seen, out[:, None]])
     best, threshold = -1.0, 0.5
-    for t in np.arange(0.2, 0.91, 0.05):
+    for t in sorted(np.arange(0.2, 0.91, 0.05), key=lambda t: abs(t - 0.5)):  # of equally good ones that nearest to a half
         said = seen[:, -1] >= t
         score = 2 * (said & (marks[-1] > 0)).sum() / max(1, said.sum() + marks[-1].sum())
         if score > best + 1e-9:
