@@ -158,12 +158,13 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
                 a, b = xs[found], x[at[found]]
                 yield (row["pairing"], r, -2), np.concatenate([[len(a)], a.sum(axis=0), b.sum(axis=0), (a.T @ b).ravel()])
             else:
-                y = row["y"][own]
+                y = np.asarray(row["y"][own], float) + 0.0
                 for label in np.unique(y):
                     part = xs[y == label]
-                    yield (row["pairing"], r, int(label)), np.concatenate([[len(part)], part.sum(axis=0)])
+                    name = int(label.view(np.int64))  # the label's bits: fractions stay apart, and no label is -1 or -2
+                    yield (row["pairing"], r, name), np.concatenate([[len(part)], part.sum(axis=0)])
 
-    sums = summed(chunks, ["pairing", "run_id", "part"], run, "pairing string, run_id int, part int")
+    sums = summed(chunks, ["pairing", "run_id", "part"], run, "pairing string, run_id int, part bigint")
     others = F.collect_list(F.when(F.col("part") != -1, F.struct("part", "v")))
     gathered = sums.groupBy("pairing", "run_id").agg(
         F.any_value(F.when(F.col("part") == -1, F.col("v")), F.lit(True)).alias("base"),

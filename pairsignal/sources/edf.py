@@ -49,11 +49,13 @@ def parse_header(raw: bytes) -> dict:
     return out
 
 
-def _describe(path: str, rec_id: str) -> dict:
+def _describe(path: str, rec_id: str, length: int) -> dict:
     with open_file(path) as f:
         first = f.read(256)
         raw = first + f.read(int(first[252:256]) * 256)
     h = parse_header(raw)
+    if h["reserved"].startswith("EDF+D"):
+        raise ValueError(f"{path}: the recording is not continuous")
     counts = np.array([int(v) for v in h["n_samples"]], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
     signal = [i for i, label in enumerate(h["label"]) if label != ANNOTATION_LABEL]
@@ -70,6 +72,8 @@ def _describe(path: str, rec_id: str) -> dict:
         offsets.append((low - dlow * gain) * unit)
     rate = rates.pop() if rates else 0
     records = int(h["n_records"])
+    if records < 0:  # not filled in while recording: as many as the file holds
+        records = (length - int(h["header_bytes"])) // max(1, int(counts.sum()) * 2)
     return {
         "path": [path], "rec_id": rec_id, "subject": h["patient"], "sfreq": rate / float(h["record_seconds"] or 1),
         "n_samples": records * rate, "n_records": records, "record_bytes": int(counts.sum()) * 2,
@@ -83,8 +87,8 @@ def _describe(path: str, rec_id: str) -> dict:
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; the headers are read once."""
-    files = list_files(spark, path).withColumn("rec_id", stem(F.col("path"))).select("path", "rec_id")
-    return settle(map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"]), HEADER))
+    files = list_files(spark, path).withColumn("rec_id", stem(F.col("path"))).select("path", "rec_id", "length")
+    return settle(map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"], row["length"]), HEADER))
 
 
 def recordings(headers: DataFrame) -> DataFrame:
