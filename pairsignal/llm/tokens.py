@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 REMEMBERED = 500_000  # pieces a worker keeps, some 100 MB: the first ones, which are the frequent ones
-GROUP_BYTES = 8 << 20  # texts that are split together
+GROUP_BYTES = 16 << 20  # texts that are split together; places in their ids fit into 32 bits
 PIECE_CHARS = 1 << 20  # a longer text is split between two words, so that its pieces need little memory
 SAFE = r"[\n\t\r\x20-\x7e¡-¬®-ɏ]*"  # characters whose classes are written out below
 OTHER = r"[^\n\t\r\x20-\x7e¡-¬®-ɏ]|[ \n\t\r]{2}"
@@ -33,6 +34,16 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, others from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTES = _byte_characters()
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as the library encodes them without special tokens.
 
@@ -56,9 +67,10 @@ class Encoder:
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             new = [pieces[i] for i in missing]
-            result = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(result.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(np.array(result.word_ids), np.arange(1, len(new) + 1))).tolist()
+            one = self.tokenizer.model.tokenize  # the merges alone: the pieces are split already
+            listed = [[t.id for t in one(p.encode().decode("latin-1").translate(BYTES))] for p in new]
+            ids = np.fromiter(chain.from_iterable(listed), "<u4").tobytes()
+            ends = (4 * np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)))).tolist()
             for i, a, b in zip(missing, [0, *ends[:-1]], ends):
                 found[i] = ids[a:b]
             room = REMEMBERED - len(self.known)
@@ -84,13 +96,15 @@ class Encoder:
         blank = pc.index(coded.dictionary, "").as_py()  # behind the last piece of a text
         if blank >= 0:
             own.insert(blank, b"")
-        length = np.fromiter(map(len, own), np.int64, len(own)) >> 2
-        first = np.cumsum(length) - length
+        length = np.fromiter(map(len, own), np.int32, len(own)) >> 2
+        first = np.cumsum(length, dtype=np.int32) - length
         pool, which = np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy()
         count = length[which]
-        until = np.cumsum(count)
-        ids = pool[np.arange(until[-1] if len(until) else 0) + np.repeat(first[which] - until + count, count)].tobytes()
-        ends = 4 * np.concatenate(([0], until))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        until = np.cumsum(count, dtype=np.int32)
+        at = np.repeat(first[which] - until + count, count)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = pool[at].tobytes()
+        ends = 4 * np.concatenate(([0], until)).astype(np.int64)[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _one(self, text: str) -> bytes:
