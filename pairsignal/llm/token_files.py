@@ -38,18 +38,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[n
     first = int(ids.max()) + 1 if len(ids) else 1
     narrow = first + rounds * PAIRS_A_ROUND < 1 << 16
     one, two, shift = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
-    symbols = ids.astype(one)
-    last = np.zeros(len(symbols), bool)
-    last[ends - 1] = True
+    symbols, ends = ids.astype(one), ends.astype(np.int64)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
     for _ in range(rounds):
-        inside = ~last[:-1]
-        ordered = np.sort(((symbols[:-1].astype(two) << two(shift)) | symbols[1:])[inside])
-        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        edge = np.concatenate(([0], edge)) if len(ordered) else edge
-        counts = np.diff(np.append(edge, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST)
-        kinds, counts = ordered[edge[often]], counts[often]
+        cut = ends[(ends > 0) & (ends < len(symbols))] - 1  # pairs that reach into the next document
+        pairs = symbols[:-1].astype(two)
+        pairs <<= two(shift)
+        pairs |= symbols[1:]
+        pairs[cut] = ~two(0)
+        pairs.sort()
+        pairs = pairs[:np.searchsorted(pairs, ~two(0))]
+        often = pairs[LEAST - 1:][pairs[LEAST - 1:] == pairs[:max(len(pairs) - LEAST + 1, 0)]]  # count - LEAST + 1 times each
+        edge = np.flatnonzero(np.concatenate((often[:1] == often[:1], often[1:] != often[:-1])))
+        kinds, counts = often[edge], np.diff(np.append(edge, len(often)))
         taken: set[int] = set()
         chosen = []
         for value in kinds[np.lexsort((kinds, -counts))].tolist():
@@ -61,26 +62,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[n
                     break
         if not chosen:
             break
-        pairs = np.array(chosen, np.int64)
+        new = np.array(chosen, np.int64)
         made = first + len(lengths)
         partner, rule = np.full(made, (1 << 8 * one().itemsize) - 1, one), np.zeros(made, one)
-        partner[pairs[:, 0]], rule[pairs[:, 0]] = pairs[:, 1], made + np.arange(len(pairs))
-        place = np.flatnonzero((partner[symbols[:-1]] == symbols[1:]) & inside)
-        same = symbols[place] == symbols[place + 1]  # a run of one symbol: every second pair of it
-        if same.any():
+        partner[new[:, 0]], rule[new[:, 0]] = new[:, 1], made + np.arange(len(new))
+        hit = partner[symbols[:-1]] == symbols[1:]
+        hit[cut] = False
+        place = np.flatnonzero(hit)
+        if (new[:, 0] == new[:, 1]).any():  # a run of one symbol: every second pair of it
+            same = symbols[place] == symbols[place + 1]
             start = np.concatenate(([True], np.diff(place) != 1))
             run = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
             place = place[~same | ((np.arange(len(place)) - run) % 2 == 0)]
         size = np.ones(made, np.uint32)
         size[first:] = lengths
-        rules.append(pairs.astype(np.uint32))
-        lengths = np.concatenate((lengths, size[pairs[:, 0]] + size[pairs[:, 1]]))
+        rules.append(new.astype(np.uint32))
+        lengths = np.concatenate((lengths, size[new[:, 0]] + size[new[:, 1]]))
         symbols[place] = rule[symbols[place]]
-        last[place] = last[place + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[place + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    return symbols, np.flatnonzero(last) + 1, np.concatenate(rules), lengths, first
+        symbols = np.delete(symbols, place + 1)
+        ends -= np.searchsorted(place, ends - 1)
+    return symbols, ends, np.concatenate(rules), lengths, first
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
