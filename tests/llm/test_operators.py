@@ -166,6 +166,32 @@ def test_similar_groups(spark, empty):
     assert kept == [1, 2, 99] and similar.near_groups(empty).count() == 0
 
 
+def test_similar_groups_in_large_buckets(spark):
+    """Copies that resemble their original but not each other, and chains of copies of copies: groups as brute force finds them."""
+    draw = np.random.default_rng(11)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(1000)]
+        texts.append(base)
+        for n in range(24):  # group 2 is a chain
+            own = list(texts[-1] if group == 2 else base)
+            for k in draw.choice(990, 20, replace=False):
+                own[k] = f"c{len(texts)}x{k}"
+            texts.append(own)
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = similar.near_groups(table).collect()
+    names = {r.group: r.doc_id for r in rows if r.kept}
+    assert [names[r.group] for r in sorted(rows, key=lambda r: r.doc_id)] == root and len(set(root)) < 30
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a>menu</a></nav><article><h1>Title</h1>"
