@@ -17,7 +17,6 @@ from pairsignal.session import settle
 OFFSET = 10
 DIMENSIONS = 3
 FIELD_LEFT, FIELD_RIGHT = 5, 5
-SAMPLE_SHARE = 0.8  # part of the samples each seeded run sees
 RIDGE = 1e-9
 
 
@@ -127,7 +126,9 @@ def _directions(total: np.ndarray, wanted: np.ndarray, d: int) -> np.ndarray:
     keep = values > max(values.max(), 0) * RIDGE
     white = vectors[:, keep] / np.sqrt(values[keep])
     inner = white.T @ ((wanted + wanted.T) / 2) @ white
-    _, rotation = np.linalg.eigh(inner)
+    contrast, rotation = np.linalg.eigh(inner)
+    # A direction without contrast would be noise of unit length: it stays zero.
+    rotation = rotation * (np.abs(contrast) > np.abs(contrast).max(initial=0) * RIDGE)
     w = (white @ rotation[:, ::-1][:, :d]).T
     signs = np.sign(w[np.arange(len(w)), np.abs(w).argmax(axis=1)]) if w.size else np.ones(len(w))
     out = np.zeros((d, total.shape[0]))
@@ -136,11 +137,12 @@ def _directions(total: np.ndarray, wanted: np.ndarray, d: int) -> np.ndarray:
 
 
 def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", runs: int = 5, offset: int = OFFSET,
-               dimensions: int = DIMENSIONS, share: float = SAMPLE_SHARE, block: int = CHUNK) -> DataFrame:
+               dimensions: int = DIMENSIONS, block: int = CHUNK) -> DataFrame:
     """Projections that make positive pairs most similar, for all pairings and runs in one pass over the samples.
 
     ``samples`` has ``pairing, t, x`` (and ``y`` for ``mode='label'``).  In mode 'time' the partner of a sample is
-    the one ``offset`` later, in mode 'label' any sample of its label.  Result: ``pairing, run_id, out_idx, w, b``.
+    the one ``offset`` later, in mode 'label' any sample of its label.  Every run sees all samples, each with a weight
+    drawn by hash (exponential, so runs differ as resampled data would).  Result: ``pairing, run_id, out_idx, w, b``.
     """
     extra = ["y"] if mode == "label" else []
     spread = with_halo(samples.select("pairing", "t", "x", *extra), block, 0, offset if mode == "time" else 0)
@@ -149,20 +151,21 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
     def run(row: dict):
         x, t, core = matrix(row), row["ts"], np.asarray(row["core"], dtype=bool)
         for r in range(runs):
-            own = core & (_mix(t, r) < share)
-            xs = x[own]
-            yield (row["pairing"], r, -1), np.concatenate([[len(xs)], xs.sum(axis=0), (xs.T @ xs).ravel()])
+            weight = -np.log1p(-_mix(t[core], r))
+            xs = x[core]
+            weighted = xs * weight[:, None]
+            yield (row["pairing"], r, -1), np.concatenate([[weight.sum()], weighted.sum(axis=0), (weighted.T @ xs).ravel()])
             if mode == "time":
-                at = np.searchsorted(t, t[own] + offset)
-                found = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == t[own] + offset)
-                a, b = xs[found], x[at[found]]
-                yield (row["pairing"], r, -2), np.concatenate([[len(a)], a.sum(axis=0), b.sum(axis=0), (a.T @ b).ravel()])
+                at = np.searchsorted(t, t[core] + offset)
+                found = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == t[core] + offset)
+                a, b, own = weighted[found], x[at[found]], weight[found]
+                yield (row["pairing"], r, -2), np.concatenate([[own.sum()], a.sum(axis=0), own @ b, (a.T @ b).ravel()])
             else:
-                y = np.asarray(row["y"][own], float) + 0.0
+                y = np.asarray(row["y"][core], float) + 0.0
                 for label in np.unique(y):
-                    part = xs[y == label]
+                    part = weighted[y == label]
                     name = int(label.view(np.int64))  # the label's bits: fractions stay apart, and no label is -1 or -2
-                    yield (row["pairing"], r, name), np.concatenate([[len(part)], part.sum(axis=0)])
+                    yield (row["pairing"], r, name), np.concatenate([[weight[y == label].sum()], part.sum(axis=0)])
 
     sums = summed(chunks, ["pairing", "run_id", "part"], run, "pairing string, run_id int, part bigint")
     others = F.collect_list(F.when(F.col("part") != -1, F.struct("part", "v")))
@@ -177,7 +180,7 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
         total = row["base"][1 + c :].reshape(c, c) / n - np.outer(mean, mean)
         o = row["other"]
         if mode == "time":
-            m = max(o[0], 1.0)
+            m = o[0] or 1.0
             wanted = o[1 + 2 * c :].reshape(c, c) / m - np.outer(o[1 : 1 + c], o[1 + c : 1 + 2 * c]) / m**2
         else:
             groups = o.reshape(-1, 1 + c)

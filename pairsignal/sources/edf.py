@@ -30,7 +30,7 @@ RANGE_BYTES = 4 << 20
 HEADER = (
     "path string, rec_id string, subject string, sfreq double, n_samples bigint, n_records bigint, record_bytes bigint, "
     "header_bytes bigint, labels array<string>, types array<string>, starts array<bigint>, widths array<bigint>, "
-    "gains array<double>, offsets array<double>, note_start bigint, note_width bigint"
+    "gains array<double>, offsets array<double>, note_starts array<bigint>, note_widths array<bigint>"
 )
 
 
@@ -81,7 +81,7 @@ def _describe(path: str, rec_id: str, length: int) -> dict:
         "types": [["stim" if h["label"][i].upper() in STIM_LABELS else "eeg" for i in signal]],
         "starts": [[int(begins[i]) for i in signal]], "widths": [[int(counts[i]) for i in signal]],
         "gains": [gains], "offsets": [offsets],
-        "note_start": int(begins[notes[0]]) if notes else -1, "note_width": int(counts[notes[0]]) if notes else 0,
+        "note_starts": [[int(begins[i]) for i in notes]], "note_widths": [[int(counts[i]) for i in notes]],
     }
 
 
@@ -147,15 +147,16 @@ def parse_notes(raw: bytes) -> list[tuple[float, float, str]]:
 
 
 def annotations(headers: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """``rec_id, onset_s, duration_s, description`` of files with an annotation channel."""
+    """``rec_id, onset_s, duration_s, description`` of files with annotation channels, of which there may be several."""
 
     def run(row: dict) -> dict | None:
-        data = _records(row)[:, row["note_start"] : row["note_start"] + row["note_width"]]
-        notes = [n for record in data for n in parse_notes(np.ascontiguousarray(record).tobytes())]
+        data = _records(row)
+        parts = [data[:, s : s + w] for s, w in zip(row["note_starts"], row["note_widths"])]
+        notes = [n for part in parts for record in part for n in parse_notes(np.ascontiguousarray(record).tobytes())]
         if not notes:
             return None
         onset, duration, description = map(list, zip(*notes))
         return {"rec_id": row["rec_id"], "onset_s": onset, "duration_s": duration, "description": description}
 
-    noted = headers.filter("note_start >= 0")
+    noted = headers.filter(F.size("note_starts") > 0)
     return map_chunks(_ranges(noted, range_bytes), run, "rec_id string, onset_s double, duration_s double, description string")

@@ -10,13 +10,14 @@ def _field(values, width):
     return b"".join(str(v).encode("latin-1").ljust(width) for v in values)
 
 
-def write_edf(path, digital, labels, rate, notes=None, unit="uV", phys=(-3200, 3200), dig=(-32768, 32767)):
-    """A small file: ``digital`` is (channels, samples), one record per second."""
+def write_edf(path, digital, labels, rate, notes=None, unit="uV", phys=(-3200, 3200), dig=(-32768, 32767), more_notes=None):
+    """A small file: ``digital`` is (channels, samples), one record per second; ``more_notes`` has a signal of its own."""
+    noted = [n for n in (notes, more_notes) if n is not None]
     n_ch, n = digital.shape
     records = n // rate
     width = 60
-    names = list(labels) + (["EDF Annotations"] if notes is not None else [])
-    counts = [rate] * n_ch + ([width] if notes is not None else [])
+    names = list(labels) + ["EDF Annotations"] * len(noted)
+    counts = [rate] * n_ch + [width] * len(noted)
     k = len(names)
     head = b"".join([
         b"0".ljust(8), b"S1".ljust(80), b"R".ljust(80), b"01.01.24", b"00.00.00", str(256 * (k + 1)).encode().ljust(8),
@@ -28,9 +29,9 @@ def write_edf(path, digital, labels, rate, notes=None, unit="uV", phys=(-3200, 3
         f.write(head)
         for r in range(records):
             f.write(digital[:, r * rate : (r + 1) * rate].astype("<i2").tobytes())
-            if notes is not None:
+            for own in noted:
                 text = f"+{r}\x14\x14\x00".encode() + b"".join(
-                    f"+{on}\x15{dur}\x14{what}\x14\x00".encode() for on, dur, what in notes if int(on) == r
+                    f"+{on}\x15{dur}\x14{what}\x14\x00".encode() for on, dur, what in own if int(on) == r
                 )
                 f.write(text.ljust(2 * width, b"\x00"))
 
@@ -58,6 +59,13 @@ def test_edf_round_trip_in_many_ranges(spark, folder):
     assert notes == [(2.5, 1.25, "cut"), (4.0, 0.5, "EMG")]
 
 
+def test_edf_with_two_annotation_signals(spark, folder):
+    write_edf(os.path.join(folder, "a.edf"), np.zeros((1, 40), int), ["E1"], 10, [(1, 0.5, "first")], more_notes=[(2.5, 1.0, "second"), (3, 0.0, "third")])
+    headers = edf.read_headers(spark, folder)
+    found = sorted((r["onset_s"], r["description"]) for r in edf.annotations(headers, 1).collect())
+    assert found == [(1.0, "first"), (2.5, "second"), (3.0, "third")] and edf.samples(headers).count() == 40
+
+
 def test_npy_is_read_by_time_whatever_its_proportions(spark, folder):
     wide, tall = np.arange(3 * 11, dtype=np.float32).reshape(3, 11), np.asfortranarray(np.arange(20.0).reshape(5, 4))
     np.save(os.path.join(folder, "wide.npy"), wide)
