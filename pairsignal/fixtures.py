@@ -15,7 +15,7 @@ BINS = 60
 GROUP = 65             # channels of a many-channel recording
 TRAIN_MODULUS = 5      # every fifth vector is held out
 DIMS = 64
-RUNS = 5
+RUNS = 22              # runs of three elements that cover a vector; the last begins anew at its start
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,11 +194,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R: five 3-D runs cut out of each vector."""
+    """R: 3-D runs that cover each vector."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select(
         F.lit("all").alias("pairing"), F.col("vec_id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run_id"), "v"
-    ).select("pairing", "run_id", "t", F.slice("v", F.col("run_id") * 3 + 1, 3).alias("e"))
+    ).select("pairing", "run_id", "t", F.slice(F.concat("v", "v"), F.col("run_id") * 3 + 1, 3).alias("e"))
 
 
 def active_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

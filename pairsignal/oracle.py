@@ -15,8 +15,11 @@ BIN = f"CAST(floor({SECONDS} / {fx.BIN_SECONDS}) AS BIGINT)"
 SFREQ = f"(CAST(1 AS DOUBLE) / {fx.BIN_SECONDS})"
 
 
+WRITTEN = {"dense", "mask", "islands"}  # read several times
+
+
 def _ctes(**parts: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts.items())
+    return "WITH " + ",\n".join(f"{name} AS {'MATERIALIZED ' if name in WRITTEN else ''}({body})" for name, body in parts.items())
 
 
 # Derived recordings, as common table expressions.
@@ -192,7 +195,8 @@ VECTORS = f"""
   SELECT vec_id AS t, CAST(embedding AS DOUBLE[]) AS e, label,
          CASE WHEN vec_id % {fx.TRAIN_MODULUS} = {fx.TRAIN_MODULUS - 1} THEN 'test' ELSE 'train' END AS split FROM embeddings"""
 RUNS = f"""
-  SELECT vec_id AS t, r AS run_id, CAST(embedding[3 * r + 1] AS DOUBLE) AS e1, CAST(embedding[3 * r + 2] AS DOUBLE) AS e2, CAST(embedding[3 * r + 3] AS DOUBLE) AS e3
+  SELECT vec_id AS t, r AS run_id, CAST(embedding[3 * r + 1] AS DOUBLE) AS e1,
+         CAST(embedding[(3 * r + 1) % {fx.DIMS} + 1] AS DOUBLE) AS e2, CAST(embedding[(3 * r + 2) % {fx.DIMS} + 1] AS DOUBLE) AS e3
   FROM embeddings CROSS JOIN (SELECT CAST(unnest(range({fx.RUNS})) AS INTEGER) AS r)"""
 RANKED = """
   SELECT q.t AS qid, c.t AS nid, c.label, round(list_cosine_similarity(q.e, c.e), 10) AS sim,
@@ -236,9 +240,9 @@ RUN_FITS = {"runs": RUNS, **_fits("""
   SELECT 'all' AS pairing, a.run_id AS run_i, b.run_id AS run_j, a.e1 AS a1, a.e2 AS a2, a.e3 AS a3, b.e1 AS b1, b.e2 AS b2, b.e3 AS b3
   FROM runs a JOIN runs b ON a.t = b.t AND a.run_id <> b.run_id""")}
 SIDE_ROWS = """
-  SELECT s.pairing, CASE WHEN s.side = 'b' THEN 1 ELSE 0 END AS run_id, d.t,
-         max(CASE WHEN ch_idx = 0 THEN x END) AS e1, max(CASE WHEN ch_idx = 1 THEN x END) AS e2, max(CASE WHEN ch_idx = 2 THEN x END) AS e3
-  FROM dense d JOIN sides s ON s.rec_id = d.rec_id GROUP BY ALL"""
+  SELECT s.pairing, CASE WHEN s.side = 'b' THEN 2 ELSE 0 END + p.part AS run_id, d.t, max(CASE WHEN ch_idx = 2 * p.part THEN x END) AS e1,
+         max(CASE WHEN ch_idx = 2 * p.part + 1 THEN x END) AS e2, max(CASE WHEN ch_idx = 2 * p.part + 2 THEN x END) AS e3
+  FROM dense d JOIN sides s ON s.rec_id = d.rec_id CROSS JOIN (SELECT unnest([0, 1]) AS part) p GROUP BY ALL"""
 SIDE_FITS = {**G, "runs": SIDE_ROWS, **_fits("""
   SELECT a.pairing, a.run_id AS run_i, b.run_id AS run_j, a.e1 AS a1, a.e2 AS a2, a.e3 AS a3, b.e1 AS b1, b.e2 AS b2, b.e3 AS b3
   FROM runs a JOIN runs b ON a.pairing = b.pairing AND a.t = b.t AND a.run_id <> b.run_id""")}
@@ -310,13 +314,13 @@ SELECT rec_id, ch, t, CAST(t // six AS INTEGER) AS part FROM (
 WHERE six > 0 AND t // CASE WHEN six > 0 THEN six ELSE 1 END IN (1, 3)""")
 _add("pick_times", BLANKS, """
 SELECT d.rec_id, d.t, d.ch_idx, d.x FROM dense d
-JOIN (SELECT DISTINCT CAST(CAST(dyad_id AS BIGINT) * 2 AS VARCHAR) AS rec_id, start_t FROM islands WHERE NOT cut) k
+JOIN (SELECT s.rec_id, i.start_t FROM islands i JOIN sides s ON s.dyad_id = i.dyad_id WHERE NOT i.cut) k
   ON k.rec_id = d.rec_id AND k.start_t = d.t""")
 _add("role_labels", LABELLED, "SELECT dyad_id, t, gch_idx, x, role, y FROM stacked")
 _add("distinct_labels", LABELLED, "SELECT DISTINCT dyad_id, y FROM stacked")
 _add("repeat_tile", LABELLED, """
-SELECT e.dyad_id, e.t, e.x AS e0, c.gch_idx, c.role, c.y FROM stacked e
-JOIN (SELECT DISTINCT dyad_id, gch_idx, role, y FROM stacked) c ON c.dyad_id = e.dyad_id WHERE e.gch_idx = 0""")
+SELECT e.dyad_id, e.t, e.e0, c.gch_idx, c.role, c.y FROM (SELECT dyad_id, t, round(sum(x), 6) AS e0 FROM stacked GROUP BY ALL) e
+JOIN (SELECT DISTINCT dyad_id, gch_idx, role, y FROM stacked) c ON c.dyad_id = e.dyad_id""")
 _add("annotation_ranges", {"annotations": ANNOTATIONS, "ranges": RANGES}, """
 SELECT rec_id, t, CAST(sum(delta) AS BIGINT) AS delta FROM (
   SELECT rec_id, s AS t, 1 AS delta FROM ranges UNION ALL SELECT rec_id, e, -1 FROM ranges) GROUP BY ALL""")
@@ -384,11 +388,12 @@ FROM runs c JOIN runs r ON r.run_id = c.run_id AND r.t BETWEEN c.t - 5 AND c.t +
 CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) d CROSS JOIN n WHERE c.t >= 5 AND c.t + 4 < n.n""")
 _add("positive_pairs", E, """
 SELECT a.t, b.t AS t_pos, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM vectors a JOIN vectors b ON b.t = a.t + 10""")
-_add("nearest_label", E, """
+_add("nearest_label", {**E, "halves": f"""
+  SELECT t, list_reduce(e[1:{fx.DIMS // 2}], lambda a, b: a + b) AS y, list_reduce(e[{fx.DIMS // 2 + 1}:{fx.DIMS}], lambda a, b: a + b) AS target
+  FROM vectors"""}, """
 SELECT t, t_pos, round(target, 6) AS target, round(y_pos, 6) AS y_pos FROM (
-  SELECT a.t, a.e[2] AS target, b.t AS t_pos, b.e[1] AS y_pos,
-         row_number() OVER (PARTITION BY a.t ORDER BY abs(a.e[2] - b.e[1]), b.e[1], b.t) AS r
-  FROM vectors a CROSS JOIN vectors b) WHERE r = 1""")
+  SELECT a.t, a.target, b.t AS t_pos, b.y AS y_pos, row_number() OVER (PARTITION BY a.t ORDER BY abs(a.target - b.y), b.y, b.t) AS r
+  FROM halves a CROSS JOIN halves b) WHERE r = 1""")
 _add("knn_topk", KNN, "SELECT qid, CAST(rank AS INTEGER) AS rank, nid, round(sim, 6) AS sim FROM nearest")
 _add("knn_decode", KNN, "SELECT qid, pred, votes FROM votes")
 _add("knn_counted", {**KNN, "nearest": f"SELECT * FROM ranked WHERE rank <= {MANY_NEIGHBOURS}"}, "SELECT qid, pred, votes FROM votes")

@@ -75,6 +75,11 @@ def _vector_lengths(vectors: DataFrame) -> DataFrame:
 
 # Channels
 
+def _total(x):
+    """Sum of an array's elements, in their order."""
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 @query
 def rename_channels(spark: SparkSession, sf: str) -> DataFrame:
     names = fx.names(spark, sf).withColumn("old", F.col("ch"))
@@ -190,7 +195,8 @@ def pick_times(spark: SparkSession, sf: str) -> DataFrame:
     samples, _, dyads = _paired(spark, sf)
     rates = dyads.select("dyad_id", F.lit(1.0).alias("sfreq"))
     ends = align.segments(align.time_map(align.blank_mask(samples, dyads)), rates, dyads)
-    times = ends.filter("kind = 'keep'").select((F.col("dyad_id").cast("bigint") * 2).cast("string").alias("rec_id"), F.col("start_t").alias("t"))
+    first = F.col("dyad_id").cast("bigint") * 2
+    times = ends.filter("kind = 'keep'").select(F.explode(F.array(first.cast("string"), (first + 1).cast("string"))).alias("rec_id"), F.col("start_t").alias("t"))
     return _long(prepare.pick_times(samples, times), "rec_id", "t")
 
 
@@ -213,7 +219,7 @@ def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def repeat_tile(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, dyads = _paired(spark, sf)
-    embedded = prepare.stack_wide(samples, dyads).select("dyad_id", "t", F.get("x", F.lit(0)).alias("e0"))
+    embedded = prepare.stack_wide(samples, dyads).select("dyad_id", "t", r6(_total(F.col("x"))).alias("e0"))
     tiled = prepare.repeat_over_channels(embedded, prepare.channel_roles(dyads, recordings), dyads)
     return tiled.withColumn("y", F.col("y").cast("int"))
 
@@ -446,16 +452,22 @@ def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("t", "t_pos", r6(cosine(F.col("e"), F.col("e_pos"))).alias("sim"))
 
 
+def _halves(v: DataFrame) -> DataFrame:
+    """``y`` from the first half of a vector and ``target`` from the other."""
+    half = fx.DIMS // 2
+    return v.select("pairing", "t", _total(F.slice("e", 1, half)).alias("y"), _total(F.slice("e", half + 1, half)).alias("target"))
+
+
 @query
 def nearest_label(spark: SparkSession, sf: str) -> DataFrame:
-    v = fx.vectors(spark, sf).select("pairing", "t", F.get("e", F.lit(0)).alias("y"), F.get("e", F.lit(1)).alias("target"))
+    v = _halves(fx.vectors(spark, sf))
     found = embed.nearest(v.select("pairing", "t", "target"), v.select("pairing", "t", "y"), _vector_lengths(v), "pairing")
     return found.select("t", "t_pos", r6("target").alias("target"), r6("y_pos").alias("y_pos"))
 
 
 @query
 def nearest_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    v = fx.vectors(spark, sf).select("pairing", "t", F.get("e", F.lit(0)).alias("y"))
+    v = _halves(fx.vectors(spark, sf)).select("pairing", "t", "y")
     return embed.nearest_label_pairs(v, _vector_lengths(v))
 
 
@@ -470,7 +482,7 @@ def embed_linear(spark: SparkSession, sf: str) -> DataFrame:
 def score_pairings(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, dyads = _paired(spark, sf)
     inputs, lengths, labels = train_plan.flat_inputs(prepare.stack_wide(samples, dyads), dyads, recordings)
-    return train_plan.embed_and_score(inputs, lengths, labels, runs=2).metrics
+    return train_plan.embed_and_score(inputs, lengths, labels).metrics
 
 
 # Scores
@@ -549,10 +561,13 @@ def variability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _side_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    """Consistency of the two sides of each dyad on their first three channels."""
+    """Consistency of the two sides of each dyad, each as two runs of three channels with the third in common."""
     samples, _, dyads = _paired(spark, sf)
     both = align.attach(samples, align.sides(dyads).join(dyads.select("dyad_id", "pairing"), "dyad_id"), "rec_id", bound=dyads, numbers=2 * ROW_NUMBERS)
-    runs = both.select("pairing", (F.col("side") == "b").cast("int").alias("run_id"), "t", F.slice("x", 1, 3).alias("e"))
+    side = (F.col("side") == "b").cast("int") * 2
+    runs = both.select("pairing", "t", "x", side.alias("side"), F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).select(
+        "pairing", (F.col("side") + F.col("part")).alias("run_id"), "t", F.slice("x", 2 * F.col("part") + 1, 3).alias("e")
+    )
     return score.variability(score.run_consistency(runs))
 
 
