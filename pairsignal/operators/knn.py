@@ -34,7 +34,7 @@ DEFAULT_K = 3
 LIST_MOST = 1000      # neighbours up to which a vote lists them
 BANDS = 64            # similarity bands counted in one pass, a power of two
 PASSES = 3            # passes that narrow the band of the k-th neighbour
-CLASSES_MOST = 256    # classes a counted vote can tell apart
+FIRSTS = 256          # copies of one vector in a block of its running label counts
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -113,16 +113,16 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
     return map_chunks(known, run, "pairing string, run_id int, cell int, qcell int, least double")
 
 
-def _pieces(rows: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
-    """Chunks of about ``PIECE`` vectors per (space, cell); ``e`` may carry further numbers behind the vector."""
+def _pieces(rows: DataFrame, spaces: DataFrame, pivots: int, spread: tuple[str, ...] = ("vid",)) -> DataFrame:
+    """Chunks of about ``PIECE`` rows per (space, cell); ``e`` may carry further numbers behind the vector."""
     sizes = rows.groupBy(*SPACE, "cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
     sized = attach(rows, sizes, [*SPACE, "cell"], bound=spaces, numbers=4 * pivots, spread="vid")
-    cut = sized.withColumn("piece", F.pmod(F.xxhash64("vid"), F.col("_parts")))
+    cut = sized.withColumn("piece", F.pmod(F.xxhash64(*spread), F.col("_parts")))
     return pack(cut, [*SPACE, "cell"], "piece", order="vid", value="e")
 
 
-def _training_pieces(sent: DataFrame, spaces: DataFrame, pivots: int) -> DataFrame:
-    pieces = _pieces(sent, spaces, pivots)
+def _training_pieces(sent: DataFrame, spaces: DataFrame, pivots: int, spread: tuple[str, ...] = ("vid",)) -> DataFrame:
+    pieces = _pieces(sent, spaces, pivots, spread)
     return pieces.select(*SPACE, "cell", F.col("piece").alias("tpiece"), F.col("ts").alias("tid"), F.col("xs").alias("tx"))
 
 
@@ -243,52 +243,55 @@ def decode(train: DataFrame, queries: DataFrame, k: int | str = DEFAULT_K, pivot
 
 
 def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
-    """As ``vote`` of ``nearest_neighbours`` without listing neighbours, for k in the tens of thousands."""
-    classes = sorted(r["label"] for r in train.select("label").distinct().limit(CLASSES_MOST + 1).collect())
-    if len(classes) > CLASSES_MOST:
-        raise ValueError(f"more than {CLASSES_MOST} classes")
-    width = len(classes)
+    """As ``vote`` of ``nearest_neighbours`` without listing neighbours, for k in the tens of thousands and any labels."""
     units = train.select(*SPACE, "t", "label", unit(F.col("e")).alias("e"))
     asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
     chosen = settle(_choose_pivots(units, pivots))
     placed, asking = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
-    weights = units.groupBy(*SPACE, "e").agg(
-        F.min("t").alias("vid"), F.array(*[F.count_if(F.col("label") == c).cast("double") for c in classes]).alias("w")
-    ).drop("e")
-    sent = _send(placed, asking, chosen, k, pivots).join(weights, [*SPACE, "vid"]).withColumn("e", F.concat("e", "w"))
-    right = settle(_training_pieces(sent, chosen, pivots))
-    # The state of a query vector: the band [lo, hi) that holds its k-th neighbour, and the labels counted above it.
-    start = F.array(F.lit(-1.5), F.lit(1.5), *[F.lit(0.0)] * width)
+    names = placed.select(*SPACE, "e", "vid")
+    counted = units.groupBy(*SPACE, "e", "label").agg(F.count(F.lit(1)).alias("n"))
+    labelled = settle(counted.join(names, [*SPACE, "e"]).select(*SPACE, "vid", "label", "n"))
+    sizes = labelled.groupBy(*SPACE, "vid").agg(F.sum("n").cast("double").alias("size"))
+    sent = _send(placed, asking, chosen, k, pivots)
+    right = settle(_training_pieces(
+        sent.join(sizes, [*SPACE, "vid"]).withColumn("e", F.concat("e", F.array("size"))), chosen, pivots
+    ))
+    # The state of a query vector: the band [lo, hi) that holds its k-th neighbour, and the neighbours counted above it.
+    start = F.array(F.lit(-1.5), F.lit(1.5), F.lit(0.0))
     state = _pieces(asking.select(*SPACE, "cell", "vid", F.concat("e", start).alias("e")), chosen, pivots)
     state = settle(state.select(*SPACE, "cell", "piece", "ts", "xs"))
 
     def parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         m = matrix(row)
-        d = m.shape[1] - 2 - width
-        return m[:, :d], m[:, d], m[:, d + 1], m[:, d + 2 :]
+        return m[:, :-3], m[:, -3], m[:, -2], m[:, -1]
+
+    def similar(row: dict, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities with the training rows, and the numbers behind their vectors."""
+        t = matrix(row, values="tx", order="tid")
+        return np.round(e @ t[:, : e.shape[1]].T, SIM_DIGITS), t[:, e.shape[1] :]
 
     def bands(row: dict):
         e, lo, hi, _ = parts(row)
-        t = matrix(row, values="tx", order="tid")
-        sims = np.round(e @ t[:, : e.shape[1]].T, SIM_DIGITS)
-        band = np.floor((sims - lo[:, None]) / (hi - lo)[:, None] * BANDS)
-        inside = (sims >= lo[:, None]) & (sims < hi[:, None])
-        at, hit = np.nonzero(inside)
-        slot = at * BANDS + np.clip(band[at, hit], 0, BANDS - 1).astype(np.int64)
-        counts = [np.bincount(slot, weights=t[hit, e.shape[1] + c], minlength=len(e) * BANDS) for c in range(width)]
-        yield (row["pairing"], row["run_id"], row["cell"], row["piece"]), np.stack(counts, axis=1).ravel()
+        sims, size = similar(row, e)
+        size = size[:, 0]
+        at, hit = np.nonzero((sims >= lo[:, None]) & (sims < hi[:, None]))
+        near, low, step = sims[at, hit], lo[at], ((hi - lo) / BANDS)[at]
+        band = np.clip(np.floor((near - low) / step), 0, BANDS - 1)
+        # With BANDS a power of two all edges are exact: compared with them, no similarity changes its band between passes.
+        band = band - (near < low + band * step) + (near >= low + (band + 1) * step)
+        sums = np.bincount(at * BANDS + band.astype(np.int64), weights=size[hit], minlength=len(e) * BANDS)
+        yield (row["pairing"], row["run_id"], row["cell"], row["piece"]), sums
 
     def narrow(row: dict) -> dict:
         e, lo, hi, above = parts(row)
-        counts = row["v"].reshape(len(e), BANDS, width)[:, ::-1]
-        total = np.cumsum(counts.sum(axis=2), axis=1) + above.sum(axis=1)[:, None]
+        counts = row["v"].reshape(len(e), BANDS)[:, ::-1]
+        total = np.cumsum(counts, axis=1) + above[:, None]
         # The first band from the top that reaches k; the lowest one if all training rows are fewer.
         place = np.where((total >= k).any(axis=1), (total >= k).argmax(axis=1), BANDS - 1)
-        passed = np.where(np.arange(BANDS)[None, :, None] < place[:, None, None], counts, 0).sum(axis=1)
+        passed = np.where(np.arange(BANDS)[None] < place[:, None], counts, 0).sum(axis=1)
         step = (hi - lo) / BANDS
         low = BANDS - 1 - place
-        # With BANDS a power of two all edges are exact, so no similarity changes its band between passes.
-        out = np.hstack([e, (lo + low * step)[:, None], (lo + (low + 1) * step)[:, None], above + passed])
+        out = np.column_stack([e, lo + low * step, lo + (low + 1) * step, above + passed])
         return {
             "pairing": row["pairing"], "run_id": row["run_id"], "cell": row["cell"], "piece": [row["piece"]],
             "ts": [row["ts"]], "xs": [out.ravel()],
@@ -297,53 +300,89 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
     key = [*SPACE, "cell", "piece"]
     ddl = "pairing string, run_id int, cell int, piece bigint, ts array<bigint>, xs array<double>"
     for _ in range(PASSES):
-        counted = summed(_meet(state, right, chosen, pivots), key, bands, "pairing string, run_id int, cell int, piece bigint")
-        state = settle(map_chunks(state.join(counted, key), narrow, ddl))
+        sums = summed(_meet(state, right, chosen, pivots), key, bands, "pairing string, run_id int, cell int, piece bigint")
+        state = settle(map_chunks(state.join(sums, key), narrow, ddl))
 
     def rest(row: dict) -> dict | None:
         e, lo, hi, above = parts(row)
-        t = matrix(row, values="tx", order="tid")
-        sims = np.round(e @ t[:, : e.shape[1]].T, SIM_DIGITS)
-        need = k - above.sum(axis=1)
-        inside = (sims >= lo[:, None]) & (sims < hi[:, None])
-        found = []
-        for q in np.flatnonzero(inside.any(axis=1)):
-            hit = np.flatnonzero(inside[q])
-            hit = hit[np.lexsort((row["tid"][hit], -sims[q, hit]))]
-            before = np.cumsum(t[hit, e.shape[1] :].sum(axis=1)) - t[hit, e.shape[1] :].sum(axis=1)
-            found += [(row["ts"][q], row["tid"][h], sims[q, h], t[h, e.shape[1] :]) for h in hit[before < need[q]]]
-        if not found:
+        sims, size = similar(row, e)
+        size = size[:, 0]
+        at, hit = np.nonzero((sims >= lo[:, None]) & (sims < hi[:, None]))
+        if not len(at):
+            return None
+        order = np.lexsort((row["tid"][hit], -sims[at, hit], at))
+        at, hit = at[order], hit[order]
+        before = np.cumsum(size[hit]) - size[hit]
+        before -= before[np.searchsorted(at, at)]
+        keep = before < (k - above)[at]
+        at, hit = at[keep], hit[keep]
+        return {
+            "pairing": row["pairing"], "run_id": row["run_id"], "qvid": row["ts"][at], "vid": row["tid"][hit],
+            "sim": sims[at, hit], "size": size[hit],
+        }
+
+    def over(row: dict) -> dict | None:
+        """Labels of the training rows above the band: sums per query vector and label."""
+        e, _, hi, _ = parts(row)
+        sims, tags = similar(row, e)
+        at, hit = np.nonzero(sims >= hi[:, None])
+        if not len(at):
             return None
-        ids, near, sim, w = zip(*found)
-        return {"pairing": row["pairing"], "run_id": row["run_id"], "qvid": list(ids), "vid": list(near), "sim": list(sim), "w": np.array(w)}
+        codes, which = np.unique((tags[:, 0].astype(np.int64) << 32) | tags[:, 1].astype(np.int64), return_inverse=True)
+        sums = np.bincount(at * len(codes) + which[hit], weights=tags[hit, 2], minlength=len(e) * len(codes))
+        slot = np.flatnonzero(sums)
+        return {
+            "pairing": row["pairing"], "run_id": row["run_id"], "qvid": row["ts"][slot // len(codes)],
+            "code": codes[slot % len(codes)], "n": sums[slot].astype(np.int64),
+        }
+
+    def counts_above(row: dict) -> dict:
+        return {"pairing": row["pairing"], "run_id": row["run_id"], "qvid": row["ts"], "above": parts(row)[3]}
 
-    def settled_counts(row: dict) -> dict:
-        _, _, _, above = parts(row)
-        return {"pairing": row["pairing"], "run_id": row["run_id"], "qvid": row["ts"], "above": above}
+    # A label travels among the numbers as the two halves of its hash.
+    code = F.xxhash64("label")
+    halves = [F.shiftright(code, 32).cast("double"), code.bitwiseAND((1 << 32) - 1).cast("double"), F.col("n").cast("double")]
+    tagged = sent.join(labelled, [*SPACE, "vid"]).withColumn("e", F.concat("e", F.array(*halves)))
+    by_label = _training_pieces(tagged, chosen, pivots, ("vid", "label"))
+    above = map_chunks(_meet(state, by_label, chosen, pivots), over, "pairing string, run_id int, qvid bigint, code bigint, n bigint")
+    labels = labelled.select("label", code.alias("code")).distinct()
+    sure = above.groupBy(*SPACE, "qvid", "code").agg(F.sum("n").alias("n")).join(labels, "code").select(*SPACE, "qvid", "label", "n")
 
     candidates = map_chunks(
-        _meet(state, right, chosen, pivots), rest, "pairing string, run_id int, qvid bigint, vid bigint, sim double, w array<double>"
+        _meet(state, right, chosen, pivots), rest, "pairing string, run_id int, qvid bigint, vid bigint, sim double, size double"
     )
-    sure = map_chunks(state, settled_counts, "pairing string, run_id int, qvid bigint, above array<double>")
-    size = F.aggregate("w", F.lit(0.0), lambda a, b: a + b)
+    reached = map_chunks(state, counts_above, "pairing string, run_id int, qvid bigint, above double")
     along = Window.partitionBy(*SPACE, "qvid").orderBy(F.desc("sim"), "vid").rowsBetween(Window.unboundedPreceding, 0)
-    room = F.lit(float(k)) - F.aggregate("above", F.lit(0.0), lambda a, b: a + b)
-    taken = (
-        candidates.withColumn("size", size).withColumn("last", F.sum("size").over(along)).join(sure, [*SPACE, "qvid"])
-        .withColumn("left", room - (F.col("last") - F.col("size"))).filter("left > 0")
+    taken = settle(
+        candidates.withColumn("last", F.sum("size").over(along)).join(reached, [*SPACE, "qvid"])
+        .withColumn("left", F.lit(float(k)) - F.col("above") - (F.col("last") - F.col("size"))).filter("left > 0")
     )
+    whole = taken.filter("size <= left").join(labelled, [*SPACE, "vid"]).select(*SPACE, "qvid", "label", "n")
     # The vector at which k is reached may count in part only: its first copies by id.
-    copies = _copies(units, {f"_n{i}": (F.col("label") == c).cast("double") for i, c in enumerate(classes)}, k)
-    prefix = copies.select(
-        *SPACE, "e", F.col("_r").cast("double").alias("left"), F.array(*[F.col(f"_n{i}") for i in range(width)]).alias("part")
-    ).join(placed.select(*SPACE, "e", "vid"), [*SPACE, "e"]).drop("e")
-    whole = taken.filter("size <= left").select(*SPACE, "qvid", "w")
-    partly = taken.filter("size > left").join(prefix, [*SPACE, "vid", "left"]).select(*SPACE, "qvid", F.col("part").alias("w"))
-    every = sure.select(*SPACE, "qvid", F.col("above").alias("w")).unionByName(whole).unionByName(partly)
-    totals = every.groupBy(*SPACE, "qvid").agg(F.array(*[F.sum(F.get("w", F.lit(c))) for c in range(width)]).alias("w"))
-    votes = F.array_max("w")
-    decided = totals.select(
-        *SPACE, "qvid", F.get(F.array(*[F.lit(c) for c in classes]), (F.array_position("w", votes) - 1).cast("int")).alias("pred"),
-        votes.cast("bigint").alias("votes"),
-    )
+    cut = taken.filter("size > left").select(*SPACE, "qvid", "vid", F.col("left").cast("bigint").alias("left"))
+    firsts = _first_copies(units, names, cut.select(*SPACE, "vid", "left").distinct(), k)
+    partly = cut.join(firsts, [*SPACE, "vid", "left"]).select(*SPACE, "qvid", "label", "n")
+    totals = sure.unionByName(whole).unionByName(partly).groupBy(*SPACE, "qvid", "label").agg(F.sum("n").alias("votes"))
+    winner = totals.groupBy(*SPACE, "qvid").agg(F.min(F.struct((-F.col("votes")).alias("_n"), F.col("label"))).alias("_w"))
+    decided = winner.select(*SPACE, "qvid", F.col("_w.label").alias("pred"), (-F.col("_w._n")).alias("votes"))
     return _answer(asked, asking, decided).select(*SPACE, "qid", "pred", "votes")
+
+
+def _first_copies(units: DataFrame, names: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``vid, left, label, n``: how many of the first ``left`` copies of a vector have each label.
+
+    Whole blocks of copies come out of sums per block; only the last block of each ``left`` is listed.
+    """
+    block = F.floor((F.col("_r") - 1) / FIRSTS).cast("bigint")
+    copies = settle(
+        _copies(units, {}, k).join(names, [*SPACE, "e"]).join(wanted.select(*SPACE, "vid").distinct(), [*SPACE, "vid"], "left_semi")
+        .select(*SPACE, "vid", "label", "_r", block.alias("copied"))
+    )
+    wanted = wanted.withColumn("copied", F.floor(F.col("left") / FIRSTS).cast("bigint"))
+    sums = copies.groupBy(*SPACE, "vid", F.col("copied").alias("_b"), "label").agg(F.count(F.lit(1)).alias("n"))
+    before = wanted.select(*SPACE, "vid", "copied").distinct().join(sums, [*SPACE, "vid"]).filter("_b < copied")
+    before = before.groupBy(*SPACE, "vid", "copied", "label").agg(F.sum("n").alias("n"))
+    lower = wanted.join(before, [*SPACE, "vid", "copied"]).select(*SPACE, "vid", "left", "label", "n")
+    upper = wanted.join(copies, [*SPACE, "vid", "copied"]).filter("_r <= left")
+    upper = upper.groupBy(*SPACE, "vid", "left", "label").agg(F.count(F.lit(1)).alias("n"))
+    return lower.unionByName(upper)

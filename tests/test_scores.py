@@ -67,6 +67,19 @@ def test_counted_vote_agrees_with_listed_vote(spark, monkeypatch, k, lattice):
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
 
 
+@pytest.mark.parametrize("k", [30, 150])
+def test_counted_vote_with_many_labels(spark, monkeypatch, k):
+    monkeypatch.setattr(knn, "PIECE", 64)
+    monkeypatch.setattr(knn, "FIRSTS", 4)
+    rng = np.random.default_rng(8)
+    e = sphere_points(400)
+    e[rng.random(400) < 0.4] = e[0]
+    rows = embedded(spark, e, rng.integers(0, 300, 400))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    listed, counted = knn.vote(knn.nearest_neighbours(train, test, k)), knn.counted_vote(train, test, k)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
+
+
 def test_square_root_of_the_training_rows(spark):
     e, labels = sphere_points(130), np.random.default_rng(2).integers(0, 2, 130)
     small, small_labels = sphere_points(20, seed=4), np.random.default_rng(3).integers(0, 2, 20)
