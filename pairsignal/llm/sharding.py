@@ -1,8 +1,8 @@
 """Shards by balanced label propagation.
 
 Documents with equal texts are linked through their group. Every document starts on a shard by its id. In each round
-a group's members look at the shards where their neighbours are and want to go where most of them are, shards that are
-full left out; quotas per pair of shards let only so many go as come back or as there is room for. Members of a group
+a group's members look at the shards where their neighbours are and want to go where most of them are; shards that are
+full are tried by turns, for exchanges; quotas per pair of shards let only so many go as come back or as there is room for. Members of a group
 on one shard are alike, so a round works on one row per (group, shard) with a count, however large a group is.
 Documents without neighbours fill what is left, and counts per shard end at most one apart (law "rows").
 """
@@ -16,6 +16,7 @@ from pairsignal.llm.common import hinted, ranked, settle, text_of
 
 SHARDS = 16
 ROUNDS = 24
+QUIET = 3  # rounds in a row without a move that end the work
 
 
 def _share(*columns: Column | str) -> Column:
@@ -27,17 +28,22 @@ def _round(state: DataFrame, quota: DataFrame, number: int) -> tuple[DataFrame,
     """The wanted moves of one round, and what the quotas let through (both one row per (group, shard))."""
     loads = state.groupBy("shard").agg(F.sum("n").alias("load"))
     room = settle(quota.join(F.broadcast(loads), "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("room"), "quota"))
-    # A shard that is full takes nobody unless somebody leaves: the largest part of a group stays where it is.
-    open_ = state.join(F.broadcast(room), "shard")
-    best = open_.groupBy("group").agg(
-        F.max(F.struct("n", F.negative("shard").alias("s"))).alias("any"),
-        F.max(F.when(F.col("room") > 0, F.struct("n", F.negative("shard").alias("s")))).alias("free"),
+    # A group of any size aims at its largest part whose shard is open: it has room, or it may exchange members with others.
+    # Which full shards are tried and which of equal parts is taken changes by hash every round. What is on a full
+    # shard follows if it is no larger, or if the whole group then fits into the room; a part of half a shard stays.
+    open_ = (
+        state.join(F.broadcast(room), "shard")
+        .withColumn("turn", F.xxhash64("group", "shard", F.lit(number)))
+        .withColumn("open", (F.col("room") > 0) | ((F.col("n") < F.col("quota") / 2) & (_share("shard", "group", F.lit(number)) < 0.5)))
     )
-    target = F.when(F.col("any.n") < F.col("quota") / 2, F.negative(F.col("any.s"))).otherwise(F.negative(F.col("free.s")))
-    there = F.when(F.col("any.n") < F.col("quota") / 2, F.col("any.n")).otherwise(F.col("free.n"))
-    wish = open_.join(best, "group").select("group", "shard", "n", target.alias("to"), there.alias("there"))
-    gains = (F.col("there") > F.col("n")) | ((F.col("there") == F.col("n")) & (F.col("to") < F.col("shard")))
-    wish = settle(wish.withColumn("to", F.when(F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & gains, F.col("to"))))
+    best = open_.groupBy("group").agg(F.sum("n").alias("all"), F.max(F.when(F.col("open"), F.struct("n", "turn", "shard", "room"))).alias("best"))
+    there = F.col("best.n")
+    ahead = (there > F.col("n")) | ((there == F.col("n")) & (~F.col("open") | (F.col("best.turn") > F.col("turn"))))
+    fits = ~F.col("open") & (F.col("all") - there <= F.col("best.room"))
+    wish = open_.join(best, "group").select(
+        "group", "shard", "n", F.when((F.col("best.shard") != F.col("shard")) & (ahead | fits), F.col("best.shard")).alias("to"),
+    )
+    wish = settle(wish)
     flows = settle(wish.filter("to is not null").groupBy("shard", "to").agg(F.sum("n").alias("wants")))  # shards squared at most
     back = flows.select(F.col("to").alias("shard"), F.col("shard").alias("to"), F.col("wants").alias("back"))
     into = Window.partitionBy("to")
@@ -55,12 +61,16 @@ def _round(state: DataFrame, quota: DataFrame, number: int) -> tuple[DataFrame,
 
 def propagate(state: DataFrame, quota: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Move the members of groups (group, shard, n) under the quotas (shard, quota) until nobody moves."""
-    state = settle(state)
+    state, quiet = settle(state), 0
     for number in range(rounds):
         _, moves = _round(state, quota, number)
         moves = settle(moves)
         if not moves.filter("go > 0").limit(1).count():
-            break
+            quiet += 1
+            if quiet == QUIET:
+                break
+            continue
+        quiet = 0
         state = settle(
             moves.select("group", F.explode(F.array(
                 F.struct("shard", (F.col("n") - F.col("go")).alias("n")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("go").alias("n")),

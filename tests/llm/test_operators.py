@@ -63,6 +63,18 @@ def test_shards(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot, pairs", [(0, 900), (667, 300)])
+def test_shards_keep_copies_together(spark, hot, pairs):
+    texts = ["hot"] * hot + [f"pair {i // 2}" for i in range(2 * pairs)]
+    texts += [f"single {i}" for i in range(2000 - len(texts))]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).collect()
+    sizes, places = collections.Counter(r.shard for r in rows), collections.defaultdict(set)
+    for r in rows:
+        places[texts[r.doc_id]].add(r.shard)
+    cut = sum(len(on) > 1 for text, on in places.items() if text != "hot")
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and cut <= 0.02 * pairs
+
+
 def test_contamination_edges(spark, docs, empty):
     items = spark.createDataFrame([(10, "quick brown"), (9, "QUICK brown fox"), (None, "id here"), (11, None), (12, "?!")], "item_id long, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, items, block_rows=1).collect()}
