@@ -3,8 +3,9 @@
 Every piece of text has the path of tags from the root to it. Per path the text length and the punctuation are added up
 and divided by the number of pieces with that path; both ratios are smoothed along the page, fused by their product and
 compared with a threshold from their spread. The paths over it are content; the smallest element that holds most of the
-content is the article, and its blocks are the text. What belongs to menus, forms, notices and the like by its element
-or its class is out beforehand, wherever it stands.
+content is the article, and its blocks are the text. What belongs to menus and the like by its element is out
+beforehand. Forms and what a class or id names a notice, an advert and the like are out too, as long as enough of the
+content stands outside them: names never remove most of a page.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 # Elements of the HTML standard by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template|svg|math|select|object|canvas|audio|video"
-NEVER = frozenset("head nav aside form footer button dialog menu fieldset label datalist".split())
+NEVER = frozenset("head nav aside footer button dialog menu fieldset label datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -30,26 +31,33 @@ BLOCK = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html article section div main aside nav td th".split())
 
-# Class or id names of what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|"
-    r"masthead|topbar|site-header|page-header|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"comments?|commentlist|respond|replies|reply|disqus|widget|toolbar|pagination|pager|tags|search|skip|hidden)(?=$|[\s_-])", re.I,
+# Class or id names of what is not the article: a whole name, or one whose parts are such words and words of place.
+_COMMENT = "comments?|commentlist|respond|replies|reply|disqus"
+_NOISE = (
+    "ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|"
+    "masthead|topbar|site-header|page-header|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
+    f"widgets?|toolbar|pagination|pager|tags|search|skip|hidden|{_COMMENT}"
 )
+_PLACE = "list|area|box|wrap|wrapper|container|section|block|bar|item|links?|icons?|buttons?|form|left|right|top|bottom|primary|secondary|main|site|page|posts?|articles?|thread|media|[0-9]+"
+NOISE = re.compile(rf"(?:(?:{_PLACE})[_-]+)*(?:{_NOISE})(?:[_-]+(?:{_NOISE}|{_PLACE}))*", re.I)
+COMMENT = re.compile(rf"(?:^|[\s_-])(?:{_COMMENT})(?=$|[\s_-])", re.I)
+REST, REST_NAMED = 1 / 3, 0.1  # the least share of the content outside forms and such names; with an article or main in it, or beside comments
 PIECE = re.compile(
     rf"(?P<out><!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "weight")
+    __slots__ = ("tag", "parent", "path", "out", "weight", "named", "comment")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool):
+    def __init__(self, tag: str, parent: _Element | None, out: bool, names: list[str] | None = None):
+        self.named = names is not None  # a name or a form: out if the content allows it
+        self.comment = any(COMMENT.search(n) for n in names or ())
         self.tag, self.parent, self.out, self.weight = tag, parent, out or (parent is not None and parent.out), 0.0
         self.path = f"{parent.path}/{tag}" if parent else tag
 
@@ -61,7 +69,16 @@ def _noise(tag: str, attrs: str, parent: _Element) -> bool:
         return False
     if HIDDEN.search(attrs) and tag not in BLOCK - {"div", "section", "p", "ul"}:
         return True
-    return any(NOISE.search(" ".join(filter(None, m.groups()))) for m in NAMED.finditer(attrs))
+    return False
+
+
+def _names(tag: str, attrs: str) -> list[str] | None:
+    """The names that speak against an element (none for a form), or None if nothing does."""
+    if tag in ("html", "body", "article", "main") or not attrs.strip() and tag != "form":
+        return None
+    values = (" ".join(filter(None, m.groups())) for m in NAMED.finditer(attrs))
+    found = [name for value in values for name in value.split() if NOISE.fullmatch(name)]
+    return found if found or tag == "form" else None
 
 
 def _inside(element: _Element | None, *tags: str) -> bool:
@@ -134,18 +151,15 @@ def _blocks(page: str) -> list[tuple[_Element, str]]:
                 if stack[k].tag in SCOPE and stack[k].tag not in ("td", "th"):
                     break
         if not m["attrs"].endswith("/") or tag in BLOCK:
-            stack.append(_Element(tag, stack[-1], _noise(tag, m["attrs"], stack[-1])))
+            stack.append(_Element(tag, stack[-1], _noise(tag, m["attrs"], stack[-1]), _names(tag, m["attrs"])))
         owner = stack[-1]
     text(page[at:])
     end()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by an empty line; empty if there is none."""
-    blocks = _blocks(page or "")
-    if not blocks:
-        return ""
+def _content(blocks: list[tuple[_Element, str]]) -> np.ndarray:
+    """Which blocks stand on paths over the threshold."""
     number: dict[str, int] = {}
     path = np.array([number.setdefault(e.path, len(number)) for e, _ in blocks])
     length = np.array([len(t) for _, t in blocks], float)
@@ -156,7 +170,43 @@ def main_text(page: str | None) -> str:
     kernel = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
     fused = np.convolve(np.pad(ratio, 2, "edge"), kernel, "valid") * np.convolve(np.pad(1 + dots, 2, "edge"), kernel, "valid")
     strong = np.bincount(path, fused) / nodes
-    content = strong[path] >= min(fused.std() * 0.5, strong.max())
+    return strong[path] >= min(fused.std() * 0.5, strong.max())
+
+
+def _without_named(blocks: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
+    """The blocks outside forms and elements with a name against them.
+
+    If too little of the content stands outside, the elements that hold most of it count as content, the largest first
+    and all on the same path with it; comments come last.
+    """
+    lines = [[x for x in _line(e) if x.named] for e, _ in blocks]
+    if not any(lines):
+        return blocks
+    weights = [len(t) if good else 0 for (_, t), good in zip(blocks, _content(blocks))]
+    total = sum(weights)
+    inside = [_inside(e, "article", "main") for e, _ in blocks]
+    while True:
+        stays = [not any(x.named for x in line) for line in lines]
+        rest = sum(w for w, stay in zip(weights, stays) if stay)
+        holds = any(w and stay and own for w, stay, own in zip(weights, stays, inside))
+        held: dict[_Element, int] = {}
+        for w, line in zip(weights, lines):
+            for x in [x for x in line if x.named][-1:]:  # the outermost
+                held[x] = held.get(x, 0) + w
+        first = max(held, key=lambda x: (not x.comment, held[x]), default=None)
+        if first is None or not held[first] or rest >= (REST_NAMED if holds or first.comment else REST) * total:
+            return [block for block, stay in zip(blocks, stays) if stay]
+        for x in held:
+            if x.path == first.path and x.comment == first.comment:
+                x.named = False
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by an empty line; empty if there is none."""
+    blocks = _without_named(_blocks(page or ""))
+    if not blocks:
+        return ""
+    content = _content(blocks)
     for (element, text), good in zip(blocks, content):
         if good:
             while element is not None:

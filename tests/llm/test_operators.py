@@ -213,6 +213,27 @@ def test_main_text():
     assert main_text.main_text(None) == "" and main_text.main_text("<p>") == ""
 
 
+BODY = "<h1>Title</h1>" + "".join(f"<p>Paragraph {i} of the page, with words, commas and a full stop.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("attrs", [
+    "class='layout has-sidebar'", "class='content no-sidebar'", "class='container with-banner'", "class='post tag-search'", "class='post-content comments-open'",
+    "class='elementor-widget'", "data-id='search' data-role='banner'", "class='widget'",
+])
+def test_main_text_names_do_not_remove_the_content(attrs):
+    page = f"<body><nav>menu</nav><div {attrs}>{BODY}</div><div class='cookie-banner'>We use cookies, as all do.</div></body>"
+    text = main_text.main_text(page)
+    assert text.startswith("Title") and all(f"Paragraph {i} " in text for i in range(6)) and "cookies" not in text and "menu" not in text
+
+
+def test_main_text_in_a_form():
+    text = main_text.main_text(f"<body><form action='/'><input type=hidden>{BODY}</form></body>")
+    assert text.startswith("Title") and text.count("Paragraph") == 6
+    comments = "<div id=comments>" + "<p>A comment, that is as long as a paragraph, and longer than that.</p>" * 9 + "</div>"
+    text = main_text.main_text(f"<body><div>{BODY}</div>{comments}<form><p>Write to us, please.</p></form></body>")
+    assert text.count("Paragraph") == 6 and "comment" not in text and "Write" not in text
+
+
 def test_classifiers(spark, empty):
     rows = [(i, ("kind words number %d" if i % 3 else "you idiot number %d") % i, 1 if i % 4 else 0, 0 if i % 3 else 1) for i in range(120)]
     table = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(None, None)], "doc_id long, text string")
