@@ -2,10 +2,10 @@
 
 Every piece of text has the path of tags from the root to it. Per path the text length and the punctuation are added up
 and divided by the number of pieces with that path; both ratios are smoothed along the page, fused by their product and
-compared with a threshold from their spread. The paths over it are content; the smallest element that holds most of the
-content is the article, and its blocks are the text. What belongs to menus and the like by its element is out
-beforehand. Forms and what a class or id names a notice, an advert and the like are out too, as long as enough of the
-content stands outside them: names never remove most of a page.
+compared with a threshold from their spread. The paths over it are content; standing in an article or main is a vote
+for a block. What stands between content inside one element belongs to it, as do the headings before it. What belongs
+to menus and the like by its element is out beforehand. Forms and what a class or id names a notice, an advert and the
+like are out too, as long as enough of the content stands outside them: names never remove most of a page.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ _PLACE = "list|area|box|wrap|wrapper|container|section|block|bar|item|links?|ico
 NOISE = re.compile(rf"(?:(?:{_PLACE})[_-]+)*(?:{_NOISE})(?:[_-]+(?:{_NOISE}|{_PLACE}))*", re.I)
 COMMENT = re.compile(rf"(?:^|[\s_-])(?:{_COMMENT})(?=$|[\s_-])", re.I)
 REST, REST_NAMED = 1 / 3, 0.1  # the least share of the content outside forms and such names; with an article or main in it, or beside comments
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+VOTE = 2.0  # what standing in an article or main is worth
 PIECE = re.compile(
     rf"(?P<out><!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -53,12 +55,13 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "out", "weight", "named", "comment")
+    __slots__ = ("tag", "parent", "path", "out", "named", "names", "comment")
 
     def __init__(self, tag: str, parent: _Element | None, out: bool, names: list[str] | None = None):
         self.named = names is not None  # a name or a form: out if the content allows it
-        self.comment = any(COMMENT.search(n) for n in names or ())
-        self.tag, self.parent, self.out, self.weight = tag, parent, out or (parent is not None and parent.out), 0.0
+        self.names = names or []
+        self.comment = any(COMMENT.search(n) for n in self.names)
+        self.tag, self.parent, self.out = tag, parent, out or (parent is not None and parent.out)
         self.path = f"{parent.path}/{tag}" if parent else tag
 
 
@@ -170,14 +173,48 @@ def _content(blocks: list[tuple[_Element, str]]) -> np.ndarray:
     kernel = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
     fused = np.convolve(np.pad(ratio, 2, "edge"), kernel, "valid") * np.convolve(np.pad(1 + dots, 2, "edge"), kernel, "valid")
     strong = np.bincount(path, fused) / nodes
-    return strong[path] >= min(fused.std() * 0.5, strong.max())
+    vote = np.array([VOTE if _inside(e, "article", "main") else 1.0 for e, _ in blocks])
+    return strong[path] * vote >= min(fused.std() * 0.5, strong.max())
+
+
+def _between(blocks: list[tuple[_Element, str]], content: np.ndarray) -> np.ndarray:
+    """The blocks to return: content, what stands between two blocks of it in an element that holds both, and headings.
+
+    Body holds everything, so there only blocks between two of its own children count. A heading belongs to the content
+    that follows it with at most other headings between; the first heading of the highest level to all content.
+    """
+    chosen = content.copy()
+    places = np.flatnonzero(content).tolist()
+    lines = [list(_line(e)) for e, _ in blocks]
+    for i, j in zip(places, places[1:]):
+        if j == i + 1:
+            continue
+        own = set(lines[j])
+        common = next(x for x in lines[i] if x in own)
+        if common.tag in ("", "html", "body") and not _holder(lines[i]) is _holder(lines[j]) is common:
+            continue
+        for k in range(i + 1, j):
+            chosen[k] = common in lines[k]
+    heads = np.array([any(x.tag in HEADINGS for x in line) for line in lines])
+    for k in np.flatnonzero(heads & ~chosen)[::-1].tolist():
+        chosen[k] = k + 1 < len(blocks) and bool(chosen[k + 1])
+    title = next((k for k in range(len(blocks)) if any(x.tag == "h1" for x in lines[k])), None)
+    if title is not None and places and title < places[0]:
+        chosen[title] = True
+    return chosen
+
+
+def _holder(line: list[_Element]) -> _Element:
+    """What holds the block that a line of elements leads to."""
+    at = next((k for k, x in enumerate(line) if x.tag in BLOCK or not x.tag), len(line) - 1)
+    return line[at] if line[at].tag in ("", "html", "body") else line[min(at + 1, len(line) - 1)]
 
 
 def _without_named(blocks: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
     """The blocks outside forms and elements with a name against them.
 
     If too little of the content stands outside, the elements that hold most of it count as content, the largest first
-    and all on the same path with it; comments come last.
+    and all of the same path and names with it; comments come last.
     """
     lines = [[x for x in _line(e) if x.named] for e, _ in blocks]
     if not any(lines):
@@ -197,7 +234,7 @@ def _without_named(blocks: list[tuple[_Element, str]]) -> list[tuple[_Element, s
         if first is None or not held[first] or rest >= (REST_NAMED if holds or first.comment else REST) * total:
             return [block for block, stay in zip(blocks, stays) if stay]
         for x in held:
-            if x.path == first.path and x.comment == first.comment:
+            if x.path == first.path and x.names == first.names:
                 x.named = False
 
 
@@ -206,21 +243,8 @@ def main_text(page: str | None) -> str:
     blocks = _without_named(_blocks(page or ""))
     if not blocks:
         return ""
-    content = _content(blocks)
-    for (element, text), good in zip(blocks, content):
-        if good:
-            while element is not None:
-                element.weight += len(text)
-                element = element.parent
-    total = sum(len(t) for (_, t), good in zip(blocks, content) if good)
-    named = [e for e in {id(x): x for e, _ in blocks for x in _line(e)}.values() if e.tag in ("article", "main") and e.weight >= 0.3 * total]
-    if named:
-        holder = max(named, key=lambda e: (e.tag == "article", e.weight))
-    else:
-        holder = min((x for e, _ in blocks for x in _line(e) if x.weight >= 0.9 * total), key=lambda x: (x.weight, -x.path.count("/")))
-        while holder.parent is not None and holder.tag not in BLOCK:
-            holder = holder.parent
-    return "\n\n".join(text for element, text in blocks if any(x is holder for x in _line(element)))
+    chosen = _between(blocks, _content(blocks))
+    return "\n\n".join(text for (_, text), good in zip(blocks, chosen) if good)
 
 
 def _line(element: _Element | None) -> Iterator[_Element]:

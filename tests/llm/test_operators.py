@@ -234,6 +234,21 @@ def test_main_text_in_a_form():
     assert text.count("Paragraph") == 6 and "comment" not in text and "Write" not in text
 
 
+def paragraphs(name, n):
+    return "".join(f"<p>{name} {i} of the page, with words, commas and a full stop.</p>" for i in range(n))
+
+
+def test_main_text_keeps_all_content():
+    parts = "".join(f"<article><h2>Head {k}</h2>{paragraphs(f'Part {k}', 4)}</article>" for k in range(3))
+    text = main_text.main_text(f"<body><nav>menu</nav>{parts}<footer>end</footer></body>")
+    assert all(f"Part {k} {i} " in text for k in range(3) for i in range(4)) and all(f"Head {k}" in text for k in range(3)) and "menu" not in text
+    text = main_text.main_text(f"<body><main><article>{paragraphs('In', 3)}</article>{paragraphs('Beside', 6)}</main></body>")
+    assert text.count("In ") == 3 and text.count("Beside ") == 6
+    body = f"<body><ul><li>Home<li>News</ul><h1>Title</h1><p class=lead>The lead of the page, with words, commas.</p><div>{paragraphs('Body', 40)}</div></body>"
+    text = main_text.main_text(body)
+    assert text.startswith("Title\n\nThe lead") and text.count("Body ") == 40 and "Home" not in text
+
+
 def test_classifiers(spark, empty):
     rows = [(i, ("kind words number %d" if i % 3 else "you idiot number %d") % i, 1 if i % 4 else 0, 0 if i % 3 else 1) for i in range(120)]
     table = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(None, None)], "doc_id long, text string")
