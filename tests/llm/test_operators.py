@@ -204,6 +204,18 @@ def test_similar_groups_in_large_buckets(spark):
     assert [names[r.group] for r in sorted(rows, key=lambda r: r.doc_id)] == root and len(set(root)) < 30
 
 
+@pytest.mark.parametrize("n", [1, 5, 8, 10, 12, 15, 31, 63, 100, 120, 126, 127, 150])
+def test_similar_sets_share_a_key(n):
+    """Sets at the least similarity, and sets of which one lies in the other, always meet if one has fewer than SMALL shingles."""
+    draw = np.random.default_rng(n)
+    apart = int(n * 0.2 / 1.8 + 1e-9)  # of this many each set lacks the other's
+    for _ in range(300):
+        pool = draw.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 2 * n + 2).astype(np.uint64)
+        pairs = [(pool[:n], pool[apart:n + apart]), (pool[:n], pool[:int(n / 0.8 + 1e-9)])]
+        for a, b in pairs:
+            assert set(similar.bin_keys(np.sort(a))) & set(similar.bin_keys(np.sort(b)))
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a>menu</a></nav><article><h1>Title</h1>"
