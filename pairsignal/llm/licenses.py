@@ -1,14 +1,18 @@
 """License scans by diagonal voting.
 
 The words of a document and of the templates are compared by rolling k-grams: a k-gram that both have is a vote for the
-diagonal (document place minus template place). Votes are joined in Spark, added up per document, template and band of
-neighbouring diagonals (so that an inserted or missing word does not split a match), and a band is a match if its
-different template places cover enough of the template.
+diagonal (document place minus template place). Votes are joined in Spark and added up per document, template and
+diagonal; occupied diagonals that lie close together are one candidate, so inserted or missing words do not split a
+match. A candidate is verified word by word: it is a match if enough of the template's words stand there in order. Short
+templates must have enough of their k-grams too, and words that tell a template from another license must be there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairsignal.llm.common import hinted, row_key, settle, text_of, word_places, words_of
@@ -38,7 +42,8 @@ TEMPLATES = [
 
 GRAM = 4  # words of a template k-gram; a shorter template is one k-gram
 PROBE = 2  # its first words are hashed for the join, the rest is compared
-BAND = 8  # diagonals of a band; bands overlap by half, so any BAND / 2 neighbours are together in one
+DRIFT = 12  # words that may be put in between two neighbouring words of a match
+SHORT = 12  # templates of fewer words must have COVERAGE of their k-grams too
 COVERAGE = 0.7
 
 
@@ -54,10 +59,71 @@ def _grams(spark: SparkSession, templates: list[tuple[str, str]], base: list[tup
     return table.withColumn("h", F.xxhash64(*[F.get("gram", F.lit(i)) for i in range(PROBE)]))
 
 
+def _chains(words: list[str], passage: list[str], least: float) -> list[tuple[int, int, set[int]]]:
+    """Start, end and template places of the chains of template words in order, the longest first, none overlapping; with `least` of the words at least."""
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(passage):
+        places.setdefault(word, []).append(j)
+    ends: list[tuple[int, int, int, int, int]] = []  # matched, start, place, template place, the one before
+    first = 0
+    for i, word in enumerate(words):
+        own = []
+        while first < len(ends) and ends[first][2] < i - len(passage) - DRIFT:
+            first += 1
+        for j in places.get(word, ()):
+            before = [(n, start, at) for at, (n, start, p, q, _) in enumerate(ends[first:], first) if q < j and i - p <= j - q + DRIFT]
+            n, start, at = max(before, default=(0, i, -1))
+            own.append((n + 1, start, i, j, at))
+        ends += own
+    found: list[tuple[int, int, set[int]]] = []
+    for n, start, i, j, at in sorted(ends, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        if n < least * len(passage):
+            break
+        if all(i < a or start >= b for a, b, _ in found):
+            own = {j}
+            while at >= 0:
+                own.add(ends[at][3])
+                at = ends[at][4]
+            found.append((start, i + 1, own))
+    return found
+
+
+def _telling(templates: list[tuple[str, str]], coverage: float) -> list[set[int]]:
+    """Per template, the places of the words without which another label's template would pass for it."""
+    out = []
+    for label, passage in templates:
+        words, told = passage.split(), set()
+        for other, text in templates:
+            for _, _, own in _chains(text.split(), words, coverage)[:1] if other != label else ():
+                told |= set(range(len(words))) - own
+        out.append(told)
+    return out
+
+
+def _verified(candidates: DataFrame, templates: list[tuple[str, str]], coverage: float) -> DataFrame:
+    """The matches (key, label, start, end, coverage) in candidates (key, number, start, found)."""
+    passages, telling = [passage.split() for _, passage in templates], _telling(templates, coverage)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, out = [], []
+            for row, (number, low, words) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+                passage = passages[number]
+                for start, end, own in _chains(words, passage, coverage):
+                    if telling[number] <= own:
+                        owner.append(row)
+                        out.append((templates[number][0], low + start, low + end, 2 * len(own) / (len(passage) + end - start)))
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns], names=["key", "label", "start", "end", "coverage"])
+
+    return candidates.select("key", "number", "start", "found").mapInArrow(work, "key binary, label string, start long, end long, coverage double")
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base: list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for every row of docs.
 
-    spans lists the verified matches (label, start word, end word, coverage). score is the best coverage, 1 with a base
+    spans lists the verified matches (label, start word, end word, coverage); `coverage` of a template's words must stand
+    there in order, and the value given is twice their number by the words of template and span. score is the best coverage, 1 with a base
     phrase, 0 without any match. Null and empty texts have no words and no labels; rows equal in doc_id and text get
     the same values; only doc_id and text are read. Templates have two words or more.
     """
@@ -75,14 +141,26 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
     places = votes.filter("kind = 'base'").groupBy("key").agg(
         F.count("*").alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), F.collect_set("label").alias("base_set"),
     )
-    diagonal = F.col("pos") - F.col("tpl")
-    band = F.explode(F.array(F.struct(F.lit(0).alias("grid"), F.floor(diagonal / BAND).alias("band")), F.struct(F.lit(1).alias("grid"), F.floor((diagonal + BAND // 2) / BAND).alias("band"))))
-    bands = (
-        votes.filter("kind = 'text'").select("key", "template", "label", "tpl", "total", "pos", "size", band.alias("b"))
-        .groupBy("key", "template", "label", "total", "b", "tpl").agg(F.min("pos").alias("low"), F.max(F.col("pos") + F.col("size")).alias("high"))
-        .groupBy("key", "template", "label", "total", "b").agg((F.count("*") / F.col("total")).alias("coverage"), F.min("low").alias("start"), F.max("high").alias("end"))
-        .filter(F.col("coverage") >= coverage)
+    lengths = F.create_map(*[F.lit(x) for n, (_, passage) in enumerate(templates) for x in (n, len(passage.split()))])
+    apart = Window.partitionBy("key", "number").orderBy("diagonal")
+    # One row per diagonal: a document has no more of them for a template than it has words.
+    diagonals = (
+        votes.filter("kind = 'text'").withColumn("number", F.substring("template", 5, 9).cast("int"))
+        .groupBy("key", "number", "total", (F.col("pos") - F.col("tpl")).alias("diagonal")).agg(F.collect_set("tpl").alias("tpls"))
+        .withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(apart) > DRIFT).cast("int"), F.lit(1)))
+        .withColumn("island", F.sum("new").over(apart))
+    )
+    islands = (
+        diagonals.groupBy("key", "number", "total", "island").agg(
+            F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("tpls")))).alias("n"),
+        )
+        .withColumn("length", lengths[F.col("number")])
+        .filter((F.col("length") >= SHORT) | (F.col("n") >= F.col("total") * coverage))
+        .select("key", "number", F.greatest(F.col("low") - DRIFT, F.lit(0)).alias("start"), (F.col("high") + F.col("length") + DRIFT).alias("stop"))
     )
+    texts = rows.join(hinted(settle(islands)), "key").withColumn("words", words_of(text_of()))
+    found = texts.select("key", "number", "start", F.slice("words", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("found"))
+    bands = settle(_verified(found, templates, coverage))
     matched = bands.select("key", "label", "start", "end", "coverage").distinct().groupBy("key").agg(
         F.collect_set("label").alias("text_set"), F.max("coverage").alias("best"), F.sort_array(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans"),
     )  # per document, no longer than its own matches

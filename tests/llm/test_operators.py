@@ -93,6 +93,26 @@ def test_licenses(docs, empty):
     assert found.labels == "bsd" and 0.7 <= found.score < 1
 
 
+def test_licenses_with_inserted_and_changed_words(spark):
+    passage = licenses.TEMPLATES[0][1].split()
+    texts, want = [], []
+    for offset in range(8):
+        for drift in (5, 6, 7, 8, 12):
+            texts.append(" ".join(["x"] * offset + passage[:14] + ["y"] * drift + passage[14:]))
+            want.append("mit")
+    changed = list(passage)
+    for k in (6, 13, 20):
+        changed[k] = "z"
+    texts += [" ".join(changed), " ".join(["all rights reserved"] * 30), licenses.TEMPLATES[4][1], " ".join(licenses.TEMPLATES[6][1].replace("lesser ", "").split())]
+    want += ["mit", "all-rights-reserved", "gpl", "gpl"]
+    texts += [f"licensed under cc by {x} 4 0" for x in ("nc", "sa", "nd")] + [" ".join(passage[:10])]
+    want += ["cc-by-nc", "cc-by-sa", "", ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert [rows[i].labels for i in range(len(texts))] == want
+    assert [x.start for x in rows[7 * 5].spans] == [7] and len(rows[41].spans) == 30
+
+
 def library(text):
     return np.array(tokens.encoder(tokens.vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
 
