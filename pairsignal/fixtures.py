@@ -216,3 +216,10 @@ def exclusion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("rec_id"),
         F.concat((F.col("a") % 4).cast("string"), F.lit(", "), (F.col("b") % 4).cast("string"), F.lit(",x,-3, 0"), F.col("a").cast("string")).alias("listed"),
     )
+
+
+def crowd_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hand-typed component list per crowd recording: that of its first user."""
+    user = F.col("rec_id").cast("bigint")
+    first = F.min(F.struct(user.alias("user"), "listed")).alias("first")
+    return exclusion_texts(spark, sf_dir).groupBy(F.floor(user / GROUP).cast("string").alias("rec_id")).agg(first).select("rec_id", "first.listed")

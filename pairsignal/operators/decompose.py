@@ -7,6 +7,8 @@ lost executor costs one round at most.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +97,9 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
         sums = summed(attach(chunks, open_state.drop("done"), "rec_id", bound=recordings, numbers=numbers, spread="block"), ["rec_id"], contrast, "rec_id string")
         stepped = map_chunks(open_state.join(sums, "rec_id"), step, STATE)
         state = settle(state.filter("done").unionByName(stepped))
+    unfinished = state.filter(~F.col("done")).count()
+    if unfinished:
+        warnings.warn(f"the components of {unfinished} recordings have not converged in {max_rounds} rounds", stacklevel=2)
     return state
 
 

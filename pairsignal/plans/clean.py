@@ -49,10 +49,10 @@ def clean(
     state = decompose.fit_components(repaired, recordings, n_components, max_rounds=max_rounds)
     chosen = recordings.select("rec_id", F.array().cast("array<bigint>").alias("comps")) if excluded is None else excluded
     result = decompose.remove_components(repaired, state, chosen, recordings)
-    return Cleaned(result, reset, bad, state, cleaning_log(recordings, bad, chosen, l_freq, n_components))
+    return Cleaned(result, reset, bad, state, cleaning_log(recordings, bad, chosen, state, l_freq, n_components))
 
 
-def cleaning_log(recordings: DataFrame, bad: DataFrame, excluded: DataFrame, l_freq: float, n_components: int) -> DataFrame:
+def cleaning_log(recordings: DataFrame, bad: DataFrame, excluded: DataFrame, state: DataFrame, l_freq: float, n_components: int) -> DataFrame:
     """One audit record per recording."""
     per_criterion = bad.groupBy("rec_id", "criterion").agg(F.array_join(F.sort_array(F.collect_set("ch_idx")).cast("array<string>"), ",").alias("chs"))
     found = per_criterion.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("criterion", "chs"))).alias("found"))
@@ -60,6 +60,7 @@ def cleaning_log(recordings: DataFrame, bad: DataFrame, excluded: DataFrame, l_f
         recordings.join(found, "rec_id", "left")
         .join(quality.bad_summary(bad), "rec_id", "left")
         .join(excluded, "rec_id", "left")
+        .join(state.select("rec_id", "done"), "rec_id", "left")
     )
     count = F.coalesce("n_bad", F.lit(0).cast("bigint"))
     nothing = F.create_map().cast("map<string,string>")
@@ -73,7 +74,7 @@ def cleaning_log(recordings: DataFrame, bad: DataFrame, excluded: DataFrame, l_f
         report.step(2, "highpass_filter", F.format_string("Applied %.1f Hz high-pass filter", F.lit(float(l_freq))), {"l_freq": F.lit(l_freq)}),
         bad_step,
         report.step(4, "interpolate_bads", F.lit("Interpolated bad channels"), {"n_interpolated": count}),
-        report.step(5, "ica_fit", F.lit("Fitted components"), {"n_components": F.lit(n_components), "random_state": F.lit(decompose.SEED)}),
+        report.step(5, "ica_fit", F.lit("Fitted components"), {"n_components": F.lit(n_components), "random_state": F.lit(decompose.SEED), "converged": F.coalesce("done", F.lit(False))}),
         report.step(6, "ica_apply", F.lit("Removed chosen components"), {"excluded_components": comps}),
     )
     return report.processing_log(rows.select(F.col("rec_id").alias("original_file"), F.explode(steps).alias("entry")))

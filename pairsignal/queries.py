@@ -26,7 +26,6 @@ WINDOW = 10.0
 NEIGHBOURS = 3
 MANY_NEIGHBOURS = 100
 DIGITS = 6
-FIT_ROUNDS = 25
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -422,7 +421,7 @@ def remix_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ica_clean(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, _ = _paired(spark, sf)
-    state = decompose.fit_components(samples, recordings, 4, max_rounds=FIT_ROUNDS)
+    state = decompose.fit_components(samples, recordings, 4)
     listed = fx.exclusion_texts(spark, sf).select("rec_id", text.exclusion_list(F.col("listed")).alias("comps"))
     return _long(decompose.remove_components(samples, state, settle(listed), recordings), "rec_id", "t")
 
@@ -431,9 +430,10 @@ def ica_clean(spark: SparkSession, sf: str) -> DataFrame:
 def clean_recordings(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings = fx.crowd(spark, sf), settle(fx.crowd_recordings(spark, sf))
     table = settle(fx.crowd_channels(spark, sf))
+    listed = fx.crowd_exclusions(spark, sf).select("rec_id", text.exclusion_list(F.col("listed")).alias("comps"))
     cleaned = clean_plan.clean(
-        samples, recordings, table, fx.spiral_montage(table), taps=TAPS, hf_taps=SMOOTH, corr_seconds=WINDOW,
-        ransac_seconds=2 * WINDOW, n_components=4, max_rounds=FIT_ROUNDS,
+        samples, recordings, table, fx.spiral_montage(table), settle(listed), taps=TAPS, hf_taps=SMOOTH, corr_seconds=WINDOW,
+        ransac_seconds=2 * WINDOW, n_components=4,
     )
     return _long(cleaned.samples, "rec_id", "t")
 

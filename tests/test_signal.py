@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -199,3 +201,32 @@ def test_components_of_mixed_sources(spark):
     left = np.abs(np.corrcoef(out["a"].T, sources["a"])[:5, 5:])
     assert left[:, 0].max() < 0.1
     assert np.allclose(out["a"].mean(axis=0), recs["a"].mean(axis=1))
+
+
+def test_component_fits_that_stop_early_are_named(spark):
+    draw = np.random.default_rng(4)
+    mixed = draw.laplace(size=(400, 4)) @ draw.normal(size=(4, 4))
+    samples = spark.createDataFrame([("r", t, x.tolist()) for t, x in enumerate(mixed)], "rec_id string, t long, x array<double>")
+    shapes = spark.createDataFrame([("r", 1.0, 400, 4)], "rec_id string, sfreq double, n_samples long, n_channels int")
+    with pytest.warns(UserWarning, match="1 recordings have not converged in 1 rounds"):
+        decompose.fit_components(samples, shapes, 4, max_rounds=1)
+    assert decompose.fit_components(samples, shapes, 4).first().done
+
+
+def test_clean_recordings_excludes_components(spark, sf, monkeypatch):
+    from pairsignal import queries
+
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+
+    class Stop(Exception):
+        pass
+
+    def clean(samples, recordings, table, montage, excluded=None, **options):
+        assert "max_rounds" not in options and excluded is not None
+        assert {r.rec_id for r in excluded.collect() if r.comps} == {r.rec_id for r in recordings.collect()}
+        raise Stop
+
+    monkeypatch.setattr(queries.clean_plan, "clean", clean)
+    with pytest.raises(Stop):
+        queries.clean_recordings(spark, sf)
