@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairsignal.llm import decontaminate, exact_dedup, licenses, main_text, packing, quality, sharding, simhash, token_files, toxicity
+from pairsignal.llm import centroids, conversations, decontaminate, exact_dedup, licenses, main_text, packing, quality, sharding, simhash, token_files, toxicity
 from pairsignal.llm.common import read
 
 
@@ -50,16 +50,57 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pack, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_licenses, op6_shards, op7_token_files, op8_main_text, op9_quality, op10_near_duplicates,
+        op11_centroids, op12_conversations,
     )
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _rounds(rounds: int = 3) -> str:
+    """The rounds of the centroid clustering, one after the other, on one row per component."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""near{r} AS MATERIALIZED (
+            SELECT row_id, min({{'distance': distance, 'cluster': cluster}}) AS best
+            FROM (SELECT row_id, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM parts JOIN c{r} USING (dim) GROUP BY row_id, cluster) GROUP BY row_id
+        )""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+            SELECT cluster, dim, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+            FROM c{r} LEFT JOIN (SELECT best.cluster AS cluster, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM near{r} JOIN parts USING (row_id) GROUP BY ALL) USING (cluster, dim)
+        )""")
+    return ",\n        ".join(parts)
+
+
 ORACLE: dict[str, str] = {
+    "op11_centroids": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+        ),
+        parts AS MATERIALIZED (SELECT row_id, unnest(range(1, 65)) AS dim, unnest(v) AS x FROM kept),
+        first AS (SELECT row_id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS cluster FROM kept),
+        c0 AS MATERIALIZED (SELECT CAST(cluster AS INTEGER) AS cluster, dim, x AS c FROM first JOIN parts USING (row_id) WHERE cluster < 16),
+        {_rounds()},
+        names AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+        SELECT vec_id, best.cluster AS cluster, best.distance AS distance, CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM near3 JOIN kept USING (row_id) JOIN names ON names.cluster = near3.best.cluster
+    """,
     "op3_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
