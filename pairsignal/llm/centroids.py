@@ -8,7 +8,7 @@ shuffled but the k partial sums of every task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +80,13 @@ def cluster(table: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims: in
     for _ in range(rounds):
         centroids = update(vectors, centroids, dims)
     assigned = settle(vectors.select("vec_id", _nearest(F.col("v"), centroids).alias("near")).select("vec_id", "near.cluster", "near.distance"))
-    total = assigned.agg(F.try_sum("distance").alias("inertia"))
-    names = F.create_map(*[x for i, c in enumerate(centroids) for x in (F.lit(i), F.sha2(F.lit(",".join(map(str, c))), 256))])
-    parts = assigned.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
-    # k rows and one row: the bound of these broadcasts is the number of centroids.
-    return assigned.join(F.broadcast(parts), "cluster").join(F.broadcast(total)).select(
-        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", names[F.col("cluster")].alias("centroid_sha256"),
+    own = {r.cluster: r.total for r in assigned.groupBy("cluster").agg(F.try_sum("distance").alias("total")).collect()}
+    everything = None if None in own.values() or sum(own.values()) >= 1 << 63 else sum(own.values())
+
+    def by_cluster(value: Callable[[int], Column]) -> Column:  # k literals
+        return F.create_map(*[x for i in own for x in (F.lit(i), value(i))])[F.col("cluster")]
+
+    return assigned.select(
+        "vec_id", "cluster", "distance", by_cluster(lambda i: F.lit(own[i]).cast("bigint")).alias("cluster_inertia"), F.lit(everything).cast("bigint").alias("inertia"),
+        by_cluster(lambda i: F.sha2(F.lit(",".join(map(str, centroids[i]))), 256)).alias("centroid_sha256"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairsignal.llm import centroids, conversations, decontaminate, exact_dedup, licenses, main_text, packing, quality, sharding, simhash, token_files, toxicity
+from pairsignal.llm import centroids, chosen_path, conversations, decontaminate, exact_dedup, licenses, main_text, packing, quality, sharding, simhash, token_files, toxicity
 from pairsignal.llm.common import read
 
 
@@ -58,10 +58,14 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(read(spark, sf_dir, "conversations"))
 
 
+def op13_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pack, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_licenses, op6_shards, op7_token_files, op8_main_text, op9_quality, op10_near_duplicates,
-        op11_centroids, op12_conversations,
+        op11_centroids, op12_conversations, op13_near_duplicates,
     )
 }
 
