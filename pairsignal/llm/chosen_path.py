@@ -20,120 +20,19 @@ the end, it is compared with all that left with this leader.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pairsignal.llm.common import hinted, row_key, settle, text_of
-from pairsignal.llm.similar import shingles
+from pairsignal.llm.common import hinted, settle
 from pairsignal.llm.simhash import connected
+from pairsignal.llm.word_sets import FEATURES, alike, compared, sketch, through_followers, without_copies
 
 SHINGLE = 5
 PERCENT = 85
 TREES = 4
 BRANCHES = 2
-NODE = 32
+NODE = 512
 COORDINATES = 64  # tokens that are kept for branching
-HASHES = 256
-WORDS = HASHES // 64  # longs that hold a bit of each hash
-FEATURES = ["n", *[f"b{i}" for i in range(WORDS)]]
-TAIL = 18.0  # the bound on differing bits is passed by a link with probability exp(-TAIL)
-
-_DRAW = np.random.default_rng(13)
-_FACTORS, _SHIFTS, _MIXERS = (_DRAW.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(3))
-
-
-def minwise(found: np.ndarray) -> np.ndarray:
-    """The smallest hash of a set under each function."""
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    mixed = (found >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(mixed), 1024):
-        part = mixed[i:i + 1024] * _FACTORS[:, None] + _SHIFTS[:, None]
-        np.minimum(least, part.min(1), out=least)
-    return least
-
-
-def one_bits(least: np.ndarray) -> np.ndarray:
-    """A bit of each smallest hash, 64 to a long."""
-    return np.packbits((least * _MIXERS) >> np.uint32(31)).view("<i8")
-
-
-def bit_bound(similarity: float) -> int:
-    """The most differing bits that are looked at: more have probability exp(-TAIL) at this similarity (Chernoff)."""
-    p = (1 - similarity) / 2
-    for bits in range(int(np.ceil(HASHES * p)), HASHES // 2):
-        q = bits / HASHES
-        if HASHES * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))) >= TAIL:
-            return bits
-    return HASHES
-
-
-def _sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, row, n, digest, the bits and the tokens of every row of docs."""
-    schema = T.StructType(
-        [docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]
-        + [T.StructField(f"b{i}", T.LongType()) for i in range(WORDS)] + [T.StructField("tokens", T.ArrayType(T.IntegerType()))]
-    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests = [], []
-            least = np.empty((batch.num_rows, HASHES), np.uint32)
-            for i in range(batch.num_rows):
-                found = shingles(batch.column(2)[i].as_py(), words)
-                sizes.append(len(found))
-                digests.append(hashlib.sha256(found.tobytes()).digest())
-                least[i] = minwise(found)
-            bits = np.array([one_bits(x) for x in least], np.int64).reshape(-1, WORDS)
-            tokens = pa.array(np.ascontiguousarray(least[:, :COORDINATES]).view(np.int32).ravel())
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(tokens) + 1, COORDINATES), pa.int32()), tokens)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(bits[:, k]) for k in range(WORDS)], listed], names=schema.fieldNames())
-
-    rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), text_of().alias("text"))
-    return rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
-
-
-def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """row and its whole set."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [shingles(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)])
-                held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column(0), held], names=["row", "found"])
-
-    return rows.select("row", "text").mapInArrow(work, "row long, found array<long>")
-
-
-def compared(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame:
-    """x, y, shared, total (sizes of intersection and union) of the pairs of rows at or over the percentage, by whole sets.
-
-    heads has the key of each row; only texts of rows in the pairs are read into sets.
-    """
-    rows = settle(pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct())
-    asked = settle(heads.select("row", "key").join(hinted(rows), "row", "left_semi"))
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text_of().alias("text")).join(hinted(asked), "key")
-    sets = settle(_sets(texts, words))
-    left, right = sets.select(F.col("row").alias("x"), F.col("found").alias("fx")), sets.select(F.col("row").alias("y"), F.col("found").alias("fy"))
-    shared = pairs.select("x", "y").join(left, "x").join(right, "y").select(
-        "x", "y", F.size(F.array_intersect("fx", "fy")).cast("long").alias("shared"), (F.size("fx") + F.size("fy")).cast("long").alias("both")
-    )
-    return shared.select("x", "y", "shared", (F.col("both") - F.col("shared")).alias("total")).filter(F.col("shared") * 100 >= F.col("total") * percent).distinct()
-
-
-def _alike(x: str, y: str, percent: int) -> Column:
-    """Whether the sizes and bits of x and y leave the similarity open."""
-    bits = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(WORDS)), F.lit(0))
-    sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
-    return sizes & (bits <= bit_bound(percent / 100))
 
 
 def _roots() -> Column:
@@ -167,13 +66,13 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
         nodes = settle(current.groupBy("node").agg(F.count("*").alias("held"), first).filter("held > 1"))
         few = current.join(hinted(nodes.filter(F.col("held") <= node).select("node")), "node", "left_semi")
         x, y = few.alias("x"), few.alias("y")
-        close = (F.col("x.node") == F.col("y.node")) & (F.col("x.row") < F.col("y.row")) & _alike("x", "y", percent)
+        close = (F.col("x.node") == F.col("y.node")) & (F.col("x.row") < F.col("y.row")) & alike("x", "y", percent)
         few_pairs.append(settle(x.join(y, close).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct()))
         large = nodes.filter(F.col("held") > node).select("node", "leader")
         if not large.limit(1).count():
             break
         many = settle(current.join(hinted(large), "node").filter("row <> leader.row"))
-        asked = many.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(_alike("x", "y", loose))
+        asked = many.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
         asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
         found = settle(compared(asked, docs, heads, words, loose).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
         led.append(found)
@@ -181,29 +80,7 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
         follows = found.filter("linked").select(F.col("x").alias("row"), F.col("y").alias("lead"))
         rest = with_leader.join(hinted(follows), ["row", "lead"], "left_anti").join(members.select("row", "tokens"), "row")
         current = settle(rest.select("row", *FEATURES, _children(level)).select("row", *FEATURES, F.col("child").alias("node")).distinct())
-    pairs = few_pairs[0]
-    for more in few_pairs[1:]:
-        pairs = pairs.unionByName(more)
-    sure = settle(compared(settle(pairs.distinct()), docs, heads, words, percent).select("x", "y"))
-    if not led:
-        return sure
-    tried = led[0]
-    for more in led[1:]:
-        tried = tried.unionByName(more)
-    tried = settle(tried.select("x", "y", "linked").distinct())
-    follows = tried.filter("linked").select("x", "y")
-    sure = settle(sure.unionByName(follows).distinct())
-    missed = tried.filter("not linked").select(F.col("x").alias("miss"), F.col("y").alias("lead"))
-    if not missed.limit(1).count():
-        return sure
-    roots = settle(connected(sure.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
-    root = lambda row, name: roots.select(F.col("node").alias(row), F.col("root").alias(name))
-    apart = missed.join(root("miss", "mine"), "miss", "left").join(root("lead", "theirs"), "lead", "left")
-    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead)").select("miss", "lead"))  # a root is not among the nodes
-    features = lambda row, name: members.select(F.col("row").alias(row), F.struct("row", *FEATURES).alias(name))
-    asked = apart.join(features("miss", "x"), "miss").join(follows.select(F.col("x").alias("follower"), F.col("y").alias("lead")).join(features("follower", "y"), "follower"), "lead")
-    asked = settle(asked.filter(_alike("x", "y", percent)).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
-    return sure.unionByName(compared(asked, docs, heads, words, percent).select("x", "y"))
+    return through_followers(few_pairs, led, members, docs, words, percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, node: int = NODE) -> DataFrame:
@@ -214,12 +91,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     percent * union. component_id is the smallest doc_id reachable (null only if no row of the component has an id);
     kept rows are those that carry it. Repeated rows give repeated rows. Only doc_id and text are read.
     """
-    rows = settle(_sketch(docs, words))
-    groups = settle(rows.filter("n > 0").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("held")))
-    repeated = groups.filter("held > 1").select("digest", "first")
-    copies = settle(rows.filter("n > 0").select("row", "digest").join(hinted(settle(repeated)), "digest").select("row", "first"))
-    others = copies.filter("row <> first").select("row")
-    members = rows.filter("n > 0").join(hinted(others), "row", "left_anti")
+    rows = settle(sketch(docs, words, COORDINATES))
+    members, copies = without_copies(rows)
     found = links(members, docs, words, percent, node)
     roots = settle(connected(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     named = (

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.llm.common import hinted, ranked, row_key, settle
 
-BLOCK = 128
+BLOCK = 32
 INITIALS = "sua"  # any other initial is the fourth kind
 CLEAN, TRUNCATED, BLANK, DUPLICATE = range(4)
 START, SYSTEM, USER, ASSISTANT = range(4)  # states: nothing yet, behind s, behind u, behind a

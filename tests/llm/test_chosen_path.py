@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from pairsignal.llm import chosen_path
+from pairsignal.llm import chosen_path, word_sets
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -92,11 +92,11 @@ def test_bits_follow_the_similarity():
             base = draw.integers(0, 1 << 63, 400, np.uint64)
             shared = round(400 * 2 * similarity / (1 + similarity))
             other = np.concatenate([base[:shared], draw.integers(0, 1 << 63, 400 - shared, np.uint64)])
-            x, y = (chosen_path.one_bits(chosen_path.minwise(s)).view(np.uint64) for s in (base, other))
+            x, y = (word_sets.one_bits(word_sets.minwise(s)).view(np.uint64) for s in (base, other))
             bits.append(int(np.bitwise_count(x ^ y).sum()))
-        expected = chosen_path.HASHES * (1 - similarity) / 2
+        expected = word_sets.HASHES * (1 - similarity) / 2
         assert abs(np.mean(bits) - expected) < 0.15 * expected and np.std(bits) < 1.6 * np.sqrt(expected)
-    assert chosen_path.bit_bound(0.85) < chosen_path.bit_bound(0.7) < 100
+    assert word_sets.bit_bound(0.85) < word_sets.bit_bound(0.7) < 100
 
 
 def test_real_documents(spark):

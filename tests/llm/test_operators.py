@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from compare import connect, differences
-from pairsignal.llm import decontaminate, exact_dedup, licenses, main_text, packing, quality, queries, sharding, similar, simhash, token_files, tokens, toxicity
+from pairsignal.llm import decontaminate, exact_dedup, licenses, main_text, packing, quality, queries, sharding, similar, simhash, token_files, tokens, toxicity, word_sets
 
 SF_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -233,7 +233,18 @@ def test_similar_sets_share_a_key(n):
         pool = draw.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 2 * n + 2).astype(np.uint64)
         pairs = [(pool[:n], pool[apart:n + apart]), (pool[:n], pool[:int(n / 0.8 + 1e-9)])]
         for a, b in pairs:
-            assert set(similar.bin_keys(np.sort(a))) & set(similar.bin_keys(np.sort(b)))
+            assert set(similar.bin_keys(np.sort(a), 0.8)) & set(similar.bin_keys(np.sort(b), 0.8))
+
+
+def test_a_shared_line_makes_no_bucket(spark):
+    """Short texts that share one line and nothing else: the order puts the line last, so no two of them are compared."""
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = [f"{line} " + " ".join(f"t{n}w{i}" for i in range(30)) for n in range(5000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grades = similar.rarity(table, similar.SHINGLE, 0.8)
+    keys = collections.Counter(k for t in texts for k in similar.bin_keys(word_sets.shingles(t, similar.SHINGLE), 0.8, grades))
+    assert max(keys.values()) == 1
+    assert max(collections.Counter(k for t in texts for k in similar.bin_keys(word_sets.shingles(t, similar.SHINGLE), 0.8)).values()) == 5000
 
 
 def test_main_text():
