@@ -11,8 +11,9 @@ million, at the similarity asked for, and far fewer beyond it or where one split
 Sets are compared by size and by one bit of each of 256 minwise hashes first, and what that leaves by the whole sets.
 The bound on the bits is so wide that it loses one link in 10 million.
 
-Equal sets are one member. A larger node first compares all its members with one, its leader. Members similar to it
-leave the node with it, so a group of near copies costs comparisons in proportion to its size; the others branch on.
+Equal sets are one member. A larger node first compares all its members with its leader, the one whose bits are nearest
+to the majority's, as the original of a group of near copies has them. Members similar to it leave the node with it, so
+a group costs comparisons in proportion to its size; the others branch on, or are compared if few are left.
 A member that stays may still be similar to one that left: by the triangle inequality of the Jaccard distance its
 similarity with the leader is then at least 2 * similarity - 1. Where such a member is not in the leader's component in
 the end, it is compared with all that left with this leader.
@@ -20,18 +21,21 @@ the end, it is compared with all that left with this leader.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.llm.common import hinted, settle
 from pairsignal.llm.simhash import connected
-from pairsignal.llm.word_sets import FEATURES, alike, compared, sketch, through_followers, without_copies
+from pairsignal.llm.word_sets import FEATURES, WORDS, alike, compared, sketch, through_followers, without_copies
 
 SHINGLE = 5
 PERCENT = 85
 TREES = 4
 BRANCHES = 2
-NODE = 512
+NODE = 32
+SPARSE = 512  # larger nodes of up to this size are compared whole too, if their leader has nobody similar
 COORDINATES = 64  # tokens that are kept for branching
 
 
@@ -52,7 +56,23 @@ def _children(level: int) -> Column:
     return F.explode(F.array(*found)).alias("child")
 
 
-def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, node: int = NODE) -> DataFrame:
+def _leaders(many: DataFrame) -> DataFrame:
+    """node and leader: the member with the fewest bits that differ from the majority of the node's members."""
+    voted = [f"b{i}" for i in range(WORDS // 2)]
+
+    def bit(word: Column, k: int) -> Column:
+        return F.shiftrightunsigned(word, k).bitwiseAND(F.lit(1))
+
+    votes = many.groupBy("node").agg(*[F.sum(2 * bit(F.col(w), k) - 1).alias(f"{w}_{k}") for w in voted for k in range(64)])
+    one = [F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)]
+    none = F.lit(0).cast("bigint")
+    majority = votes.select("node", *[reduce(Column.bitwiseOR, [F.when(F.col(f"{w}_{k}") > 0, one[k]).otherwise(none) for k in range(64)]).alias(f"m_{w}") for w in voted])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"m_{w}"))) for w in voted), F.lit(0))
+    nearest = F.min(F.struct(apart.alias("apart"), F.xxhash64("row").alias("h"), "row", *FEATURES)).alias("leader")
+    return many.join(hinted(settle(majority)), "node").groupBy("node").agg(nearest)
+
+
+def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, node: int = NODE, sparse: int = SPARSE) -> DataFrame:
     """x, y: pairs of members (rows with different sets) at or over the percentage, enough to connect all that are."""
     heads = members.select("row", "key")
     loose = max(0, 2 * percent - 100)
@@ -60,30 +80,38 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
     few_pairs: list[DataFrame] = []
     led: list[DataFrame] = []
     level = 0
-    while True:
-        level += 1
-        first = F.min(F.struct(F.xxhash64("row").alias("h"), "row", *FEATURES)).alias("leader")
-        nodes = settle(current.groupBy("node").agg(F.count("*").alias("held"), first).filter("held > 1"))
-        few = current.join(hinted(nodes.filter(F.col("held") <= node).select("node")), "node", "left_semi")
+
+    def all_pairs(few: DataFrame) -> DataFrame:
         x, y = few.alias("x"), few.alias("y")
         close = (F.col("x.node") == F.col("y.node")) & (F.col("x.row") < F.col("y.row")) & alike("x", "y", percent)
-        few_pairs.append(settle(x.join(y, close).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct()))
-        large = nodes.filter(F.col("held") > node).select("node", "leader")
+        return settle(x.join(y, close).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
+
+    while True:
+        level += 1
+        nodes = settle(current.groupBy("node").agg(F.count("*").alias("held")).filter("held > 1"))
+        few_pairs.append(all_pairs(current.join(hinted(nodes.filter(F.col("held") <= node).select("node")), "node", "left_semi")))
+        large = nodes.filter(F.col("held") > node).select("node")
         if not large.limit(1).count():
             break
-        many = settle(current.join(hinted(large), "node").filter("row <> leader.row"))
-        asked = many.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
+        many = settle(current.join(hinted(large), "node", "left_semi"))
+        tried = settle(many.join(hinted(settle(_leaders(many))), "node").filter("row <> leader.row"))
+        asked = tried.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
         asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
         found = settle(compared(asked, docs, heads, words, loose).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
         led.append(found)
-        with_leader = many.select("node", "row", *FEATURES, F.col("leader.row").alias("lead"))
-        follows = found.filter("linked").select(F.col("x").alias("row"), F.col("y").alias("lead"))
-        rest = with_leader.join(hinted(follows), ["row", "lead"], "left_anti").join(members.select("row", "tokens"), "row")
-        current = settle(rest.select("row", *FEATURES, _children(level)).select("row", *FEATURES, F.col("child").alias("node")).distinct())
+        with_leader = tried.select("node", "row", *FEATURES, F.col("leader.row").alias("lead"))
+        follows = found.filter("linked").select(F.col("x").alias("row"), F.col("y").alias("lead"), F.lit(1).alias("follows"))
+        judged = settle(with_leader.join(hinted(follows), ["row", "lead"], "left").drop("lead"))
+        left = settle(judged.groupBy("node").agg(F.count_if(F.col("follows").isNull()).alias("left"), F.count("follows").alias("gone")))
+        rest = judged.filter("follows is null").drop("follows")
+        whole = (F.col("left") <= node) | ((F.col("left") <= sparse) & (F.col("gone") == 0))
+        few_pairs.append(all_pairs(rest.join(hinted(left.filter(whole).select("node")), "node", "left_semi")))
+        on = rest.join(hinted(left.filter(~whole).select("node")), "node", "left_semi").join(members.select("row", "tokens"), "row")
+        current = settle(on.select("row", *FEATURES, _children(level)).select("row", *FEATURES, F.col("child").alias("node")).distinct())
     return through_followers(few_pairs, led, members, docs, words, percent)
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, node: int = NODE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, node: int = NODE, sparse: int = SPARSE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     A set has the distinct shingles of `words` words (A-Z lower-cased, between ASCII white space); fewer words are one
@@ -93,7 +121,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     """
     rows = settle(sketch(docs, words, COORDINATES))
     members, copies = without_copies(rows)
-    found = links(members, docs, words, percent, node)
+    found = links(members, docs, words, percent, node, sparse)
     roots = settle(connected(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     named = (
         rows.select("doc_id", "n", "row").join(hinted(copies), "row", "left")

@@ -74,10 +74,10 @@ def rows():
     return rows + [rows[3], rows[3], (None, texts[40]), (None, None)]
 
 
-@pytest.mark.parametrize("node", [32, 5])
-def test_all_links(spark, rows, node):
+@pytest.mark.parametrize("node, sparse", [(32, 512), (5, 20)])
+def test_all_links(spark, rows, node, sparse):
     table = spark.createDataFrame([(*r, 1, "k", 2) for r in rows], "doc_id long, text string, n int, key string, row int")
-    assert result(chosen_path.near_duplicates(table, node=node)) == brute(rows)
+    assert result(chosen_path.near_duplicates(table, node=node, sparse=sparse)) == brute(rows)
 
 
 def test_empty(spark):
