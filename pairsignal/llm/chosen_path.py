@@ -2,11 +2,12 @@
 
 A document is the set of its word shingles, embedded as minwise tokens: under each of many hash functions the shingle
 with the smallest hash. Two sets have equal tokens at a coordinate with a probability that is their similarity. A tree
-starts with all sets in one node. A node branches on BRANCHES coordinates chosen by its path, and each coordinate splits
-its sets by their tokens there, so similar sets meet further down with a probability that hardly falls with the depth:
-with two branches and similarity s a pair is lost at a node with probability q = (1 - s + s * q) ** 2, which is 0.032
-for s = 0.85. In nodes of up to NODE sets all are compared. TREES independent trees lose 0.032 ** 4, one link in a
-million, at the similarity asked for, and far fewer beyond it or where one split is enough (0.15 ** 8).
+starts with all sets in one node, split by BRANCHES tokens, one after the other. A node below branches WIDTH times, each
+time by DEPTH tokens at once that are chosen by its path, so similar sets meet further down with a probability that
+hardly falls with the depth: with s for the similarity a pair that is in a node is lost below it with probability
+q = (1 - s ** DEPTH * (1 - q)) ** WIDTH, which is 0.013 for s = 0.85. In nodes of up to NODE sets all are compared.
+TREES independent trees lose less than one link in a million at the similarity asked for (0.15 ** 8 where the first
+split is enough), and far fewer beyond it.
 
 Sets are compared by size and by one bit of each of 256 minwise hashes first, and what that leaves by the whole sets.
 The bound on the bits is so wide that it loses one link in 10 million.
@@ -22,6 +23,7 @@ the end, it is compared with all that left with this leader.
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +35,10 @@ from pairsignal.llm.word_sets import FEATURES, WORDS, alike, compared, sketch, t
 SHINGLE = 5
 PERCENT = 85
 TREES = 4
-BRANCHES = 2
+BRANCHES = 2  # tokens a tree's root splits by, each for itself
+WIDTH, DEPTH = 6, 4  # branches below, and the tokens each of them splits by together
 NODE = 32
-SPARSE = 512  # larger nodes of up to this size are compared whole too, if their leader has nobody similar
+SPARSE = 512  # larger nodes of up to this size are compared whole too, if few are similar to their leader
 COORDINATES = 64  # tokens that are kept for branching
 
 
@@ -46,13 +49,15 @@ def _roots() -> Column:
 
 
 def _children(level: int) -> Column:
-    """The nodes below a node, by different coordinates that depend on its path."""
+    """The nodes below a node: each branch splits by the tokens at DEPTH coordinates that depend on the node's path."""
     first, rest = TREES * BRANCHES, COORDINATES - TREES * BRANCHES
-    start, step = (F.pmod(F.xxhash64("node", F.lit(k * 1000 + level)), F.lit(m)).cast("int") for k, m in ((1, rest), (2, rest // BRANCHES - 1)))
+    start = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(rest)).cast("int")
+    strides = [k for k in range(1, rest // 2) if gcd(k, rest) == 1]  # a stride visits every coordinate once
+    stride = F.element_at(F.lit(strides), F.pmod(F.xxhash64("node", F.lit(-level)), F.lit(len(strides))).cast("int") + 1)
     found = []
-    for b in range(BRANCHES):
-        coordinate = F.lit(first) + F.pmod(start + F.lit(b) * (step + 1), F.lit(rest))
-        found.append(F.xxhash64("node", coordinate, F.get("tokens", coordinate)))
+    for branch in range(WIDTH):
+        coordinates = [F.lit(first) + F.pmod(start + F.lit(branch * DEPTH + d) * stride, F.lit(rest)) for d in range(DEPTH)]
+        found.append(F.xxhash64("node", *[x for c in coordinates for x in (c, F.get("tokens", c))]))
     return F.explode(F.array(*found)).alias("child")
 
 
@@ -69,7 +74,7 @@ def _leaders(many: DataFrame) -> DataFrame:
     majority = votes.select("node", *[reduce(Column.bitwiseOR, [F.when(F.col(f"{w}_{k}") > 0, one[k]).otherwise(none) for k in range(64)]).alias(f"m_{w}") for w in voted])
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"m_{w}"))) for w in voted), F.lit(0))
     nearest = F.min(F.struct(apart.alias("apart"), F.xxhash64("row").alias("h"), "row", *FEATURES)).alias("leader")
-    return many.join(hinted(settle(majority)), "node").groupBy("node").agg(nearest)
+    return many.join(settle(majority), "node").groupBy("node").agg(nearest)
 
 
 def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, node: int = NODE, sparse: int = SPARSE) -> DataFrame:
@@ -94,7 +99,7 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
         if not large.limit(1).count():
             break
         many = settle(current.join(hinted(large), "node", "left_semi"))
-        tried = settle(many.join(hinted(settle(_leaders(many))), "node").filter("row <> leader.row"))
+        tried = many.join(hinted(settle(_leaders(many))), "node").filter("row <> leader.row")
         asked = tried.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
         asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
         found = settle(compared(asked, docs, heads, words, loose).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
@@ -104,7 +109,7 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
         judged = settle(with_leader.join(hinted(follows), ["row", "lead"], "left").drop("lead"))
         left = settle(judged.groupBy("node").agg(F.count_if(F.col("follows").isNull()).alias("left"), F.count("follows").alias("gone")))
         rest = judged.filter("follows is null").drop("follows")
-        whole = (F.col("left") <= node) | ((F.col("left") <= sparse) & (F.col("gone") == 0))
+        whole = (F.col("left") <= node) | ((F.col("left") <= sparse) & (F.col("gone") * 8 <= F.col("left")))
         few_pairs.append(all_pairs(rest.join(hinted(left.filter(whole).select("node")), "node", "left_semi")))
         on = rest.join(hinted(left.filter(~whole).select("node")), "node", "left_semi").join(members.select("row", "tokens"), "row")
         current = settle(on.select("row", *FEATURES, _children(level)).select("row", *FEATURES, F.col("child").alias("node")).distinct())

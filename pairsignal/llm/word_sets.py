@@ -115,8 +115,8 @@ def compared(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int, pe
 
     heads has the key of each row; only texts of rows in the pairs are read into sets.
     """
-    rows = settle(pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct())
-    asked = settle(heads.select("row", "key").join(hinted(rows), "row", "left_semi"))
+    rows = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct()
+    asked = settle(heads.select("row", "key").join(rows, "row", "left_semi"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text_of().alias("text")).join(hinted(asked), "key")
     sets = settle(_sets(texts, words))
     left, right = sets.select(F.col("row").alias("x"), F.col("found").alias("fx")), sets.select(F.col("row").alias("y"), F.col("found").alias("fy"))
@@ -149,18 +149,20 @@ def through_followers(few: list[DataFrame], led: list[DataFrame], members: DataF
     sure = settle(compared(settle(reduce(DataFrame.unionByName, few).distinct()), docs, heads, words, percent).select("x", "y"))
     if not led:
         return sure
-    tried = settle(reduce(DataFrame.unionByName, led).select("x", "y", "linked").distinct())
+    distance = (1 - F.col("shared") / F.col("total")).alias("distance")
+    tried = settle(reduce(DataFrame.unionByName, led).select("x", "y", "linked", distance).distinct())
     follows = tried.filter("linked").select("x", "y")
     sure = settle(sure.unionByName(follows).distinct())
-    missed = tried.filter("not linked").select(F.col("x").alias("miss"), F.col("y").alias("lead"))
+    missed = tried.filter("not linked").select(F.col("x").alias("miss"), F.col("y").alias("lead"), F.col("distance").alias("far"))
     if not missed.limit(1).count():
         return sure
     roots = settle(connected(sure.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     root = lambda row, name: hinted(roots).select(F.col("node").alias(row), F.col("root").alias(name))
     apart = missed.join(root("miss", "mine"), "miss", "left").join(root("lead", "theirs"), "lead", "left")
-    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead)").select("miss", "lead"))  # a root is not among the nodes
+    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead)").select("miss", "lead", "far"))  # a root is not among the nodes
     features = lambda row, name: members.select(F.col("row").alias(row), F.struct("row", *FEATURES).alias(name))
-    behind = follows.select(F.col("x").alias("follower"), F.col("y").alias("lead")).join(features("follower", "y"), "follower")
-    asked = apart.join(features("miss", "x"), "miss").join(behind, "lead").filter(alike("x", "y", percent))
+    behind = tried.filter("linked").select(F.col("x").alias("follower"), F.col("y").alias("lead"), F.col("distance").alias("near")).join(features("follower", "y"), "follower")
+    reach = F.col("far") - F.col("near") <= 1 - percent / 100 + 1e-9  # the triangle inequality once more
+    asked = apart.join(features("miss", "x"), "miss").join(behind, "lead").filter(reach & alike("x", "y", percent))
     asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
     return sure.unionByName(compared(asked, docs, heads, words, percent).select("x", "y"))
