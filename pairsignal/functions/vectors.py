@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +34,13 @@ def as_array(x: Column, kind: str) -> Column:
     return x.cast(f"array<{kind}>")
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def half(x: pd.Series) -> pd.Series:
-    """Round each element to half precision, kept as float."""
-    return x.map(lambda v: None if v is None else np.asarray(v).astype(np.float16).astype(np.float32))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def half(x: pa.Array) -> pa.Array:
+    """Round each element to half precision, kept as float; all rows of a batch in one conversion."""
+    values = x.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+    lengths = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values), mask=x.is_null())
 
 
 def seconds_to_sample(seconds: Column, sfreq: Column) -> Column:

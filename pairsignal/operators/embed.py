@@ -18,6 +18,8 @@ OFFSET = 10
 DIMENSIONS = 3
 FIELD_LEFT, FIELD_RIGHT = 5, 5
 RIDGE = 1e-9
+BASE, WANTED = -1, -2  # parts of the moment sums
+DRAW_MODULUS, DRAW_FACTOR = 2**31 - 1, 40503  # which time step a sample draws, in whole numbers
 
 
 def receptive_field(samples: DataFrame, key: str = "rec_id", left: int = FIELD_LEFT, right: int = FIELD_RIGHT,
@@ -51,8 +53,8 @@ def positive_pairs(embedded: DataFrame, keys: Sequence[str] = ("pairing", "run_i
 def nearest_label_pairs(labels: DataFrame, ends: DataFrame, key: str = "pairing", offset: int = OFFSET, block: int = BLOCK) -> DataFrame:
     """Positive pairs by label difference: ``key, t, target, t_pos, y_pos``.
 
-    ``labels`` is ``key, t, y``, ``ends`` has a row per key.  Each sample draws, by hash, a later time step's change ``y[s+offset] - y[s]`` and
-    is paired with the sample whose ``y`` is nearest to ``y + change`` (ties: smaller y, then smaller t).
+    ``labels`` is ``key, t, y``, ``ends`` has a row per key.  Each sample draws, by its time, a time step's change
+    ``y[s+offset] - y[s]`` and is paired with the sample whose ``y`` is nearest to ``y + change`` (ties: smaller y, then smaller t).
     """
     order = Window.partitionBy(key, "block").orderBy("t")
     spread = with_halo(labels.select(key, "t", "y"), block, 0, offset)
@@ -61,7 +63,7 @@ def nearest_label_pairs(labels: DataFrame, ends: DataFrame, key: str = "pairing"
     )
     changes = steps.select(key, F.col("t").alias("_s"), (F.col("_y2") - F.col("y")).alias("_change"))
     count = labels.groupBy(key).agg((F.max("t") + 1 - offset).alias("_m"))
-    drawn = attach(labels, count, key, bound=ends).filter("_m > 0").withColumn("_s", F.pmod(F.xxhash64("t"), F.col("_m")))
+    drawn = attach(labels, count, key, bound=ends).filter("_m > 0").withColumn("_s", F.pmod((F.col("t") % DRAW_MODULUS) * DRAW_FACTOR, F.col("_m")))
     wanted = drawn.join(changes, [key, "_s"]).select(key, "t", (F.col("y") + F.col("_change")).alias("target"))
     return nearest(wanted, labels, ends, key)
 
@@ -127,8 +129,8 @@ def _directions(total: np.ndarray, wanted: np.ndarray, d: int) -> np.ndarray:
     white = vectors[:, keep] / np.sqrt(values[keep])
     inner = white.T @ ((wanted + wanted.T) / 2) @ white
     contrast, rotation = np.linalg.eigh(inner)
-    # A direction without contrast would be noise of unit length: it stays zero.
-    rotation = rotation * (np.abs(contrast) > np.abs(contrast).max(initial=0) * RIDGE)
+    # A direction without contrast (a correlation, at most about 1) would be noise of unit length: it stays zero.
+    rotation = rotation * (np.abs(contrast) > np.abs(contrast).max(initial=1) * RIDGE)
     w = (white @ rotation[:, ::-1][:, :d]).T
     signs = np.sign(w[np.arange(len(w)), np.abs(w).argmax(axis=1)]) if w.size else np.ones(len(w))
     out = np.zeros((d, total.shape[0]))
@@ -140,52 +142,73 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
                dimensions: int = DIMENSIONS, block: int = CHUNK) -> DataFrame:
     """Projections that make positive pairs most similar, for all pairings and runs in one pass over the samples.
 
-    ``samples`` has ``pairing, t, x`` (and ``y`` for ``mode='label'``).  In mode 'time' the partner of a sample is
-    the one ``offset`` later, in mode 'label' any sample of its label.  Every run sees all samples, each with a weight
+    ``samples`` has ``pairing, t, x`` (and ``y`` for the modes 'label' and 'delta').  In mode 'time' the partner of a sample
+    is the one ``offset`` later, in mode 'label' any sample of its label, in mode 'delta' the sample whose label is nearest to
+    its own changed by that of a drawn time step (``nearest_label_pairs``).  Every run sees all samples, each with a weight
     drawn by hash (exponential, so runs differ as resampled data would).  Result: ``pairing, run_id, out_idx, w, b``.
     """
-    extra = ["y"] if mode == "label" else []
-    spread = with_halo(samples.select("pairing", "t", "x", *extra), block, 0, offset if mode == "time" else 0)
-    chunks = pack(spread, ["pairing"], extra=["core", *extra])
+    ddl = "pairing string, run_id int, part bigint"
+    if mode == "delta":
+        chunks = pack(partnered(samples, recordings, offset).withColumn("block", block_of("t", block)), ["pairing"])
+    else:
+        extra = ["y"] if mode == "label" else []
+        spread = with_halo(samples.select("pairing", "t", "x", *extra), block, 0, offset if mode == "time" else 0)
+        chunks = pack(spread, ["pairing"], extra=["core", *extra])
+
+    def moments(weight: np.ndarray, x: np.ndarray) -> np.ndarray:
+        weighted = x * weight[:, None]
+        return np.concatenate([[weight.sum()], weighted.sum(axis=0), (weighted.T @ x).ravel()])
+
+    def across(weight: np.ndarray, x: np.ndarray, partner: np.ndarray) -> np.ndarray:
+        weighted = x * weight[:, None]
+        return np.concatenate([[weight.sum()], weighted.sum(axis=0), weight @ partner, (weighted.T @ partner).ravel()])
 
     def run(row: dict):
-        x, t, core = matrix(row), row["ts"], np.asarray(row["core"], dtype=bool)
+        x, t = matrix(row), row["ts"]
         for r in range(runs):
-            weight = -np.log1p(-_mix(t[core], r))
-            xs = x[core]
-            weighted = xs * weight[:, None]
-            yield (row["pairing"], r, -1), np.concatenate([[weight.sum()], weighted.sum(axis=0), (weighted.T @ xs).ravel()])
+            weight = -np.log1p(-_mix(t, r))
+            if mode == "delta":
+                own, partner = x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
+                yield (row["pairing"], r, BASE), moments(weight, own)
+                yield (row["pairing"], r, WANTED), across(weight, own, partner)
+                continue
+            core = np.asarray(row["core"], dtype=bool)
+            own, weight = x[core], weight[core]
+            yield (row["pairing"], r, BASE), moments(weight, own)
             if mode == "time":
                 at = np.searchsorted(t, t[core] + offset)
                 found = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == t[core] + offset)
-                a, b, own = weighted[found], x[at[found]], weight[found]
-                yield (row["pairing"], r, -2), np.concatenate([[own.sum()], a.sum(axis=0), own @ b, (a.T @ b).ravel()])
+                yield (row["pairing"], r, WANTED), across(weight[found], own[found], x[at[found]])
             else:
                 y = np.asarray(row["y"][core], float) + 0.0
                 for label in np.unique(y):
-                    part = weighted[y == label]
-                    name = int(label.view(np.int64))  # the label's bits: fractions stay apart, and no label is -1 or -2
-                    yield (row["pairing"], r, name), np.concatenate([[weight[y == label].sum()], part.sum(axis=0)])
-
-    sums = summed(chunks, ["pairing", "run_id", "part"], run, "pairing string, run_id int, part bigint")
-    others = F.collect_list(F.when(F.col("part") != -1, F.struct("part", "v")))
-    gathered = sums.groupBy("pairing", "run_id").agg(
-        F.any_value(F.when(F.col("part") == -1, F.col("v")), F.lit(True)).alias("base"),
-        F.flatten(F.sort_array(others).getField("v")).alias("other"),
-    )
+                    part = y == label
+                    name = int(label.view(np.int64))  # the label's bits: fractions stay apart, and no label is BASE or WANTED
+                    yield (row["pairing"], r, name), np.concatenate([[weight[part].sum()], weight[part] @ own[part]])
+
+    def scatter(row: dict):
+        """A label's share of the sum over its pairs: the outer product of its sum by its weight."""
+        weight, total = row["v"][0], row["v"][1:]
+        yield (row["pairing"], row["run_id"], WANTED), (np.outer(total, total) / (weight or 1.0)).ravel()
+
+    sums = summed(chunks, ["pairing", "run_id", "part"], run, ddl)
+    if mode == "label":
+        sums = settle(sums)
+        per_label = summed(sums.filter(F.col("part") != BASE), ["pairing", "run_id", "part"], scatter, ddl)
+        sums = sums.filter(F.col("part") == BASE).unionByName(per_label)
+    part = lambda which: F.any_value(F.when(F.col("part") == which, F.col("v")), F.lit(True))
+    gathered = sums.groupBy("pairing", "run_id").agg(part(BASE).alias("base"), part(WANTED).alias("other"))
 
     def solve(row: dict) -> dict:
         n, c = row["base"][0], int(round((-1 + np.sqrt(1 + 4 * (len(row["base"]) - 1))) / 2))
         mean = row["base"][1 : 1 + c] / n
         total = row["base"][1 + c :].reshape(c, c) / n - np.outer(mean, mean)
         o = row["other"]
-        if mode == "time":
+        if mode == "label":
+            wanted = o.reshape(c, c) / n - np.outer(mean, mean)
+        else:
             m = o[0] or 1.0
             wanted = o[1 + 2 * c :].reshape(c, c) / m - np.outer(o[1 : 1 + c], o[1 + c : 1 + 2 * c]) / m**2
-        else:
-            groups = o.reshape(-1, 1 + c)
-            means = groups[:, 1:] / groups[:, :1] - mean
-            wanted = (groups[:, :1] * means).T @ means / n
         w = _directions(total, wanted, dimensions)
         return {
             "pairing": row["pairing"], "run_id": [row["run_id"]] * dimensions, "out_idx": np.arange(dimensions, dtype=np.int32),
@@ -195,6 +218,17 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
     return map_chunks(gathered, solve, "pairing string, run_id int, out_idx int, w array<double>, b double")
 
 
+def partnered(samples: DataFrame, recordings: DataFrame, offset: int = OFFSET) -> DataFrame:
+    """Each sample beside its partner by label difference: ``pairing, t, x`` with both vectors one after the other.
+
+    A sample may be the partner of very many, with a constant label of all; ``spread_join`` splits such a key.
+    """
+    found = settle(nearest_label_pairs(samples.select("pairing", "t", "y"), recordings, "pairing", offset).select("pairing", "t", "t_pos"))
+    both = found.join(samples.select("pairing", "t", "x"), ["pairing", "t"])
+    partner = samples.select("pairing", F.col("t").alias("t_pos"), F.col("x").alias("x_pos"))
+    return spread_join(both, partner, ["pairing", "t_pos"], "t").select("pairing", "t", F.concat("x", "x_pos").alias("x"))
+
+
 def transform(samples: DataFrame, projection: DataFrame, block: int = CHUNK) -> DataFrame:
     """Unit-length embeddings ``pairing, run_id, t, e`` of every sample under every run's projection."""
     packed = projection.groupBy("pairing").agg(F.sort_array(F.collect_list(F.struct("run_id", "out_idx", "w", "b"))).alias("_p"))

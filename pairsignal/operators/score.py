@@ -16,6 +16,7 @@ from pairsignal.session import settle
 # Temperature and batch size of the contrastive loss.
 TEMPERATURE = 1.12
 BATCH = 512
+LABEL_MODULUS, LABEL_FACTOR = 2**31 - 1, 48271  # spread the samples of a recording over batches, in whole numbers
 SPACE = ["pairing", "run_id"]
 
 
@@ -50,28 +51,68 @@ def infonce(embedded: DataFrame, recordings: DataFrame, temperature: float = TEM
     batched = attach(pairs, strides, "pairing", bound=recordings).withColumn("batch", F.pmod(F.col("t"), F.col("_n")))
     both = batched.select(*SPACE, "batch", "t", F.concat("e", "e_pos").alias("x"))
 
-    def loss(row: dict) -> dict | None:
+    def loss(row: dict) -> dict:
         x = matrix(row)
-        if len(x) < 2:
-            return None
         e, pos = x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
-        near = (e * pos).sum(axis=1) / temperature
-        far = np.exp((e @ e.T) / temperature)
-        np.fill_diagonal(far, 0.0)
-        value = np.log(far.sum(axis=1)) - near
-        return {
-            "pairing": row["pairing"], "run_id": row["run_id"], "n": [len(x)], "loss": [value.sum()],
-            "bits": [((np.log(len(x) - 1) - value) / np.log(2)).sum()],
-        }
+        return _batch_loss(row, e, pos, temperature)
+
+    return _goodness(map_chunks(pack(both, SPACE, "batch"), loss, BATCH_LOSS))
+
+
+BATCH_LOSS = "pairing string, run_id int, n bigint, scored bigint, loss double, bits double"
+
+
+def _batch_loss(row: dict, e: np.ndarray, pos: np.ndarray, temperature: float) -> dict:
+    """Summed loss of a batch; a reference that is alone has no negatives and is counted without a loss."""
+    found = {"pairing": row["pairing"], "run_id": row["run_id"], "n": [len(e)]}
+    if len(e) < 2:
+        return {**found, "scored": [0], "loss": [0.0], "bits": [0.0]}
+    near = (e * pos).sum(axis=1) / temperature
+    far = np.exp((e @ e.T) / temperature)
+    np.fill_diagonal(far, 0.0)
+    value = np.log(far.sum(axis=1)) - near
+    return {**found, "scored": [len(e)], "loss": [value.sum()], "bits": [((np.log(len(e) - 1) - value) / np.log(2)).sum()]}
 
-    per_batch = map_chunks(pack(both, SPACE, "batch"), loss, "pairing string, run_id int, n bigint, loss double, bits double")
+
+def _goodness(per_batch: DataFrame) -> DataFrame:
+    """Means over the references that have negatives; ``n`` counts all."""
     return per_batch.groupBy(*SPACE).agg(
         F.sum("n").alias("n"),
-        (F.sum("loss") / F.sum("n")).alias("loss"),
-        (F.sum("bits") / F.sum("n")).alias("bits"),
+        F.try_divide(F.sum("loss"), F.sum("scored")).alias("loss"),
+        F.try_divide(F.sum("bits"), F.sum("scored")).alias("bits"),
     )
 
 
+def infonce_labelled(embedded: DataFrame, recordings: DataFrame, temperature: float = TEMPERATURE, batch: int = BATCH) -> DataFrame:
+    """Goodness of fit of a labelled embedding: ``pairing, run_id, n, loss, bits``.
+
+    ``embedded`` has ``pairing, run_id, t, e, y``; rows without a label are no references.  Which batch a sample is in
+    depends on a multiple of its time, not on its place in the recording, so batches have ``batch`` samples on average and
+    neighbours in time or channel are in different ones.  The positive of a reference comes from its own batch: the sample
+    whose label is nearest to the reference's, of several the next one in time (from the last on to the first).  The rest
+    of the batch are the negatives.  Every reference is counted.
+    """
+    whole = embedded.filter("y is not null").withColumn("e", unit(F.col("e")))
+    counts = recordings.select("pairing", F.greatest(F.floor(F.col("n_samples") / batch), F.lit(1)).cast("bigint").alias("_n"))
+    mixed = (F.col("t") % LABEL_MODULUS) * LABEL_FACTOR % LABEL_MODULUS
+    batched = attach(whole, counts, "pairing", bound=recordings).withColumn("batch", F.pmod(mixed, F.col("_n")))
+    rows = batched.select(*SPACE, "batch", "t", F.concat("e", F.array(F.col("y").cast("double"))).alias("x"))
+
+    def loss(row: dict) -> dict:
+        x = matrix(row)
+        e, y = x[:, :-1], x[:, -1]
+        n = len(e)
+        pos = e
+        if n > 1:
+            apart = np.abs(y[:, None] - y[None, :])
+            np.fill_diagonal(apart, np.inf)
+            ahead = (np.arange(n)[None, :] - np.arange(n)[:, None]) % n
+            pos = e[np.where(apart == apart.min(axis=1, keepdims=True), ahead, n + 1).argmin(axis=1)]
+        return _batch_loss(row, e, pos, temperature)
+
+    return _goodness(map_chunks(pack(rows, SPACE, "batch"), loss, BATCH_LOSS))
+
+
 def bits(loss: Column, n: Column | int = BATCH) -> Column:
     """Goodness of fit of a loss with ``n`` negatives."""
     return (F.log(F.lit(n).cast("double") if isinstance(n, int) else n.cast("double")) - loss) / F.log(F.lit(2.0))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pairsignal import fixtures as fx
-from pairsignal.operators import quality, score
-from pairsignal.queries import MANY_NEIGHBOURS, NEIGHBOURS, SMOOTH, TAPS, TRIM, WINDOW
+from pairsignal.operators import compare, embed, quality, score
+from pairsignal.queries import LABEL_BATCH, MANY_NEIGHBOURS, NEIGHBOURS, SMOOTH, SYNC_LAG, SYNC_WINDOW, TAPS, TRIM, WINDOW
 
 ORACLE: dict[str, str] = {}
 
@@ -441,3 +441,69 @@ SELECT 'user' || user_id || '.edf' AS original_file, '2024-01-31T00:00:00' AS ts
        'Loaded ' || n || ' events' AS description, CAST(n AS VARCHAR) AS param FROM users
 UNION ALL
 SELECT 'user' || user_id || '.edf', '2024-01-31T00:00:00', 1, 'select', 'Kept event types', CAST(c AS VARCHAR) FROM users""")
+
+# Labels by difference, labelled goodness of fit
+
+LABELS = "SELECT vec_id AS t, list_sum(list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1000))) AS y FROM embeddings"
+_add("nearest_label_pairs", {
+    "labels_of": LABELS,
+    "changes": f"SELECT a.t AS s, b.y - a.y AS change FROM labels_of a JOIN labels_of b ON b.t = a.t + {embed.OFFSET}",
+    "wanted": f"""
+  SELECT t, y + change AS target FROM labels_of CROSS JOIN (SELECT max(t) + 1 - {embed.OFFSET} AS m FROM labels_of)
+  JOIN changes ON s = ((t % {embed.DRAW_MODULUS}) * {embed.DRAW_FACTOR}) % m"""}, """
+SELECT 'all' AS pairing, t, target, t_pos, y_pos FROM (
+  SELECT w.t, w.target, l.t AS t_pos, l.y AS y_pos, row_number() OVER (PARTITION BY w.t ORDER BY abs(w.target - l.y), l.y, l.t) AS r
+  FROM wanted w CROSS JOIN labels_of l) WHERE r = 1""")
+
+
+def _labelled(y: str) -> tuple[dict[str, str], str]:
+    mixed = f"((vec_id % {score.LABEL_MODULUS}) * {score.LABEL_FACTOR}) % {score.LABEL_MODULUS}"
+    return {
+        "n": f"SELECT CAST(greatest(floor((max(vec_id) + 1) / CAST({LABEL_BATCH} AS DOUBLE)), 1) AS BIGINT) AS b FROM embeddings",
+        "members": f"SELECT vec_id AS t, {mixed} % n.b AS batch, {y} AS y, embedding::DOUBLE[] AS e FROM embeddings CROSS JOIN n",
+        "paired": f"""
+  SELECT a.t, a.y, b.t AS u, list_cosine_similarity(a.e, b.e) / CAST({score.TEMPERATURE} AS DOUBLE) AS sim,
+         row_number() OVER (PARTITION BY a.t ORDER BY abs(a.y - b.y), b.t < a.t, b.t) AS r
+  FROM members a JOIN members b ON a.batch = b.batch AND a.t <> b.t""",
+        "losses": "SELECT t, ln(sum(exp(sim))) - max(CASE WHEN r = 1 THEN sim END) AS loss, ln(CAST(count(*) AS DOUBLE)) AS ceiling FROM paired GROUP BY t",
+    }, """
+SELECT 'all' AS pairing, 0 AS run_id, (SELECT count(*) FROM members) AS n, round(avg(loss), 6) AS loss,
+       round(avg((ceiling - loss) / ln(CAST(2 AS DOUBLE))), 6) AS bits FROM losses"""
+
+
+_add("infonce_labelled", *_labelled("list_sum(list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1000)))"))
+_add("infonce_classes", *_labelled("label"))
+
+# Synchrony and groups
+
+SYNC = {**G, "lagged": f"""
+  SELECT d.dyad_id, a.t // {SYNC_WINDOW} AS win, CAST(l.lag AS INTEGER) AS lag, a.ch_idx, a.x, b.x AS y
+  FROM dyads d JOIN dense a ON a.rec_id = d.rec_a CROSS JOIN (SELECT unnest(range(-{SYNC_LAG}, {SYNC_LAG} + 1)) AS lag) l
+  LEFT JOIN dense b ON b.rec_id = d.rec_b AND b.ch_idx = a.ch_idx AND b.t = a.t + l.lag""", "synced": """
+  SELECT dyad_id, win, lag, ch_idx, count(y) AS n,
+         CASE WHEN max(x) FILTER (y IS NOT NULL) > min(x) FILTER (y IS NOT NULL) AND max(y) > min(y) THEN corr(y, x) END AS r
+  FROM lagged GROUP BY ALL"""}
+_add("window_synchrony", SYNC, "SELECT dyad_id, win, lag, ch_idx, n, round(r, 6) AS r FROM synced")
+_add("synchrony_by_leader", SYNC, """
+SELECT dyad_id, CASE sign(lag) WHEN 1 THEN 'speaker' WHEN -1 THEN 'listener' ELSE 'none' END AS leader, count(r) AS n, round(avg(r), 6) AS r
+FROM synced GROUP BY 1, 2""")
+RUN_VALUES = {"ragged": RAGGED, "run_values": """
+  SELECT CASE WHEN CAST(rec_id AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, rec_id AS pairing, ch_idx AS run_id,
+         CAST(sum(CAST(round(x * 100) AS BIGINT)) AS BIGINT) // count(*) AS value FROM ragged GROUP BY ALL"""}
+_add("metrics_rollup", RUN_VALUES, """
+SELECT grp, pairing, CAST(run_id AS VARCHAR) AS run_id, CAST(3 - (grouping(grp) + grouping(pairing) + grouping(run_id)) AS INTEGER) AS level, count(value) AS n,
+       round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM run_values GROUP BY ROLLUP (grp, pairing, run_id)""")
+_add("group_comparison", {**RUN_VALUES,
+    "units": "SELECT CAST(pairing AS BIGINT) AS u, grp = 'even' AS given, CAST(sum(value) AS BIGINT) AS v FROM run_values GROUP BY ALL",
+    "sizes": "SELECT count(*) AS a, count(*) FILTER (given) AS f FROM units",
+    "drawn": f"""
+  SELECT p, v, CASE WHEN p = 0 THEN given ELSE ((((u % {compare.MODULUS}) * {compare.FACTOR} + p * {compare.STEP}) % {compare.MODULUS}) * {compare.FACTOR})
+         % {compare.MODULUS} * a < f * {compare.MODULUS} END AS i
+  FROM units CROSS JOIN sizes CROSS JOIN (SELECT unnest(range({compare.RELABELLINGS} + 1)) AS p)""",
+    "means": """
+  SELECT p, count(*) FILTER (i) AS n1, count(*) FILTER (NOT i) AS n0, CAST(sum(v) FILTER (i) AS DOUBLE) / nullif(count(*) FILTER (i), 0) AS m1,
+         CAST(sum(v) FILTER (NOT i) AS DOUBLE) / nullif(count(*) FILTER (NOT i), 0) AS m0 FROM drawn GROUP BY p"""}, """
+SELECT r.n1 AS n_first, r.n0 AS n_rest, round(r.m1, 6) AS mean_first, round(r.m0, 6) AS mean_rest, round(r.m1 - r.m0, 6) AS difference,
+       round(CAST((SELECT count(*) FROM means m WHERE abs(m.m1 - m.m0) >= abs(r.m1 - r.m0)) AS DOUBLE) / (SELECT count(*) FROM means WHERE m1 - m0 IS NOT NULL), 6) AS p
+FROM means r WHERE r.p = 0""")
+_add("recorded_runs", RUN_VALUES, "SELECT grp, run_id, pairing, value FROM run_values")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from pairsignal import fixtures as fx
 from pairsignal.functions import text
 from pairsignal.functions.vectors import cosine, half
-from pairsignal.operators import align, channels, decompose, embed, filters, interpolate, knn, prepare, quality, remix, report, score
+from pairsignal.operators import align, channels, compare, decompose, embed, filters, interpolate, knn, prepare, quality, remix, report, score, synchrony
 from pairsignal.operators.blocks import ROW_NUMBERS
 from pairsignal.plans import clean as clean_plan
 from pairsignal.plans import train as train_plan
-from pairsignal.session import settle
+from pairsignal.session import ensure_checkpoint_dir, settle
+from pairsignal.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +28,8 @@ WINDOW = 10.0
 NEIGHBOURS = 3
 MANY_NEIGHBOURS = 100
 DIGITS = 6
+LABEL_BATCH = 64
+SYNC_WINDOW, SYNC_LAG = 10, 2
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -467,10 +471,23 @@ def nearest_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nearest_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    v = _halves(fx.vectors(spark, sf)).select("pairing", "t", "y")
+    v = _whole_label(fx.vectors(spark, sf)).select("pairing", "t", "y")
     return embed.nearest_label_pairs(v, _vector_lengths(v))
 
 
+def _whole_label(v: DataFrame) -> DataFrame:
+    """``y`` from the whole vector, in whole numbers so that every order of summing gives the same."""
+    return v.withColumn("y", _total(F.transform("e", lambda x: F.floor(x * 1000).cast("double"))))
+
+
+@query
+def embed_label_delta(spark: SparkSession, sf: str) -> DataFrame:
+    v = _whole_label(fx.vectors(spark, sf))
+    lengths = settle(_vector_lengths(v).withColumn("n_train", F.col("n_samples")))
+    made = embed.embed_linear(v.select("pairing", "t", F.col("e").alias("x"), "y"), lengths, "delta", runs=2)
+    return made.select("pairing", "run_id", "t", F.posexplode("e").alias("dim", "e"))
+
+
 @query
 def embed_linear(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, dyads = _paired(spark, sf)
@@ -531,6 +548,20 @@ def infonce_bits(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("pairing", "run_id", "n", r6("loss").alias("loss"), r6("bits").alias("bits"))
 
 
+@query
+def infonce_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _whole_label(fx.vectors(spark, sf))
+    found = score.infonce_labelled(vectors, _vector_lengths(vectors), batch=LABEL_BATCH)
+    return found.select("pairing", "run_id", "n", r6("loss").alias("loss"), r6("bits").alias("bits"))
+
+
+@query
+def infonce_classes(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = fx.vectors(spark, sf).withColumn("y", F.col("label"))
+    found = score.infonce_labelled(vectors, _vector_lengths(vectors), batch=LABEL_BATCH)
+    return found.select("pairing", "run_id", "n", r6("loss").alias("loss"), r6("bits").alias("bits"))
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     return fx.ragged(spark, sf).select(
         F.col("rec_id").alias("pairing"), F.col("ch_idx").alias("run_id"), F.col("t").cast("int").alias("iter"), F.log1p("x").alias("loss")
@@ -600,6 +631,56 @@ def decode_continuous(spark: SparkSession, sf: str) -> DataFrame:
     return score.decode_continuous(vectors, traits, 0.01)
 
 
+# Synchrony and groups
+
+def _synchrony(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    samples, _, dyads = _paired(spark, sf)
+    return synchrony.window_synchrony(samples, dyads, SYNC_WINDOW, SYNC_LAG), dyads
+
+
+@query
+def window_synchrony(spark: SparkSession, sf: str) -> DataFrame:
+    return _synchrony(spark, sf)[0].withColumn("r", r6("r"))
+
+
+@query
+def synchrony_by_leader(spark: SparkSession, sf: str) -> DataFrame:
+    return synchrony.synchrony_by_leader(*_synchrony(spark, sf)).withColumn("r", r6("r"))
+
+
+def _run_values(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole-number metric of each user's run (event type): the mean value in hundredths; users alternate in two groups."""
+    long = fx.ragged(spark, sf)
+    cents = F.round(F.col("x") * 100).cast("bigint")
+    found = long.groupBy(F.col("rec_id").alias("pairing"), F.col("ch_idx").alias("run_id")).agg(F.sum(cents).alias("s"), F.count(F.lit(1)).alias("n"))
+    return found.select(
+        F.when(F.col("pairing").cast("bigint") % 2 == 0, "even").otherwise("odd").alias("grp"), "pairing", "run_id", F.expr("s div n").alias("value")
+    )
+
+
+@query
+def metrics_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    found = compare.metrics_rollup(_run_values(spark, sf), ["grp", "pairing", "run_id"], "value")
+    return found.withColumns({"run_id": F.col("run_id").cast("string"), "mean": r6("mean"), "sd": r6("sd")})
+
+
+@query
+def group_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    units = _run_values(spark, sf).groupBy("grp", "pairing").agg(F.sum("value").alias("value")).withColumn("unit", F.col("pairing").cast("bigint"))
+    found = compare.group_comparison(units, "even")
+    return found.withColumns({c: r6(c) for c in ("mean_first", "mean_rest", "difference", "p")})
+
+
+@query
+def recorded_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Metric rows written twice, as by a rerun, and read back: every row once."""
+    path = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    rows = _run_values(spark, sf).select("grp", "run_id", "pairing", "value")
+    for _ in range(2):
+        tables.record_runs(rows, path, ["grp", "run_id"])
+    return tables.read_runs(spark, path, "pairing string, value bigint, grp string, run_id int")
+
+
 # Runs and reports
 
 def _status(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,20 @@ def write_csv(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).option("header", True).csv(path)
 
 
+def record_runs(rows: DataFrame, path: str, keys: Sequence[str], kind: str = "csv") -> None:
+    """Metric rows under ``key=value`` folders; a rerun replaces the rows of its own keys and no others.
+
+    Spark writes into a staging folder and moves whole partitions when all tasks have ended, so neither a lost executor nor
+    a second run leaves rows twice.
+    """
+    writer = rows.repartition(*keys).write.mode("overwrite").partitionBy(*keys).option("partitionOverwriteMode", "dynamic")
+    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
+
+def read_runs(spark: SparkSession, path: str, ddl: str, kind: str = "csv") -> DataFrame:
+    return spark.read.schema(ddl).option("header", True).format(kind).load(path)
+
+
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).option("header", True).csv(path)
 
