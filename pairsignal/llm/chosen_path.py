@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.llm.common import hinted, settle
 from pairsignal.llm.simhash import connected
-from pairsignal.llm.word_sets import FEATURES, WORDS, alike, compared, sketch, through_followers, without_copies
+from pairsignal.llm.word_sets import FEATURES, alike, compared, sketch, through_followers, without_copies
 
 SHINGLE = 5
 PERCENT = 85
@@ -38,7 +38,7 @@ TREES = 4
 BRANCHES = 2  # tokens a tree's root splits by, each for itself
 WIDTH, DEPTH = 6, 4  # branches below, and the tokens each of them splits by together
 NODE = 32
-SPARSE = 512  # larger nodes of up to this size are compared whole too, if few are similar to their leader
+SPARSE = 1024  # larger nodes of up to this size are compared whole too, if few are similar to their leader
 COORDINATES = 64  # tokens that are kept for branching
 
 
@@ -63,7 +63,7 @@ def _children(level: int) -> Column:
 
 def _leaders(many: DataFrame) -> DataFrame:
     """node and leader: the member with the fewest bits that differ from the majority of the node's members."""
-    voted = [f"b{i}" for i in range(WORDS // 2)]
+    voted = ["b0"]  # 64 bits tell the original of a group from its copies well enough
 
     def bit(word: Column, k: int) -> Column:
         return F.shiftrightunsigned(word, k).bitwiseAND(F.lit(1))
@@ -81,7 +81,7 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
     """x, y: pairs of members (rows with different sets) at or over the percentage, enough to connect all that are."""
     heads = members.select("row", "key")
     loose = max(0, 2 * percent - 100)
-    current = settle(members.select("row", *FEATURES, _roots()).distinct())
+    current = settle(members.select("row", *FEATURES, _roots()))
     few_pairs: list[DataFrame] = []
     led: list[DataFrame] = []
     level = 0
@@ -89,30 +89,34 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
     def all_pairs(few: DataFrame) -> DataFrame:
         x, y = few.alias("x"), few.alias("y")
         close = (F.col("x.node") == F.col("y.node")) & (F.col("x.row") < F.col("y.row")) & alike("x", "y", percent)
-        return settle(x.join(y, close).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
+        return settle(x.join(y, close).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")))
 
+    tokens = members.select("row", "tokens")
+    waiting = current.limit(0)  # nodes that the level before leaves to be compared whole
     while True:
         level += 1
         nodes = settle(current.groupBy("node").agg(F.count("*").alias("held")).filter("held > 1"))
-        few_pairs.append(all_pairs(current.join(hinted(nodes.filter(F.col("held") <= node).select("node")), "node", "left_semi")))
+        small = current.join(hinted(nodes.filter(F.col("held") <= node).select("node")), "node", "left_semi")
+        few_pairs.append(all_pairs(small.select("node", "row", *FEATURES).unionByName(waiting.select("node", "row", *FEATURES))))
         large = nodes.filter(F.col("held") > node).select("node")
         if not large.limit(1).count():
             break
-        many = settle(current.join(hinted(large), "node", "left_semi"))
+        many = current.join(hinted(large), "node", "left_semi")
+        many = settle(many if "tokens" in many.columns else many.join(tokens, "row"))
         tried = many.join(hinted(settle(_leaders(many))), "node").filter("row <> leader.row")
         asked = tried.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
         asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
         found = settle(compared(asked, docs, heads, words, loose).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
         led.append(found)
-        with_leader = tried.select("node", "row", *FEATURES, F.col("leader.row").alias("lead"))
+        with_leader = tried.select("node", "row", *FEATURES, "tokens", F.col("leader.row").alias("lead"))
         follows = found.filter("linked").select(F.col("x").alias("row"), F.col("y").alias("lead"), F.lit(1).alias("follows"))
         judged = settle(with_leader.join(hinted(follows), ["row", "lead"], "left").drop("lead"))
         left = settle(judged.groupBy("node").agg(F.count_if(F.col("follows").isNull()).alias("left"), F.count("follows").alias("gone")))
         rest = judged.filter("follows is null").drop("follows")
         whole = (F.col("left") <= node) | ((F.col("left") <= sparse) & (F.col("gone") * 8 <= F.col("left")))
-        few_pairs.append(all_pairs(rest.join(hinted(left.filter(whole).select("node")), "node", "left_semi")))
-        on = rest.join(hinted(left.filter(~whole).select("node")), "node", "left_semi").join(members.select("row", "tokens"), "row")
-        current = settle(on.select("row", *FEATURES, _children(level)).select("row", *FEATURES, F.col("child").alias("node")).distinct())
+        waiting = rest.join(hinted(left.filter(whole).select("node")), "node", "left_semi")
+        on = rest.join(hinted(left.filter(~whole).select("node")), "node", "left_semi")
+        current = settle(on.select("row", *FEATURES, "tokens", _children(level)).drop("node").withColumnRenamed("child", "node"))
     return through_followers(few_pairs, led, members, docs, words, percent)
 
 

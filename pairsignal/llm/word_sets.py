@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairsignal.llm.common import hinted, parts_of, row_key, settle, text_of
-from pairsignal.llm.simhash import SEED, connected
+from pairsignal.llm.simhash import SEED
 
 HASHES = 256
 WORDS = HASHES // 64  # longs that hold a bit of each hash
@@ -156,10 +156,11 @@ def through_followers(few: list[DataFrame], led: list[DataFrame], members: DataF
     missed = tried.filter("not linked").select(F.col("x").alias("miss"), F.col("y").alias("lead"), F.col("distance").alias("far"))
     if not missed.limit(1).count():
         return sure
-    roots = settle(connected(sure.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
-    root = lambda row, name: hinted(roots).select(F.col("node").alias(row), F.col("root").alias(name))
-    apart = missed.join(root("miss", "mine"), "miss", "left").join(root("lead", "theirs"), "lead", "left")
-    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead)").select("miss", "lead", "far"))  # a root is not among the nodes
+    # What follows the same leader is connected already; a leader that follows another one counts with that one.
+    stars = settle(follows.groupBy("x").agg(F.min("y").alias("star")))
+    star = lambda row, name: hinted(stars).select(F.col("x").alias(row), F.col("star").alias(name))
+    apart = missed.join(star("miss", "mine"), "miss", "left").join(star("lead", "theirs"), "lead", "left")
+    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead) and not mine <=> lead").select("miss", "lead", "far"))
     features = lambda row, name: members.select(F.col("row").alias(row), F.struct("row", *FEATURES).alias(name))
     behind = tried.filter("linked").select(F.col("x").alias("follower"), F.col("y").alias("lead"), F.col("distance").alias("near")).join(features("follower", "y"), "follower")
     reach = F.col("far") - F.col("near") <= 1 - percent / 100 + 1e-9  # the triangle inequality once more
