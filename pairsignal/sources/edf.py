@@ -49,7 +49,8 @@ def parse_header(raw: bytes) -> dict:
     return out
 
 
-def _describe(path: str, rec_id: str, length: int) -> dict:
+def describe(path: str, rec_id: str, length: int) -> dict:
+    """The columns of HEADER for one file."""
     with open_file(path) as f:
         first = f.read(256)
         raw = first + f.read(int(first[252:256]) * 256)
@@ -88,7 +89,7 @@ def _describe(path: str, rec_id: str, length: int) -> dict:
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """One row per file; the headers are read once."""
     files = list_files(spark, path).withColumn("rec_id", stem(F.col("path"))).select("path", "rec_id", "length")
-    return settle(map_chunks(files.repartition("path"), lambda row: _describe(row["path"], row["rec_id"], row["length"]), HEADER))
+    return settle(map_chunks(files.repartition("path"), lambda row: describe(row["path"], row["rec_id"], row["length"]), HEADER))
 
 
 def recordings(headers: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairsignal.sources import edf, montage, npy, tables
+from pairsignal.sources import edf, edf_source, montage, npy, tables
 
 
 def _field(values, width):
@@ -59,6 +59,32 @@ def test_edf_round_trip_in_many_ranges(spark, folder):
     assert notes == [(2.5, 1.25, "cut"), (4.0, 0.5, "EMG")]
 
 
+def test_edf_as_a_format(spark, folder):
+    """The data source gives what the range reader gives, whatever is asked for, and reads only the records asked for."""
+    rng = np.random.default_rng(2)
+    for name in ("one", "two"):
+        write_edf(os.path.join(folder, f"{name}.edf"), rng.integers(-3000, 3000, (3, 90)), ["E1", "E2", "STATUS"], 10, [(1, 0.5, "a")])
+    edf_source.register(spark)
+    want = {(r.rec_id, r.t): r.x for r in edf.samples(edf.read_headers(spark, folder)).collect()}
+    for size in (100, 1 << 20):
+        rows = spark.read.format("edf").option("rangeBytes", size).load(folder)
+        assert {(r.rec_id, r.t): r.x for r in rows.collect()} == want and rows.count() == 180
+        part = rows.filter("rec_id = 'two' and t >= 25 and t < 41")
+        assert {(r.rec_id, r.t): r.x for r in part.collect()} == {k: v for k, v in want.items() if k[0] == "two" and 25 <= k[1] < 41}
+        assert rows.filter("t = 7 and x[0] > -1").count() == 2 and rows.filter("rec_id in ('one', 'none')").count() == 90
+        assert rows.filter("rec_id = 'none'").count() == 0 and rows.filter("t > 5 and t < 3").count() == 0
+    named = spark.read.format("edf").option("channels", "STATUS, E1").load(os.path.join(folder, "one.edf"))
+    assert {r.t: r.x for r in named.collect()} == {t: [v[2], v[0]] for (n, t), v in want.items() if n == "one"}
+    path = os.path.join(folder, "two.edf")
+    header = edf.describe("file:" + path, "two", os.path.getsize(path))
+    reader = edf_source.EdfReader({"path": folder, "rangeBytes": "100"})
+    stretches = [p for p in reader.partitions() if p.rec_id == "two"]
+    read = [edf_source.wanted_records(header, p.begin, p.end, 25, 40) for p in stretches]
+    assert sorted(r for a, b in read for r in range(a, b)) == [2, 3, 4]
+    every = [edf_source.wanted_records(header, p.begin, p.end, 0, edf_source.NO_END) for p in stretches]
+    assert sorted(r for a, b in every for r in range(a, b)) == list(range(9))
+
+
 def test_edf_with_two_annotation_signals(spark, folder):
     write_edf(os.path.join(folder, "a.edf"), np.zeros((1, 40), int), ["E1"], 10, [(1, 0.5, "first")], more_notes=[(2.5, 1.0, "second"), (3, 0.0, "third")])
     headers = edf.read_headers(spark, folder)
