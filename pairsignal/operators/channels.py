@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsignal.functions.text import rename_skipped, renamed_channel
@@ -43,6 +43,21 @@ def pick_channels(samples: DataFrame, channels: DataFrame, recordings: DataFrame
     ).drop("_pick")
 
 
+def pick_recordings(
+    samples: DataFrame, channels: DataFrame, recordings: DataFrame, kind: str = "eeg"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, channels and recordings with the channels of one type only, numbered anew in their order.
+
+    A recording without such channels is left out.  ``channels`` must be small per recording, as channel tables are.
+    """
+    kept = channels.filter(F.col("type") == kind)
+    place = F.row_number().over(Window.partitionBy("rec_id").orderBy("ch_idx")) - 1  # one row per channel of a recording
+    counts = kept.groupBy("rec_id").agg(F.count(F.lit(1)).cast("int").alias("n_channels"))
+    shapes = recordings.drop("n_channels").join(counts, "rec_id")
+    columns = [c for c in recordings.columns if c != "n_channels"]
+    return pick_channels(samples, channels, recordings, kind), kept.withColumn("ch_idx", place), shapes.select(*columns, "n_channels")
+
+
 def channel_list(channels: DataFrame) -> DataFrame:
     """One ordered name list per recording."""
     return channels.groupBy("rec_id").agg(

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pairsignal import fixtures as fx
-from pairsignal.operators import compare, embed, quality, score
-from pairsignal.queries import LABEL_BATCH, MANY_NEIGHBOURS, NEIGHBOURS, SMOOTH, SYNC_LAG, SYNC_WINDOW, TAPS, TRIM, WINDOW
+from pairsignal.operators import compare, embed, filters, quality, score
+from pairsignal.queries import DESIGN_SFREQ, LABEL_BATCH, MANY_NEIGHBOURS, NEIGHBOURS, SMOOTH, SYNC_LAG, SYNC_WINDOW, TAPS, TRIM, WINDOW
 
 ORACLE: dict[str, str] = {}
 
@@ -361,6 +361,8 @@ _add("file_names", {}, """
 SELECT page_id, base, regexp_replace(base, '^(.+)\\.[^.]*$', '\\1') AS stem, regexp_replace(base, '^(.+)\\.[^.]*$', '\\1') || '_preprocessed' AS cleaned
 FROM (SELECT page_id, regexp_extract(url, '([^/\\\\]*)$', 1) AS base FROM pages)""")
 _add("fir_highpass", {**G, "filtered": _fir("dense", TAPS)}, "SELECT rec_id, t, ch_idx, round(y, 6) AS x FROM filtered")
+_add("highpass_designed", {**G, "filtered": _fir("dense", filters.design(DESIGN_SFREQ, filters.HIGHPASS_HZ, None).tolist())},
+     "SELECT rec_id, t, ch_idx, round(y, 6) AS x FROM filtered")
 _add("bad_nan", M, "SELECT rec_id, ch_idx, 'nan' AS criterion FROM bad_nan")
 _add("bad_flat", M, "SELECT rec_id, ch_idx, 'flat' AS criterion FROM bad_flat")
 _add("channel_spread", M, "SELECT rec_id, ch_idx, round(sd, 6) AS sd, round(mad, 6) AS mad FROM spread")
@@ -507,3 +509,30 @@ SELECT r.n1 AS n_first, r.n0 AS n_rest, round(r.m1, 6) AS mean_first, round(r.m0
        round(CAST((SELECT count(*) FROM means m WHERE abs(m.m1 - m.m0) >= abs(r.m1 - r.m0)) AS DOUBLE) / (SELECT count(*) FROM means WHERE m1 - m0 IS NOT NULL), 6) AS p
 FROM means r WHERE r.p = 0""")
 _add("recorded_runs", RUN_VALUES, "SELECT grp, run_id, pairing, value FROM run_values")
+
+# The cleaning run: five criteria and the log
+
+FIVE = {
+    **CORR, "amps": AMPS, "scored_amp": _robust("amp", "amps"), "filtered": _fir("usable", SMOOTH), "low": _mad("y", "filtered"),
+    "rest": "SELECT rec_id, ch_idx, t, x - y AS y FROM filtered", "high": _mad("y", "rest"), "noises": NOISE, "scored_noise": _robust("noise", "noises"),
+    "fractions": f"SELECT rec_id, ch_idx, avg(CASE WHEN corr < {quality.CORR_LIMIT} THEN CAST(1 AS DOUBLE) ELSE 0 END) AS fraction FROM corrs GROUP BY ALL",
+    "found": f"""
+  SELECT rec_id, ch_idx, 'nan' AS criterion FROM bad_nan UNION ALL SELECT rec_id, ch_idx, 'flat' FROM bad_flat
+  UNION ALL SELECT rec_id, ch_idx, 'deviation' FROM scored_amp WHERE abs(z) > {quality.Z_LIMIT}
+  UNION ALL SELECT rec_id, ch_idx, 'hf_noise' FROM scored_noise WHERE z > {quality.Z_LIMIT}
+  UNION ALL SELECT rec_id, ch_idx, 'correlation' FROM fractions WHERE fraction > {quality.CORR_FRACTION}""",
+}
+_add("bad_channels", FIVE, "SELECT rec_id, ch_idx, criterion FROM found")
+_add("cleaning_log", {**FIVE, "listed": LISTED,
+    "recs": f"SELECT CAST(user_id // {fx.GROUP} AS VARCHAR) AS rec_id, count(*) AS n, min(user_id) AS first FROM users GROUP BY 1",
+    "chosen": "SELECT r.rec_id, (a % 4) || ',' || (b % 4) || ',' || a AS comps FROM recs r JOIN listed l ON l.rec_id = CAST(r.first AS VARCHAR)",
+    "bads": """
+  SELECT rec_id, count(DISTINCT ch_idx) AS n_bad, string_agg(CASE WHEN criterion = 'hf_noise' THEN CAST(ch_idx AS VARCHAR) END, ',' ORDER BY ch_idx) AS noisy
+  FROM found GROUP BY 1""",
+    "told": "SELECT r.rec_id, r.n, coalesce(b.n_bad, 0) AS n_bad, b.noisy, c.comps FROM recs r LEFT JOIN bads b USING (rec_id) LEFT JOIN chosen c USING (rec_id)"}, f"""
+SELECT rec_id AS original_file, 0 AS pos, 'load_data' AS step, 'Loaded recording' AS description, CAST(n AS VARCHAR) AS param, CAST(NULL AS VARCHAR) AS noisy FROM told
+UNION ALL SELECT rec_id, 1, 'highpass_filter', 'Applied {filters.HIGHPASS_HZ:.1f} Hz high-pass filter', '{filters.HIGHPASS_HZ}', NULL FROM told
+UNION ALL SELECT rec_id, 2, 'bad_channel_detection', 'Identified bad channels', CAST(n_bad AS VARCHAR), noisy FROM told
+UNION ALL SELECT rec_id, 3, 'interpolate_bads', 'Interpolated bad channels', CAST(n_bad AS VARCHAR), NULL FROM told
+UNION ALL SELECT rec_id, 4, 'ica_fit', 'Fitted components', '4', NULL FROM told
+UNION ALL SELECT rec_id, 5, 'ica_apply', 'Removed chosen components', coalesce(comps, ''), NULL FROM told""")

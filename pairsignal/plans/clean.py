@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.operators import align, decompose, filters, interpolate, quality, report
-from pairsignal.operators.channels import rename_channels, require_unique_channels
+from pairsignal.operators.channels import pick_recordings, rename_channels, require_unique_channels
 from pairsignal.session import settle
 
 
@@ -36,9 +36,13 @@ def clean(
 ) -> Cleaned:
     """Clean every recording in the same jobs.
 
+    Where ``channels`` has a ``type``, only those of type 'eeg' are cleaned, numbered anew; trigger channels are left out.
     ``recordings`` has ``rec_id, sfreq, n_samples, n_channels``; ``excluded`` lists the components to remove per
     recording (``rec_id, comps``), as a person chose them.  ``taps`` replaces the designed high-pass.
     """
+    if "type" in channels.columns:
+        samples, channels, recordings = pick_recordings(samples, channels, recordings)
+        channels, recordings = settle(channels), settle(recordings)
     named = require_unique_channels(rename_channels(channels).drop("skipped"))
     filtered = filters.band(samples, recordings, l_freq) if taps is None else filters.fir(samples, recordings, taps)
     # The filtered samples feed every criterion and the repair: written once instead of filtered again each time.

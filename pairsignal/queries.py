@@ -29,6 +29,7 @@ NEIGHBOURS = 3
 MANY_NEIGHBOURS = 100
 DIGITS = 6
 LABEL_BATCH = 64
+DESIGN_SFREQ = 8.0
 SYNC_WINDOW, SYNC_LAG = 10, 2
 
 
@@ -346,6 +347,13 @@ def fir_highpass(spark: SparkSession, sf: str) -> DataFrame:
     return _long(filters.fir(samples, recordings, TAPS), "rec_id", "t").withColumn("x", r6("x"))
 
 
+@query
+def highpass_designed(spark: SparkSession, sf: str) -> DataFrame:
+    """The high-pass of the cleaning run, designed for the recordings' rate."""
+    samples, recordings, _ = _paired(spark, sf)
+    return _long(filters.band(samples, recordings.withColumn("sfreq", F.lit(DESIGN_SFREQ))), "rec_id", "t").withColumn("x", r6("x"))
+
+
 @query
 def bad_nan(spark: SparkSession, sf: str) -> DataFrame:
     return quality.bad_by_nan(fx.crowd(spark, sf))
@@ -396,6 +404,34 @@ def bad_union(spark: SparkSession, sf: str) -> DataFrame:
     return quality.bad_summary(every).select("rec_id", "n_bad", F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"))
 
 
+def _five_criteria(spark: SparkSession, sf: str) -> DataFrame:
+    """All criteria but the one that draws channels."""
+    samples, recordings = _crowd(spark, sf)
+    unusable = settle(quality.bad_by_nan(samples).unionByName(quality.bad_by_flat(samples, recordings)))
+    rest = settle(quality.mask_channels(samples, unusable, recordings))
+    found = unusable.unionByName(quality.bad_by_deviation(rest, recordings)).unionByName(quality.bad_by_hf_noise(rest, recordings, SMOOTH))
+    return settle(found.unionByName(quality.bad_by_correlation(rest, recordings, WINDOW)))
+
+
+@query
+def bad_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return _five_criteria(spark, sf)
+
+
+@query
+def cleaning_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit record of a cleaning run, one row per step: what was found bad and what a person excluded."""
+    recordings = settle(fx.crowd_recordings(spark, sf))
+    listed = settle(fx.crowd_exclusions(spark, sf).select("rec_id", text.exclusion_list(F.col("listed")).alias("comps")))
+    state = recordings.select("rec_id", F.lit(True).alias("done"))
+    log = clean_plan.cleaning_log(recordings, _five_criteria(spark, sf), listed, state, filters.HIGHPASS_HZ, 4)
+    named = ["n_channels", "l_freq", "n_bad_channels", "n_interpolated", "n_components", "excluded_components"]
+    return log.select("original_file", F.posexplode("steps").alias("pos", "s")).select(
+        "original_file", "pos", F.col("s.step").alias("step"), F.col("s.description").alias("description"),
+        F.coalesce(*[F.col("s.params")[n] for n in named]).alias("param"), F.col("s.params")["hf_noise"].alias("noisy"),
+    )
+
+
 @query
 def bad_ransac(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings = _usable(spark, sf)

@@ -71,3 +71,13 @@ def test_text_functions(spark):
     assert row["stem"] == "nt9_speak.v2" and row["hidden"] == ".hidden" and row["cleaned"] == "nt9_preprocessed"
     assert row["ra"] == "listener" and row["sb"] == 10 and row["nosubj"] is None
     assert row["line"] == "cut_60/raw/spk9-lst10".ljust(40) + "  consistency=0.9124  variability=0.0876"
+
+
+def test_pick_recordings_numbers_the_channels_anew(spark):
+    samples = spark.createDataFrame([("a", t, [1.0, 9.0, 2.0]) for t in range(3)] + [("b", 0, [9.0])], "rec_id string, t long, x array<double>")
+    table = spark.createDataFrame([("a", 0, "E1", "eeg"), ("a", 1, "STATUS", "stim"), ("a", 2, "E2", "eeg"), ("b", 0, "STATUS", "stim")], "rec_id string, ch_idx int, ch string, type string")
+    shapes = spark.createDataFrame([("a", 1.0, 3, 3), ("b", 1.0, 1, 1)], "rec_id string, sfreq double, n_channels int, n_samples long")
+    picked, kept, recordings = channels.pick_recordings(samples, table, shapes)
+    assert [(r.rec_id, r.x) for r in picked.collect()] == [("a", [1.0, 2.0])] * 3
+    assert sorted((r.ch_idx, r.ch) for r in kept.collect()) == [(0, "E1"), (1, "E2")]
+    assert [(r.rec_id, r.n_channels, r.n_samples) for r in recordings.collect()] == [("a", 2, 3)]
