@@ -312,10 +312,13 @@ SELECT rec_id, ch, t, CAST(t // six AS INTEGER) AS part FROM (
   SELECT r.rec_id, r.ch, r.t, CAST(floor(CAST(0.8 AS DOUBLE) * l.n_samples) AS BIGINT) // 6 AS six
   FROM ragged r JOIN lengths l ON l.rec_id = r.rec_id)
 WHERE six > 0 AND t // CASE WHEN six > 0 THEN six ELSE 1 END IN (1, 3)""")
-_add("pick_times", BLANKS, """
-SELECT d.rec_id, d.t, d.ch_idx, d.x FROM dense d
-JOIN (SELECT s.rec_id, i.start_t FROM islands i JOIN sides s ON s.dyad_id = i.dyad_id WHERE NOT i.cut) k
-  ON k.rec_id = d.rec_id AND k.start_t = d.t""")
+_add("pick_times", G, """
+SELECT rec_id, t, ch_idx, x FROM (
+  SELECT *, lag(cut) OVER (PARTITION BY rec_id, ch_idx ORDER BY t) AS before FROM (
+    SELECT *, bool_or(zero) OVER (PARTITION BY dyad_id, t) AS cut FROM (
+      SELECT s.dyad_id, d.rec_id, d.t, d.ch_idx, d.x, bool_and(d.x = 0) OVER (PARTITION BY d.rec_id, d.t) AS zero
+      FROM dense d JOIN sides s ON s.rec_id = d.rec_id)))
+WHERE NOT cut AND coalesce(before, true)""")
 _add("role_labels", LABELLED, "SELECT dyad_id, t, gch_idx, x, role, y FROM stacked")
 _add("distinct_labels", LABELLED, "SELECT DISTINCT dyad_id, y FROM stacked")
 _add("repeat_tile", LABELLED, """
@@ -399,6 +402,7 @@ SELECT t, t_pos, round(target, 6) AS target, round(y_pos, 6) AS y_pos FROM (
 _add("knn_topk", KNN, "SELECT qid, CAST(rank AS INTEGER) AS rank, nid, round(sim, 6) AS sim FROM nearest")
 _add("knn_decode", KNN, "SELECT qid, pred, votes FROM votes")
 _add("knn_counted", {**KNN, "nearest": f"SELECT * FROM ranked WHERE rank <= {MANY_NEIGHBOURS}"}, "SELECT qid, pred, votes FROM votes")
+_add("knn_sqrt", {**KNN, "nearest": "SELECT * FROM ranked WHERE rank <= (SELECT floor(sqrt(count(*))) FROM vectors WHERE split = 'train')"}, "SELECT qid, pred, votes FROM votes")
 _add("decoding_accuracy", {**KNN, "decoded": DECODED},
      "SELECT 'all' AS pairing, count(*) AS n, round(avg(CASE WHEN label = pred THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS accuracy FROM decoded")
 _add("decoding_r2", {**KNN, "decoded": DECODED}, """

@@ -555,6 +555,13 @@ def knn_decode(spark: SparkSession, sf: str) -> DataFrame:
     return knn.vote(_neighbours(spark, sf)[1]).select("qid", "pred", "votes")
 
 
+@query
+def knn_sqrt(spark: SparkSession, sf: str) -> DataFrame:
+    """As many neighbours as the square root of the training rows."""
+    vectors = fx.vectors(spark, sf)
+    return knn.decode(vectors.filter("split = 'train'"), vectors.filter("split = 'test'"), "sqrt").select("qid", "pred", "votes")
+
+
 @query
 def knn_counted(spark: SparkSession, sf: str) -> DataFrame:
     vectors = fx.vectors(spark, sf)
