@@ -45,9 +45,9 @@ BYTES = _byte_characters()
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, as the library encodes them without special tokens.
+    """Texts to little-endian unsigned 32-bit ids, as the library encodes them with add_special_tokens=False.
 
-    Names of special tokens inside a text are ordinary text.
+    The library gives the name of a special token inside a text that token's id; such texts go to it whole.
     """
 
     def __init__(self, path: str):
@@ -55,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.named = re.compile(names or r"(?!)").search
+        self.other = f"{OTHER}|{names}" if names else OTHER
         self.split = re.compile(SPLIT).findall
         self.safe = re.compile(SAFE).fullmatch
         self.between = re.compile(f"(?<=[{LETTER}])(?= [{LETTER}])").search
@@ -108,7 +110,7 @@ class Encoder:
         return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _one(self, text: str) -> bytes:
-        if not self.safe(text):
+        if not self.safe(text) or self.named(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for pieces in self._pieces(text):
@@ -121,8 +123,8 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         group: list[int] = []
         size = 0
-        # A character outside SAFE, or several spaces in a row
-        other = pc.match_substring_regex(pa.array(texts, pa.large_string()), OTHER).to_pylist()
+        # A character outside SAFE, several spaces in a row, or the name of a special token
+        other = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.other).to_pylist()
         for i, text in enumerate(texts):
             if len(text) > PIECE_CHARS or other[i]:
                 out[i] = self._one(text)

@@ -114,7 +114,17 @@ def test_licenses_with_inserted_and_changed_words(spark):
 
 
 def library(text):
-    return np.array(tokens.encoder(tokens.vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
+    from tokenizers import Tokenizer
+
+    return np.array(Tokenizer.from_file(tokens.vocabulary()).encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
+def test_ids_are_the_library_s_own():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b  c", "x <|endoftext| > y", "é <|endoftext|>\n\n 日本", "it's <|ENDOFTEXT|>", "", "  two  spaces "]
+    texts.append("word " * 300_000 + "<|endoftext|> end")
+    got = tokens.encoder(tokens.vocabulary()).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library(t).tolist() for t in texts]
+    assert 50256 in np.frombuffer(got[0], "<u4")
 
 
 def test_token_files(docs, empty, spark, folder):
