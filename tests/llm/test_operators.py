@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -302,6 +303,46 @@ def test_main_text_keeps_all_content():
     assert text.startswith("Title\n\nThe lead") and text.count("Body ") == 40 and "Home" not in text
 
 
+def pages_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "page_id long, url string, html string, text string, n_chars string")
+
+
+def test_main_text_of_a_table(spark):
+    """Null, empty, repeated and broken pages, columns with clashing names, no rows."""
+    page = f"<body><nav>menu</nav>{BODY}</body>"
+    rows = [(1, "u", None, "a", "b"), (2, None, "", "a", "b"), (3, "u", page, "a", "b"), (3, "u", page, "a", "b"), (None, "u", "<<<", None, None)]
+    found = main_text.extract(pages_of(spark, *rows))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted(((r.page_id, r.n_chars, r.text) for r in found.collect()), key=str)
+    whole = main_text.main_text(page)
+    assert whole and got == sorted([(1, 0, ""), (2, 0, ""), (3, len(whole), whole), (3, len(whole), whole), (None, 3, "<<<")], key=str)
+    assert main_text.extract(pages_of(spark)).collect() == []
+
+
+MEGA = 1_000_000
+
+
+@pytest.mark.parametrize("page, text", [
+    ('x<a "' * (MEGA // 5), None), ('<a b="x ' * (MEGA // 8), None), ("<a" * (MEGA // 2), None), ("<!" * (MEGA // 2), None),
+    ("<div>" * 100_000 + "Deep text, here.", "Deep text, here."), ("<form class=a>" * 70_000 + "Deep text, here.", "Deep text, here."),
+    ("<div>" * 50_000 + "</p>" * 50_000 + "Text.", "Text."), ("<ul><li>" * 60_000 + "Text.", "Text."), ("<b><p>" * 60_000 + "Text.", "Text."),
+    ("<div class=ad>x. " * 60_000, None), ("a" + " " * MEGA + "b", "a b"), ("&#" + "9" * MEGA + ";", "�"), ("&#" + "0" * MEGA + "65;", "A"),
+])
+def test_main_text_of_long_broken_pages(page, text):
+    """Time grows with the length of a page: each of these took minutes or all memory when it grew with the square."""
+    started = time.perf_counter()
+    found = main_text.main_text(page)
+    assert time.perf_counter() - started < 30 and (text is None or found == text)
+
+
+def test_main_text_tags():
+    assert main_text.main_text("<p title=it's>Don't stop, he said.</p>") == "Don't stop, he said."
+    assert main_text.main_text('<p title="a > b">One, two.</p>') == "One, two."
+    assert main_text.main_text('<p title="open>One, two.</p>') == "One, two."
+    assert main_text.main_text("<p>One, two.</p><svg/><p>Three, four.</p>") == "One, two.\n\nThree, four."
+    assert main_text.main_text("<p>1 < 2, and 3 << 4.</p>") == "1 < 2, and 3 << 4."
+
+
 def test_classifiers(spark, empty):
     rows = [(i, ("kind words number %d" if i % 3 else "you idiot number %d") % i, 1 if i % 4 else 0, 0 if i % 3 else 1) for i in range(120)]
     table = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(None, None)], "doc_id long, text string")
