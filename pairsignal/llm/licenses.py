@@ -9,8 +9,11 @@ templates must have enough of their k-grams too, and words that tell a template
 
 from __future__ import annotations
 
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,31 +63,44 @@ def _grams(spark: SparkSession, templates: list[tuple[str, str]], base: list[tup
 
 
 def _chains(words: list[str], passage: list[str], least: float) -> list[tuple[int, int, set[int]]]:
-    """Start, end and template places of the chains of template words in order, the longest first, none overlapping; with `least` of the words at least."""
+    """Start, end and template places of the chains of template words in order, the longest first, none overlapping; with `least` of the words at least.
+
+    A chain's next word is at most DRIFT words further than in the template, so only the ends within a template's length
+    are kept at hand; all others are columns of whole numbers.
+    """
     places: dict[str, list[int]] = {}
     for j, word in enumerate(passage):
         places.setdefault(word, []).append(j)
-    ends: list[tuple[int, int, int, int, int]] = []  # matched, start, place, template place, the one before
-    first = 0
+    matched, begin, place, inside, before = (array("i") for _ in range(5))  # per end: words matched, start, place, template place, the end before
+    recent: deque[tuple[int, int, int, int, int]] = deque()
     for i, word in enumerate(words):
+        if word not in places:
+            continue
+        while recent and recent[0][3] < i - len(passage) - DRIFT:
+            recent.popleft()
         own = []
-        while first < len(ends) and ends[first][2] < i - len(passage) - DRIFT:
-            first += 1
-        for j in places.get(word, ()):
-            before = [(n, start, at) for at, (n, start, p, q, _) in enumerate(ends[first:], first) if q < j and i - p <= j - q + DRIFT]
-            n, start, at = max(before, default=(0, i, -1))
-            own.append((n + 1, start, i, j, at))
-        ends += own
+        for j in places[word]:
+            n, start, at, *_ = max((x for x in recent if x[4] < j and i - x[3] <= j - x[4] + DRIFT), default=(0, i, -1))
+            own.append((n + 1, start, len(matched), i, j))
+            for column, value in zip((matched, begin, place, inside, before), (n + 1, start, i, j, at)):
+                column.append(value)
+        recent += own
+    if not matched:
+        return []
+    n, start, end = (np.frombuffer(x, np.int32) for x in (matched, begin, place))
+    enough = np.flatnonzero(n >= least * len(passage))
+    order = enough[np.lexsort((start[enough], (end - start)[enough], -n[enough]))]
+    taken = bytearray(len(words))
     found: list[tuple[int, int, set[int]]] = []
-    for n, start, i, j, at in sorted(ends, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-        if n < least * len(passage):
-            break
-        if all(i < a or start >= b for a, b, _ in found):
-            own = {j}
+    for at in order.tolist():
+        a, b = begin[at], place[at] + 1
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\x01" * (b - a)
+            own = set()
             while at >= 0:
-                own.add(ends[at][3])
-                at = ends[at][4]
-            found.append((start, i + 1, own))
+                own.add(inside[at])
+                at = before[at]
+            found.append((a, b, own))
     return found
 
 
@@ -124,7 +140,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
 
     spans lists the verified matches (label, start word, end word, coverage); `coverage` of a template's words must stand
     there in order, and the value given is twice their number by the words of template and span. score is the best coverage, 1 with a base
-    phrase, 0 without any match. Null and empty texts have no words and no labels; rows equal in doc_id and text get
+    phrase, 0 without any match. Time grows with the length of a text, also where a phrase is repeated all through it.
+    Null and empty texts have no words and no labels; rows equal in doc_id and text get
     the same values; only doc_id and text are read. Templates have two words or more.
     """
     templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
@@ -158,8 +175,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, base:
         .filter((F.col("length") >= SHORT) | (F.col("n") >= F.col("total") * coverage))
         .select("key", "number", F.greatest(F.col("low") - DRIFT, F.lit(0)).alias("start"), (F.col("high") + F.col("length") + DRIFT).alias("stop"))
     )
-    texts = rows.join(hinted(settle(islands)), "key").withColumn("words", words_of(text_of()))
-    found = texts.select("key", "number", "start", F.slice("words", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("found"))
+    # A document is split into words once for all its islands; together they are no longer than its words and their drift.
+    listed = settle(islands.groupBy("key").agg(F.collect_list(F.struct("number", "start", "stop")).alias("islands")))
+    texts = rows.join(hinted(listed), "key").select("key", "islands", words_of(text_of()).alias("words"))
+    found = texts.select("key", F.explode(F.transform("islands", lambda x: F.struct(
+        x["number"].alias("number"), x["start"].alias("start"),
+        F.slice("words", (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")).alias("found"),
+    ))).alias("one")).select("key", "one.*")
     bands = settle(_verified(found, templates, coverage))
     matched = bands.select("key", "label", "start", "end", "coverage").distinct().groupBy("key").agg(
         F.collect_set("label").alias("text_set"), F.max("coverage").alias("best"), F.sort_array(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans"),

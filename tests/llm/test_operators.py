@@ -94,6 +94,18 @@ def test_licenses(docs, empty):
     assert found.labels == "bsd" and 0.7 <= found.score < 1
 
 
+def test_licenses_in_long_texts(spark):
+    """A phrase all through a text, close together (one island) and far apart (as many islands): time grows with the length."""
+    n, apart = 60_000, " ".join(f"w{k}" for k in range(30))
+    rows = [(1, "all rights reserved " * n), (2, f"All Rights Reserved {apart} " * (n // 10)), (3, "mit license " * n), (4, "all rights " * n)]
+    started = time.perf_counter()
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.perf_counter() - started < 120
+    assert [(s["start"], s["end"]) for s in found[1].spans] == [(3 * k, 3 * k + 3) for k in range(n)] and found[1].score == 1
+    assert [(s["start"], s["end"]) for s in found[2].spans] == [(33 * k, 33 * k + 3) for k in range(n // 10)]
+    assert found[3].n_base == n and found[3].last_word == 2 * n - 2 and found[3].labels == "mit" and found[4].labels == "" and found[4].spans is None
+
+
 def test_licenses_with_inserted_and_changed_words(spark):
     passage = licenses.TEMPLATES[0][1].split()
     texts, want = [], []
