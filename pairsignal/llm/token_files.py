@@ -1,8 +1,8 @@
 """Token ids in files, compressed by Re-Pair.
 
 Documents are sorted by doc_id over all partitions and put into shards of about SHARD_TOKENS ids. A shard replaces its
-frequent pairs of neighbouring ids by new symbols: in each round the pairs with the highest counts that share no symbol
-(so that their replacements do not touch), counted over the whole shard. It stores the rules, the number of ids each
+frequent pairs of neighbouring ids by new symbols: in each round the pairs with the highest counts whose places cannot
+overlap, counted over the whole shard, until no pair occurs LEAST times. It stores the rules, the number of ids each
 symbol expands to, the remaining symbols and where each document ends among them, so that one document, or a stretch of
 one, is decoded alone.
 
@@ -27,63 +27,87 @@ from pairsignal.session import ensure_checkpoint_dir
 
 END = 2
 SHARD_TOKENS = 1 << 19
-ROUNDS = 8
-PAIRS_A_ROUND = 512
 LEAST = 16  # occurrences a rule must replace
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def _chosen(kinds: np.ndarray, counts: np.ndarray, shift: int) -> np.ndarray:
+    """The pairs to replace in one round, sorted: by falling count, each whose left symbol is nobody's right one and the
+    other way round, so that no two places of them overlap; a symbol that stands twice is taken by no other pair."""
+    left, right, taken = set(), set(), []
+    for value in kinds[np.lexsort((kinds, -counts))].tolist():
+        a, b = value >> shift, value & ((1 << shift) - 1)
+        if a not in right and b not in left and (a != b or a not in left and a not in right):
+            left.add(a)
+            right.add(b)
+            taken.append(value)
+    return np.sort(np.array(taken, kinds.dtype))
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, where documents end among them, the rules (two symbols each), the length of every rule's expansion, and
-    the first symbol that is a rule."""
+    the first symbol that is a rule. No pair inside a document occurs `least` times among the symbols that remain."""
     first = int(ids.max()) + 1 if len(ids) else 1
-    narrow = first + rounds * PAIRS_A_ROUND < 1 << 16
-    one, two, shift = (np.uint16, np.uint32, 16) if narrow else (np.uint32, np.uint64, 32)
-    symbols, ends = ids.astype(one), ends.astype(np.int64)
+    symbols, ends = ids.astype(np.uint16 if first < 1 << 16 else np.uint32), ends.astype(np.int64)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
-    for _ in range(rounds):
+    while True:
+        made = first + len(lengths)
+        if made + len(symbols) // least >= 1 << 16:  # more rules than two bytes may be left to make
+            symbols = symbols.astype(np.uint32)
+        two, shift = (np.uint32, 16) if symbols.itemsize == 2 else (np.uint64, 32)
         cut = ends[(ends > 0) & (ends < len(symbols))] - 1  # pairs that reach into the next document
         pairs = symbols[:-1].astype(two)
         pairs <<= two(shift)
         pairs |= symbols[1:]
         pairs[cut] = ~two(0)
-        pairs.sort()
-        pairs = pairs[:np.searchsorted(pairs, ~two(0))]
-        often = pairs[LEAST - 1:][pairs[LEAST - 1:] == pairs[:max(len(pairs) - LEAST + 1, 0)]]  # count - LEAST + 1 times each
+        counted = np.sort(pairs)
+        counted = counted[:np.searchsorted(counted, ~two(0))]
+        often = counted[least - 1:][counted[least - 1:] == counted[:max(len(counted) - least + 1, 0)]]  # count - least + 1 times each
         edge = np.flatnonzero(np.concatenate((often[:1] == often[:1], often[1:] != often[:-1])))
-        kinds, counts = often[edge], np.diff(np.append(edge, len(often)))
-        taken: set[int] = set()
-        chosen = []
-        for value in kinds[np.lexsort((kinds, -counts))].tolist():
-            a, b = value >> shift, value & ((1 << shift) - 1)
-            if a not in taken and b not in taken:
-                chosen.append((a, b))
-                taken.update((a, b))
-                if len(chosen) == PAIRS_A_ROUND:
-                    break
-        if not chosen:
+        kinds, counts = often[edge], np.diff(np.append(edge, len(often))) + least - 1
+        kinds, counts = _apart(symbols, pairs, kinds, counts, shift, least)
+        if not len(kinds):
             break
-        new = np.array(chosen, np.int64)
-        made = first + len(lengths)
-        partner, rule = np.full(made, (1 << 8 * one().itemsize) - 1, one), np.zeros(made, one)
-        partner[new[:, 0]], rule[new[:, 0]] = new[:, 1], made + np.arange(len(new))
-        hit = partner[symbols[:-1]] == symbols[1:]
-        hit[cut] = False
-        place = np.flatnonzero(hit)
-        if (new[:, 0] == new[:, 1]).any():  # a run of one symbol: every second pair of it
-            same = symbols[place] == symbols[place + 1]
-            start = np.concatenate(([True], np.diff(place) != 1))
-            run = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
-            place = place[~same | ((np.arange(len(place)) - run) % 2 == 0)]
+        chosen = _chosen(kinds, counts, shift)
+        new = np.stack((chosen >> two(shift), chosen & two((1 << shift) - 1)), 1).astype(np.int64)
+        side = np.zeros((2, made), bool)
+        side[0, new[:, 0]] = side[1, new[:, 1]] = True
+        place = np.flatnonzero(side[0][symbols[:-1]] & side[1][symbols[1:]])
+        rule = np.minimum(np.searchsorted(chosen, pairs[place]), len(chosen) - 1)
+        hit = chosen[rule] == pairs[place]
+        place, rule = place[hit], rule[hit]
+        if (new[:, 0] == new[:, 1]).any():
+            stays = _every_second(symbols, place)
+            place, rule = place[stays], rule[stays]
         size = np.ones(made, np.uint32)
         size[first:] = lengths
         rules.append(new.astype(np.uint32))
         lengths = np.concatenate((lengths, size[new[:, 0]] + size[new[:, 1]]))
-        symbols[place] = rule[symbols[place]]
+        symbols[place] = made + rule
         symbols = np.delete(symbols, place + 1)
         ends -= np.searchsorted(place, ends - 1)
     return symbols, ends, np.concatenate(rules), lengths, first
 
 
+def _every_second(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which places of pairs to take: in a run of one symbol every second pair of it, elsewhere all."""
+    same = symbols[place] == symbols[place + 1]
+    start = np.concatenate(([True], np.diff(place) != 1))
+    run = np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))
+    return ~same | ((np.arange(len(place)) - run) % 2 == 0)
+
+
+def _apart(symbols: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, counts: np.ndarray, shift: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs and their counts, a pair of one symbol counted without overlaps; those below `least` are left out."""
+    first, second = kinds >> kinds.dtype.type(shift), kinds & kinds.dtype.type((1 << shift) - 1)
+    doubled = np.flatnonzero(first == second)
+    if len(doubled):
+        place = np.flatnonzero((symbols[:-1] == symbols[1:]) & (pairs != ~pairs.dtype.type(0)))
+        apart = np.bincount(symbols[place[_every_second(symbols, place)]], minlength=int(first[doubled].max()) + 1)
+        counts = counts.copy()
+        counts[doubled] = apart[first[doubled]]
+    return kinds[counts >= least], counts[counts >= least]
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids behind symbols; symbols from `first` on are rules."""
     symbols = symbols.astype(np.uint32)

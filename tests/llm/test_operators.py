@@ -140,6 +140,29 @@ def test_ids_are_the_library_s_own():
     assert 50256 in np.frombuffer(got[0], "<u4")
 
 
+@pytest.mark.parametrize("kinds, low", [(1, 7), (2, 0), (5, 0), (40, 50_000), (9, 65_530), (300, 65_400), (30, 200_000)])
+def test_grammars_end_and_decode(kinds, low):
+    """Every document decodes by itself, and no pair inside a document is left that a rule could replace."""
+    rng = np.random.default_rng(kinds)
+    for n in (0, 1, 2, 30, 31, 32, 33, 400, 20_000):
+        ids = (rng.integers(0, kinds, n) + low).astype(np.uint32)
+        ends = np.append(np.sort(rng.integers(0, n + 1, 4)), n)
+        symbols, cuts, rules, lengths, first = token_files.compress(ids, ends)
+        for a, b, c, d in zip(np.append(0, ends), ends, np.append(0, cuts), cuts):
+            assert (token_files.expand(symbols[c:d], rules, first) == ids[a:b]).all()
+            assert (token_files.stretch(symbols[c:d], rules, lengths, first, (b - a) // 3, (b - a) // 2) == ids[a:b][(b - a) // 3:(b - a) // 2]).all()
+        count = collections.Counter()
+        for c, d in zip(np.append(0, cuts), cuts):
+            last = None
+            for k, pair in enumerate(zip(symbols[c:d].tolist(), symbols[c:d].tolist()[1:])):
+                if last != (pair, k - 1):  # aaa holds the pair aa once
+                    count[pair] += 1
+                    last = (pair, k) if pair[0] == pair[1] else None
+                else:
+                    last = None
+        assert max(count.values(), default=0) < token_files.LEAST
+
+
 def test_token_files(docs, empty, spark, folder):
     path = folder + "/shards"
     token_files.write_shards(docs, path, shard_tokens=8)
