@@ -94,7 +94,7 @@ class Encoder:
         marked = pc.replace_substring_regex(pa.array(texts, pa.large_string()), SINGLE, "\\0\0")
         split = pc.split_pattern(marked, "\0")
         coded = split.flatten().dictionary_encode()
-        own = self._ids([p for p in coded.dictionary.to_pylist() if p])
+        own = self._ids([p for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist() if p])
         blank = pc.index(coded.dictionary, "").as_py()  # behind the last piece of a text
         if blank >= 0:
             own.insert(blank, b"")
