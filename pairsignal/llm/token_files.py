@@ -45,36 +45,42 @@ def _chosen(kinds: np.ndarray, counts: np.ndarray, shift: int) -> np.ndarray:
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, where documents end among them, the rules (two symbols each), the length of every rule's expansion, and
-    the first symbol that is a rule. No pair inside a document occurs `least` times among the symbols that remain."""
+    the first symbol that is a rule. No pair inside a document occurs `least` times among the symbols that remain.
+
+    A pair that once occurs too seldom never occurs more often, for replacing others only takes places from it. A round
+    therefore counts the places of the pairs that were frequent before and of those with a new symbol, and no others.
+    """
     first = int(ids.max()) + 1 if len(ids) else 1
     symbols, ends = ids.astype(np.uint16 if first < 1 << 16 else np.uint32), ends.astype(np.int64)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
+    open_ = _common(symbols, least)
     while True:
         made = first + len(lengths)
         if made + len(symbols) // least >= 1 << 16:  # more rules than two bytes may be left to make
             symbols = symbols.astype(np.uint32)
         two, shift = (np.uint32, 16) if symbols.itemsize == 2 else (np.uint64, 32)
-        cut = ends[(ends > 0) & (ends < len(symbols))] - 1  # pairs that reach into the next document
-        pairs = symbols[:-1].astype(two)
+        open_[ends[ends > 0] - 1] = False  # pairs that reach into the next document
+        place = np.flatnonzero(open_)
+        pairs = symbols[place].astype(two)
         pairs <<= two(shift)
-        pairs |= symbols[1:]
-        pairs[cut] = ~two(0)
+        pairs |= symbols[place + 1]
         counted = np.sort(pairs)
-        counted = counted[:np.searchsorted(counted, ~two(0))]
         often = counted[least - 1:][counted[least - 1:] == counted[:max(len(counted) - least + 1, 0)]]  # count - least + 1 times each
         edge = np.flatnonzero(np.concatenate((often[:1] == often[:1], often[1:] != often[:-1])))
         kinds, counts = often[edge], np.diff(np.append(edge, len(often))) + least - 1
-        kinds, counts = _apart(symbols, pairs, kinds, counts, shift, least)
+        kinds, counts = _apart(symbols, place, kinds, counts, shift, least)
         if not len(kinds):
             break
+        kind = _which(kinds, pairs)
+        still = kind >= 0
+        open_[place[~still]] = False
+        place, kind = place[still], kind[still]
         chosen = _chosen(kinds, counts, shift)
         new = np.stack((chosen >> two(shift), chosen & two((1 << shift) - 1)), 1).astype(np.int64)
-        side = np.zeros((2, made), bool)
-        side[0, new[:, 0]] = side[1, new[:, 1]] = True
-        place = np.flatnonzero(side[0][symbols[:-1]] & side[1][symbols[1:]])
-        rule = np.minimum(np.searchsorted(chosen, pairs[place]), len(chosen) - 1)
-        hit = chosen[rule] == pairs[place]
-        place, rule = place[hit], rule[hit]
+        number = np.full(len(kinds), -1, np.int64)
+        number[np.searchsorted(kinds, chosen)] = np.arange(len(chosen))
+        rule = number[kind]
+        place, rule = place[rule >= 0], rule[rule >= 0]
         if (new[:, 0] == new[:, 1]).any():
             stays = _every_second(symbols, place)
             place, rule = place[stays], rule[stays]
@@ -83,11 +89,39 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.
         rules.append(new.astype(np.uint32))
         lengths = np.concatenate((lengths, size[new[:, 0]] + size[new[:, 1]]))
         symbols[place] = made + rule
-        symbols = np.delete(symbols, place + 1)
+        open_[place] = True
+        open_[np.maximum(place - 1, 0)] = True
+        stays = np.ones(len(symbols), bool)
+        stays[place + 1] = False
+        symbols, open_ = symbols[stays], open_[stays]
+        open_[-1] = False
         ends -= np.searchsorted(place, ends - 1)
     return symbols, ends, np.concatenate(rules), lengths, first
 
 
+def _which(kinds: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The number of each pair in the sorted kinds, -1 where it is none of them. Kinds that share a slot are searched for."""
+    bits = max(len(kinds).bit_length() + 5, 12)
+    slot = lambda values: (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    own = slot(kinds)
+    table = np.full(1 << bits, -1, np.int32)
+    table[own] = np.arange(len(kinds), dtype=np.int32)
+    table[own[table[own] != np.arange(len(kinds))]] = -2
+    found = table[slot(pairs)]
+    shared = np.flatnonzero(found == -2)
+    found[shared] = np.minimum(np.searchsorted(kinds, pairs[shared]), len(kinds) - 1)
+    found[(found >= 0) & (kinds[found] != pairs)] = -1
+    return found
+
+
+def _common(symbols: np.ndarray, least: int) -> np.ndarray:
+    """At which places a pair may occur `least` times: where both of its symbols do."""
+    common = (np.bincount(symbols) >= least)[symbols] if len(symbols) else np.zeros(0, bool)
+    common[:-1] &= common[1:]
+    common[-1:] = False
+    return common
+
+
 def _every_second(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Which places of pairs to take: in a run of one symbol every second pair of it, elsewhere all."""
     same = symbols[place] == symbols[place + 1]
@@ -96,12 +130,12 @@ def _every_second(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ~same | ((np.arange(len(place)) - run) % 2 == 0)
 
 
-def _apart(symbols: np.ndarray, pairs: np.ndarray, kinds: np.ndarray, counts: np.ndarray, shift: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _apart(symbols: np.ndarray, place: np.ndarray, kinds: np.ndarray, counts: np.ndarray, shift: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs and their counts, a pair of one symbol counted without overlaps; those below `least` are left out."""
     first, second = kinds >> kinds.dtype.type(shift), kinds & kinds.dtype.type((1 << shift) - 1)
     doubled = np.flatnonzero(first == second)
     if len(doubled):
-        place = np.flatnonzero((symbols[:-1] == symbols[1:]) & (pairs != ~pairs.dtype.type(0)))
+        place = place[symbols[place] == symbols[place + 1]]
         apart = np.bincount(symbols[place[_every_second(symbols, place)]], minlength=int(first[doubled].max()) + 1)
         counts = counts.copy()
         counts[doubled] = apart[first[doubled]]
