@@ -144,14 +144,30 @@ def _apart(symbols: np.ndarray, place: np.ndarray, kinds: np.ndarray, counts: np
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids behind symbols; symbols from `first` on are rules."""
-    symbols = symbols.astype(np.uint32)
-    while (made := symbols >= first).any():
-        out = np.repeat(symbols, np.where(made, 2, 1))
+    symbols = symbols.astype(np.int64)
+    used = np.unique(symbols[symbols >= first])
+    if not len(used):
+        return symbols.astype(np.uint32)
+    texts, owner = used, np.arange(len(used))  # the expansions of all rules that occur, one behind the other
+    while (made := texts >= first).any():
+        twice = np.where(made, 2, 1)
+        out, owner = np.repeat(texts, twice), np.repeat(owner, twice)
         at = np.flatnonzero(made) + np.arange(np.count_nonzero(made))
-        rule = rules[symbols[made] - first]
+        rule = rules[texts[made] - first]
         out[at], out[at + 1] = rule[:, 0], rule[:, 1]
-        symbols = out
-    return symbols
+        texts = out
+    size = np.bincount(owner)
+    begin = np.cumsum(size) - size
+    made = symbols >= first
+    kind = np.searchsorted(used, symbols[made])
+    count = np.ones(len(symbols), np.int64)
+    count[made] = size[kind]
+    ids = np.repeat(symbols, count).astype(np.uint32)
+    until = np.cumsum(size[kind])
+    at = np.repeat(begin[kind] - until + size[kind], size[kind])
+    at += np.arange(len(at))
+    ids[np.repeat(made, count)] = texts[at]
+    return ids
 
 
 def stretch(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, start: int, stop: int) -> np.ndarray:
