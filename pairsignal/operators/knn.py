@@ -3,7 +3,8 @@
 Vectors are grouped around pivots.  For every query group the pivot distances and the counts of training vectors
 around each pivot give a radius that is sure to hold k neighbours; by the triangle inequality only training
 vectors that can lie within it are sent to the group (Lu, Shen, Chen, Ooi: Efficient Processing of k Nearest
-Neighbor Joins using MapReduce, 2012).  Equal vectors are collapsed before the search, so piles of copies cost
+Neighbor Joins using MapReduce, 2012).  The number of pivots grows with the square root of the training vectors, and a
+vector finds its pivot through a second, coarser level of them.  Equal vectors are collapsed before the search, so piles of copies cost
 one comparison.  Groups are cut into bounded chunks; a task compares one query chunk with one training chunk and
 keeps only the best k.  For a vote among very many neighbours no neighbour is listed at all: labels are counted
 by similarity, the band around the k-th similarity is narrowed, and only that band is looked at one by one.
@@ -24,8 +25,10 @@ from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, runnin
 from pairsignal.session import settle
 
 SPACE = ["pairing", "run_id"]
-PIVOTS = 64           # most pivots in one space
+PIVOTS = 64           # pivots in one space up to which each stands for PER_PIVOT vectors; beyond, the square root of the vectors
 PER_PIVOT = 256       # training vectors one pivot should stand for
+FLAT = 256            # pivots that a vector is compared with one by one; more are grouped
+ROUTED = 64           # query cells whose routes are found in one row
 RINGS = 32            # distance steps in the count around a pivot
 PIECE = 2048          # vectors in one chunk
 SIM_DIGITS = 10       # similarities are ranked after rounding to this many decimals
@@ -42,33 +45,66 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SPACE, "e").agg(F.min("t").alias("vid"))
 
 
-def _choose_pivots(train: DataFrame, pivots: int) -> DataFrame:
-    """A hash sample of training vectors per space, as one flat array."""
+def _choose_pivots(train: DataFrame, pivots: int = PIVOTS, flat: int = FLAT) -> DataFrame:
+    """A hash sample of training vectors per space, as one flat array ``ps``, and the group of each pivot.
+
+    More than ``flat`` pivots are grouped around the first of them, as many as the square root of their number.
+    """
     size = train.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n_train"))
+    wanted = F.least(F.ceil(F.col("n_train") / PER_PIVOT), F.greatest(F.lit(pivots), F.ceil(F.sqrt("n_train"))))
+    wanted = settle(size.select(*SPACE, wanted.cast("bigint").alias("_most"), (wanted * 4 + 64).alias("_some"), "n_train"))
+    # Only rows whose hash is among the smallest come before the window, some four times as many as are wanted.
+    share = F.xxhash64("t") / F.lit(2.0**64) + 0.5
+    few = attach(train, wanted, SPACE).filter(share * F.col("n_train") <= F.col("_some"))
     order = Window.partitionBy(*SPACE).orderBy(F.xxhash64("t"), "t")
-    first = train.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= pivots)
-    kept = first.join(size, SPACE).filter(F.col("_r") <= F.ceil(F.col("n_train") / PER_PIVOT))
+    kept = few.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_most"))
     # Copies of one vector make one pivot.
     distinct = kept.groupBy(*SPACE).agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("_r", "e"))).getField("e")).alias("_e"))
-    return distinct.select(*SPACE, F.size("_e").alias("n_pivots"), F.flatten("_e").alias("ps")).withColumn("n_numbers", F.size("ps"))
+    flattened = distinct.select(*SPACE, F.size("_e").alias("n_pivots"), F.flatten("_e").alias("ps"))
+
+    def group(row: dict) -> dict:
+        n = row["n_pivots"]
+        p = row["ps"].reshape(n, -1)
+        heads = int(np.ceil(np.sqrt(n))) if n > flat else 1
+        member = np.concatenate([_chord(p[i:i + PIECE], p[:heads]).argmin(axis=1) for i in range(0, n, PIECE)])
+        member[:heads] = np.arange(heads)
+        return {
+            "pairing": [row["pairing"]], "run_id": [row["run_id"]], "n_pivots": [n], "ps": [row["ps"]],
+            "grp": [member.astype(np.int32)], "n_numbers": [len(row["ps"]) + n],
+        }
+
+    return map_chunks(flattened, group, "pairing string, run_id int, n_pivots int, ps array<double>, grp array<int>, n_numbers int")
+
+
+def _most(chosen: DataFrame) -> int:
+    """The most pivots of any space."""
+    return int(largest(chosen, "n_pivots") or 1)
+
+
+def _nearest(e: np.ndarray, p: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A near pivot of every vector and the distance to it: the nearest one of the group whose first pivot is nearest."""
+    heads = int(group.max()) + 1
+    own = _chord(e, p[:heads]).argmin(axis=1) if heads > 1 else np.zeros(len(e), np.int64)
+    cell, dist = np.empty(len(e), np.int32), np.empty(len(e))
+    for g in np.unique(own):
+        at, members = np.flatnonzero(own == g), np.flatnonzero(group == g)
+        d = _chord(e[at], p[members])
+        best = d.argmin(axis=1)
+        cell[at], dist[at] = members[best], d[np.arange(len(at)), best]
+    return cell, dist
 
 
 def _to_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
-    """``vid, e`` with the nearest pivot ``cell`` and the distance ``dist`` to it."""
+    """``vid, e`` with a near pivot ``cell`` and the distance ``dist`` to it."""
     hashed = vectors.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(1 << 40)))
     sizes = vectors.groupBy(*SPACE).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("_parts"))
     parts = attach(hashed, sizes, SPACE, bound=pivots, spread="vid").withColumn("block", F.pmod("block", "_parts")).drop("_parts")
-    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.select(*SPACE, "ps"), SPACE, bound=pivots, numbers=int(largest(pivots, "n_numbers") or 1), spread="block")
+    chunks = attach(pack(parts, SPACE, order="vid", value="e"), pivots.select(*SPACE, "ps", "grp"), SPACE, bound=pivots, numbers=int(largest(pivots, "n_numbers") or 1), spread="block")
 
     def run(row: dict) -> dict:
         e = matrix(row)
-        p = row["ps"].reshape(-1, e.shape[1])
-        d = _chord(e, p)
-        cell = d.argmin(axis=1)
-        return {
-            "pairing": row["pairing"], "run_id": row["run_id"], "vid": row["ts"], "cell": cell.astype(np.int32),
-            "dist": d[np.arange(len(e)), cell], "e": e,
-        }
+        cell, dist = _nearest(e, row["ps"].reshape(-1, e.shape[1]), row["grp"])
+        return {"pairing": row["pairing"], "run_id": row["run_id"], "vid": row["ts"], "cell": cell, "dist": dist, "e": e}
 
     return map_chunks(chunks, run, "pairing string, run_id int, vid bigint, cell int, dist double, e array<double>")
 
@@ -87,29 +123,33 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
         *SPACE, F.col("_t.cell").alias("tcell"), F.col("_t.n").alias("tn"), F.col("_t.far").alias("tfar")
     )
     reach = queries.groupBy(*SPACE, "cell").agg(F.max("dist").alias("reach"))
-    asked = reach.groupBy(*SPACE).agg(F.sort_array(F.collect_list(F.struct("cell", "reach"))).alias("_q")).select(
-        *SPACE, F.col("_q.cell").alias("qcell"), F.col("_q.reach").alias("qreach")
+    some = F.floor(F.col("cell") / ROUTED).alias("block")
+    asked = reach.groupBy(*SPACE, some).agg(F.sort_array(F.collect_list(F.struct("cell", "reach"))).alias("_q")).select(
+        *SPACE, "block", F.col("_q.cell").alias("qcell"), F.col("_q.reach").alias("qreach")
     )
 
-    def run(row: dict) -> dict | None:
+    def run(row: dict) -> dict:
         p = row["ps"].reshape(row["n_pivots"], -1)
-        between = _chord(p, p)
-        out = []
-        for q, reach in zip(row["qcell"], row["qreach"]):
-            upper = reach + between[q, row["tcell"]] + row["tfar"]
+        cells, begin = np.unique(row["tcell"], return_index=True)  # in order already
+        farthest = np.maximum.reduceat(row["tfar"], begin)
+        to, who, least = [], [], []
+        for q, reach, between in zip(row["qcell"], row["qreach"], _chord(p[row["qcell"]], p)):
+            upper = reach + between[row["tcell"]] + row["tfar"]
             order = np.argsort(upper)
             enough = np.searchsorted(np.cumsum(row["tn"][order]), k)
             radius = upper[order][enough] if enough < len(order) else np.inf
-            for c in np.unique(row["tcell"]):
-                least = between[q, c] - reach - radius - SLACK
-                if row["tfar"][row["tcell"] == c].max() >= least:
-                    out.append((int(c), int(q), max(least, -1.0)))
+            lowest = between[cells] - reach - radius - SLACK
+            near = farthest >= lowest
+            to.append(cells[near])
+            who.append(np.full(np.count_nonzero(near), q, np.int32))
+            least.append(np.maximum(lowest[near], -1.0))
         return {
-            "pairing": row["pairing"], "run_id": row["run_id"], "cell": [o[0] for o in out],
-            "qcell": [o[1] for o in out], "least": [o[2] for o in out],
+            "pairing": row["pairing"], "run_id": row["run_id"], "cell": np.concatenate(to).astype(np.int32),
+            "qcell": np.concatenate(who), "least": np.concatenate(least),
         }
 
-    known = pivots.join(held, SPACE).join(asked, SPACE)
+    numbers = int(largest(pivots, "n_numbers") or 1) + 3 * RINGS * _most(pivots)
+    known = attach(asked, pivots.join(held, SPACE), SPACE, bound=pivots, numbers=numbers, spread="block")
     return map_chunks(known, run, "pairing string, run_id int, cell int, qcell int, least double")
 
 
@@ -147,11 +187,12 @@ def _send(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivot
     )
 
 
-def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """The k best distinct training vectors of every distinct query vector: ``pairing, run_id, qid, vid, sim``.
 
     Both sides come out of ``_to_pivots``.
     """
+    pivots = _most(chosen)
     sent = _send(placed, asking, chosen, k, pivots)
     right = _training_pieces(sent, chosen, pivots)
     left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), chosen, pivots)
@@ -187,7 +228,7 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
     asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
     chosen = settle(_choose_pivots(units, pivots))
     known, wanted = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
-    found = nearest_vectors(known, wanted, chosen, k, pivots)
+    found = nearest_vectors(known, wanted, chosen, k)
     # Only the k smallest ids of equal vectors can be among the k best.
     copies = (
         _copies(units, {}, k)
@@ -252,6 +293,7 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
     counted = units.groupBy(*SPACE, "e", "label").agg(F.count(F.lit(1)).alias("n"))
     labelled = settle(counted.join(names, [*SPACE, "e"]).select(*SPACE, "vid", "label", "n"))
     sizes = labelled.groupBy(*SPACE, "vid").agg(F.sum("n").cast("double").alias("size"))
+    pivots = _most(chosen)
     sent = _send(placed, asking, chosen, k, pivots)
     right = settle(_training_pieces(
         sent.join(sizes, [*SPACE, "vid"]).withColumn("e", F.concat("e", F.array("size"))), chosen, pivots

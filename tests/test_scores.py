@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.functions import vectors
 from pairsignal.operators import embed, knn, score
+from pairsignal.session import settle
 
 SCHEMA = "pairing string, run_id int, t bigint, e array<double>, label int, split string"
 
@@ -104,6 +105,47 @@ def test_far_groups_are_not_compared(spark, monkeypatch):
     assert routes.count() < chosen.first()["n_pivots"] ** 2 / 2
 
 
+def pairs_compared(spark, monkeypatch, n, most):
+    """Comparisons of a join of n vectors with themselves, once its pivots are chosen."""
+    rows = embedded(spark, sphere_points(n)).withColumn("vid", F.col("t"))
+    chosen = settle(knn._choose_pivots(rows, most, 16))
+    placed = settle(knn._to_pivots(rows.select("pairing", "run_id", "vid", "e"), chosen))
+    sent = knn._send(placed, placed, chosen, 3, knn._most(chosen)).groupBy("cell").count().withColumnRenamed("count", "sent")
+    cells = placed.groupBy("cell").count().join(sent, "cell")
+    return chosen.first()["n_pivots"], cells.agg(F.sum(F.col("count") * F.col("sent"))).first()[0]
+
+
+def test_comparisons_grow_slower_than_pairs(spark, monkeypatch):
+    """On ten times the vectors pivots grow with the root, and comparisons less than half as fast as the square."""
+    monkeypatch.setattr(knn, "PER_PIVOT", 8)
+    few, small = pairs_compared(spark, monkeypatch, 1500, 8)
+    many, large = pairs_compared(spark, monkeypatch, 15000, 8)
+    assert few == 39 and many == 123
+    assert large < 50 * small
+
+
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_neighbours_with_grouped_pivots(spark, monkeypatch, k):
+    """More pivots than are looked through one by one: the neighbours stay exact."""
+    monkeypatch.setattr(knn, "PER_PIVOT", 4)
+    monkeypatch.setattr(knn, "ROUTED", 3)
+    grouped = knn._choose_pivots
+    monkeypatch.setattr(knn, "_choose_pivots", lambda train, pivots: grouped(train, pivots, 5))
+    e = sphere_points(900, d=4)
+    e[np.random.default_rng(1).random(900) < 0.2] = e[0]
+    labels = np.random.default_rng(2).integers(0, 3, 900)
+    rows = embedded(spark, e, labels)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    got = knn.nearest_neighbours(train, test, k, pivots=2).collect()
+    ids = np.arange(900)
+    kept, asked = ids[ids % 5 != 4], ids[ids % 5 == 4]
+    found = {}
+    for r in got:
+        found.setdefault(r["qid"], []).append((r["rank"], r["nid"]))
+    for q, best in zip(asked, brute_neighbours(e[kept], kept, e[asked], k)):
+        assert [n for _, n in sorted(found[q])] == [i for _, i in best]
+
+
 def test_vote_ties_go_to_the_smaller_label(spark):
     rows = spark.createDataFrame([("p", 0, 1, r, r, lab, 1.0) for r, lab in enumerate([2, 1, 2, 1, 0])], "pairing string, run_id int, qid bigint, rank int, nid bigint, label int, sim double")
     assert tuple(knn.vote(rows).first()) == ("p", 0, 1, 1, 2)
