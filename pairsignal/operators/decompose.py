@@ -1,8 +1,8 @@
 """Independent components of many recordings at once.
 
-Every step over samples is one aggregation keyed by recording; only matrices of channel size are solved, one
-per recording, inside tasks.  The state table is written each round, so its lineage stays short and a
-lost executor costs one round at most.
+A recording of one chunk is solved in the task that holds the chunk.  For longer ones every step over samples is one
+aggregation keyed by recording; only matrices of channel size are solved, one per recording, inside tasks.  Their state
+table is written each round, so its lineage stays short and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, summed
-from pairsignal.operators.blocks import attach, channel_count
+from pairsignal.operators.blocks import attach, channel_count, row_count
 from pairsignal.operators.remix import matrix_per_key, pack_blocks
 from pairsignal.session import settle
 
@@ -59,16 +59,67 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
     """
     # Every round reads the chunks, so they are written once.
     chunks = settle(pack_blocks(samples, ["rec_id"], block))
+    several = settle(chunks.groupBy("rec_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rec_id"))
+    # A recording that is one chunk is solved where the chunk is, by the same steps.
+    whole = attach(chunks, several, "rec_id", "left_anti", spread="block")
+    state = settle(map_chunks(whole, lambda row: _solved(row, n_components, seed, max_rounds, tolerance), STATE))
+    if row_count(several):
+        long = settle(attach(chunks, several, "rec_id", "left_semi", spread="block"))
+        state = settle(state.unionByName(_fit_long(long, recordings, n_components, seed, max_rounds, tolerance)))
+    unfinished = state.filter(~F.col("done")).count()
+    if unfinished:
+        warnings.warn(f"the components of {unfinished} recordings have not converged in {max_rounds} rounds", stacklevel=2)
+    return state
+
+
+def _start(v: np.ndarray, n_components: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Mean, whitening and first rotation out of a moment vector."""
+    _, mean, cov = split_moments(v)
+    values, vectors = np.linalg.eigh(cov)
+    order = np.argsort(values)[::-1]
+    order = order[values[order] > RANK_FLOOR * max(values[order[0]], 0)][:n_components]
+    if not len(order):
+        return None
+    k = (vectors[:, order] / np.sqrt(values[order])).T
+    return mean, k, _orthonormal(np.random.default_rng(seed).standard_normal((len(order), len(order))))
+
+
+def _contrast(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A chunk's sums of a round: its size, the slopes and the products."""
+    g = np.tanh(z @ w.T)
+    return np.concatenate([[len(z)], (1 - g**2).sum(axis=0), (g.T @ z).ravel()])
+
+
+def _step(v: np.ndarray, w: np.ndarray, tolerance: float) -> tuple[np.ndarray, bool]:
+    """The next rotation, and whether it hardly differs."""
+    n = len(w)
+    new = _orthonormal(v[1 + n :].reshape(n, n) / v[0] - np.diag(v[1 : 1 + n] / v[0]) @ w)
+    moved = np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1))
+    return new, bool(moved < tolerance)
+
+
+def _solved(row: dict, n_components: int, seed: int, max_rounds: int, tolerance: float) -> dict | None:
+    x = matrix(row)
+    begun = _start(np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()]), n_components, seed)
+    if begun is None:
+        return None
+    mean, k, w = begun
+    z, done = (x - mean) @ k.T, False
+    for _ in range(max_rounds):
+        w, done = _step(_contrast(z, w), w, tolerance)
+        if done:
+            break
+    return {"rec_id": [row["rec_id"]], "mean": mean[None], "k": k.reshape(1, -1), "w": w.reshape(1, -1), "done": done}
+
+
+def _fit_long(chunks: DataFrame, recordings: DataFrame, n_components: int, seed: int, max_rounds: int, tolerance: float) -> DataFrame:
+    """The state of recordings of several chunks: a round is one aggregation for all of them."""
 
     def start(row: dict) -> dict | None:
-        _, mean, cov = split_moments(row["v"])
-        values, vectors = np.linalg.eigh(cov)
-        order = np.argsort(values)[::-1]
-        order = order[values[order] > RANK_FLOOR * max(values[order[0]], 0)][:n_components]
-        if not len(order):
+        begun = _start(row["v"], n_components, seed)
+        if begun is None:
             return None
-        k = (vectors[:, order] / np.sqrt(values[order])).T
-        w = _orthonormal(np.random.default_rng(seed).standard_normal((len(order), len(order))))
+        mean, k, w = begun
         return {"rec_id": [row["rec_id"]], "mean": mean[None], "k": k.reshape(1, -1), "w": w.reshape(1, -1), "done": False}
 
     state = settle(map_chunks(moments(chunks), start, STATE))
@@ -76,18 +127,12 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
     def contrast(row: dict):
         n = int(round(np.sqrt(len(row["w"]))))
         z = (matrix(row) - row["mean"]) @ row["k"].reshape(n, -1).T
-        g = np.tanh(z @ row["w"].reshape(n, n).T)
-        yield (row["rec_id"],), np.concatenate([[len(z)], (1 - g**2).sum(axis=0), (g.T @ z).ravel()])
+        yield (row["rec_id"],), _contrast(z, row["w"].reshape(n, n))
 
     def step(row: dict) -> dict:
         n = int(round(np.sqrt(len(row["w"]))))
-        v, w = row["v"], row["w"].reshape(n, n)
-        new = _orthonormal(v[1 + n :].reshape(n, n) / v[0] - np.diag(v[1 : 1 + n] / v[0]) @ w)
-        moved = np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1))
-        return {
-            "rec_id": [row["rec_id"]], "mean": row["mean"][None], "k": row["k"][None],
-            "w": new.reshape(1, -1), "done": bool(moved < tolerance),
-        }
+        new, done = _step(row["v"], row["w"].reshape(n, n), tolerance)
+        return {"rec_id": [row["rec_id"]], "mean": row["mean"][None], "k": row["k"][None], "w": new.reshape(1, -1), "done": done}
 
     numbers = channel_count(recordings) * (2 * n_components + 1)
     for _ in range(max_rounds):
@@ -97,9 +142,6 @@ def fit_components(samples: DataFrame, recordings: DataFrame, n_components: int
         sums = summed(attach(chunks, open_state.drop("done"), "rec_id", bound=recordings, numbers=numbers, spread="block"), ["rec_id"], contrast, "rec_id string")
         stepped = map_chunks(open_state.join(sums, "rec_id"), step, STATE)
         state = settle(state.filter("done").unionByName(stepped))
-    unfinished = state.filter(~F.col("done")).count()
-    if unfinished:
-        warnings.warn(f"the components of {unfinished} recordings have not converged in {max_rounds} rounds", stacklevel=2)
     return state
 
 

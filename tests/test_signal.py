@@ -213,6 +213,25 @@ def test_component_fits_that_stop_early_are_named(spark):
     assert decompose.fit_components(samples, shapes, 4).first().done
 
 
+def test_components_of_one_chunk_are_found_without_rounds_of_jobs(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    recs = {"short": draw.standard_normal((3, 3)) @ draw.laplace(size=(3, 300)), "long": draw.standard_normal((3, 3)) @ draw.laplace(size=(3, 900))}
+    samples, shapes = frame(spark, recs), meta(spark, recs)
+    both = {r.rec_id: r for r in decompose.fit_components(samples, shapes, 3, block=512).collect()}  # only "long" has two chunks
+    split = {r.rec_id: r for r in decompose.fit_components(samples, shapes, 3, block=128).collect()}
+
+    def rounds(*_):
+        raise AssertionError("a round of jobs")
+
+    monkeypatch.setattr(decompose, "summed", rounds)
+    whole = {r.rec_id: r for r in decompose.fit_components(samples, shapes, 3).collect()}
+    assert set(both) == set(split) == set(whole) == set(recs)
+    for found in (both, split):
+        for name in recs:
+            assert found[name].done and whole[name].done
+            assert np.allclose(found[name].w, whole[name].w) and np.allclose(found[name].k, whole[name].k)
+
+
 def test_clean_recordings_excludes_components(spark, sf, monkeypatch):
     from pairsignal import queries
 
