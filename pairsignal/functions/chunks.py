@@ -46,7 +46,7 @@ def pack(rows: DataFrame, keys: Sequence[str], block: str = "block", order: str
     return packed.select(*keys, block, column(order).alias("ts"), flat.alias("xs"), *[column(e).alias(e) for e in extra])
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
     names = batch.schema.names
     columns = []
     for column in batch.columns:
@@ -88,7 +88,7 @@ def map_chunks(df: DataFrame, fn: Callable[[dict], dict | None], ddl: str) -> Da
 
     def run(batches):
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows_of(batch):
                 out = fn(row)
                 if out is not None:
                     yield record(out, ddl)
@@ -122,7 +122,7 @@ def summed(df: DataFrame, keys: Sequence[str], fn: Callable[[dict], Iterator[tup
             return record(columns, ddl)
 
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows_of(batch):
                 for key, vector in fn(row):
                     if key in held:
                         held[key] = held[key] + vector

@@ -9,6 +9,11 @@ one comparison.  Groups are cut into bounded chunks; a task compares one query c
 keeps only the best k.  For a vote among very many neighbours no neighbour is listed at all: labels are counted
 by similarity, the band around the k-th similarity is narrowed, and only that band is looked at one by one.
 
+Two kinds of spaces need no pivots.  One whose training and query rows each fit one chunk is answered in one task, from one shuffle.
+Where pivots prune too little (vectors of many dimensions) every query has to meet every training vector: there
+the training chunks are copied to a number of query blocks that does not grow with the space, and a task lets the
+chunks pass by its block and keeps the best k.  Votes are counted in these tasks.
+
 Order of neighbours everywhere: similarity (rounded to ``SIM_DIGITS``) falling, then the smallest id that has the
 vector, then id.
 """
@@ -19,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsignal.functions.chunks import map_chunks, matrix, pack, summed
+from pairsignal.functions.chunks import map_chunks, matrix, pack, record, rows_of, summed
 from pairsignal.functions.vectors import unit
-from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, running_sums, spread_join
+from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, row_count, running_sums, spread_join
 from pairsignal.session import settle
 
 SPACE = ["pairing", "run_id"]
@@ -38,6 +43,12 @@ LIST_MOST = 1000      # neighbours up to which a vote lists them
 BANDS = 64            # similarity bands counted in one pass, a power of two
 PASSES = 3            # passes that narrow the band of the k-th neighbour
 FIRSTS = 256          # copies of one vector in a block of its running label counts
+LABELS = 65_536       # different labels up to which a label is a number in the tasks
+DENSE = 8             # copies of every training vector from which on sending by pivots is given up
+GRID = 48             # (query block, training slice) pairs of such a space
+HELD = 1 << 22        # numbers a task holds for its query block
+FEW = 16              # neighbours up to which the best of several slices are merged, and found one after the other
+ROWS = 512            # queries compared with a training chunk at once
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -116,7 +127,10 @@ def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) -> DataFrame:
-    """``pairing, run_id, cell, qcell, least``: training vectors of ``cell`` at least ``least`` from their pivot go to ``qcell``."""
+    """``pairing, run_id, cell, qcell, least``: training vectors of ``cell`` at least ``least`` from their pivot go to ``qcell``.
+
+    ``most`` is a bound of their number.
+    """
     ring = F.least(F.floor(F.col("dist") / 2.0 * RINGS), F.lit(RINGS - 1)).cast("int")
     rings = train.groupBy(*SPACE, "cell", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
     held = rings.groupBy(*SPACE).agg(F.sort_array(F.collect_list(F.struct("cell", "ring", "n", "far"))).alias("_t")).select(
@@ -132,7 +146,8 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
         p = row["ps"].reshape(row["n_pivots"], -1)
         cells, begin = np.unique(row["tcell"], return_index=True)  # in order already
         farthest = np.maximum.reduceat(row["tfar"], begin)
-        to, who, least = [], [], []
+        to, who, least, most = [], [], [], []
+        of = np.searchsorted(cells, row["tcell"])
         for q, reach, between in zip(row["qcell"], row["qreach"], _chord(p[row["qcell"]], p)):
             upper = reach + between[row["tcell"]] + row["tfar"]
             order = np.argsort(upper)
@@ -143,14 +158,15 @@ def _routes(train: DataFrame, queries: DataFrame, pivots: DataFrame, k: int) ->
             to.append(cells[near])
             who.append(np.full(np.count_nonzero(near), q, np.int32))
             least.append(np.maximum(lowest[near], -1.0))
+            most.append(np.add.reduceat(np.where(row["tfar"] >= lowest[of], row["tn"], 0), begin)[near])
         return {
             "pairing": row["pairing"], "run_id": row["run_id"], "cell": np.concatenate(to).astype(np.int32),
-            "qcell": np.concatenate(who), "least": np.concatenate(least),
+            "qcell": np.concatenate(who), "least": np.concatenate(least), "most": np.concatenate(most).astype(np.int64),
         }
 
     numbers = int(largest(pivots, "n_numbers") or 1) + 3 * RINGS * _most(pivots)
     known = attach(asked, pivots.join(held, SPACE), SPACE, bound=pivots, numbers=numbers, spread="block")
-    return map_chunks(known, run, "pairing string, run_id int, cell int, qcell int, least double")
+    return map_chunks(known, run, "pairing string, run_id int, cell int, qcell int, least double, most bigint")
 
 
 def _pieces(rows: DataFrame, spaces: DataFrame, pivots: int, spread: tuple[str, ...] = ("vid",)) -> DataFrame:
@@ -177,9 +193,9 @@ def _meet(left: DataFrame, right: DataFrame, spaces: DataFrame, pivots: int) ->
     return each.join(right, [*SPACE, "cell", "tpiece"])
 
 
-def _send(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int) -> DataFrame:
+def _send(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivots: int, routes: DataFrame | None = None) -> DataFrame:
     """Training vectors copied to every query group (``cell``) they may matter to."""
-    routes = _routes(placed, asking, chosen, k)
+    routes = (_routes(placed, asking, chosen, k) if routes is None else routes).drop("most")
     return (
         attach(placed, routes, [*SPACE, "cell"], bound=chosen, numbers=5 * pivots * pivots, spread="vid")
         .filter(F.col("dist") >= F.col("least"))
@@ -187,13 +203,13 @@ def _send(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, pivot
     )
 
 
-def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+def nearest_vectors(placed: DataFrame, asking: DataFrame, chosen: DataFrame, k: int, routes: DataFrame | None = None) -> DataFrame:
     """The k best distinct training vectors of every distinct query vector: ``pairing, run_id, qid, vid, sim``.
 
     Both sides come out of ``_to_pivots``.
     """
     pivots = _most(chosen)
-    sent = _send(placed, asking, chosen, k, pivots)
+    sent = _send(placed, asking, chosen, k, pivots, routes)
     right = _training_pieces(sent, chosen, pivots)
     left = _pieces(asking.select(*SPACE, "cell", "vid", "e"), chosen, pivots)
 
@@ -224,15 +240,174 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
 
     ``train``: ``pairing, run_id, t, e, label``.
     """
+    return _found(train, queries, k, pivots, voted=False)
+
+
+def _found(train: DataFrame, queries: DataFrame, k: int | str, pivots: int, voted: bool) -> DataFrame:
+    """The neighbours of every query row, or with ``voted`` the majority among them: ``pairing, run_id, qid, pred, votes``."""
     units = train.select(*SPACE, "t", "label", unit(F.col("e")).alias("e"))
     asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
+    names = _names(units)
+    if names is None:
+        return _ended(_by_pivots(units, asked, k, pivots), units, k, voted)
+    sizes = _sizes(units, asked)
+    fits = (F.col("n_train") <= PIECE) & (F.col("n_ask") <= PIECE)
+    small, large = settle(sizes.filter(fits)), settle(sizes.filter(~fits))
+    parts = []
+    if row_count(small):
+        parts.append(_in_one(_numbered(_within(units, small), names), _within(asked, small), k, voted, names))
+    if row_count(large):
+        parts.append(_large(_within(units, large), _within(asked, large), k, pivots, voted, names))
+    if not parts:
+        return _ended(_by_pivots(units, asked, k, pivots), units, k, voted)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _ended(listed: DataFrame, units: DataFrame, k: int | str, voted: bool) -> DataFrame:
+    """Listed neighbours as they are wanted: the first ranks only, or their vote."""
+    if k == "sqrt":
+        sizes = settle(units.groupBy(*SPACE).agg(_root(F.count(F.lit(1))).alias("_k")))
+        listed = attach(listed, sizes, SPACE, spread="qid").filter(F.col("rank") <= F.col("_k")).drop("_k")
+    return vote(listed) if voted else listed
+
+
+def _root(n: Column) -> Column:
+    return F.floor(F.sqrt(n)).cast("int")
+
+
+def _sizes(units: DataFrame, asked: DataFrame) -> DataFrame:
+    """``n_train, n_ask`` of the spaces that have both."""
+    n_train = units.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n_train"))
+    return settle(n_train.join(asked.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n_ask")), SPACE))
+
+
+def _within(rows: DataFrame, spaces: DataFrame) -> DataFrame:
+    return attach(rows, spaces.select(*SPACE), SPACE, "left_semi", bound=spaces)
+
+
+def _names(units: DataFrame) -> DataFrame | None:
+    """The labels with their number in ascending order (``code``); None if they are many."""
+    labels = settle(units.select("label").distinct())
+    if row_count(labels) > LABELS:
+        return None
+    return settle(labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("code")))
+
+
+def _numbered(units: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with the number of their label instead of it."""
+    known = F.broadcast(names.withColumnRenamed("label", "_label"))
+    return units.join(known, F.col("label").eqNullSafe(F.col("_label"))).drop("label", "_label")
+
+
+def _named(found: DataFrame, names: DataFrame, label: str) -> DataFrame:
+    return found.join(F.broadcast(names.withColumnRenamed("label", label)), "code").drop("code")
+
+
+def _same(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of every different vector, and which of them each row is."""
+    e = e + 0.0
+    order = np.lexsort(e.T[::-1]) if e.shape[1] else np.arange(len(e))
+    new = np.ones(len(e), bool)
+    new[1:] = (e[order[1:]] != e[order[:-1]]).any(axis=1)
+    which = np.empty(len(e), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _majority(at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every number in ``at`` its most frequent code, the smaller one of a tie, and how often it occurs."""
+    order = np.lexsort((codes, at))
+    at, codes = at[order], codes[order]
+    begin = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (codes[1:] != codes[:-1]))))[: len(at)]
+    votes = np.diff(np.append(begin, len(at)))
+    at, codes = at[begin], codes[begin]
+    order = np.lexsort((codes, -votes, at))
+    first = order[np.concatenate(([True], at[order][1:] != at[order][:-1]))[: len(order)]]
+    return at[first], codes[first], votes[first]
+
+
+VOTED = "pairing string, run_id int, qid bigint, code bigint, votes bigint"
+
+
+def _in_one(units: DataFrame, asked: DataFrame, k: int | str, voted: bool, names: DataFrame) -> DataFrame:
+    """The answer for spaces whose training and query rows are one chunk each."""
+    known = pack(units.withColumn("block", F.lit(0)), SPACE, value="e", extra=["code"])
+    known = known.select(*SPACE, "block", F.col("ts").alias("tid"), F.col("xs").alias("tx"), F.col("code").alias("codes"))
+    both = pack(asked.withColumn("block", F.lit(0)), SPACE, value="e").join(known, [*SPACE, "block"])
+
+    def run(row: dict) -> dict:
+        q, t = matrix(row), matrix(row, values="tx", order="tid")
+        first, which = _same(t)
+        place = np.lexsort((row["tid"], row["tid"][first][which]))  # smallest id of the vector, then id
+        some, asks = _same(q)
+        sims = np.round(q[some] @ t[first].T, SIM_DIGITS)[:, which[place]]
+        best = min(len(t), int(np.sqrt(len(t))) if k == "sqrt" else k)
+        if best <= FEW:
+            hit = np.empty((len(some), best), np.int64)
+            value, line = np.empty((len(some), best)), np.arange(len(some))
+            for i in range(best):
+                hit[:, i] = sims.argmax(axis=1)
+                value[:, i] = sims[line, hit[:, i]]
+                sims[line, hit[:, i]] = -np.inf
+        else:
+            hit = np.argsort(-sims, axis=1, kind="stable")[:, :best]
+            value = np.take_along_axis(sims, hit, axis=1)
+        nid, codes = row["tid"][place][hit], row["codes"][place][hit]
+        space = {"pairing": row["pairing"], "run_id": row["run_id"]}
+        if voted:
+            _, code, votes = _majority(np.repeat(np.arange(len(some)), best), codes.ravel())
+            return {**space, "qid": row["ts"], "code": code[asks], "votes": votes[asks]}
+        return {
+            **space, "qid": np.repeat(row["ts"], best), "rank": np.tile(np.arange(1, best + 1, dtype=np.int32), len(q)),
+            "nid": nid[asks].ravel(), "code": codes[asks].ravel(), "sim": value[asks].ravel(),
+        }
+
+    if voted:
+        return _named(map_chunks(both, run, VOTED), names, "pred").select(*SPACE, "qid", "pred", "votes")
+    listed = map_chunks(both, run, "pairing string, run_id int, qid bigint, rank int, nid bigint, code bigint, sim double")
+    return _named(listed, names, "label").select(*SPACE, "qid", "rank", "nid", "label", "sim")
+
+
+def _dense(placed: DataFrame, routes: DataFrame) -> DataFrame:
+    """Spaces in which pivots would send every training vector to many query groups."""
+    n = placed.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("_n"))
+    sent = routes.groupBy(*SPACE).agg(F.sum("most").alias("_sent"))
+    return settle(n.join(sent, SPACE).filter(F.col("_sent") > DENSE * F.col("_n")).select(*SPACE))
+
+
+def _large(units: DataFrame, asked: DataFrame, k: int | str, pivots: int, voted: bool, names: DataFrame) -> DataFrame:
+    """The answer for other spaces: by pivots where these prune, by passing all training vectors where not."""
+    top = k
+    if k == "sqrt":
+        top = int(units.groupBy(*SPACE).agg(_root(F.count(F.lit(1))).alias("_k")).agg(F.max("_k")).first()[0])
     chosen = settle(_choose_pivots(units, pivots))
-    known, wanted = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
-    found = nearest_vectors(known, wanted, chosen, k)
+    placed, asking = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
+    routes = settle(_routes(placed, asking, chosen, top))
+    dense = _dense(placed, routes)
+    if not row_count(dense) or top > LIST_MOST:
+        return _ended(_by_pivots(units, asked, k, pivots, (chosen, placed, asking, routes)), units, k, voted)
+    passed = _passed(_within(units, dense), _within(asked, dense), _within(placed, dense), _within(asking, dense), k, top, voted, names)
+    if row_count(dense) == row_count(chosen):
+        return passed
+    rest = settle(chosen.select(*SPACE).join(dense, SPACE, "left_anti"))
+    kept = [_within(x, rest) for x in (chosen, placed, asking, routes)]
+    pruned = _by_pivots(_within(units, rest), _within(asked, rest), k, pivots, (settle(kept[0]), *kept[1:]))
+    return passed.unionByName(_ended(pruned, _within(units, rest), k, voted))
+
+
+def _by_pivots(units: DataFrame, asked: DataFrame, k: int | str, pivots: int, known: tuple | None = None) -> DataFrame:
+    """Listed neighbours; ``known`` has the pivots, both sides' places and the routes, if they are there already."""
+    if k == "sqrt":
+        k = int(units.groupBy(*SPACE).agg(_root(F.count(F.lit(1))).alias("_k")).agg(F.max("_k")).first()[0] or 1)
+    if known is None:
+        chosen = settle(_choose_pivots(units, pivots))
+        known = chosen, settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen)), None
+    chosen, placed, wanted, routes = known
+    found = nearest_vectors(placed, wanted, chosen, k, routes)
     # Only the k smallest ids of equal vectors can be among the k best.
     copies = (
         _copies(units, {}, k)
-        .join(known.select(*SPACE, "e", "vid"), [*SPACE, "e"])
+        .join(placed.select(*SPACE, "e", "vid"), [*SPACE, "e"])
         .select(*SPACE, "vid", F.col("t").alias("nid"), "label")
     )
     rank = Window.partitionBy(*SPACE, "qvid").orderBy(F.desc("sim"), "vid", "nid")
@@ -246,6 +421,139 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
     return _answer(asked, wanted, per_vector).select(*SPACE, "qid", "rank", "nid", "label", "sim")
 
 
+def _passed(units: DataFrame, asked: DataFrame, placed: DataFrame, asking: DataFrame, k: int | str, top: int, voted: bool,
+            names: DataFrame) -> DataFrame:
+    """The answer with every query vector compared with every training vector.
+
+    A space is a grid of (query block, training slice); a task holds the queries of one block and lets the chunks of
+    one slice pass.  The grid does not grow with the space unless a block's queries and their best would not fit a task.
+    """
+    width = int(asking.select(F.size("e").alias("_d")).limit(1).first()[0] if asking.limit(1).count() else 1)
+    in_task = voted and top > FEW  # a vote needs no merging if a task sees all training vectors
+    items = _numbered(_copies(units, {}, top), names).join(placed.select(*SPACE, "e", "vid"), [*SPACE, "e"])
+    items = settle(items.select(*SPACE, "vid", "t", "code", "e"))
+    many = _root(F.col("n_rows")) if k == "sqrt" else F.lit(k).cast("int")
+    numbers = settle(
+        items.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n"))
+        .join(asking.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("nq")), SPACE)
+        .join(units.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("n_rows")), SPACE)
+        .withColumn("_k", many)
+        .withColumn("_held", F.ceil(F.col("nq") * (width + 4 * F.col("_k")) / HELD))
+        # A training vector goes to every block and a query to every slice; a found row is as long as five numbers.
+        .withColumn("_even", F.lit(GRID) if in_task else F.ceil(F.sqrt(GRID * F.col("nq") * (1 + F.lit(5 * top / width)) / F.col("n"))))
+        .withColumn("blocks", F.least(F.greatest("_even", "_held", F.lit(1)), F.col("nq")).cast("bigint"))
+        .withColumn("slices", F.lit(1) if in_task else F.least(F.ceil(F.lit(GRID) / F.col("blocks")), F.ceil(F.col("n") / PIECE)))
+        .select(
+            *SPACE, "_k", "blocks", F.col("slices").cast("bigint").alias("slices"),
+            F.greatest(F.ceil(F.col("nq") / PIECE), "blocks").cast("bigint").alias("_q"), F.greatest(F.ceil(F.col("n") / PIECE), "slices").cast("bigint").alias("_t"),
+        )
+    )
+    # All copies of a vector are in one chunk.
+    piece = lambda rows, count: attach(rows, numbers.select(*SPACE, count), SPACE, bound=numbers, spread="vid").withColumn("piece", F.pmod(F.xxhash64("vid"), count)).drop(count)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    grid = numbers.select(*SPACE, "_k", "blocks", "slices")
+    left = attach(pack(piece(asking.select(*SPACE, "vid", "e"), "_q"), SPACE, "piece", order="vid", value="e"), grid, SPACE, bound=grid, spread="piece")
+    right = pack(piece(items, "_t"), SPACE, "piece", order="vid", value="e", extra=["t", "code"])
+    right = attach(right, grid, SPACE, bound=grid, spread="piece")
+    nothing = F.array().cast("array<bigint>")
+    queries = left.select(
+        *SPACE, F.pmod("piece", "blocks").alias("blk"), each("slices").alias("slice"), F.lit(0).alias("kind"), "_k",
+        F.col("ts").alias("vid"), nothing.alias("id"), nothing.alias("code"), "xs",
+    )
+    training = right.select(
+        *SPACE, each("blocks").alias("blk"), F.pmod("piece", "slices").alias("slice"), F.lit(1).alias("kind"), "_k",
+        F.col("ts").alias("vid"), F.col("t").alias("id"), "code", "xs",
+    )
+    key = [*SPACE, "blk", "slice"]
+    dealt = queries.unionByName(training).repartition(4 * GRID, *key).sortWithinPartitions(*key, "kind")
+    ddl = VOTED if in_task else "pairing string, run_id int, qid bigint, vid bigint, nid bigint, code bigint, sim double"
+
+    def compare(batches):
+        at, held = None, None
+        for batch in batches:
+            for row in rows_of(batch):
+                own = tuple(row[c] for c in key)
+                if own != at:
+                    if held is not None and len(held.ids):
+                        yield record(held.voted() if in_task else held.listed(), ddl)
+                    at, held = own, _Best(row["pairing"], row["run_id"], row["_k"])
+                held.take(row)
+        if held is not None and len(held.ids):
+            yield record(held.voted() if in_task else held.listed(), ddl)
+
+    found = dealt.mapInArrow(compare, ddl)
+    if in_task:
+        per_vector = _named(found, names, "pred").withColumnRenamed("qid", "qvid")
+        return _answer(asked, asking, per_vector).select(*SPACE, "qid", "pred", "votes")
+    best = F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("_s"), "vid", "nid", "code"))).alias("_b")
+    merged = found.groupBy(*SPACE, F.col("qid").alias("qvid")).agg(best).select(*SPACE, "qvid", F.posexplode(F.slice("_b", 1, top)).alias("_i", "_n"))
+    per_vector = _named(merged.select(
+        *SPACE, "qvid", (F.col("_i") + 1).alias("rank"), F.col("_n.nid").alias("nid"), F.col("_n.code").alias("code"), (-F.col("_n._s")).alias("sim")
+    ), names, "label")
+    listed = _answer(asked, asking, per_vector).select(*SPACE, "qid", "rank", "nid", "label", "sim")
+    return _ended(listed, units, k, voted)
+
+
+class _Best:
+    """The queries of one block and the best training rows that have passed so far."""
+
+    def __init__(self, pairing: str, run: int, k: int):
+        self.space, self.k = {"pairing": pairing, "run_id": run}, k
+        self.ids, self.vectors = np.zeros(0, np.int64), None
+        self.edge = np.zeros(0)
+        self.found: list[tuple[np.ndarray, ...]] = []  # place of the query, similarity, vid, id, code
+        self.waiting = 0
+
+    def take(self, row: dict) -> None:
+        vectors = row["xs"].reshape(len(row["vid"]), -1)
+        if row["kind"] == 0:
+            self.ids = np.concatenate([self.ids, row["vid"]])
+            self.vectors = vectors.copy() if self.vectors is None else np.concatenate([self.vectors, vectors])
+            self.edge = np.full(len(self.ids), -np.inf)
+        elif len(self.ids):
+            self._compare(row, vectors)
+
+    def _compare(self, row: dict, vectors: np.ndarray) -> None:
+        _, first, which = np.unique(row["vid"], return_index=True, return_inverse=True)
+        for i in range(0, len(self.ids), ROWS):
+            sims = self.vectors[i:i + ROWS] @ vectors[first].T
+            if len(first) < len(which):
+                sims = sims[:, which]
+            low = self.edge[i:i + ROWS]
+            if sims.shape[1] > self.k and np.isneginf(low).any():
+                low = np.maximum(low, np.partition(sims, -self.k, axis=1)[:, -self.k])
+            # The edge is rounded; what rounds up to it must not be missed.
+            at, hit = np.nonzero(sims >= (low - 10.0**-SIM_DIGITS)[:, None])
+            self.found.append((at + i, np.round(sims[at, hit], SIM_DIGITS), row["vid"][hit], row["id"][hit], row["code"][hit]))
+            self.waiting += len(at)
+        if self.waiting > max(2 * self.k * len(self.ids), PIECE):
+            self._keep()
+
+    def _keep(self) -> None:
+        at, sim, vid, nid, code = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((nid, vid, -sim, at))
+        count = np.bincount(at, minlength=len(self.ids))
+        begin = np.cumsum(count) - count
+        order = order[np.arange(len(at)) - np.repeat(begin, count) < self.k]
+        self.found = [(at[order], sim[order], vid[order], nid[order], code[order])]
+        full = np.flatnonzero(count >= self.k)
+        ends = np.cumsum(np.minimum(count, self.k)) - 1
+        self.edge[full] = sim[order][ends[full]]
+        self.waiting = 0
+
+    def listed(self) -> dict:
+        if not self.found:
+            self.found = [tuple(np.zeros(0, d) for d in (np.int64, float, np.int64, np.int64, np.int64))]
+        self._keep()
+        at, sim, vid, nid, code = self.found[0]
+        return {**self.space, "qid": self.ids[at], "vid": vid, "nid": nid, "code": code, "sim": sim}
+
+    def voted(self) -> dict:
+        self.listed()
+        at, code, votes = _majority(self.found[0][0], self.found[0][4])
+        return {**self.space, "qid": self.ids[at], "code": code, "votes": votes}
+
+
 def _answer(asked: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
     """What was found for each distinct query vector (``qvid``), for every query row that has the vector."""
     by_vector = found.join(wanted.select(*SPACE, "e", F.col("vid").alias("qvid")), [*SPACE, "qvid"])
@@ -274,12 +582,8 @@ def decode(train: DataFrame, queries: DataFrame, k: int | str = DEFAULT_K, pivot
 
     ``k='sqrt'`` takes the square root of each space's own number of training rows, rounded down.
     """
-    if k == "sqrt":
-        sizes = settle(train.groupBy(*SPACE).agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("int").alias("_k")))
-        found = nearest_neighbours(train, queries, int(largest(sizes, "_k") or 1), pivots)
-        return vote(attach(found, sizes, SPACE, spread="qid").filter(F.col("rank") <= F.col("_k")).drop("_k"))
-    if k <= LIST_MOST:
-        return vote(nearest_neighbours(train, queries, k, pivots))
+    if k == "sqrt" or k <= LIST_MOST:
+        return _found(train, queries, k, pivots, voted=True)
     return counted_vote(train, queries, k, pivots)
 
 
@@ -289,12 +593,25 @@ def counted_vote(train: DataFrame, queries: DataFrame, k: int, pivots: int = PIV
     asked = queries.select(*SPACE, "t", unit(F.col("e")).alias("e"))
     chosen = settle(_choose_pivots(units, pivots))
     placed, asking = settle(_to_pivots(_distinct(units), chosen)), settle(_to_pivots(_distinct(asked), chosen))
+    routes = settle(_routes(placed, asking, chosen, k))
+    codes, dense = (_names(units), _dense(placed, routes)) if k <= LIST_MOST else (None, None)
+    if codes is None or not row_count(dense):
+        return _counted(units, asked, placed, asking, chosen, routes, k)
+    passed = _passed(_within(units, dense), _within(asked, dense), _within(placed, dense), _within(asking, dense), k, k, True, codes)
+    if row_count(dense) == row_count(chosen):
+        return passed
+    rest = settle(chosen.select(*SPACE).join(dense, SPACE, "left_anti"))
+    kept = [settle(_within(x, rest)) for x in (placed, asking, chosen, routes)]
+    return passed.unionByName(_counted(_within(units, rest), _within(asked, rest), *kept, k))
+
+
+def _counted(units: DataFrame, asked: DataFrame, placed: DataFrame, asking: DataFrame, chosen: DataFrame, routes: DataFrame, k: int) -> DataFrame:
     names = placed.select(*SPACE, "e", "vid")
     counted = units.groupBy(*SPACE, "e", "label").agg(F.count(F.lit(1)).alias("n"))
     labelled = settle(counted.join(names, [*SPACE, "e"]).select(*SPACE, "vid", "label", "n"))
     sizes = labelled.groupBy(*SPACE, "vid").agg(F.sum("n").cast("double").alias("size"))
     pivots = _most(chosen)
-    sent = _send(placed, asking, chosen, k, pivots)
+    sent = _send(placed, asking, chosen, k, pivots, routes)
     right = settle(_training_pieces(
         sent.join(sizes, [*SPACE, "vid"]).withColumn("e", F.concat("e", F.array("size"))), chosen, pivots
     ))

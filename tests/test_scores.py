@@ -315,3 +315,81 @@ def test_half_precision_and_vector_functions(spark):
     ).first()
     assert np.array_equal(np.array(row["h"], dtype=np.float32), np.array(values).astype(np.float16).astype(np.float32))
     assert row["n"] == 3.0 and row["z"] == [0.0, 0.0, 0.0] and row["c"] is None and row["b"] == [1, 2, 2]
+
+
+@pytest.mark.parametrize("k", [3, 40, "sqrt"])
+def test_vectors_of_many_dimensions_are_not_sent_by_pivots(spark, monkeypatch, k):
+    """Where pivots leave nothing out, a training vector is not copied to every group of queries; all answers stay exact."""
+    monkeypatch.setattr(knn, "PIECE", 64)
+    monkeypatch.setattr(knn, "PER_PIVOT", 16)
+    monkeypatch.setattr(knn, "GRID", 6)
+    monkeypatch.setattr(knn, "ROWS", 7)
+    rng = np.random.default_rng(4)
+    e = sphere_points(1000, d=24, seed=4)
+    e[rng.random(1000) < 0.1] = e[1]
+    labels = rng.integers(0, 4, 1000)
+    rows = embedded(spark, e, labels).withColumn("label", F.nullif(F.concat(F.lit("l"), "label"), F.lit("l3")))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+    def sent(*_):
+        raise AssertionError("sent by pivots")
+
+    monkeypatch.setattr(knn, "_send", sent)
+    ids = np.arange(1000)
+    known, asks = ids % 5 != 4, ids % 5 == 4
+    first = {}
+    named = [first.setdefault(tuple(v), i) for i, v in zip(ids[known], e[known])]
+    n = int(np.sqrt(known.sum())) if k == "sqrt" else k
+    sims = np.round(e[asks] @ e[known].T, 10)
+    want = [[i for _, _, i in sorted(zip(-s, named, ids[known]))[:n]] for s in sims]
+    if k != "sqrt":
+        got = {}
+        for r in knn.nearest_neighbours(train, test, k).collect():
+            got.setdefault(r.qid, []).append((r.rank, r.nid, r.label))
+        for q, best in zip(ids[asks], want):
+            assert sorted(got[q]) == [(j + 1, i, None if labels[i] == 3 else f"l{labels[i]}") for j, i in enumerate(best)]
+    votes = {r.qid: (r.pred, r.votes) for r in knn.decode(train, test, k).collect()}
+    if k == 40:
+        assert votes == {r.qid: (r.pred, r.votes) for r in knn.counted_vote(train, test, k).collect()}
+    assert set(votes) == set(ids[asks])
+    for q, best in zip(ids[asks], want):
+        counts = {c: sum(labels[i] == c for i in best) for c in (3, 0, 1, 2)}  # null is the smallest label
+        pred = max(counts, key=counts.get)
+        assert votes[q] == (None if pred == 3 else f"l{pred}", counts[pred])
+
+
+def test_small_spaces_need_no_pivots(spark, monkeypatch):
+    """Spaces of one chunk are answered in one task each, with copies and ties, beside spaces that are larger."""
+    rng = np.random.default_rng(9)
+    rows, parts = None, {}
+    for name, n in (("a", 40), ("b", 7), ("large", 200)):
+        e = sphere_points(n, seed=n)
+        e[rng.random(n) < 0.3] = e[0]
+        labels = rng.integers(0, 3, n)
+        parts[name] = e, labels
+        own = embedded(spark, e, labels, name)
+        rows = own if rows is None else rows.unionByName(own)
+    train = rows.filter("split = 'train'")
+    chosen = knn._choose_pivots
+    seen = []
+    monkeypatch.setattr(knn, "_choose_pivots", lambda units, pivots: seen.extend(r.pairing for r in units.select("pairing").distinct().collect()) or chosen(units, pivots))
+    monkeypatch.setattr(knn, "PIECE", 64)
+    monkeypatch.setattr(knn, "PER_PIVOT", 16)
+    for k in (3, 20):
+        seen.clear()
+        got = {}
+        for r in knn.nearest_neighbours(train, rows, k).collect():
+            got.setdefault((r.pairing, r.qid), []).append((r["rank"], r.nid, r.label))
+        assert seen == ["large"]
+        voted = {(r.pairing, r.qid): (r.pred, r.votes) for r in knn.decode(train, rows, k).collect()}
+        for name, (e, labels) in parts.items():
+            ids = np.arange(len(e))
+            known = ids % 5 != 4
+            first = {}
+            named = [first.setdefault(tuple(v), i) for i, v in zip(ids[known], e[known])]
+            for q in ids:
+                s = np.round(e[q] @ e[known].T, 10)
+                best = [i for _, _, i in sorted(zip(-s, named, ids[known]))[:k]]
+                assert sorted(got[name, q]) == [(j + 1, i, labels[i]) for j, i in enumerate(best)]
+                counts = np.bincount(labels[best], minlength=3)
+                assert voted[name, q] == (counts.argmax(), counts.max())
