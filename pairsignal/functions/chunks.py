@@ -113,29 +113,41 @@ def summed(df: DataFrame, keys: Sequence[str], fn: Callable[[dict], Iterator[tup
     ddl = f"{key_ddl}, v array<double>"
     names = list(keys)
 
+    def emit(held: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+        columns = {n: [key[i] for key, _ in held] for i, n in enumerate(names)}
+        columns["v"] = [v for _, v in held]
+        return record(columns, ddl)
+
     def run(batches):
         held: dict[tuple, np.ndarray] = {}
-
-        def emit():
-            columns = {n: [k[i] for k in held] for i, n in enumerate(names)}
-            columns["v"] = list(held.values())
-            return record(columns, ddl)
-
         for batch in batches:
             for row in rows_of(batch):
                 for key, vector in fn(row):
-                    if key in held:
-                        held[key] = held[key] + vector
-                    else:
-                        held[key] = vector
+                    held[key] = held[key] + vector if key in held else vector
                 if len(held) >= FLUSH:
-                    yield emit()
+                    yield emit(list(held.items()))
                     held = {}
         if held:
-            yield emit()
+            yield emit(list(held.items()))
 
-    partial = df.mapInArrow(run, ddl)
-    per_element = partial.select(*names, F.posexplode("v").alias("_i", "_v")).groupBy(*names, "_i").agg(F.sum("_v").alias("_v"))
-    return per_element.groupBy(*names).agg(
-        F.sort_array(F.collect_list(F.struct("_i", "_v"))).getField("_v").alias("v")
-    )
+    def merge(batches):
+        """Partial vectors come sorted by key: one key's sum at a time."""
+        done, at, total = [], None, None
+        for batch in batches:
+            for row in rows_of(batch):
+                key = tuple(row[n] for n in names)
+                if key == at:
+                    total = total + row["v"]
+                    continue
+                if at is not None:
+                    done.append((at, total))
+                if len(done) >= FLUSH:
+                    yield emit(done)
+                    done = []
+                at, total = key, row["v"]
+        if at is not None:
+            done.append((at, total))
+        if done:
+            yield emit(done)
+
+    return df.mapInArrow(run, ddl).repartition(*names).sortWithinPartitions(*names).mapInArrow(merge, ddl)

@@ -4,7 +4,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from pairsignal.functions import vectors
+from pairsignal.functions import chunks, vectors
 from pairsignal.operators import embed, knn, score
 from pairsignal.session import settle
 
@@ -393,3 +393,19 @@ def test_small_spaces_need_no_pivots(spark, monkeypatch):
                 assert sorted(got[name, q]) == [(j + 1, i, labels[i]) for j, i in enumerate(best)]
                 counts = np.bincount(labels[best], minlength=3)
                 assert voted[name, q] == (counts.argmax(), counts.max())
+
+
+def test_sums_of_vectors_are_not_shuffled_by_element(spark):
+    """A partial sum is one row of the shuffle, however long; keys in many partitions add up."""
+    rows = spark.range(0, 3000, 1, 7).select((F.col("id") % 5).cast("string").alias("pairing"), (F.col("id") % 40).cast("int").alias("run_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+
+    def each(row):
+        yield (row["pairing"], row["run_id"]), row["v"]
+
+    got = chunks.summed(rows, ["pairing", "run_id"], each, "pairing string, run_id int")
+    want = {}
+    for i in range(3000):
+        want.setdefault((str(i % 5), i % 40), []).append(i)
+    assert {(r.pairing, r.run_id): list(r.v) for r in got.collect()} == {k: [float(sum(v)), float(len(v))] for k, v in want.items()}
+    assert got.count() == len(want)
+    assert "Generate" not in got._jdf.queryExecution().toString()
