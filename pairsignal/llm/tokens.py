@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 
 REMEMBERED = 500_000  # pieces a worker keeps, some 100 MB: the first ones, which are the frequent ones
 GROUP_BYTES = 16 << 20  # texts that are split together; places in their ids fit into 32 bits
+PART_BYTES = 1 << 20  # of a batch's texts that are turned into strings and encoded together
 PIECE_CHARS = 1 << 20  # a longer text is split between two words, so that its pieces need little memory
 SAFE = r"[\n\t\r\x20-\x7e¡-¬®-ɏ]*"  # characters whose classes are written out below
 OTHER = r"[^\n\t\r\x20-\x7e¡-¬®-ɏ]|[ \n\t\r]{2}"
@@ -150,10 +151,20 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts have about `most` bytes: what a task makes of them stays small."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        run = (np.cumsum(size) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def encoded(path: str, batches: Iterator[pa.RecordBatch], end: int | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with the ids of its column `text` (null: empty), followed by the end id if there is one."""
+    """Each part of the batches with the ids of its column `text` (null: empty), followed by the end id if there is one."""
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
     encode = encoder(path).encode
-    for batch in batches:
+    for batch in parts(batches):
         texts = batch.column(batch.schema.names.index("text")).to_pylist()
         yield batch, [ids + tail for ids in encode([t or "" for t in texts])]

@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -282,6 +283,21 @@ def test_similar_sets_share_a_key(n):
             assert set(similar.bin_keys(np.sort(a), 0.8)) & set(similar.bin_keys(np.sort(b), 0.8))
 
 
+def test_texts_are_encoded_in_parts_of_a_batch():
+    """A batch of 20 MB is not turned into strings at once; rows, order and ids stay."""
+    texts = [f"number {i} " * 60 for i in range(30_000)] + [None, "", LONG * 20, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    cut = list(tokens.parts(iter([batch.slice(0, 0), batch])))
+    sizes = [sum(len(t or "") for t in x.column(1).to_pylist()) for x in cut]
+    assert [i for x in cut for i in x.column(0).to_pylist()] == list(range(len(texts)))
+    assert max(sizes[:-2]) <= tokens.PART_BYTES + 720 and max(sizes) <= tokens.PART_BYTES + len(LONG * 20)
+    some = batch.slice(29_000)
+    got = [ids for _, own in tokens.encoded(tokens.vocabulary(), iter([some]), 2) for ids in own]
+    whole = tokens.encoder(tokens.vocabulary()).encode([t or "" for t in some.column(1).to_pylist()])
+    assert len(list(tokens.encoded(tokens.vocabulary(), iter([batch.slice(0, 6000)]), 2))) > 1
+    assert got == [x + (2).to_bytes(4, "little") for x in whole]
+
+
 def test_a_shared_line_makes_no_bucket(spark):
     """Short texts that share one line and nothing else: the order puts the line last, so no two of them are compared."""
     line = " ".join(f"line{i}" for i in range(12))
