@@ -5,6 +5,9 @@ bits. The set of a text's shingles is therefore dealt into bins by hash, and eac
 change touches few bins, and the fingerprints of the others are equal. A bin's key is the exact first segment of its
 fingerprint with the Golay codeword of the second. Texts that share a key are candidates.
 
+The fingerprint of a whole set has its keys too, whatever the size of the set: all three segments in turn exact, each with
+the codewords near the next one, as `simhash` has them. They find sets that differ in two bits at most.
+
 Longer texts are dealt from a sample of their shingles chosen by hash, so that a dealing has 32 bins at most; the sample
 depends on the size of the set, and a text near a step is dealt both ways, so similar texts meet. Every text is dealt
 more than once, by other bits and where it is sampled from other samples.
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.llm.common import hinted, row_key, settle, text_of
-from pairsignal.llm.simhash import connected, golay
+from pairsignal.llm.simhash import connected, golay, keys_of
 from pairsignal.llm.word_sets import FEATURES, alike, compared, shingles, sketch, through_followers, without_copies
 
 SHINGLE = 5
@@ -93,6 +96,17 @@ def bin_keys(found: np.ndarray, similarity: float, grades: np.ndarray | None = N
     return keys
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """A bit is 1 if over half of a set's shingles have it."""
+    return int(np.packbits(2 * np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) > len(found)).view("<u8")[0])
+
+
+def whole_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Golay keys of whole sets' fingerprints: which set, and the key."""
+    which, keys, _ = keys_of(prints)
+    return which, keys | (1 << 61)
+
+
 def rarity(docs: DataFrame, words: int, similarity: float) -> np.ndarray:
     """A byte per cell: the larger, the more frequent the shingles there. Any order is right; this one keeps buckets small.
 
@@ -125,11 +139,16 @@ def _keys(docs: DataFrame, members: DataFrame, words: int, similarity: float) ->
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 owner, keys = [], []
+                prints = np.zeros(part.num_rows, np.uint64)
                 for i in range(part.num_rows):
-                    own = bin_keys(shingles(part.column(1)[i].as_py(), words), similarity, grades.value)
+                    found = shingles(part.column(1)[i].as_py(), words)
+                    prints[i] = fingerprint(found)
+                    own = bin_keys(found, similarity, grades.value)
                     owner += [i] * len(own)
                     keys += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), part.column(0).take(pa.array(owner, pa.int64()))], names=["bucket", "row"])
+                which, whole = whole_keys(prints)
+                rows = part.column(0).take(pa.array(np.concatenate([np.array(owner, np.int64), which])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(keys, np.int64), whole])), rows], names=["bucket", "row"])
 
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text_of().alias("text")).join(members.select("row", "key"), "key")
     return texts.select("row", "text").mapInArrow(work, "bucket long, row long")

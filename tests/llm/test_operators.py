@@ -283,6 +283,20 @@ def test_similar_sets_share_a_key(n):
             assert set(similar.bin_keys(np.sort(a), 0.8)) & set(similar.bin_keys(np.sort(b), 0.8))
 
 
+def test_every_set_has_the_keys_of_its_fingerprint(spark):
+    """Small sets too: every text with words has keys of a whole fingerprint, and fingerprints two bits apart share one."""
+    table = spark.createDataFrame([(n, " ".join(f"t{n}w{i}" for i in range(n))) for n in (1, 5, 30, 100, 400)], "doc_id long, text string")
+    members, _ = word_sets.without_copies(similar.settle(word_sets.sketch(table, similar.SHINGLE, 0)))
+    keys = similar._keys(table, members, similar.SHINGLE, 0.8)
+    assert keys.filter("bucket >> 61 = 1").select("row").distinct().count() == 5
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        value = int(draw.integers(0, 1 << 63))
+        other = value ^ sum(1 << int(b) for b in draw.choice(64, 2, replace=False))
+        (one, two) = (similar.whole_keys(np.array([v], np.uint64))[1].tolist() for v in (value, other))
+        assert set(one) & set(two)
+
+
 def test_texts_are_encoded_in_parts_of_a_batch():
     """A batch of 20 MB is not turned into strings at once; rows, order and ids stay."""
     texts = [f"number {i} " * 60 for i in range(30_000)] + [None, "", LONG * 20, "end"]
