@@ -28,8 +28,9 @@ def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not reject."""
-    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    return toxicity.score(whole, read(spark, sf_dir, "labels"), keep=("row",)).filter(~F.col("rejected")).select("row.*")
+    key = row_key(F.col("doc_id"), F.col("text"))
+    scored = toxicity.score(docs.select("doc_id", "text", key.alias("key")), read(spark, sf_dir, "labels"), keep=("key",))
+    return _without(docs, key, scored.filter("rejected").select("key").distinct())
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

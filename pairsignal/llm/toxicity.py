@@ -20,11 +20,13 @@ from pyspark.sql import types as T
 
 from pairsignal.llm.common import settle, text_of
 from pairsignal.llm.labelled import Remembered, sampled, with_labels, words_in_parts
+from pairsignal.llm.tokens import parts
 
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 SAMPLE = 20_000
 FEATURES = 3_000  # of each category
 TELLING = 1.0  # least difference of a feature's log rates inside and outside a category
+COUNTED = 4 << 20  # bytes of text whose features are added up at once
 PREFIXES = (4, 5, 6)
 FOLDS = 4
 WORDS = re.compile(r"[^\W\d_]+")
@@ -55,7 +57,7 @@ def feature_counts(rows: DataFrame, names: list[str]) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(features_of)
-        for batch in batches:
+        for batch in parts(batches, "text", COUNTED):
             marks = np.array([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(names))], np.int64).reshape(len(names), -1)
             held, owner = [], []
             for i, text in enumerate(batch.column(0).to_pylist()):
@@ -182,7 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, sample: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(lambda w: tuple(chosen[f] for f in features_of(w) if f in chosen))
-        for batch in batches:
+        for batch in parts(batches, "_text"):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             sums = np.zeros((len(texts), len(models)))
             for i, text in enumerate(texts):

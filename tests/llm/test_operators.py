@@ -297,6 +297,14 @@ def test_every_set_has_the_keys_of_its_fingerprint(spark):
         assert set(one) & set(two)
 
 
+def test_the_toxicity_stage_sends_no_rows_through_python(spark, docs, monkeypatch):
+    passed = []
+    own = toxicity.score
+    monkeypatch.setattr(toxicity, "score", lambda *a, **k: passed.append(a[0].select(*k["keep"]).dtypes) or own(*a, **k))
+    assert corpus_pipeline.toxic(spark, docs, SF_DIR).columns == docs.columns
+    assert passed == [[("key", "binary")]]
+
+
 def test_texts_are_encoded_in_parts_of_a_batch():
     """A batch of 20 MB is not turned into strings at once; rows, order and ids stay."""
     texts = [f"number {i} " * 60 for i in range(30_000)] + [None, "", LONG * 20, "end"]
