@@ -15,9 +15,10 @@ The bound on the bits is so wide that it loses one link in 10 million.
 Equal sets are one member. A larger node first compares all its members with its leader, the one whose bits are nearest
 to the majority's, as the original of a group of near copies has them. Members similar to it leave the node with it, so
 a group costs comparisons in proportion to its size; the others branch on, or are compared if few are left.
+Members that stay are compared with each other only if what they lack and add to the leader leaves their likeness open.
 A member that stays may still be similar to one that left: by the triangle inequality of the Jaccard distance its
 similarity with the leader is then at least 2 * similarity - 1. Where such a member is not in the leader's component in
-the end, it is compared with all that left with this leader.
+the end, it is compared with those that left with this leader, under the same condition.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pairsignal.llm.common import hinted, settle
 from pairsignal.llm.simhash import connected
-from pairsignal.llm.word_sets import FEATURES, alike, compared, sketch, through_followers, without_copies
+from pairsignal.llm.word_sets import FEATURES, MARKS, alike, compared, sketch, through_followers, within, without_copies
 
 SHINGLE = 5
 PERCENT = 85
@@ -39,6 +40,7 @@ BRANCHES = 2  # tokens a tree's root splits by, each for itself
 WIDTH, DEPTH = 6, 4  # branches below, and the tokens each of them splits by together
 NODE = 32
 SPARSE = 1024  # larger nodes of up to this size are compared whole too, if few are similar to their leader
+MARKED = 50  # percent of similarity with the leader from which on it is kept how a member differs from it
 COORDINATES = 64  # tokens that are kept for branching
 
 
@@ -88,33 +90,37 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
 
     def all_pairs(few: DataFrame) -> DataFrame:
         x, y = few.alias("x"), few.alias("y")
-        close = (F.col("x.node") == F.col("y.node")) & (F.col("x.row") < F.col("y.row")) & alike("x", "y", percent)
+        open_ = F.coalesce(within("x", "y", percent), F.lit(True))  # not known of nodes that had no leader
+        close = (F.col("x.node") == F.col("y.node")) & (F.col("x.row") < F.col("y.row")) & alike("x", "y", percent) & open_
         return settle(x.join(y, close).select(F.col("x.row").alias("x"), F.col("y.row").alias("y")))
 
     tokens = members.select("row", "tokens")
-    waiting = current.limit(0)  # nodes that the level before leaves to be compared whole
+    unmarked = [F.lit(None).cast("long").alias(c) for c in ("shared", "total", *MARKS)]
+    waiting = current.limit(0).select("node", "row", *FEATURES, *unmarked)  # nodes that the level before leaves to be compared whole
     while True:
         level += 1
         nodes = settle(current.groupBy("node").agg(F.count("*").alias("held")).filter("held > 1"))
         small = current.join(hinted(nodes.filter(F.col("held") <= node).select("node")), "node", "left_semi")
-        few_pairs.append(all_pairs(small.select("node", "row", *FEATURES).unionByName(waiting.select("node", "row", *FEATURES))))
+        few_pairs.append(all_pairs(small.select("node", "row", *FEATURES, *unmarked).unionByName(waiting)))
         large = nodes.filter(F.col("held") > node).select("node")
         if not large.limit(1).count():
             break
         many = current.join(hinted(large), "node", "left_semi")
         many = settle(many if "tokens" in many.columns else many.join(tokens, "row"))
         tried = many.join(hinted(settle(_leaders(many))), "node").filter("row <> leader.row")
-        asked = tried.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
+        asked = tried.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", min(loose, MARKED)))
         asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
-        found = settle(compared(asked, docs, heads, words, loose).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
-        led.append(found)
+        found = compared(asked, docs, heads, words, min(loose, MARKED), marked=True)
+        found = settle(found.withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
+        led.append(found.filter(F.col("shared") * 100 >= F.col("total") * loose))
         with_leader = tried.select("node", "row", *FEATURES, "tokens", F.col("leader.row").alias("lead"))
-        follows = found.filter("linked").select(F.col("x").alias("row"), F.col("y").alias("lead"), F.lit(1).alias("follows"))
-        judged = settle(with_leader.join(hinted(follows), ["row", "lead"], "left").drop("lead"))
+        follows = F.when(F.col("linked"), 1).alias("follows")
+        known = found.select(F.col("x").alias("row"), F.col("y").alias("lead"), follows, "shared", "total", *MARKS)
+        judged = settle(with_leader.join(hinted(known), ["row", "lead"], "left").drop("lead"))
         left = settle(judged.groupBy("node").agg(F.count_if(F.col("follows").isNull()).alias("left"), F.count("follows").alias("gone")))
         rest = judged.filter("follows is null").drop("follows")
         whole = (F.col("left") <= node) | ((F.col("left") <= sparse) & (F.col("gone") * 8 <= F.col("left")))
-        waiting = rest.join(hinted(left.filter(whole).select("node")), "node", "left_semi")
+        waiting = rest.join(hinted(left.filter(whole).select("node")), "node", "left_semi").select("node", "row", *FEATURES, "shared", "total", *MARKS)
         on = rest.join(hinted(left.filter(~whole).select("node")), "node", "left_semi")
         current = settle(on.select("row", *FEATURES, "tokens", _children(level)).drop("node").withColumnRenamed("child", "node"))
     return through_followers(few_pairs, led, members, docs, words, percent)

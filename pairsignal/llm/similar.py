@@ -23,7 +23,8 @@ compared. In a larger one they are compared with a leader, the one that shares m
 not similar to it with two others, then with four, until every member is a leader or similar to one or the rest is
 small. A member can still be similar to one that follows a leader. By the triangle inequality of the Jaccard distance
 its similarity with the leader is then at least 2 * similarity - 1; where such a member has not joined the leader's
-group in another way, it is compared with the leader's followers too.
+group in another way, it is compared with the leader's followers too, as far as what both lack and add to the leader
+leaves their likeness open.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def links(members: DataFrame, docs: DataFrame, words: int = SHINGLE, percent: in
         tried = many.join(hinted(leaders), "bucket").filter("row <> leader.row")
         asked = tried.select(F.struct("row", *FEATURES).alias("x"), F.col("leader").alias("y")).filter(alike("x", "y", loose))
         asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
-        found = settle(compared(asked, docs, heads, words, loose).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
+        found = settle(compared(asked, docs, heads, words, loose, marked=True).withColumn("linked", F.col("shared") * 100 >= F.col("total") * percent))
         led.append(found)
         follows = found.filter("linked").select(F.col("x").alias("row"), F.col("y").alias("lead"))
         followers = tried.select("bucket", "row", F.col("leader.row").alias("lead")).join(hinted(follows), ["row", "lead"], "left_semi").select("bucket", "row")

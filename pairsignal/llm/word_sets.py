@@ -19,6 +19,7 @@ HASHES = 256
 WORDS = HASHES // 64  # longs that hold a bit of each hash
 FEATURES = ["n", *[f"b{i}" for i in range(WORDS)]]
 TAIL = 18.0  # the bound on differing bits is passed by a link with probability exp(-TAIL)
+MARKS = ["extra", *[f"{kind}{i}" for kind in ("lacks", "adds") for i in range(WORDS)]]
 
 _DRAW = np.random.default_rng(13)
 _FACTORS, _SHIFTS, _MIXERS = (_DRAW.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(3))
@@ -110,20 +111,59 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(work, "row long, found array<long>")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame:
+def _marked(pairs: DataFrame) -> DataFrame:
+    """Instead of the lists `lacks` and `adds` the number of added shingles, and of each list which of HASHES cells it hits."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k) for k in range(4)]
+            marks, extra = [], None
+            for listed in (batch.column(4), batch.column(5)):
+                size = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = np.zeros((batch.num_rows, HASHES), bool)
+                hit[np.repeat(np.arange(batch.num_rows), size), listed.flatten().to_numpy().view(np.uint64) >> np.uint64(56)] = True
+                words = np.packbits(hit, axis=1).view("<i8")
+                marks += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]
+                extra = size
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(extra), *marks], names=["x", "y", "shared", "total", *MARKS])
+
+    return pairs.select("x", "y", "shared", "total", "lacks", "adds").mapInArrow(work, ", ".join(f"{c} long" for c in ["x", "y", "shared", "total", *MARKS]))
+
+
+def within(x: str, y: str, percent: int) -> Column:
+    """Whether x and y, both compared with the same third set, can be similar by what they lack and add to it.
+
+    Of the third set they share at most what neither lacks, and beside it what both add. The cells hit by either's lacking
+    shingles are no more than these; a cell that one's added shingles hit and the other's do not holds one that is not shared.
+    """
+    def count(bits) -> Column:
+        return sum((F.bit_count(bits(i)) for i in range(WORDS)), F.lit(0))
+
+    def added(one: str, other: str) -> Column:
+        return F.col(f"{one}.extra") - count(lambda i: F.col(f"{one}.adds{i}").bitwiseAND(F.bitwise_not(F.col(f"{other}.adds{i}"))))
+
+    lacked = count(lambda i: F.col(f"{x}.lacks{i}").bitwiseOR(F.col(f"{y}.lacks{i}")))
+    shared = F.col(f"{x}.total") - F.col(f"{x}.extra") - lacked + F.least(added(x, y), added(y, x))
+    sizes = F.col(f"{x}.shared") + F.col(f"{x}.extra") + F.col(f"{y}.shared") + F.col(f"{y}.extra")
+    return shared * 100 >= (sizes - shared) * percent
+
+
+def compared(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int, percent: int, marked: bool = False) -> DataFrame:
     """x, y, shared, total (sizes of intersection and union) of the pairs of rows at or over the percentage, by whole sets.
 
-    heads has the key of each row; only texts of rows in the pairs are read into sets.
+    heads has the key of each row; only texts of rows in the pairs are read into sets. If asked for, MARKS tell what x
+    lacks and adds to y.
     """
     rows = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct()
     asked = settle(heads.select("row", "key").join(rows, "row", "left_semi"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text_of().alias("text")).join(hinted(asked), "key")
     sets = settle(_sets(texts, words))
     left, right = sets.select(F.col("row").alias("x"), F.col("found").alias("fx")), sets.select(F.col("row").alias("y"), F.col("found").alias("fy"))
+    lists = [F.array_except("fy", "fx").alias("lacks"), F.array_except("fx", "fy").alias("adds")] if marked else []
     shared = pairs.select("x", "y").join(left, "x").join(right, "y").select(
-        "x", "y", F.size(F.array_intersect("fx", "fy")).cast("long").alias("shared"), (F.size("fx") + F.size("fy")).cast("long").alias("both")
+        "x", "y", F.size(F.array_intersect("fx", "fy")).cast("long").alias("shared"), (F.size("fx") + F.size("fy")).cast("long").alias("both"), *lists
     )
-    return shared.select("x", "y", "shared", (F.col("both") - F.col("shared")).alias("total")).filter(F.col("shared") * 100 >= F.col("total") * percent).distinct()
+    close = shared.withColumn("total", F.col("both") - F.col("shared")).filter(F.col("shared") * 100 >= F.col("total") * percent).drop("both")
+    return (_marked(close) if marked else close.select("x", "y", "shared", "total")).distinct()
 
 
 def alike(x: str, y: str, percent: int) -> Column:
@@ -142,7 +182,8 @@ def without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def through_followers(few: list[DataFrame], led: list[DataFrame], members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """x, y: links among pairs left open by `alike` (few) and compared with leaders (led: x, leader y, linked), and links
-    between a member that just missed a leader and the leader's followers, where they are not connected otherwise."""
+    between a member that just missed a leader and the leader's followers, where they are not connected otherwise.
+    led has MARKS too, so that of these only pairs whose likeness they leave open are compared."""
     heads = members.select("row", "key")
     if not few:
         return members.select(F.col("row").alias("x"), F.col("row").alias("y")).limit(0)
@@ -150,20 +191,20 @@ def through_followers(few: list[DataFrame], led: list[DataFrame], members: DataF
     if not led:
         return sure
     distance = (1 - F.col("shared") / F.col("total")).alias("distance")
-    tried = settle(reduce(DataFrame.unionByName, led).select("x", "y", "linked", distance).distinct())
+    tried = settle(reduce(DataFrame.unionByName, led).select("x", "y", "linked", distance, F.struct("shared", "total", *MARKS).alias("marks")).distinct())
     follows = tried.filter("linked").select("x", "y")
     sure = settle(sure.unionByName(follows).distinct())
-    missed = tried.filter("not linked").select(F.col("x").alias("miss"), F.col("y").alias("lead"), F.col("distance").alias("far"))
+    missed = tried.filter("not linked").select(F.col("x").alias("miss"), F.col("y").alias("lead"), F.col("distance").alias("far"), F.col("marks").alias("mx"))
     if not missed.limit(1).count():
         return sure
     # What follows the same leader is connected already; a leader that follows another one counts with that one.
     stars = settle(follows.groupBy("x").agg(F.min("y").alias("star")))
     star = lambda row, name: hinted(stars).select(F.col("x").alias(row), F.col("star").alias(name))
     apart = missed.join(star("miss", "mine"), "miss", "left").join(star("lead", "theirs"), "lead", "left")
-    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead) and not mine <=> lead").select("miss", "lead", "far"))
+    apart = settle(apart.filter("coalesce(mine, miss) <> coalesce(theirs, lead) and not mine <=> lead").select("miss", "lead", "far", "mx"))
     features = lambda row, name: members.select(F.col("row").alias(row), F.struct("row", *FEATURES).alias(name))
-    behind = tried.filter("linked").select(F.col("x").alias("follower"), F.col("y").alias("lead"), F.col("distance").alias("near")).join(features("follower", "y"), "follower")
+    behind = tried.filter("linked").select(F.col("x").alias("follower"), F.col("y").alias("lead"), F.col("distance").alias("near"), F.col("marks").alias("my")).join(features("follower", "y"), "follower")
     reach = F.col("far") - F.col("near") <= 1 - percent / 100 + 1e-9  # the triangle inequality once more
-    asked = apart.join(features("miss", "x"), "miss").join(behind, "lead").filter(reach & alike("x", "y", percent))
+    asked = apart.join(features("miss", "x"), "miss").join(behind, "lead").filter(reach & alike("x", "y", percent) & within("mx", "my", percent))
     asked = settle(asked.select(F.col("x.row").alias("x"), F.col("y.row").alias("y")).distinct())
     return sure.unionByName(compared(asked, docs, heads, words, percent).select("x", "y"))

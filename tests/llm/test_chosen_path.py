@@ -102,3 +102,50 @@ def test_bits_follow_the_similarity():
 def test_real_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     assert result(chosen_path.near_duplicates(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def crowd():
+    """An original, copies similar to it, and more copies that just miss it and resemble each other as little."""
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = [base]
+    for changes in [2] * 30 + [5] * 90:
+        copy = list(base)
+        for k in draw.sample(range(150), changes):
+            copy[k] = f"v{draw.randrange(40)}"
+        texts.append(copy)
+    return list(enumerate(map(" ".join, texts)))
+
+
+def test_a_crowd_around_a_leader_is_not_compared_whole(spark, monkeypatch):
+    asked, real = [], word_sets.compared
+
+    def counted(pairs, docs, heads, words, percent, **options):
+        asked.append(pairs.count())
+        return real(pairs, docs, heads, words, percent, **options)
+
+    for module in (word_sets, chosen_path):
+        monkeypatch.setattr(module, "compared", counted)
+    rows = crowd()
+    assert result(chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(asked) < 8 * len(rows)
+
+
+def test_no_link_is_left_out_by_what_differs_from_the_leader(spark):
+    rows = crowd()
+    sets = [word_sets.shingles(t, 5) for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    heads = spark.createDataFrame([(i, "") for i, _ in rows], "row long, key string").join(
+        docs.selectExpr("doc_id as row", "text"), "row").select("row", word_sets.row_key(word_sets.F.col("row"), word_sets.F.col("text")).alias("key"))
+    pairs = spark.createDataFrame([(i, 0) for i, _ in rows[1:]], "x long, y long")
+    marks = word_sets.compared(pairs, docs, heads, 5, 0, marked=True).cache()
+    for percent in (70, 80, 85):
+        a, b = marks.alias("a"), marks.alias("b")
+        open_ = {(r.x, r.y) for r in a.join(b, word_sets.F.expr("a.x < b.x") & word_sets.within("a", "b", percent)).selectExpr("a.x as x", "b.x as y").collect()}
+        close = set()
+        for i in range(1, len(sets)):
+            for j in range(i + 1, len(sets)):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both * 100 >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    close.add((i, j))
+        assert close <= open_ and len(open_) < 2 * len(close) + len(sets)
