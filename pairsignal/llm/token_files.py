@@ -27,6 +27,7 @@ from pairsignal.session import ensure_checkpoint_dir
 
 END = 2
 SHARD_TOKENS = 1 << 19
+PART_BYTES = 4 << 20  # texts that are encoded together: the more, the fewer pieces are looked up twice
 LEAST = 16  # occurrences a rule must replace
 
 
@@ -216,7 +217,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, end:
             ]
             return pa.RecordBatch.from_arrays(values, names=schema.fieldNames())
 
-        for batch, encoded in tokens.encoded(vocabulary, batches, end):
+        for batch, encoded in tokens.encoded(vocabulary, batches, end, PART_BYTES):
             ids, first = batch.column(0), 0
             for i, one in enumerate(encoded):
                 held.append(one)

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 REMEMBERED = 500_000  # pieces a worker keeps, some 100 MB: the first ones, which are the frequent ones
 GROUP_BYTES = 16 << 20  # texts that are split together; places in their ids fit into 32 bits
 PART_BYTES = 1 << 20  # of a batch's texts that are turned into strings and encoded together
+TOGETHER = 64  # unknown pieces that are merged in one call
 PIECE_CHARS = 1 << 20  # a longer text is split between two words, so that its pieces need little memory
 SAFE = r"[\n\t\r\x20-\x7e¡-¬®-ɏ]*"  # characters whose classes are written out below
 OTHER = r"[^\n\t\r\x20-\x7e¡-¬®-ɏ]|[ \n\t\r]{2}"
@@ -62,6 +63,8 @@ class Encoder:
         self.split = re.compile(SPLIT).findall
         self.safe = re.compile(SAFE).fullmatch
         self.between = re.compile(f"(?<=[{LETTER}])(?= [{LETTER}])").search
+        with_zero = [(t, i) for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if BYTES[0] in t]
+        self.between_id = with_zero[0][1] if [t for t, _ in with_zero] == [BYTES[0]] else None
         self.known: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
@@ -70,16 +73,31 @@ class Encoder:
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             new = [pieces[i] for i in missing]
-            one = self.tokenizer.model.tokenize  # the merges alone: the pieces are split already
-            listed = [[t.id for t in one(p.encode().decode("latin-1").translate(BYTES))] for p in new]
-            ids = np.fromiter(chain.from_iterable(listed), "<u4").tobytes()
-            ends = (4 * np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)))).tolist()
+            ids, ends = self._merged(new)
             for i, a, b in zip(missing, [0, *ends[:-1]], ends):
                 found[i] = ids[a:b]
             room = REMEMBERED - len(self.known)
             self.known.update((p, found[i]) for p, i in zip(new[:room], missing) if room > 0)
         return found
 
+    def _merged(self, new: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of pieces by the merges alone, for they are split already, and where those of each piece end.
+
+        Where no merge holds the zero byte, which no piece has, pieces are put together with it between them.
+        """
+        one = self.tokenizer.model.tokenize
+        if self.between_id is None:
+            listed = [[t.id for t in one(p.encode().decode("latin-1").translate(BYTES))] for p in new]
+            ids = np.fromiter(chain.from_iterable(listed), "<u4")
+            ends = np.cumsum(np.fromiter(map(len, listed), np.int64, len(listed)))
+        else:
+            joined = ("\0".join([*new[i:i + TOGETHER], ""]) for i in range(0, len(new), TOGETHER))
+            found = (one(p.encode().decode("latin-1").translate(BYTES)) for p in joined)
+            ids = np.fromiter((t.id for t in chain.from_iterable(found)), "<u4")
+            cuts = np.flatnonzero(ids == self.between_id)
+            ids, ends = np.delete(ids, cuts), cuts - np.arange(len(cuts))
+        return ids.tobytes(), (4 * ends).tolist()
+
     def _pieces(self, text: str) -> Iterator[list[str]]:
         at = 0
         while len(text) - at > PIECE_CHARS:
@@ -161,10 +179,10 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = P
             yield batch.slice(a, b - a)
 
 
-def encoded(path: str, batches: Iterator[pa.RecordBatch], end: int | None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(path: str, batches: Iterator[pa.RecordBatch], end: int | None, most: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each part of the batches with the ids of its column `text` (null: empty), followed by the end id if there is one."""
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
     encode = encoder(path).encode
-    for batch in parts(batches):
+    for batch in parts(batches, most=most):
         texts = batch.column(batch.schema.names.index("text")).to_pylist()
         yield batch, [ids + tail for ids in encode([t or "" for t in texts])]

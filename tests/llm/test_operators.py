@@ -305,6 +305,22 @@ def test_the_toxicity_stage_sends_no_rows_through_python(spark, docs, monkeypatc
     assert passed == [[("key", "binary")]]
 
 
+def test_unknown_pieces_are_merged_together():
+    from types import SimpleNamespace
+
+    one = tokens.Encoder(tokens.vocabulary())
+    model, calls = one.tokenizer.model, []
+    pieces = [f" {a}{b}x" for a in ("é", "zq", "Wort", "0", "!?") for b in range(200)]
+    alone = [b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(p.encode().decode("latin-1").translate(tokens.BYTES))) for p in pieces]
+    one.tokenizer = SimpleNamespace(model=SimpleNamespace(tokenize=lambda text: calls.append(text) or model.tokenize(text)))
+    assert one._ids(pieces) == alone and len(calls) < len(pieces) / 20
+    calls.clear()
+    assert one._ids(pieces[:7]) == alone[:7] and not calls
+    one.known.clear()
+    one.between_id = None  # a vocabulary with merges of the zero byte
+    assert one._ids(pieces) == alone and len(calls) == len(pieces)
+
+
 def test_texts_are_encoded_in_parts_of_a_batch():
     """A batch of 20 MB is not turned into strings at once; rows, order and ids stay."""
     texts = [f"number {i} " * 60 for i in range(30_000)] + [None, "", LONG * 20, "end"]
