@@ -21,6 +21,7 @@ ROW_NUMBERS = 16       # numbers in a plain metadata row
 KEY_NUMBERS = 1024     # numbers in a key that holds a vector
 CHANNELS = 256         # channels of a recording where its table does not tell
 HEAVY_ROWS = 1_000_000  # rows of one key above which its join is spread over several tasks
+HEAVY_CHUNKS = 256     # chunks of one key above which it is split over tasks
 SALTS = 32             # ways a hot key is split when metadata is too large to broadcast
 
 
@@ -100,18 +101,25 @@ def attach(
     bound: DataFrame | None = None,
     numbers: int = ROW_NUMBERS,
     spread: str = "t",
+    heavy: int = 0,
 ) -> DataFrame:
     """Join metadata with few rows per key onto sample rows.
 
     ``bound`` is a cheap table and ``numbers`` the most numbers ``meta`` holds per row of it; they prove the size
-    before a broadcast.  Beyond the limit the key is salted, so a hot recording is still split over many tasks.
+    before a broadcast.  Beyond the limit the key is salted, so a hot recording is still split over many tasks.  Wide
+    ``meta`` is repeated only if a key has more than ``heavy`` rows, where that is given; the rows' keys are counted first.
+
+    The size Spark expects of ``meta`` comes from compressed files, not from what is computed out of them, so beyond the
+    limit the join is told not to broadcast.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if row_count(meta if bound is None else bound) * numbers <= SMALL_NUMBERS:
         return rows.join(F.broadcast(meta), keys, how)
+    if heavy and not rows.groupBy(*keys).count().filter(F.col("count") > heavy).limit(1).count():
+        return rows.join(meta.hint("merge"), keys, how)
     salted = meta.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(
-        salted, [*keys, "_salt"], how
+        salted.hint("merge"), [*keys, "_salt"], how
     ).drop("_salt")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, summed
-from pairsignal.operators.blocks import attach, channel_count, row_count
+from pairsignal.operators.blocks import HEAVY_CHUNKS, attach, channel_count, row_count
 from pairsignal.operators.remix import matrix_per_key, pack_blocks
 from pairsignal.session import settle
 
@@ -175,8 +175,8 @@ def remove_components(samples: DataFrame, state: DataFrame, excluded: DataFrame,
     """Samples without the excluded components; recordings that exclude nothing stay as they are."""
     rows = cleaning_matrix(state, excluded.filter(F.size("comps") > 0))
     bias = rows.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("out_idx", "b"))).getField("b").alias("bs"))
-    per_key = matrix_per_key(rows, ["rec_id"]).join(bias, "rec_id")
-    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block")
+    per_key = matrix_per_key(rows, ["rec_id"]).join(bias.hint("merge"), "rec_id")
+    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block", heavy=HEAVY_CHUNKS)
 
     def run(row: dict) -> dict:
         x = matrix(row)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, pack
-from pairsignal.operators.blocks import attach, block_of, channel_count
+from pairsignal.operators.blocks import HEAVY_CHUNKS, attach, block_of, channel_count
 
 
 def pack_blocks(samples: DataFrame, keys: list[str], block: int = CHUNK) -> DataFrame:
@@ -31,7 +31,7 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def replace_channels(samples: DataFrame, weights: DataFrame, recordings: DataFrame, block: int = CHUNK) -> DataFrame:
     """Overwrite the listed output channels with their weighted sums; the others stay as they are."""
     per_key = matrix_per_key(weights, ["rec_id"])
-    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block")
+    chunks = attach(pack_blocks(samples, ["rec_id"], block), per_key, "rec_id", "left", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block", heavy=HEAVY_CHUNKS)
 
     def run(row: dict) -> dict:
         x = matrix(row)
@@ -46,7 +46,7 @@ def replace_channels(samples: DataFrame, weights: DataFrame, recordings: DataFra
 def project(samples: DataFrame, weights: DataFrame, recordings: DataFrame, block: int = CHUNK) -> DataFrame:
     """New channels ``w . x`` per recording, in ``out_idx`` order."""
     chunks = attach(
-        pack_blocks(samples, ["rec_id"], block), matrix_per_key(weights, ["rec_id"]), "rec_id", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block"
+        pack_blocks(samples, ["rec_id"], block), matrix_per_key(weights, ["rec_id"]), "rec_id", bound=recordings, numbers=channel_count(recordings) ** 2, spread="block", heavy=HEAVY_CHUNKS
     )
 
     def run(row: dict) -> dict:

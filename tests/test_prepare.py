@@ -116,6 +116,19 @@ def test_metadata_too_large_to_broadcast_joins_the_same(spark, monkeypatch):
     assert sorted(map(str, salted.collect())) == small
 
 
+def test_metadata_of_small_files_is_not_broadcast_beyond_the_limit(spark, monkeypatch):
+    recs = {"a": np.ones((1, 50)), "b": np.zeros((1, 3))}
+    rows, shapes = frame(spark, recs), blocks.settle(meta(spark, recs))
+    small = sorted(map(str, blocks.attach(rows, shapes, "rec_id").collect()))
+    monkeypatch.setattr(blocks, "SMALL_NUMBERS", 1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for heavy, salted in ((0, True), (49, True), (50, False)):
+        for how in ("inner", "left"):
+            joined = blocks.attach(rows, shapes, "rec_id", how, **({"heavy": heavy} if heavy else {}))
+            assert "BroadcastHashJoin" not in plan(joined) and ("_salt" in plan(joined)) == salted
+            assert sorted(map(str, joined.collect())) == small
+
+
 def test_heavy_keys_are_split(spark, monkeypatch):
     rows = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)], "k string, i bigint")
     meta = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), ("none", 4)], "k string, v bigint")
