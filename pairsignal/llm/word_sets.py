@@ -112,19 +112,24 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _marked(pairs: DataFrame) -> DataFrame:
-    """Instead of the lists `lacks` and `adds` the number of added shingles, and of each list which of HASHES cells it hits."""
+    """Instead of the lists `lacks` and `adds` the number of added shingles, and of each list which of HASHES cells it hits.
+
+    A shingle's cell is its first byte; only these bytes, and few rows at a time, take memory beside the table.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(k) for k in range(4)]
-            marks, extra = [], None
-            for listed in (batch.column(4), batch.column(5)):
-                size = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                hit = np.zeros((batch.num_rows, HASHES), bool)
-                hit[np.repeat(np.arange(batch.num_rows), size), listed.flatten().to_numpy().view(np.uint64) >> np.uint64(56)] = True
-                words = np.packbits(hit, axis=1).view("<i8")
-                marks += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]
-                extra = size
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(extra), *marks], names=["x", "y", "shared", "total", *MARKS])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                marks, extra = [], None
+                for listed in (part.column(4), part.column(5)):
+                    size = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    hit = np.zeros((part.num_rows, HASHES), bool)
+                    hit[np.repeat(np.arange(part.num_rows), size), listed.flatten().to_numpy().view(np.uint8)] = True
+                    words = np.packbits(hit, axis=1).view("<i8")
+                    marks += [pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS)]
+                    extra = size
+                columns = [part.column(k) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(extra), *marks], names=["x", "y", "shared", "total", *MARKS])
 
     return pairs.select("x", "y", "shared", "total", "lacks", "adds").mapInArrow(work, ", ".join(f"{c} long" for c in ["x", "y", "shared", "total", *MARKS]))
 
@@ -158,7 +163,8 @@ def compared(pairs: DataFrame, docs: DataFrame, heads: DataFrame, words: int, pe
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), text_of().alias("text")).join(hinted(asked), "key")
     sets = settle(_sets(texts, words))
     left, right = sets.select(F.col("row").alias("x"), F.col("found").alias("fx")), sets.select(F.col("row").alias("y"), F.col("found").alias("fy"))
-    lists = [F.array_except("fy", "fx").alias("lacks"), F.array_except("fx", "fy").alias("adds")] if marked else []
+    cells = lambda one, other: F.transform(F.array_except(one, other), lambda h: F.shiftright(h, 56).cast("tinyint"))
+    lists = [cells("fy", "fx").alias("lacks"), cells("fx", "fy").alias("adds")] if marked else []
     shared = pairs.select("x", "y").join(left, "x").join(right, "y").select(
         "x", "y", F.size(F.array_intersect("fx", "fy")).cast("long").alias("shared"), (F.size("fx") + F.size("fy")).cast("long").alias("both"), *lists
     )

@@ -149,3 +149,22 @@ def test_no_link_is_left_out_by_what_differs_from_the_leader(spark):
                 if both * 100 >= percent * (len(sets[i]) + len(sets[j]) - both):
                     close.add((i, j))
         assert close <= open_ and len(open_) < 2 * len(close) + len(sets)
+
+
+def test_marks_need_a_byte_for_each_shingle_that_differs(spark, monkeypatch):
+    rows = crowd()[:40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = word_sets.row_key(word_sets.F.col("doc_id"), word_sets.F.col("text"))
+    heads = docs.select(word_sets.F.col("doc_id").alias("row"), key.alias("key"))
+    pairs = spark.createDataFrame([(i, 0) for i, _ in rows[1:]], "x long, y long")
+    given, real = [], word_sets._marked
+    monkeypatch.setattr(word_sets, "_marked", lambda pairs: given.append(dict(pairs.dtypes)) or real(pairs))
+    found = word_sets.compared(pairs, docs, heads, 5, 0, marked=True).collect()
+    assert given[0]["lacks"] == given[0]["adds"] == "array<tinyint>" and len(found) == len(rows) - 1
+    sets = {i: word_sets.shingles(t, 5) for i, t in rows}
+    for r in found:
+        for kind, one, other in (("lacks", r.y, r.x), ("adds", r.x, r.y)):
+            hit = np.zeros(word_sets.HASHES, bool)
+            hit[np.setdiff1d(sets[one], sets[other]) >> np.uint64(56)] = True
+            assert [r[f"{kind}{i}"] for i in range(word_sets.WORDS)] == np.packbits(hit).view("<i8").tolist()
+        assert r.extra == len(np.setdiff1d(sets[r.x], sets[r.y]))
