@@ -2,6 +2,10 @@
 
 One chunk holds at most a block of consecutive samples of one key as a flat matrix.  Per-recording metadata is
 joined to chunks, not to samples, so it travels once per block; Spark shuffles and schedules the chunks.
+
+Short pairings and their embeddings are kept as whole chunks: one row per key with all its samples and the lengths of its
+pairing (``n_samples, n_train``).  The times ``ts`` and the flat values are the bytes of numpy arrays, so Spark moves them as
+they are.  Operators that take such rows answer each in one task, without a shuffle of samples.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = 4096  # samples in one chunk
+WHOLE = 2048  # samples up to which a pairing is kept as one whole chunk
 
 _ARROW = {
     "string": pa.string(),
@@ -23,6 +28,7 @@ _ARROW = {
     "double": pa.float64(),
     "float": pa.float32(),
     "boolean": pa.bool_(),
+    "binary": pa.binary(),
 }
 
 
@@ -96,6 +102,69 @@ def map_chunks(df: DataFrame, fn: Callable[[dict], dict | None], ddl: str) -> Da
     return df.mapInArrow(run, ddl)
 
 
+def is_whole(df: DataFrame) -> bool:
+    """Whether the rows are whole chunks."""
+    return "ts" in df.columns
+
+
+def layout(df: DataFrame, *columns: str) -> str:
+    """Columns of ``df`` with their types, as ``map_spaces`` takes them."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _numbers(name: str) -> type:
+    return np.int64 if name == "ts" else np.float64
+
+
+def map_spaces(df: DataFrame, fn: Callable[[dict], dict | None], ddl: str) -> DataFrame:
+    """As ``map_chunks`` for whole chunks: bytes are arrays in ``fn``, and the small outputs of several rows leave together.
+
+    Arrays it returns for a column of bytes come in a list, one for each row.
+    """
+    kinds = dict(part.split() for part in ddl.split(","))
+
+    def run(batches):
+        held: dict[str, list] = {n: [] for n in kinds}
+        size = 0
+        for batch in batches:
+            for row in rows_of(batch):
+                out = fn({n: np.frombuffer(v, _numbers(n)) if isinstance(v, bytes) else v for n, v in row.items()})
+                if out is None:
+                    continue
+                many = next((len(v) for v in out.values() if isinstance(v, (np.ndarray, list))), 1)
+                for n, kind in kinds.items():
+                    values = out[n] if isinstance(out[n], (np.ndarray, list)) else [out[n]] * many
+                    held[n].extend([np.ascontiguousarray(v, _numbers(n)).tobytes() for v in values] if kind == "binary" else values)
+                size += many
+                if size >= FLUSH:
+                    yield record(held, ddl)
+                    held, size = {n: [] for n in kinds}, 0
+        if size:
+            yield record(held, ddl)
+
+    return df.mapInArrow(run, ddl)
+
+
+def of_split(rows: DataFrame, split: str, columns: Sequence[str]) -> DataFrame:
+    """The rows of a split; of whole chunks, the first ``n_fit`` samples of which are training ones, that part of ``columns``."""
+    if not is_whole(rows):
+        return rows.filter(F.col("split") == split)
+    edge = F.col("n_fit") * 8
+    part = lambda c: F.substring(c, F.lit(1), edge) if split == "train" else F.substring(c, edge + 1, F.octet_length(c))
+    return rows.withColumns({c: part(c) for c in columns})
+
+
+def unpacked(whole: DataFrame, keys: Sequence[str], values: str, out: str) -> DataFrame:
+    """Whole chunks as rows again: ``keys, t`` and the vector of each sample as ``out``."""
+
+    def run(row: dict) -> dict:
+        t = np.frombuffer(row["ts"], np.int64)
+        return {**{k: row[k] for k in keys}, "t": t, out: np.frombuffer(row[values]).reshape(len(t), -1)}
+
+    columns = whole.select(*keys, "ts", values)
+    return map_chunks(columns, run, f"{layout(columns, *keys)}, t bigint, {out} array<double>")
+
+
 def matrix(row: dict, width: int | None = None, values: str = "xs", order: str = "ts") -> np.ndarray:
     """The chunk's values as (samples, channels)."""
     n = len(row[order])

@@ -29,6 +29,26 @@ def unit(a: Column) -> Column:
     )
 
 
+def unit_rows(e: np.ndarray) -> np.ndarray:
+    """As ``unit`` for the rows of a matrix, to the last bit."""
+    square = np.zeros(len(e))
+    for i in range(e.shape[1]):
+        square = square + e[:, i] * e[:, i]
+    length = np.sqrt(square)[:, None]
+    return np.divide(e, length, out=np.array(e, dtype=float), where=length != 0)
+
+
+def same_rows(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of every different vector, and which of them each row is."""
+    e = e + 0.0
+    order = np.lexsort(e.T[::-1]) if e.shape[1] else np.arange(len(e))
+    new = np.ones(len(e), bool)
+    new[1:] = (e[order[1:]] != e[order[:-1]]).any(axis=1)
+    which = np.empty(len(e), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def as_array(x: Column, kind: str) -> Column:
     """Cast each element: float, double, tinyint, int or bigint."""
     return x.cast(f"array<{kind}>")

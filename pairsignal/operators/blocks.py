@@ -138,3 +138,11 @@ def spread_join(rows: DataFrame, meta: DataFrame, keys: Sequence[str], spread: s
     split = attach(rows, heavy, keys, "left", numbers=KEY_NUMBERS, spread=spread).withColumn("_part", F.pmod(F.xxhash64(spread), parts)).drop("_parts")
     repeated = meta.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
     return split.join(repeated, [*keys, "_part"]).drop("_part")
+
+
+def attach_whole(whole: DataFrame, meta: DataFrame, keys: Sequence[str] | str, how: str = "inner", bound: DataFrame | None = None,
+                 numbers: int = ROW_NUMBERS) -> DataFrame:
+    """As ``attach`` for whole chunks: a key has few of them, so beyond the broadcast limit nothing is repeated."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    small = row_count(meta if bound is None else bound) * numbers <= SMALL_NUMBERS
+    return whole.join(F.broadcast(meta) if small else meta.hint("merge"), keys, how)

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, pack, summed
-from pairsignal.functions.vectors import unit
+from pairsignal.functions.chunks import CHUNK, is_whole, layout, map_chunks, map_spaces, matrix, pack, summed
+from pairsignal.functions.vectors import unit, unit_rows
 from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, spread_join, with_halo
 from pairsignal.session import settle
 
@@ -27,7 +27,12 @@ def receptive_field(samples: DataFrame, key: str = "rec_id", left: int = FIELD_L
     """Join each sample with its neighbours: ``x`` becomes the values at t-left .. t+right-1.
 
     ``edges='drop'`` leaves out times without a full neighbourhood, 'replicate' repeats the first or last sample.
+    Whole chunks of one feature get the extent of the windows only; ``_fields`` cuts them where they are read.
     """
+    if is_whole(samples):
+        if edges == "drop":
+            raise ValueError("whole chunks keep every sample: edges='replicate'")
+        return samples.withColumns({"left": F.lit(left), "right": F.lit(right)})
     spread = with_halo(samples.select(key, "t", "x"), block, left, right - 1)
     order = Window.partitionBy(key, "block").orderBy("t")
     near = spread.withColumn("_f", F.collect_list("x").over(order.rowsBetween(-left, right - 1)))
@@ -41,6 +46,14 @@ def receptive_field(samples: DataFrame, key: str = "rec_id", left: int = FIELD_L
     return core.select(key, "t", F.flatten(F.concat(lead, "_f", tail)).alias("x"))
 
 
+def _fields(row: dict) -> np.ndarray:
+    """The samples of a whole chunk, each with its neighbours if it has windows."""
+    x = matrix(row)
+    if "left" not in row:
+        return x
+    return x[np.clip(np.arange(len(x))[:, None] + np.arange(-row["left"], row["right"]), 0, len(x) - 1)].reshape(len(x), -1)
+
+
 def positive_pairs(embedded: DataFrame, keys: Sequence[str] = ("pairing", "run_id"), offset: int = OFFSET,
                    block: int = BLOCK) -> DataFrame:
     """Each sample with the one ``offset`` samples later: adds ``t_pos, e_pos``; the last ``offset`` have none."""
@@ -155,41 +168,16 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
         spread = with_halo(samples.select("pairing", "t", "x", *extra), block, 0, offset if mode == "time" else 0)
         chunks = pack(spread, ["pairing"], extra=["core", *extra])
 
-    def moments(weight: np.ndarray, x: np.ndarray) -> np.ndarray:
-        weighted = x * weight[:, None]
-        return np.concatenate([[weight.sum()], weighted.sum(axis=0), (weighted.T @ x).ravel()])
-
-    def across(weight: np.ndarray, x: np.ndarray, partner: np.ndarray) -> np.ndarray:
-        weighted = x * weight[:, None]
-        return np.concatenate([[weight.sum()], weighted.sum(axis=0), weight @ partner, (weighted.T @ partner).ravel()])
-
     def run(row: dict):
         x, t = matrix(row), row["ts"]
+        core = None if mode == "delta" else np.asarray(row["core"], dtype=bool)
+        y = np.asarray(row["y"][core], float) if mode == "label" else None
         for r in range(runs):
-            weight = -np.log1p(-_mix(t, r))
-            if mode == "delta":
-                own, partner = x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
-                yield (row["pairing"], r, BASE), moments(weight, own)
-                yield (row["pairing"], r, WANTED), across(weight, own, partner)
-                continue
-            core = np.asarray(row["core"], dtype=bool)
-            own, weight = x[core], weight[core]
-            yield (row["pairing"], r, BASE), moments(weight, own)
-            if mode == "time":
-                at = np.searchsorted(t, t[core] + offset)
-                found = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == t[core] + offset)
-                yield (row["pairing"], r, WANTED), across(weight[found], own[found], x[at[found]])
-            else:
-                y = np.asarray(row["y"][core], float) + 0.0
-                for label in np.unique(y):
-                    part = y == label
-                    name = int(label.view(np.int64))  # the label's bits: fractions stay apart, and no label is BASE or WANTED
-                    yield (row["pairing"], r, name), np.concatenate([[weight[part].sum()], weight[part] @ own[part]])
+            for name, v in _sums(x, t, core, y, mode, r, offset):
+                yield (row["pairing"], r, name), v
 
     def scatter(row: dict):
-        """A label's share of the sum over its pairs: the outer product of its sum by its weight."""
-        weight, total = row["v"][0], row["v"][1:]
-        yield (row["pairing"], row["run_id"], WANTED), (np.outer(total, total) / (weight or 1.0)).ravel()
+        yield (row["pairing"], row["run_id"], WANTED), _scatter(row["v"])
 
     sums = summed(chunks, ["pairing", "run_id", "part"], run, ddl)
     if mode == "label":
@@ -200,24 +188,68 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
     gathered = sums.groupBy("pairing", "run_id").agg(part(BASE).alias("base"), part(WANTED).alias("other"))
 
     def solve(row: dict) -> dict:
-        n, c = row["base"][0], int(round((-1 + np.sqrt(1 + 4 * (len(row["base"]) - 1))) / 2))
-        mean = row["base"][1 : 1 + c] / n
-        total = row["base"][1 + c :].reshape(c, c) / n - np.outer(mean, mean)
-        o = row["other"]
-        if mode == "label":
-            wanted = o.reshape(c, c) / n - np.outer(mean, mean)
-        else:
-            m = o[0] or 1.0
-            wanted = o[1 + 2 * c :].reshape(c, c) / m - np.outer(o[1 : 1 + c], o[1 + c : 1 + 2 * c]) / m**2
-        w = _directions(total, wanted, dimensions)
+        w, b = _solved(row["base"], row["other"], mode, dimensions)
         return {
             "pairing": row["pairing"], "run_id": [row["run_id"]] * dimensions, "out_idx": np.arange(dimensions, dtype=np.int32),
-            "w": w, "b": -(w @ mean),
+            "w": w, "b": b,
         }
 
     return map_chunks(gathered, solve, "pairing string, run_id int, out_idx int, w array<double>, b double")
 
 
+def _moments(weight: np.ndarray, x: np.ndarray) -> np.ndarray:
+    weighted = x * weight[:, None]
+    return np.concatenate([[weight.sum()], weighted.sum(axis=0), (weighted.T @ x).ravel()])
+
+
+def _across(weight: np.ndarray, x: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    weighted = x * weight[:, None]
+    return np.concatenate([[weight.sum()], weighted.sum(axis=0), weight @ partner, (weighted.T @ partner).ravel()])
+
+
+def _sums(x: np.ndarray, t: np.ndarray, core: np.ndarray | None, y: np.ndarray | None, mode: str, run: int, offset: int):
+    """The (part, sums) of a chunk that a run is fitted from; in mode 'label' those of each label are apart."""
+    weight = -np.log1p(-_mix(t, run))
+    if mode == "delta":
+        own, partner = x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
+        yield BASE, _moments(weight, own)
+        yield WANTED, _across(weight, own, partner)
+        return
+    own, weight = x[core], weight[core]
+    yield BASE, _moments(weight, own)
+    if mode == "time":
+        at = np.searchsorted(t, t[core] + offset)
+        found = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == t[core] + offset)
+        yield WANTED, _across(weight[found], own[found], x[at[found]])
+        return
+    y = y + 0.0
+    for label in np.unique(y):
+        part = y == label
+        # The label's bits: fractions stay apart, and no label is BASE or WANTED.
+        yield int(label.view(np.int64)), np.concatenate([[weight[part].sum()], weight[part] @ own[part]])
+
+
+def _scatter(sums: np.ndarray) -> np.ndarray:
+    """A label's share of the sum over its pairs: the outer product of its sum by its weight."""
+    weight, total = sums[0], sums[1:]
+    return (np.outer(total, total) / (weight or 1.0)).ravel()
+
+
+def _solved(base: np.ndarray, other: np.ndarray, mode: str, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The projection (one row per dimension) and its offsets, out of the sums of all chunks."""
+    n, c = base[0], int(round((-1 + np.sqrt(1 + 4 * (len(base) - 1))) / 2))
+    mean = base[1 : 1 + c] / n
+    total = base[1 + c :].reshape(c, c) / n - np.outer(mean, mean)
+    o = other
+    if mode == "label":
+        wanted = o.reshape(c, c) / n - np.outer(mean, mean)
+    else:
+        m = o[0] or 1.0
+        wanted = o[1 + 2 * c :].reshape(c, c) / m - np.outer(o[1 : 1 + c], o[1 + c : 1 + 2 * c]) / m**2
+    w = _directions(total, wanted, dimensions)
+    return w, -(w @ mean)
+
+
 def partnered(samples: DataFrame, recordings: DataFrame, offset: int = OFFSET) -> DataFrame:
     """Each sample beside its partner by label difference: ``pairing, t, x`` with both vectors one after the other.
 
@@ -254,10 +286,37 @@ def embed_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time",
                  **options) -> DataFrame:
     """Fit on the training part of each pairing (or on 'all') and embed every sample.
 
-    ``recordings``: ``pairing, n_samples, n_train``.
+    ``recordings``: ``pairing, n_samples, n_train``; whole chunks bring these themselves, and ``label`` for the mode of that name.
     """
+    if is_whole(samples):
+        return _embed_whole(samples, mode, runs, fit_on, **options)
     fitted = samples
     if fit_on == "train":
         fitted = attach(samples, recordings.select("pairing", "n_train"), "pairing", bound=recordings).filter("t < n_train").drop("n_train")
     projection = fit_linear(fitted, recordings, mode, runs, **options)
     return transform(samples, projection)
+
+
+def _embed_whole(samples: DataFrame, mode: str, runs: int, fit_on: str, offset: int = OFFSET, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``fit_linear`` and ``transform`` of whole chunks: ``pairing, run_id, n_samples, n_train, ts, es, label``."""
+    if mode not in ("time", "label"):
+        raise ValueError(f"whole chunks are not fitted by {mode}")
+    kept = [c for c in ("pairing", "n_samples", "n_train", "ts", "label") if c in samples.columns]
+
+    def run(row: dict) -> dict | None:
+        x, t = _fields(row), row["ts"]
+        fit = t < row["n_train"] if fit_on == "train" else np.ones(len(t), bool)
+        if not fit.any():
+            return None
+        xf, tf = x[fit], t[fit]
+        y = row["label"][fit] if mode == "label" else None
+        core, made = np.ones(len(tf), bool), []
+        for r in range(runs):
+            sums = dict(_sums(xf, tf, core, y, mode, r, offset))
+            base = sums.pop(BASE)
+            made.append(_solved(base, sum(map(_scatter, sums.values())) if mode == "label" else sums[WANTED], mode, dimensions))
+        z = x @ np.concatenate([w for w, _ in made]).T + np.concatenate([b for _, b in made])
+        es = [unit_rows(z[:, r * dimensions : (r + 1) * dimensions]).ravel() for r in range(runs)]
+        return {"run_id": np.arange(runs, dtype=np.int32), "es": es, **{c: [row[c]] * runs for c in kept}}
+
+    return map_spaces(samples, run, f"run_id int, {layout(samples, *kept)}, es binary")

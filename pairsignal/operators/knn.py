@@ -24,8 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsignal.functions.chunks import map_chunks, matrix, pack, record, rows_of, summed
-from pairsignal.functions.vectors import unit
+from pairsignal.functions.chunks import is_whole, layout, map_chunks, map_spaces, matrix, pack, record, rows_of, summed
+from pairsignal.functions.vectors import same_rows, unit, unit_rows
 from pairsignal.operators.blocks import BLOCK, attach, block_of, largest, row_count, running_sums, spread_join
 from pairsignal.session import settle
 
@@ -303,17 +303,6 @@ def _named(found: DataFrame, names: DataFrame, label: str) -> DataFrame:
     return found.join(F.broadcast(names.withColumnRenamed("label", label)), "code").drop("code")
 
 
-def _same(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of every different vector, and which of them each row is."""
-    e = e + 0.0
-    order = np.lexsort(e.T[::-1]) if e.shape[1] else np.arange(len(e))
-    new = np.ones(len(e), bool)
-    new[1:] = (e[order[1:]] != e[order[:-1]]).any(axis=1)
-    which = np.empty(len(e), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
-
-
 def _majority(at: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every number in ``at`` its most frequent code, the smaller one of a tie, and how often it occurs."""
     order = np.lexsort((codes, at))
@@ -337,9 +326,9 @@ def _in_one(units: DataFrame, asked: DataFrame, k: int | str, voted: bool, names
 
     def run(row: dict) -> dict:
         q, t = matrix(row), matrix(row, values="tx", order="tid")
-        first, which = _same(t)
+        first, which = same_rows(t)
         place = np.lexsort((row["tid"], row["tid"][first][which]))  # smallest id of the vector, then id
-        some, asks = _same(q)
+        some, asks = same_rows(q)
         sims = np.round(q[some] @ t[first].T, SIM_DIGITS)[:, which[place]]
         best = min(len(t), int(np.sqrt(len(t))) if k == "sqrt" else k)
         if best <= FEW:
@@ -368,6 +357,69 @@ def _in_one(units: DataFrame, asked: DataFrame, k: int | str, voted: bool, names
     return _named(listed, names, "label").select(*SPACE, "qid", "rank", "nid", "label", "sim")
 
 
+def _first_k(q: np.ndarray, t: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+    """For every query the places of its k best training rows, by similarity and then place.
+
+    ``t`` has every vector once, ``copies`` how many places in a row it takes.
+    """
+    sims = q @ t.T
+    line, most = np.arange(len(q)), min(k, len(t))
+    hit, value = np.empty((len(q), most), np.int64), np.empty((len(q), most))
+    for i in range(most):
+        hit[:, i] = sims.argmax(axis=1)
+        value[:, i] = sims[line, hit[:, i]]
+        sims[line, hit[:, i]] = -np.inf
+    # Similarities are ranked after rounding: what may round up to the last one is looked at too.
+    at, other = np.nonzero(sims >= (value[:, -1] - 10.0**-SIM_DIGITS)[:, None])
+    who = np.concatenate([np.repeat(line, most), at])
+    where = np.concatenate([hit.ravel(), other])
+    order = np.lexsort((where, -np.round(np.concatenate([value.ravel(), sims[at, other]]), SIM_DIGITS), who))
+    count = most + np.bincount(at, minlength=len(q))
+    best = where[order[(np.cumsum(count) - count)[:, None] + np.arange(most)]]
+    begin = np.cumsum(copies) - copies
+    if copies.max() == 1:
+        return begin[best]
+    ends = np.cumsum(copies[best], axis=1)
+    out = np.empty((len(q), min(k, int(copies.sum()))), np.int64)
+    for i in range(out.shape[1]):
+        which = (ends <= i).sum(axis=1)
+        vector = best[line, which]
+        out[:, i] = begin[vector] + i - (ends[line, which] - copies[vector])
+    return out
+
+
+def _decode_whole(embedded: DataFrame, k: int | str) -> DataFrame:
+    """``decode`` of whole chunks: all their rows are queries, those before ``n_train`` the training rows."""
+
+    def run(row: dict) -> dict | None:
+        e = unit_rows(matrix(row, values="es"))
+        n = int((row["ts"] < row["n_train"]).sum())
+        best = min(n, int(np.sqrt(n)) if k == "sqrt" else k)
+        if not best:
+            return None
+        t, codes = e[:n], row["label"][:n]
+        first, which = same_rows(t)
+        # Times ascend, so places of equal vectors in the order of their first time are in the order of their neighbours.
+        rank = np.argsort(first)
+        place = np.argsort(np.argsort(rank)[which], kind="stable")
+        some, asks = same_rows(e)
+        if best <= FEW:
+            hit = _first_k(e[some], t[first[rank]], np.bincount(which)[rank], best)
+        else:
+            sims = np.round(e[some] @ t[first].T, SIM_DIGITS)[:, which[place]]
+            hit = np.argsort(-sims, axis=1, kind="stable")[:, :best]
+        names, coded = np.unique(codes, return_inverse=True)
+        votes = np.bincount((np.arange(len(some))[:, None] * len(names) + coded[place][hit]).ravel(), minlength=len(some) * len(names))
+        votes = votes.reshape(len(some), len(names))
+        return {
+            **{c: row[c] for c in SPACE}, "n_fit": n, "ts": [row["ts"]], "label": [row["label"]], "pred": [names[votes.argmax(axis=1)][asks]],
+            "votes": [votes.max(axis=1)[asks]],
+        }
+
+    columns = embedded.select(*SPACE, "n_train", "ts", "es", "label")
+    return map_spaces(columns, run, f"{layout(columns, *SPACE)}, n_fit bigint, ts binary, label binary, pred binary, votes binary")
+
+
 def _dense(placed: DataFrame, routes: DataFrame) -> DataFrame:
     """Spaces in which pivots would send every training vector to many query groups."""
     n = placed.groupBy(*SPACE).agg(F.count(F.lit(1)).alias("_n"))
@@ -581,7 +633,13 @@ def decode(train: DataFrame, queries: DataFrame, k: int | str = DEFAULT_K, pivot
     """Majority label among the k nearest training rows: ``pairing, run_id, qid, pred, votes``.
 
     ``k='sqrt'`` takes the square root of each space's own number of training rows, rounded down.
+    Whole chunks hold their training rows and queries together, with ``label``: both arguments are the same frame, and the
+    result has ``pred`` and ``votes`` in the order of ``ts``, and the number of training rows as ``n_fit``.
     """
+    if is_whole(queries):
+        if train is not queries:
+            raise ValueError("whole chunks hold their training rows themselves")
+        return _decode_whole(queries, k)
     if k == "sqrt" or k <= LIST_MOST:
         return _found(train, queries, k, pivots, voted=True)
     return counted_vote(train, queries, k, pivots)

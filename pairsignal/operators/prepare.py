@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairsignal.functions.chunks import is_whole, layout, map_spaces
 from pairsignal.operators.align import sides
-from pairsignal.operators.blocks import CHANNELS, ROW_NUMBERS, attach
+from pairsignal.operators.blocks import CHANNELS, ROW_NUMBERS, attach, attach_whole
 
 ROLE_CODES = {"speaker": 1, "listener": 0}
 SCALINGS = ("raw", "normalized")
@@ -169,16 +171,35 @@ def channel_roles(dyads: DataFrame, recordings: DataFrame, codes: dict[str, int]
 
 
 def label_samples(wide: DataFrame, roles: DataFrame, dyads: DataFrame) -> DataFrame:
-    """One row per (time, channel) with the label of the channel's role."""
+    """One row per (time, channel) with the label of the channel's role.
+
+    Packed samples (``ts, xs``) with the lengths of their pairing become whole chunks with ``label``, numbered time-major.
+    """
     packed = roles.groupBy("dyad_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("gch_idx", "role", "y"))), lambda s: F.struct(s["role"], s["y"])).alias("_l")
     )
+    if is_whole(wide):
+        labelled = attach_whole(wide, packed, "dyad_id", bound=dyads, numbers=6 * CHANNELS)
+        return _label_whole(labelled.select(*wide.columns, F.col("_l.y").cast("array<double>").alias("y")))
     rows = attach(wide, packed, "dyad_id", bound=dyads, numbers=6 * CHANNELS)
     return rows.select("dyad_id", "t", F.posexplode(F.arrays_zip("x", "_l")).alias("gch_idx", "_z")).select(
         "dyad_id", "t", "gch_idx", F.col("_z.x").alias("x"), F.col("_z._l.role").alias("role"), F.col("_z._l.y").alias("y")
     )
 
 
+def _label_whole(chunks: DataFrame) -> DataFrame:
+    kept = [c for c in chunks.columns if c not in ("ts", "xs", "y")]
+
+    def run(row: dict) -> dict:
+        t, y = row["ts"], row["y"]
+        if len(row["xs"]) != len(t) * len(y):
+            raise ValueError(f"the samples of {row['pairing']} have not one value for each role")
+        numbered = t[:, None] * len(y) + np.arange(len(y))
+        return {**{c: row[c] for c in kept}, "ts": [numbered.ravel()], "xs": [row["xs"]], "label": [np.tile(y, len(t))]}
+
+    return map_spaces(chunks, run, f"{layout(chunks, *kept)}, ts binary, xs binary, label binary")
+
+
 def repeat_over_channels(embedded: DataFrame, roles: DataFrame, cells: DataFrame, key: str = "dyad_id") -> DataFrame:
     """Each embedding row once per channel with that channel's label: the table behind a channel-coloured view."""
     packed = roles.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gch_idx", "role", "y"))).alias("_l"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsignal.functions.chunks import CHUNK, map_chunks, matrix, pack, summed
-from pairsignal.functions.vectors import dot, unit
-from pairsignal.operators.blocks import BLOCK, attach, block_of
+from pairsignal.functions.chunks import CHUNK, is_whole, layout, map_chunks, map_spaces, matrix, pack, summed
+from pairsignal.functions.vectors import dot, same_rows, unit, unit_rows
+from pairsignal.operators.blocks import BLOCK, attach, attach_whole, block_of, row_count
 from pairsignal.operators.decompose import split_moments
 from pairsignal.operators.embed import OFFSET, positive_pairs
 from pairsignal.session import settle
@@ -21,6 +23,8 @@ SPACE = ["pairing", "run_id"]
 
 
 def accuracy(predicted: DataFrame, keys: list[str], truth: str = "label", guess: str = "pred") -> DataFrame:
+    if is_whole(predicted):
+        return _per_space(predicted, keys, truth, guess, "accuracy", lambda y, p: (y == p).mean())
     return predicted.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy")
     )
@@ -28,6 +32,8 @@ def accuracy(predicted: DataFrame, keys: list[str], truth: str = "label", guess:
 
 def r_squared(predicted: DataFrame, keys: list[str], truth: str = "y", guess: str = "pred") -> DataFrame:
     """``1 - SSE/SST``; NULL where the target does not vary."""
+    if is_whole(predicted):
+        return _per_space(predicted, keys, truth, guess, "r2", _explained)
     y, p = F.col(truth).cast("double"), F.col(guess).cast("double")
     sums = predicted.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("_sse"), F.var_pop(y).alias("_var"),
@@ -37,14 +43,31 @@ def r_squared(predicted: DataFrame, keys: list[str], truth: str = "y", guess: st
     return sums.select(*keys, "n", (1 - F.try_divide("_sse", sst)).alias("r2"))
 
 
+def _per_space(predicted: DataFrame, keys: list[str], truth: str, guess: str, out: str, value: Callable) -> DataFrame:
+    """``keys, n`` and a score of each whole chunk's predictions; one without any has no row."""
+
+    def run(row: dict) -> dict | None:
+        y, p = row[truth], row[guess]
+        return {**{k: row[k] for k in keys}, "n": len(y), out: value(y, p)} if len(y) else None
+
+    columns = predicted.select(*keys, truth, guess)
+    return map_spaces(columns, run, f"{layout(columns, *keys)}, n bigint, {out} double")
+
+
+def _explained(y: np.ndarray, p: np.ndarray) -> float | None:
+    return float(1 - ((y - p) ** 2).sum() / (y.var() * len(y))) if y.max() > y.min() else None
+
+
 def infonce(embedded: DataFrame, recordings: DataFrame, temperature: float = TEMPERATURE, batch: int = BATCH,
             offset: int = OFFSET, block: int = BLOCK) -> DataFrame:
     """Contrastive loss and goodness of fit in bits per (pairing, run).
 
     Every sample is a reference once.  Batches are strides through the recording, so each holds at most ``batch``
     samples from all over it; a reference meets its later partner and, as negatives, the rest of its batch.
-    ``recordings``: ``pairing, n_samples``.
+    ``recordings``: ``pairing, n_samples``; whole chunks bring theirs.
     """
+    if is_whole(embedded):
+        return _infonce_whole(embedded, temperature, batch, offset)
     whole = embedded.withColumn("e", unit(F.col("e")))
     pairs = positive_pairs(whole, SPACE, offset, block)
     strides = recordings.select("pairing", F.ceil(F.col("n_samples") / batch).cast("bigint").alias("_n"))
@@ -59,6 +82,22 @@ def infonce(embedded: DataFrame, recordings: DataFrame, temperature: float = TEM
     return _goodness(map_chunks(pack(both, SPACE, "batch"), loss, BATCH_LOSS))
 
 
+def _infonce_whole(embedded: DataFrame, temperature: float, batch: int, offset: int) -> DataFrame:
+    def run(row: dict) -> dict | None:
+        t, e = row["ts"], unit_rows(matrix(row, values="es"))
+        own = np.flatnonzero(t[offset:] == t[: len(t) - offset] + offset) if len(t) > offset else np.zeros(0, np.int64)
+        if not len(own):
+            return None
+        which = t[own] % -(-row["n_samples"] // batch)
+        parts = [_batch_loss(row, e[own[which == b]], e[own[which == b] + offset], temperature) for b in np.unique(which)]
+        total = {c: sum(part[c][0] for part in parts) for c in ("n", "scored", "loss", "bits")}
+        mean = {c: total[c] / total["scored"] if total["scored"] else None for c in ("loss", "bits")}
+        return {"pairing": row["pairing"], "run_id": row["run_id"], "n": total["n"], **mean}
+
+    columns = embedded.select(*SPACE, "n_samples", "ts", "es")
+    return map_spaces(columns, run, f"{layout(columns, *SPACE)}, n bigint, loss double, bits double")
+
+
 BATCH_LOSS = "pairing string, run_id int, n bigint, scored bigint, loss double, bits double"
 
 
@@ -68,9 +107,17 @@ def _batch_loss(row: dict, e: np.ndarray, pos: np.ndarray, temperature: float) -
     if len(e) < 2:
         return {**found, "scored": [0], "loss": [0.0], "bits": [0.0]}
     near = (e * pos).sum(axis=1) / temperature
-    far = np.exp((e @ e.T) / temperature)
+    if 2 * len(np.unique(e.sum(axis=1))) <= len(e):  # many copies: each vector meets each other one once
+        first, which = same_rows(e)
+        copies = np.bincount(which)
+    else:
+        first = which = np.arange(len(e))
+        copies = np.ones(len(e))
+    far = e[first] @ e[first].T
+    np.exp(np.divide(far, temperature, out=far), out=far)
+    own = np.where(copies > 1, far.diagonal(), 0.0) * (copies - 1)
     np.fill_diagonal(far, 0.0)
-    value = np.log(far.sum(axis=1)) - near
+    value = np.log(far @ copies + own)[which] - near
     return {**found, "scored": [len(e)], "loss": [value.sum()], "bits": [((np.log(len(e) - 1) - value) / np.log(2)).sum()]}
 
 
@@ -135,12 +182,21 @@ def history_summary(history: DataFrame) -> DataFrame:
 
 def successful_runs(embedded: DataFrame, status: DataFrame) -> DataFrame:
     """Only the runs that ended well."""
+    if is_whole(embedded):
+        # Their keys are read alone; runs that did not end well are few, and mostly none.
+        others = settle(embedded.select(*SPACE).dropna().join(status.filter("ok").select(*SPACE), SPACE, "left_anti").distinct())
+        known = embedded.dropna(subset=SPACE)
+        return attach_whole(known, others, SPACE, "left_anti") if row_count(others) else known
     return attach(embedded, status.filter("ok").select(*SPACE).distinct(), SPACE, "left_semi", bound=status)
 
 
 def run_status(expected: DataFrame, embedded: DataFrame) -> DataFrame:
     """``pairing, run_id, ok``: an expected run is ok if it left finite embeddings only."""
     finite = F.forall("e", lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")))
+    if is_whole(embedded):
+        columns = embedded.select(*SPACE, "es")
+        fine = lambda row: {**{k: row[k] for k in SPACE}, "fine": bool(np.isfinite(row["es"]).all())}
+        embedded, finite = map_spaces(columns, fine, f"{layout(columns, *SPACE)}, fine boolean"), F.col("fine")
     seen = embedded.groupBy(*SPACE).agg(F.min(finite.cast("int")).alias("_fine"))
     return expected.join(seen, SPACE, "left").select(*SPACE, (F.coalesce("_fine", F.lit(0)) == 1).alias("ok"))
 
@@ -221,6 +277,14 @@ def class_distance(embedded: DataFrame, keys: list[str], label: str = "label") -
 
 
 def split_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    if is_whole(rows):
+        columns = rows.select(*keys, "n_train", "ts")
+
+        def count(row: dict) -> dict:
+            n = int((row["ts"] < row["n_train"]).sum())
+            return {**{k: row[k] for k in keys}, "n_train": n, "n_val": len(row["ts"]) - n}
+
+        return map_spaces(columns, count, f"{layout(columns, *keys)}, n_train bigint, n_val bigint")
     return rows.groupBy(*keys).agg(
         F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_val")
     )

@@ -534,7 +534,7 @@ def embed_linear(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def score_pairings(spark: SparkSession, sf: str) -> DataFrame:
     samples, recordings, dyads = _paired(spark, sf)
-    inputs, lengths, labels = train_plan.flat_inputs(prepare.stack_wide(samples, dyads), dyads, recordings)
+    inputs, lengths, labels = train_plan.flat_inputs(prepare.stack_wide(samples, dyads), dyads, recordings, packed=True)
     return train_plan.embed_and_score(inputs, lengths, labels).metrics
 
 

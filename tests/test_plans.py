@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pairsignal.operators import prepare, report
@@ -58,6 +59,40 @@ def test_supervised_and_time_only_scores(spark):
     assert all(r["acc_val"] is None and r["gof_bits"] is not None and r["cont_r2"] is not None for r in plain)
 
 
+@pytest.mark.parametrize("most,rows_of_spaces", [(2048, [6]), (150, [2, 800])])
+def test_short_pairings_are_scored_as_whole_chunks(spark, monkeypatch, most, rows_of_spaces):
+    """A space of a short pairing is one row from the fit on, and has the scores, vectors and consistency of its rows."""
+    monkeypatch.setattr(train, "WHOLE", most)
+    rng = np.random.default_rng(4)
+    recs = {n: base + rng.standard_normal((2, t)) for n, base, t in (("a", 1, 60), ("b", -1, 60), ("c", 0, 30), ("d", 1, 25), ("e", 0, 40))}
+    recs["f"] = np.zeros((2, 40))
+    pair, shapes = dyads(spark, ("a", "b"), ("c", "d"), ("e", "f")), meta(spark, recs)
+    stacked = prepare.stack_wide(frame(spark, recs), pair)
+    near, ends, labels = train.flat_inputs(stacked, pair, shapes)
+    traits = near.select("pairing", "t", F.get("x", F.lit(0)).alias("y"))
+    want = train.embed_and_score(near, ends, labels, traits, runs=2)
+    counts, status = [], train.score.run_status
+    monkeypatch.setattr(train.score, "run_status", lambda expected, embedded: counts.append(embedded.count()) or status(expected, embedded))
+    parts, ends, labels = train.flat_inputs(stacked, pair, shapes, packed=True)
+    got = train.embed_and_score(parts, ends, labels, traits, runs=2)
+    assert counts == rows_of_spaces
+    for a, b, keys in ((want.metrics, got.metrics, 3), (want.embedded, got.embedded, 3), (want.consistency, got.consistency, 4)):
+        a, b = sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b):
+            assert x[:keys] == y[:keys]
+            for v, w in zip(x[keys:], y[keys:]):
+                assert (v is None) == (w is None) and (v is None or np.allclose(v, w, atol=1e-9))
+    assert got.variability.count() == 3
+
+
+def test_a_pairing_named_twice_is_scored_by_rows(spark):
+    recs = {n: np.random.default_rng(i).standard_normal((2, 30)) for i, n in enumerate("abcd")}
+    pair = dyads(spark, ("a", "b"), ("c", "d")).withColumn("pairing", F.lit("p"))
+    parts, _, labels = train.flat_inputs(prepare.stack_wide(frame(spark, recs), pair), pair, meta(spark, recs), packed=True)
+    assert parts.whole is None and parts.rows.count() == labels.count() > 0
+
+
 def test_summary_fills_missing_metrics(spark):
     expected = spark.createDataFrame([("p", 0), ("p", 1)], "pairing string, run_id int")
     found = spark.createDataFrame([("p", 0, 0.75)], "pairing string, run_id int, acc_val double")

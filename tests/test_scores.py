@@ -409,3 +409,69 @@ def test_sums_of_vectors_are_not_shuffled_by_element(spark):
     assert {(r.pairing, r.run_id): list(r.v) for r in got.collect()} == {k: [float(sum(v)), float(len(v))] for k, v in want.items()}
     assert got.count() == len(want)
     assert "Generate" not in got._jdf.queryExecution().toString()
+
+
+def as_whole(spark, rows, n_train):
+    """Rows of ``embedded`` as whole chunks; rows before ``n_train`` are the training rows."""
+    spaces = {}
+    for r in sorted(rows.collect(), key=lambda r: r["t"]):
+        spaces.setdefault((r["pairing"], r["run_id"]), []).append(r)
+    packed = [
+        (*key, max(r["t"] for r in v) + 1, n_train, np.array([r["t"] for r in v]).tobytes(), np.array([r["e"] for r in v], float).tobytes(),
+         np.array([r["label"] for r in v], float).tobytes())
+        for key, v in spaces.items()
+    ]
+    return spark.createDataFrame(packed, "pairing string, run_id int, n_samples bigint, n_train bigint, ts binary, es binary, label binary")
+
+
+@pytest.mark.parametrize("k,copies", [(3, 0.0), (3, 0.5), (5, 1.0), (40, 0.3), ("sqrt", 0.5)])
+def test_whole_chunks_are_decoded_like_rows(spark, k, copies):
+    rng = np.random.default_rng(6)
+    rows = None
+    for run in range(2):
+        e = sphere_points(150, seed=run)
+        e[rng.random(150) < copies] = e[7]
+        one = embedded(spark, e, rng.integers(0, 4, 150), run=run)
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.filter("t % 11 <> 3")
+    whole = as_whole(spark, rows, 110)
+    want = knn.decode(rows.filter("t < 110"), rows, k).collect()
+    got = knn.decode(whole, whole, k)
+    assert {r["n_fit"] for r in got.collect()} == {100}
+    got = chunks.unpacked(got, ["pairing", "run_id"], "pred", "x").join(
+        chunks.unpacked(got, ["pairing", "run_id"], "votes", "v"), ["pairing", "run_id", "t"]
+    )
+    assert sorted((r["run_id"], r["t"], r["x"][0], r["v"][0]) for r in got.collect()) == sorted((r["run_id"], r["qid"], r["pred"], r["votes"]) for r in want)
+
+
+@pytest.mark.parametrize("copies", [0.0, 0.8])
+def test_scores_of_whole_chunks_are_those_of_rows(spark, copies):
+    rng = np.random.default_rng(8)
+    e = sphere_points(200, seed=9)
+    e[rng.random(200) < copies] = e[3]
+    e[120:140] *= 0
+    rows = embedded(spark, e, rng.integers(0, 2, 200)).filter("t not in (50, 51, 90)")
+    broken = embedded(spark, sphere_points(30), run=1).withColumn("e", F.when(F.col("t") == 4, F.array(*[F.lit(float("nan"))] * 3)).otherwise(F.col("e")))
+    rows, lengths = rows.unionByName(broken), spark.createDataFrame([("p", 200)], "pairing string, n_samples bigint")
+    whole = as_whole(spark, rows, 120)
+    whole = whole.withColumn("n_samples", F.lit(200).cast("bigint"))
+    expected = spark.createDataFrame([("p", 0), ("p", 1), ("p", 2)], "pairing string, run_id int")
+    status = score.run_status(expected, whole)
+    assert {tuple(r) for r in status.collect()} == {("p", 0, True), ("p", 1, False), ("p", 2, False)}
+    good = score.successful_runs(whole, status)
+    rows = score.successful_runs(rows, score.run_status(expected, rows))
+    assert good.count() == 1
+    marked = rows.withColumn("split", F.when(F.col("t") < 120, "train").otherwise("test"))
+    assert score.split_counts(good, ["pairing", "run_id"]).collect() == score.split_counts(marked, ["pairing", "run_id"]).collect()
+    for batch in (64, 1):
+        a, b = score.infonce(rows, lengths, batch=batch).collect(), score.infonce(good, lengths, batch=batch).collect()
+        assert a[0]["n"] == b[0]["n"] == 190 - 23
+        assert (a[0]["bits"] is None and b[0]["bits"] is None) or np.allclose(a[0][3:], b[0][3:], rtol=1e-12)
+    decoded = knn.decode(good, good, 3)
+    voted = knn.decode(marked.filter("split = 'train'"), marked, 3).withColumnRenamed("qid", "t")
+    known = marked.drop("e").join(voted, ["pairing", "run_id", "t"])
+    for split in ("train", "test"):
+        part = chunks.of_split(decoded, split, ["label", "pred"])
+        for of, name in ((score.accuracy, "accuracy"), (score.r_squared, "r2")):
+            a, b = of(part, ["run_id"], "label", "pred").collect()[0], of(chunks.of_split(known, split, []), ["run_id"], "label", "pred").collect()[0]
+            assert a["n"] == b["n"] and np.isclose(a[name], b[name], rtol=1e-12)
