@@ -171,9 +171,9 @@ def fit_linear(samples: DataFrame, recordings: DataFrame, mode: str = "time", ru
     def run(row: dict):
         x, t = matrix(row), row["ts"]
         core = None if mode == "delta" else np.asarray(row["core"], dtype=bool)
-        y = np.asarray(row["y"][core], float) if mode == "label" else None
+        labels = _labels(np.asarray(row["y"][core], float)) if mode == "label" else None
         for r in range(runs):
-            for name, v in _sums(x, t, core, y, mode, r, offset):
+            for name, v in _sums(x, t, core, labels, mode, r, offset):
                 yield (row["pairing"], r, name), v
 
     def scatter(row: dict):
@@ -207,7 +207,13 @@ def _across(weight: np.ndarray, x: np.ndarray, partner: np.ndarray) -> np.ndarra
     return np.concatenate([[weight.sum()], weighted.sum(axis=0), weight @ partner, (weighted.T @ partner).ravel()])
 
 
-def _sums(x: np.ndarray, t: np.ndarray, core: np.ndarray | None, y: np.ndarray | None, mode: str, run: int, offset: int):
+def _labels(y: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each label's bits and rows.  By the bits fractions stay apart, and no label is BASE or WANTED."""
+    y = y + 0.0
+    return [(int(label.view(np.int64)), np.flatnonzero(y == label)) for label in np.unique(y)]
+
+
+def _sums(x: np.ndarray, t: np.ndarray, core: np.ndarray | slice | None, labels: list[tuple[int, np.ndarray]] | None, mode: str, run: int, offset: int):
     """The (part, sums) of a chunk that a run is fitted from; in mode 'label' those of each label are apart."""
     weight = -np.log1p(-_mix(t, run))
     if mode == "delta":
@@ -222,11 +228,8 @@ def _sums(x: np.ndarray, t: np.ndarray, core: np.ndarray | None, y: np.ndarray |
         found = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] == t[core] + offset)
         yield WANTED, _across(weight[found], own[found], x[at[found]])
         return
-    y = y + 0.0
-    for label in np.unique(y):
-        part = y == label
-        # The label's bits: fractions stay apart, and no label is BASE or WANTED.
-        yield int(label.view(np.int64)), np.concatenate([[weight[part].sum()], weight[part] @ own[part]])
+    for name, part in labels:
+        yield name, np.concatenate([[weight[part].sum()], weight[part] @ own[part]])
 
 
 def _scatter(sums: np.ndarray) -> np.ndarray:
@@ -309,10 +312,10 @@ def _embed_whole(samples: DataFrame, mode: str, runs: int, fit_on: str, offset:
         if not fit.any():
             return None
         xf, tf = x[fit], t[fit]
-        y = row["label"][fit] if mode == "label" else None
-        core, made = np.ones(len(tf), bool), []
+        labels = _labels(row["label"][fit]) if mode == "label" else None
+        made = []
         for r in range(runs):
-            sums = dict(_sums(xf, tf, core, y, mode, r, offset))
+            sums = dict(_sums(xf, tf, slice(None), labels, mode, r, offset))
             base = sums.pop(BASE)
             made.append(_solved(base, sum(map(_scatter, sums.values())) if mode == "label" else sums[WANTED], mode, dimensions))
         z = x @ np.concatenate([w for w, _ in made]).T + np.concatenate([b for _, b in made])

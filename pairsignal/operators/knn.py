@@ -397,17 +397,17 @@ def _decode_whole(embedded: DataFrame, k: int | str) -> DataFrame:
         best = min(n, int(np.sqrt(n)) if k == "sqrt" else k)
         if not best:
             return None
-        t, codes = e[:n], row["label"][:n]
-        first, which = same_rows(t)
-        # Times ascend, so places of equal vectors in the order of their first time are in the order of their neighbours.
+        some, asks = same_rows(e)
+        # Times ascend, so vectors in the order of their first time, and their copies in time, are in the order of neighbours.
+        _, first, which = np.unique(asks[:n], return_index=True, return_inverse=True)
         rank = np.argsort(first)
         place = np.argsort(np.argsort(rank)[which], kind="stable")
-        some, asks = same_rows(e)
         if best <= FEW:
-            hit = _first_k(e[some], t[first[rank]], np.bincount(which)[rank], best)
+            hit = _first_k(e[some], e[first[rank]], np.bincount(which)[rank], best)
         else:
-            sims = np.round(e[some] @ t[first].T, SIM_DIGITS)[:, which[place]]
+            sims = np.round(e[some] @ e[first].T, SIM_DIGITS)[:, which[place]]
             hit = np.argsort(-sims, axis=1, kind="stable")[:, :best]
+        codes = row["label"][:n]
         names, coded = np.unique(codes, return_inverse=True)
         votes = np.bincount((np.arange(len(some))[:, None] * len(names) + coded[place][hit]).ravel(), minlength=len(some) * len(names))
         votes = votes.reshape(len(some), len(names))

@@ -88,8 +88,11 @@ def _infonce_whole(embedded: DataFrame, temperature: float, batch: int, offset:
         own = np.flatnonzero(t[offset:] == t[: len(t) - offset] + offset) if len(t) > offset else np.zeros(0, np.int64)
         if not len(own):
             return None
-        which = t[own] % -(-row["n_samples"] // batch)
-        parts = [_batch_loss(row, e[own[which == b]], e[own[which == b] + offset], temperature) for b in np.unique(which)]
+        batches, alike = t[own] % -(-row["n_samples"] // batch), same_rows(e)[1][own]
+        parts = []
+        for b in np.unique(batches):
+            at = batches == b
+            parts.append(_batch_loss(row, e[own[at]], e[own[at] + offset], temperature, alike[at]))
         total = {c: sum(part[c][0] for part in parts) for c in ("n", "scored", "loss", "bits")}
         mean = {c: total[c] / total["scored"] if total["scored"] else None for c in ("loss", "bits")}
         return {"pairing": row["pairing"], "run_id": row["run_id"], "n": total["n"], **mean}
@@ -101,18 +104,19 @@ def _infonce_whole(embedded: DataFrame, temperature: float, batch: int, offset:
 BATCH_LOSS = "pairing string, run_id int, n bigint, scored bigint, loss double, bits double"
 
 
-def _batch_loss(row: dict, e: np.ndarray, pos: np.ndarray, temperature: float) -> dict:
-    """Summed loss of a batch; a reference that is alone has no negatives and is counted without a loss."""
+def _batch_loss(row: dict, e: np.ndarray, pos: np.ndarray, temperature: float, alike: np.ndarray | None = None) -> dict:
+    """Summed loss of a batch; a reference that is alone has no negatives and is counted without a loss.
+
+    ``alike`` numbers the vectors, equal ones the same: each then meets each other one once.
+    """
     found = {"pairing": row["pairing"], "run_id": row["run_id"], "n": [len(e)]}
     if len(e) < 2:
         return {**found, "scored": [0], "loss": [0.0], "bits": [0.0]}
     near = (e * pos).sum(axis=1) / temperature
-    if 2 * len(np.unique(e.sum(axis=1))) <= len(e):  # many copies: each vector meets each other one once
-        first, which = same_rows(e)
-        copies = np.bincount(which)
-    else:
-        first = which = np.arange(len(e))
-        copies = np.ones(len(e))
+    first = which = np.arange(len(e))
+    copies = np.ones(len(e))
+    if alike is not None:
+        _, first, which, copies = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
     far = e[first] @ e[first].T
     np.exp(np.divide(far, temperature, out=far), out=far)
     own = np.where(copies > 1, far.diagonal(), 0.0) * (copies - 1)
